@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import chat, exact_dedup, quality, sharding
-from fieldbook.llm.common import read_table
+from fieldbook.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, token_files, tokens, warc
+from fieldbook.llm.common import read_table, shared_dir
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,3 +111,47 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
+
+
+def _path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, source = f"{shared_dir(spark)}/ids", _path("word_bpe_49k.json")
+    token_files.write(read_table(spark, sf_dir, "documents"), lambda: tokens.word_level(source), 1, path)
+    return token_files.read(spark, path)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc"
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _path("byte_bpe_50k.json")
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), lambda: tokens.byte_level(source), 0, 2048)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.round_trip_digests(docs, _path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES |= {
+    "op2_token_files": op2_token_files,
+    "op3_warc": op3_warc,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
+}
