@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, token_files, tokens, warc
+from fieldbook.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens, warc
 from fieldbook.llm.common import read_table, shared_dir
 
 
@@ -119,6 +119,11 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, source = f"{shared_dir(spark)}/ids", _path("word_bpe_49k.json")
     token_files.write(read_table(spark, sf_dir, "documents"), lambda: tokens.word_level(source), 1, path)
@@ -149,6 +154,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,

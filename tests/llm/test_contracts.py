@@ -39,6 +39,10 @@ def tok():
     return load
 
 
+def test_op1(spark, docs):
+    assert rows(Q.op1_substring_dedup(spark, docs[0]), "doc_id", "n_words", "n_removed", "kept_sha256") == ordered(brute.op1(docs[1]))
+
+
 def test_op2(spark, docs, tok):
     got = rows(Q.op2_token_files(spark, docs[0]), "doc_id", "start", "n_tokens", "ids_crc32")
     assert got == ordered(brute.op2([(i, t or "") for i, t in docs[1]], tok("word_bpe_49k.json")))
