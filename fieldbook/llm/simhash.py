@@ -119,21 +119,24 @@ def shingle_hashes(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray
     return xxh64_spans(data, begin, ends[own + span - 1] - begin), at
 
 
-def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
-    """64-bit fingerprints: a bit is 1 if more than half of the shingle hashes have it."""
+def fingerprints_of(texts: list[str], words: int = 3, lanes: int = 1) -> np.ndarray:
+    """Fingerprints (texts, lanes): a bit is 1 if more than half of the shingle hashes, mixed anew for each lane, have it."""
     h, at = shingle_hashes(texts, words)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), lanes), dtype=np.uint64)
     some = np.flatnonzero(np.diff(at))
-    if len(some):
+    for k in range(lanes if len(some) else 0):
+        if k:
+            h = (h ^ (h >> np.uint64(31))) * P3 + P1
+            h ^= h >> np.uint64(29)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, at[some], axis=0, dtype=np.int32)
         most = 2 * ones > np.diff(at)[some][:, None]
-        out[some] = np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0]
+        out[some, k] = np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (a long) of every row."""
+def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text", lanes: int = 1) -> DataFrame:
+    """``doc_id`` and ``fp`` of every row: a long, or for more lanes their bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,34 +146,52 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
                 upto, held = at, 0
                 while upto < len(texts) and (held == 0 or held + len(texts[upto]) < SLICE_BYTES):
                     held, upto = held + len(texts[upto]) + 1, upto + 1
-                found.append(fingerprints_of(texts[at:upto], words))
+                found.append(fingerprints_of(texts[at:upto], words, lanes))
                 at = upto
-            fp = np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            fp = np.concatenate(found) if found else np.zeros((0, lanes), dtype=np.uint64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp[:, 0].view(np.int64) if lanes == 1 else [x.astype("<u8").tobytes() for x in fp]})
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, "doc_id long, fp long")
+    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, f"doc_id long, fp {'long' if lanes == 1 else 'binary'}")
 
 
 class Pivots:
-    """Reference fingerprints with their partners, for blocks of bits."""
+    """Reference fingerprints with their partners, for blocks of bits; fingerprints have ``lanes`` numbers of 64 bits."""
 
-    def __init__(self, blocks: int, each: int):
+    def __init__(self, blocks: int, each: int, lanes: int = 1):
         rng = np.random.default_rng(SEED)
-        edges = np.linspace(0, 64, blocks + 1).astype(int)
-        self.masks = np.array([((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:])], dtype=np.uint64)
-        self.sizes = np.diff(edges)
-        first = rng.integers(0, 1 << 63, size=(blocks, each), dtype=np.uint64) << np.uint64(1)
-        first ^= rng.integers(0, 2, size=(blocks, each), dtype=np.uint64)
-        self.first, self.partner = first, first ^ ~self.masks[:, None]
+        bits = 64 * lanes
+        edges = np.linspace(0, bits, blocks + 1).astype(int)
+        whole = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:])]
+        self.masks = np.array([[m >> (64 * k) & (1 << 64) - 1 for k in range(lanes)] for m in whole], dtype=np.uint64)
+        self.sizes, self.bits = np.diff(edges), bits
+        first = rng.integers(0, 1 << 63, size=(blocks, each, lanes), dtype=np.uint64) << np.uint64(1)
+        first ^= rng.integers(0, 2, size=(blocks, each, lanes), dtype=np.uint64)
+        self.both = np.stack([first, first ^ ~self.masks[:, None]], axis=2)
 
     def table(self, fp: np.ndarray) -> np.ndarray:
-        """Distances (rows, blocks, pivots, 2) to all pivots and their partners."""
-        both = np.stack([self.first, self.partner], axis=-1)
-        return np.bitwise_count(fp[:, None, None, None] ^ both[None]).astype(np.int16)
-
-    def coordinates(self, table: np.ndarray) -> np.ndarray:
+        """Distances (rows, blocks, pivots, 2) of fingerprints (rows, lanes) to all pivots and their partners."""
+        out = np.zeros((len(fp), *self.both.shape[:3]), dtype=np.int16)
+        for k in range(fp.shape[1]):
+            out += np.bitwise_count(fp[:, None, None, None, k] ^ self.both[None, ..., k])
+        return out
+
+    def survivors(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+        """Whether pairs are within ``radius``: first by the largest difference of pivot distances, then by their bits."""
+        ok = np.zeros(len(a), dtype=bool)
+        step = max(1, 4_000_000 // self.both[..., 0].size)
+        for s in range(0, len(a), step):
+            far = np.abs(self.table(a[s : s + step]) - self.table(b[s : s + step])).reshape(len(a[s : s + step]), -1).max(axis=1)
+            i = np.flatnonzero(far <= radius) + s
+            ok[i] = np.bitwise_count(a[i] ^ b[i]).sum(axis=1, dtype=np.int64) <= radius
+        return ok
+
+    def coordinates(self, fp: np.ndarray) -> np.ndarray:
         """Distances within each block, as one number for each block."""
-        own = (table.sum(axis=-1) - (64 - self.sizes)[None, :, None]) // 2
+        step = max(1, 4_000_000 // self.both[..., 0].size)
+        return np.concatenate([self._coordinates(self.table(fp[s : s + step])) for s in range(0, max(1, len(fp)), step)])
+
+    def _coordinates(self, table: np.ndarray) -> np.ndarray:
+        own = (table.sum(axis=-1) - (self.bits - self.sizes)[None, :, None]) // 2
         code = np.zeros(own.shape[:2], dtype=np.int64)
         for j in range(own.shape[2]):
             code = code * 33 + own[:, :, j]
@@ -178,8 +199,8 @@ class Pivots:
 
 
 @lru_cache(maxsize=4)
-def pivots(blocks: int = BLOCKS, each: int = PIVOTS_PER_BLOCK) -> Pivots:
-    return Pivots(blocks, each)
+def pivots(blocks: int = BLOCKS, each: int = PIVOTS_PER_BLOCK, lanes: int = 1) -> Pivots:
+    return Pivots(blocks, each, lanes)
 
 
 def keys(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -192,7 +213,7 @@ def keys(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
         odd = rng.integers(0, 1 << 62, size=(len(choices), blocks), dtype=np.int64) * 2 + 1
         for b in batches:
             fp = b["fp"].to_numpy(dtype=np.int64)
-            code = p.coordinates(p.table(fp.view(np.uint64)))
+            code = p.coordinates(fp.view(np.uint64)[:, None])
             for c, left_out in enumerate(choices):
                 h = np.full(len(fp), c, dtype=np.int64)
                 for k in range(blocks):
@@ -209,15 +230,8 @@ def close_pairs(pairs: DataFrame, radius: int, blocks: int) -> DataFrame:
 
     @pandas_udf("boolean")
     def close(u: pd.Series, v: pd.Series) -> pd.Series:
-        p = pivots(blocks)
-        a, b = (x.to_numpy(dtype=np.int64).view(np.uint64) for x in (u, v))
-        ok = np.zeros(len(a), dtype=bool)
-        for s in range(0, len(a), 20_000):
-            t = slice(s, s + 20_000)
-            far = np.abs(p.table(a[t]) - p.table(b[t])).reshape(len(a[t]), -1).max(axis=1)
-            survive = np.flatnonzero(far <= radius) + s
-            ok[survive] = np.bitwise_count(a[survive] ^ b[survive]) <= radius
-        return pd.Series(ok)
+        a, b = (x.to_numpy(dtype=np.int64).view(np.uint64)[:, None] for x in (u, v))
+        return pd.Series(pivots(blocks).survivors(a, b, radius))
 
     return pairs.where(close("u", "v"))
 
@@ -233,7 +247,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, most: in
     pairs = few.select(F.explode(F.expr("""
         flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as u, y as v))))""")).alias("p")).select("p.u", "p.v")
     near = close_pairs(pairs, radius, blocks)
-    masks = [int(m) for m in pivots(blocks).masks]
+    masks = [int(m) for m in pivots(blocks).masks[:, 0]]
     left_out = F.array(*[F.lit(_signed(masks[a] | masks[b] if radius == 2 else masks[a])) for a, *rest in combinations(range(blocks), radius) for b in (rest or [a])])
     many = met.where(F.col("n") > most).withColumn("mask", F.get(left_out, F.col("choice")))
     refs = F.expr("""concat(array(fp), transform(filter(sequence(0, 63), b -> (shiftright(mask, b) & 1L) = 1L), b -> fp ^ shiftleft(1L, b)))""")
@@ -257,3 +271,82 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, doc_i
     least = met.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     named = met.join(least.hint("merge"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return prints.join(named.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- similar documents, beyond a few bits
+
+#: 256 bits in blocks of eight; a key is the coordinates of three blocks.
+LANES, WIDE_BLOCKS, WIDE_PIVOTS, WIDE_KEYS, KEY_BLOCKS = 4, 32, 5, 96, 3
+LEADERS = 8
+
+
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits in which texts of a Jaccard similarity differ, one standard deviation added.
+
+    Shingle sets of like size have the cosine 2j / (1 + j), and a bit differs with the angle's share of pi.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(share * bits + np.sqrt(share * (1 - share) * bits))
+
+
+def _lanes_of(x: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(x), dtype="<u8").reshape(len(x), LANES)
+
+
+def similar_links(nodes: DataFrame, radius: int, most: int = MOST_PER_KEY) -> DataFrame:
+    """Edges (``u``, ``v``) between ``id`` of nodes (``id``, ``fp`` of 256 bits) within ``radius`` bits.
+
+    Pairs meet if all coordinates of three blocks agree, for one of ``WIDE_KEYS`` choices of blocks; a pair at the
+    radius is found with about 0.9 probability, a closer one almost surely. Where more than ``most`` meet, each is
+    compared with ``LEADERS`` of them, drawn anew for each key, and the components join through these.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pivots(WIDE_BLOCKS, WIDE_PIVOTS, LANES)
+        rng = np.random.default_rng(SEED)
+        chosen = [rng.choice(WIDE_BLOCKS, KEY_BLOCKS, replace=False) for _ in range(WIDE_KEYS)]
+        odd = rng.integers(0, 1 << 62, size=(WIDE_KEYS, KEY_BLOCKS), dtype=np.int64) * 2 + 1
+        for b in batches:
+            code = p.coordinates(_lanes_of(b["fp"]))
+            ids = b["id"].to_numpy(dtype=np.int64)
+            for c in range(WIDE_KEYS):
+                h = np.full(len(ids), c, dtype=np.int64)
+                for j, k in enumerate(chosen[c]):
+                    h = (h ^ (code[:, k] * odd[c, j])) * odd[c, j]
+                    h ^= h >> 29
+                yield pd.DataFrame({"id": ids, "key": h})
+
+    keyed = materialize(nodes.select("id", "fp").mapInPandas(run, "id long, key long"), "keys")
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
+    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), *drawn).where("n > 1")
+    sizes = sizes.select("k", "n", F.array(*[f"l{j}" for j in range(LEADERS)]).alias("leaders"))
+    met = materialize(keyed.join(sizes.hint("merge"), F.col("key") == F.col("k")).drop("k"), "met")
+    few = met.where(F.col("n") <= most).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("f"))
+    pairs = few.select(F.explode(F.expr("""
+        flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as u, y as v))))""")).alias("p")).select("p.u", "p.v")
+    led = met.where(F.col("n") > most).select("id", F.explode("leaders").alias("l")).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v"))
+    pairs = pairs.unionByName(led).where("u <> v").distinct()
+    a, b = nodes.select(F.col("id").alias("u"), F.col("fp").alias("fu")), nodes.select(F.col("id").alias("v"), F.col("fp").alias("fv"))
+
+    @pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(pivots(WIDE_BLOCKS, WIDE_PIVOTS, LANES).survivors(_lanes_of(x), _lanes_of(y), radius) if len(x) else [], dtype=bool)
+
+    both = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v")
+    return both.where(close("fu", "fv")).select("u", "v")
+
+
+def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of similar ones, that with the smallest id, with the columns of ``docs``.
+
+    Texts of fewer words than a shingle are similar only to equal ones. Rows of equal or null ids stay or go together.
+    """
+    prints = materialize(fingerprints(docs, words, doc_id, text, LANES), "prints")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.xxhash64("fp"))
+    classes = materialize(classes, "classes")
+    roots = connected_components(similar_links(classes, radius_for(similarity, 64 * LANES)))
+    met = materialize(classes.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "id").alias("root")), "roots")
+    least = met.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("first"))
+    named = met.join(least.hint("merge"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "first")
+    gone = prints.join(named.hint("merge"), F.col("fp") == F.col("f")).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")

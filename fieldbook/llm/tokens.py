@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at a time, except that a text is never cut.
-SLICE_BYTES = 12_000_000
-CACHED_CHUNKS = 600_000
+SLICE_BYTES = 5_000_000
+CACHED_CHUNKS = 400_000
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,8 +56,9 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    def __init__(self, encode_many: EncodeMany, most: int = CACHED_CHUNKS):
-        self.encode_many, self.most = encode_many, most
+    def __init__(self, encode_many: EncodeMany, most: int = CACHED_CHUNKS, alike: np.ndarray | None = None):
+        """``alike`` maps bytes that the tokenizer doesn't tell apart to one of them."""
+        self.encode_many, self.most, self.alike = encode_many, most, alike
         self.slots: dict[bytes, int] = {}
         self.flat = np.zeros(0, dtype=np.int32)
         self.lens = np.zeros(0, dtype=np.int64)
@@ -79,6 +80,9 @@ class ChunkEncoder:
         if offsets[-1] == 0:
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
         data = np.frombuffer(raw, dtype=np.uint8)[: offsets[-1]]
+        if self.alike is not None:
+            data = self.alike[data]
+            raw = pa.py_buffer(data)
         starts = chunk_starts(data, offsets)
         ends = np.append(starts, offsets[-1]).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), raw]).dictionary_encode()
@@ -157,7 +161,7 @@ def byte_level(path: str) -> ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def word_level(path: str) -> ChunkEncoder:
-    """A tokenizer of the tokenizers library that drops white space; a control character alone parts the chunks."""
+    """A tokenizer of the tokenizers library that drops white space and lower-cases; a control character parts chunks."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -187,4 +191,7 @@ def word_level(path: str) -> ChunkEncoder:
         n[rest] = [len(a) for a in alone]
         return np.concatenate([parts[i] for i in range(len(chunks))]), n
 
-    return ChunkEncoder(many)
+    alike = np.arange(256, dtype=np.uint8)
+    alike[65:91] += 32
+    alike[_ASCII_SPACE] = 32
+    return ChunkEncoder(many, alike=alike)
