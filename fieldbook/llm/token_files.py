@@ -27,8 +27,8 @@ from fieldbook.llm.tokens import ChunkEncoder
 
 SCALE = 20
 LANES = 8
-SEGMENT = 4096
-BLOCK_IDS = 1 << 20
+SEGMENT = 2048
+BLOCK_IDS = 1 << 18
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK32 = np.uint64(0xFFFFFFFF)

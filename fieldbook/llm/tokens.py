@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at a time, except that a text is never cut.
-SLICE_BYTES = 5_000_000
-CACHED_CHUNKS = 400_000
+SLICE_BYTES = 2_500_000
+CACHED_CHUNKS = 200_000
 
 _ASCII_SPACE = np.zeros(256, dtype=bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -71,6 +71,7 @@ class ChunkEncoder:
             held += n
             if held >= SLICE_BYTES or i == len(texts) - 1:
                 yield first, *self._slice([t or "" for t in texts[first : i + 1]])
+                pa.default_memory_pool().release_unused()
                 first, held = i + 1, 0
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
