@@ -316,15 +316,16 @@ def similar_links(nodes: DataFrame, radius: int, most: int = MOST_PER_KEY) -> Da
                     h ^= h >> 29
                 yield pd.DataFrame({"id": ids, "key": h})
 
-    keyed = materialize(nodes.select("id", "fp").mapInPandas(run, "id long, key long"), "keys")
-    drawn = [F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
-    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), *drawn).where("n > 1")
-    sizes = sizes.select("k", "n", F.array(*[f"l{j}" for j in range(LEADERS)]).alias("leaders"))
-    met = materialize(keyed.join(sizes.hint("merge"), F.col("key") == F.col("k")).drop("k"), "met")
+    keyed = nodes.select("id", "fp").mapInPandas(run, "id long, key long")
+    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(keyed.join(materialize(sizes, "sizes").hint("merge"), F.col("key") == F.col("k")).drop("k"), "met")
     few = met.where(F.col("n") <= most).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("f"))
     pairs = few.select(F.explode(F.expr("""
         flatten(transform(f, (x, i) -> transform(slice(f, i + 2, size(f)), y -> struct(x as u, y as v))))""")).alias("p")).select("p.u", "p.v")
-    led = met.where(F.col("n") > most).select("id", F.explode("leaders").alias("l")).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v"))
+    many = met.where(F.col("n") > most)
+    drawn = [F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
+    leaders = many.groupBy(F.col("key").alias("k")).agg(*drawn).select("k", F.array(*[f"l{j}" for j in range(LEADERS)]).alias("leaders"))
+    led = many.join(leaders.hint("merge"), F.col("key") == F.col("k")).select("id", F.explode("leaders").alias("l")).select(F.least("id", "l").alias("u"), F.greatest("id", "l").alias("v"))
     pairs = pairs.unionByName(led).where("u <> v").distinct()
     a, b = nodes.select(F.col("id").alias("u"), F.col("fp").alias("fu")), nodes.select(F.col("id").alias("v"), F.col("fp").alias("fv"))
 
