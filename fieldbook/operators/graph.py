@@ -53,7 +53,7 @@ def pagerank(edges: DataFrame, passes: int = 20, damping: float = 0.85) -> DataF
     senders = flow.select("g", F.col("src").alias("u")).distinct().withColumn("sends", F.lit(1))
     for k in range(passes):
         loose = rank.join(senders, ["g", "u"], "left").where("sends is null").groupBy("g").agg(F.sum("r").alias("loose"))
-        got = rank.join(flow, (rank.g == flow.g) & (rank.u == flow.src)).groupBy(flow.g, flow.dst.alias("u")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
+        got = rank.select("g", F.col("u").alias("src"), "r").join(flow, ["g", "src"]).groupBy("g", F.col("dst").alias("u")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
         rank = nodes.join(got, ["g", "u"], "left").join(loose, "g", "left").select(
             "g", "u", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))).alias("r")
         )

@@ -83,4 +83,4 @@ def search(entities: DataFrame, query: str, n: int = 20) -> DataFrame:
 def nested_stats(long: DataFrame) -> DataFrame:
     """Rows (``player``, ``team``, ``bucket``, ``field``, ``value``) as map of maps; what isn't a number goes."""
     inner = long.withColumn("v", F.col("value").try_cast("double")).where(F.col("v").isNotNull()).groupBy("player", "team", "bucket").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "v")))).alias("m"))
-    return inner.groupBy("player", "team").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "m")))).alias("stats"))
+    return inner.groupBy("player", "team").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("stats"))

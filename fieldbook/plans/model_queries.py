@@ -155,7 +155,7 @@ def platt(spark, d):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    p = predictions_of(spark, d)
+    p = predictions_of(spark, d).select("season", "p", "won").cache()  # read again by every step of the fit
     clipped = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
     data = VectorAssembler(inputCols=["z"], outputCol="features").transform(p.withColumn("z", X.logit(clipped)).withColumn("label", F.col("won").cast("double")))
     fit = LogisticRegression(regParam=0.0, maxIter=50).fit(data)

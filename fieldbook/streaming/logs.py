@@ -67,15 +67,20 @@ def snapshots(events: DataFrame, cap: int = SNAPSHOTS) -> DataFrame:
     return changed.withColumn("age", F.row_number().over(back)).where(F.col("age") <= cap).select("key", "ts", "id", "value", "age")
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets its watermark, which needs timestamps with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def daily_card(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts and sums for each day and kind; a day closes when the watermark has passed it."""
     day = F.window("ts", "1 day")
-    base = events.withWatermark("ts", late) if events.isStreaming else events
+    base = _timed(events, late)
     return base.groupBy(day.alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") * 100).cast("long")).alias("cents")).select(F.col("w.start").alias("day"), "kind", "n", "cents")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    base = events.withWatermark("ts", late) if events.isStreaming else events
+    base = _timed(events, late)
     return base.groupBy(F.session_window("ts", gap).alias("w"), "key").agg(F.count(F.lit(1)).alias("n")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
