@@ -339,7 +339,7 @@ def graph_triangles(spark, d):
 
 
 @query("g14_cycles", f"""WITH {_GRAPH}, e AS (SELECT DISTINCT w.g, src, dst, greatest(0, d.rating - s.rating) AS t FROM we w JOIN rt s ON s.g = w.g AND s.u = src JOIN rt d ON d.g = w.g AND d.u = dst),
- c AS (SELECT x.g, array_to_string(list_sort([x.src, y.src, z.src]), ',') AS teams, max(x.t + y.t + z.t) AS tension FROM e x JOIN e y ON x.g = y.g AND x.dst = y.src JOIN e z ON z.g = x.g AND y.dst = z.src AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src GROUP BY ALL)
+ c AS (SELECT x.g, array_to_string(list_sort([x.src, y.src, z.src]), ',') AS teams, max(x.t + y.t + z.t)::BIGINT AS tension FROM e x JOIN e y ON x.g = y.g AND x.dst = y.src JOIN e z ON z.g = x.g AND y.dst = z.src AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src GROUP BY ALL)
  SELECT *, row_number() OVER (PARTITION BY g ORDER BY tension DESC, teams) AS place FROM c QUALIFY place <= 12""")
 def graph_cycles(spark, d):
     games = games_of(spark, d)
