@@ -1,0 +1,56 @@
+"""Feature menus: fixed lists of side features, home less away, for every contest of a table in one plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldbook.operators import history as H
+from fieldbook.operators.sides import listed_games
+
+MENUS = {
+    "extras": ["form4_win", "form4_margin", "winpct", "avg_margin", "close_winpct", "sos", "rest", "quality_winpct"],
+    "signal": ["avg_margin", "median_margin", "form2_margin", "form4_margin", "form8_margin", "ewma_margin", "avg_pf", "avg_pa", "pythag", "sos", "residual"],
+    "craft": ["ncsos", "margin_std"],
+    "loso": ["tier_wins", "late_winpct", "yoy_margin"],
+    "conference": ["conf_winpct", "conf_margin", "out_winpct", "out_margin"],
+    "pace": ["turnover_margin", "yards_per_carry"],
+    "specials": ["momentum", "streak", "plays_pg"],
+}
+
+
+def all_features(two: DataFrame) -> DataFrame:
+    """Every side feature of every season, slate and team; the parts are shuffled on the same keys."""
+    keys = ["season", "slate", "team"]
+    out = H.side_features(two)
+    for part in (H.recent(two), H.schedule_features(two, H.point_ratings(two)), H.year_over_year(two)):
+        out = out.join(part, keys)
+    return out
+
+
+def menu(two: DataFrame, *names: str) -> DataFrame:
+    """The union of the named menus, keyed by ``game_id``; a column stands once."""
+    columns = list(dict.fromkeys(c for n in names for c in MENUS[n]))
+    games = listed_games(two).select("game_id", "season", "slate", "home", "away")
+    return H.by_role(games, all_features(two), columns)
+
+
+def flags(games: DataFrame) -> DataFrame:
+    """Time, thin sample and venue flags of contests with ``home_games`` and ``away_games`` so far."""
+    return games.select("game_id", (F.col("season") - 2014).alias("season_no"), (F.col("slate") / 52.0).alias("week_share"), (F.least("home_games", "away_games") < 3).alias("thin"))
+
+
+def conference_ratings(two: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Mean of the last known rating of a conference's teams, the current slate's included; teams of earlier seasons still count.
+
+    A team's rating stays known until its next one, so a change adds the difference to the running sum of its conference.
+    """
+    from pyspark.sql import Window
+
+    conf = two.select("season", "slate", "team", "conf").distinct()
+    r = ratings.join(conf, ["season", "slate", "team"]).withColumn("sl", F.col("season") * 100 + F.col("slate"))
+    mine = Window.partitionBy("team").orderBy("sl")
+    d = r.withColumns({"move": F.col("rating") - F.coalesce(F.lag("rating").over(mine), F.lit(0)), "new": F.lag("rating").over(mine).isNull().cast("int")})
+    per = d.groupBy("conf", "sl").agg(F.sum("move").alias("move"), F.sum("new").alias("new"))
+    upto = Window.partitionBy("conf").orderBy("sl").rowsBetween(Window.unboundedPreceding, 0)
+    return per.select("conf", "sl", F.sum("move").over(upto).alias("total"), F.sum("new").over(upto).alias("teams"))
