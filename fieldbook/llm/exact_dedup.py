@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -66,15 +66,14 @@ def with_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max
         *[c for c in rows.columns if c != "dedup_may"], sha.alias("dedup_sha256"),
         F.col(doc_id).alias("dedup_keep_id"), F.lit(1).cast("long").alias("dedup_size"), F.lit(True).alias("dedup_kept"),
     )
-    shuffled = rows.where("dedup_may").drop("dedup_may").withColumn("dedup_sha256", sha)
+    # A row's number in the scan tells rows of one id apart; it is the same each time the files are read.
+    shuffled = rows.withColumn("dedup_row", F.monotonically_increasing_id()).where("dedup_may").drop("dedup_may").withColumn("dedup_sha256", sha)
     groups = shuffled.groupBy(F.col("dedup_sha256").alias("dedup_g")).agg(
-        F.max(doc_id).alias("dedup_keep_id"), F.count(F.lit(1)).alias("dedup_size")
-    )
-    met = shuffled.join(groups.hint("merge"), F.col("dedup_sha256") == F.col("dedup_g")).drop("dedup_g")
-    # Rows that repeat the id which stays are told apart by number; no other rows share a window.
-    best = F.col(doc_id).eqNullSafe(F.col("dedup_keep_id"))
-    one = Window.partitionBy("dedup_sha256", doc_id).orderBy(F.lit(0))
-    met = met.withColumn("dedup_kept", best & (F.row_number().over(one) == 1))
+        F.max(doc_id).alias("dedup_keep_id"), F.count(F.lit(1)).alias("dedup_size"),
+        F.coalesce(F.max_by("dedup_row", doc_id), F.max("dedup_row")).alias("dedup_keep_row"),
+    )
+    met = shuffled.join(groups.hint("merge"), F.col("dedup_sha256") == F.col("dedup_g"))
+    met = met.withColumn("dedup_kept", F.col("dedup_row") == F.col("dedup_keep_row")).drop("dedup_g", "dedup_row", "dedup_keep_row")
     return alone.unionByName(met)
 
 
