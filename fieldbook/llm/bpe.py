@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from fieldbook.llm.common import bounded_batches
 from fieldbook.llm.tokens import ChunkEncoder
 
 LEAF_BYTES = 24
@@ -132,6 +133,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode every row: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, encoder = tree_encoder(path, pattern)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldbook.llm.common import cut_points, materialize, rank_within
+from fieldbook.llm.common import bounded_batches, cut_points, materialize, rank_within
 from fieldbook.llm.tokens import ChunkEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,6 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document, with its ids on request."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()

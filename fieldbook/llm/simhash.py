@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldbook.llm.common import materialize
+from fieldbook.llm.common import bounded_batches, materialize
 from fieldbook.llm.components import connected_components
 
 SEED = 42
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 RADIUS = 2
 BLOCKS = 5
 PIVOTS_PER_BLOCK = 8
@@ -137,6 +137,7 @@ def fingerprints_of(texts: list[str], words: int = 3, lanes: int = 1) -> np.ndar
 
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text", lanes: int = 1) -> DataFrame:
     """``doc_id`` and ``fp`` of every row: a long, or for more lanes their bytes."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,7 +179,7 @@ class Pivots:
     def survivors(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
         """Whether pairs are within ``radius``: first by the largest difference of pivot distances, then by their bits."""
         ok = np.zeros(len(a), dtype=bool)
-        step = max(1, 4_000_000 // self.both[..., 0].size)
+        step = max(1, 1_000_000 // self.both[..., 0].size)
         for s in range(0, len(a), step):
             far = np.abs(self.table(a[s : s + step]) - self.table(b[s : s + step])).reshape(len(a[s : s + step]), -1).max(axis=1)
             i = np.flatnonzero(far <= radius) + s
@@ -187,7 +188,7 @@ class Pivots:
 
     def coordinates(self, fp: np.ndarray) -> np.ndarray:
         """Distances within each block, as one number for each block."""
-        step = max(1, 4_000_000 // self.both[..., 0].size)
+        step = max(1, 1_000_000 // self.both[..., 0].size)
         return np.concatenate([self._coordinates(self.table(fp[s : s + step])) for s in range(0, max(1, len(fp)), step)])
 
     def _coordinates(self, table: np.ndarray) -> np.ndarray:

@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import materialize, shared_dir
+from fieldbook.llm.common import bounded_batches, materialize, shared_dir
 from fieldbook.llm.simhash import xxh64_spans
 
 WINDOW = 20
 LEAST, MOST = 4, 7
 ROUNDS = 10
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 2_500_000
 #: Entries of a group, about; and the fewest groups.
 GROUP_ENTRIES = 2_000_000
 FEWEST_GROUPS = 64
@@ -267,8 +267,9 @@ def first_places(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def slices(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The bucketed table of slices: ``batch``, ``rows`` (the other columns, in Arrow's format), ``body``."""
+    """The bucketed table of slices: ``batch``, ``ids``, ``rows`` (the other columns, in Arrow's format), ``body``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -286,20 +287,17 @@ def slices(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 with pa.ipc.new_stream(sink, rest.schema) as w:
                     w.write_table(rest)
                 body = joined_text(own[text].combine_chunks())
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()]), pa.array([body])], names=["batch", "rows", "body"])
+                ids = own[doc_id].combine_chunks().cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                values = [pa.array([x]) for x in (number, ids, sink.getvalue().to_pybytes(), body)]
+                yield pa.RecordBatch.from_arrays(values, names=["batch", "ids", "rows", "body"])
                 number += 1
 
     name, buckets = f"fieldbook_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.mapInArrow(run, "batch long, rows binary, body binary")
+    cut = docs.mapInArrow(run, "batch long, ids binary, rows binary, body binary")
     cut.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/slices").saveAsTable(name)
     return spark.table(name)
 
 
-def _doc_ids(rows: bytes, doc_id: str) -> np.ndarray:
-    ids = pa.ipc.open_stream(rows).read_all()[doc_id]
-    return ids.combine_chunks().cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-
-
 def _answers(answers: DataFrame, name: str) -> DataFrame:
     """One row for each slice; a slice has at most one answer from each group."""
     return answers.groupBy("batch").agg(F.collect_list(F.struct("p", "bits")).alias(name))
@@ -328,13 +326,13 @@ def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for number, body, rows, answers in zip(b["batch"], b["body"], b["rows"], b["shared"]):
+            for number, body, raw, answers in zip(b["batch"], b["body"], b["ids"], b["shared"]):
                 s = Slice(body)
                 at = candidates(s, put_back(symbol_names(s)[0], groups, _listed(answers)))
                 names, first, _ = distinct_windows(s, at)
                 order, cut = groups_of(names[0], groups)
                 local = s.doc[at[first]]
-                ids = _doc_ids(rows, doc_id)
+                ids = np.frombuffer(raw, dtype="<i8")
                 out = []
                 for p in range(groups):
                     own = order[cut[p] : cut[p + 1]]
@@ -344,7 +342,7 @@ def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                         out.append((p, number, names[0][own].astype("<u8").tobytes(), more.tobytes(), ids[used].astype("<i8").tobytes()))
                 yield pd.DataFrame(out, columns=SENT.names)
 
-    met = table.join(_answers(shared, "shared").hint("merge"), "batch", "left")
+    met = table.select("batch", "ids", "body").join(_answers(shared, "shared").hint("merge"), "batch", "left")
     sent = met.mapInPandas(send_windows, SENT)
     first = materialize(sent.groupBy("p").applyInPandas(first_places, ANSWER), "first")
     both = table.join(_answers(shared, "shared").hint("merge"), "batch", "left").join(_answers(first, "first").hint("merge"), "batch", "left")
@@ -363,7 +361,8 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for k in range(b.num_rows):  # one slice at a time
+                r = b.slice(k, 1).to_pylist()[0]
                 s = Slice(r["body"])
                 at = candidates(s, put_back(symbol_names(s)[0], groups, _listed(r["shared"])))
                 names, first, which = distinct_windows(s, at)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import shared_dir
+from fieldbook.llm.common import bounded_batches, shared_dir
 from fieldbook.llm.tokens import ChunkEncoder
 
 SCALE = 20
@@ -104,6 +104,7 @@ class Table:
 
 def tokenize(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Slices of the id sequence: parts in ascending order, and where each slice starts in its part."""
+    bounded_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
