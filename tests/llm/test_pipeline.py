@@ -88,3 +88,37 @@ def test_near_copies_in_a_large_group(spark):
     found = simhash.near_duplicates(spark.createDataFrame(rows, DOCS))
     want = {r[0]: r for r in brute.op5([(r[0], r[1]) for r in rows])}
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: r[2] for i, r in want.items()}
+
+
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar_pairs(texts):
+    """Pairs of documents of which four fifths of all five-word shingles are shared, by comparing each with each."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    return [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+
+
+def kept_of(texts):
+    """The smallest of each component of the similar pairs."""
+    root, pairs = {i: i for i in texts}, similar_pairs(texts)
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i for i in texts if root[i] == i}
+
+
+def near_survivors(spark, texts):
+    return set(texts_of(simhash.survivors(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts.items()], DOCS))))
+
+
+def test_near_copies_in_a_mixed_crowd(spark):
+    """Of 150 documents that share most of a template, just below the similarity, a few are similar in pairs."""
+    form = prose(7, 200)
+    texts = {i: form + prose(1000 + i, 30) for i in range(150)}
+    for i in range(0, 60, 2):
+        texts[200 + i] = texts[i][:-2] + prose(5000 + i, 2)
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    assert near_survivors(spark, texts) == kept_of(texts) == set(range(150))
