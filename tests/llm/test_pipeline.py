@@ -122,3 +122,10 @@ def test_near_copies_in_a_mixed_crowd(spark):
         texts[200 + i] = texts[i][:-2] + prose(5000 + i, 2)
     texts = {i: " ".join(w) for i, w in texts.items()}
     assert near_survivors(spark, texts) == kept_of(texts) == set(range(150))
+
+
+def test_repeated_lines_and_shared_passages_are_not_similarity(spark):
+    """One line ten times, or a passage in common, beside a text of one's own: shingles count once and pairs are verified."""
+    line, passage = prose(1, 20), prose(2, 150)
+    texts = {i: " ".join(prose(100 + i, 220) + line * 10) for i in range(12)} | {100 + i: " ".join(passage + prose(300 + i, 55)) for i in range(60)}
+    assert near_survivors(spark, texts) == kept_of(texts) == set(texts)
