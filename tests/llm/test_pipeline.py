@@ -129,3 +129,13 @@ def test_repeated_lines_and_shared_passages_are_not_similarity(spark):
     line, passage = prose(1, 20), prose(2, 150)
     texts = {i: " ".join(prose(100 + i, 220) + line * 10) for i in range(12)} | {100 + i: " ".join(passage + prose(300 + i, 55)) for i in range(60)}
     assert near_survivors(spark, texts) == kept_of(texts) == set(texts)
+
+
+def test_all_pairs_about_the_similarity(spark):
+    """Pairs of similarity 0.77 to 0.99: every one of 0.8 or more is found, no other."""
+    texts = {}
+    for i in range(75):
+        w = prose(2000 + i, 200)
+        texts[i], texts[100 + i] = " ".join(w), " ".join(w[: 199 - i // 3] + prose(4000 + i, 1 + i // 3))
+    kept = kept_of(texts)
+    assert len(kept) == 87 and near_survivors(spark, texts) == kept
