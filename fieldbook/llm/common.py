@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: What has been written to the shared folder and not been removed.
+_FOLDERS: list[str] = []
+_TABLES: list[str] = []
+
 #: Characters that part words: tab to carriage return, and space.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -20,13 +24,46 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder, by name only, under the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (local tests) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder is taken in local mode
+    (tests); on a cluster that would be a folder of one machine, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/fieldbook-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/fieldbook-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def save_table(writer: DataFrameWriter, spark: SparkSession, label: str) -> DataFrame:
+    """A table in the shared folder, for what only tables keep: their buckets."""
+    name = f"fieldbook_{uuid.uuid4().hex}"
+    writer.option("path", f"{shared_dir(spark)}/{label}").saveAsTable(name)
+    _TABLES.append(name)
+    return spark.table(name)
+
+
+def written() -> set[str]:
+    """What this process has written to the shared folder and not removed."""
+    return {*_FOLDERS, *_TABLES}
+
+
+def clear(spark: SparkSession, before: set[str], keep: Iterable[str] = ()) -> None:
+    """Remove what has been written since ``before``, but for the folders of the files in ``keep``.
+
+    For jobs that have used up what they wrote; nothing calls it on its own but a whole run of the pipeline.
+    """
+    for name in [t for t in _TABLES if t not in before]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _TABLES.remove(name)
+    kept = {part for f in keep for part in f.split("/")}
+    for path in [f for f in _FOLDERS if f not in before and f.rsplit("/", 1)[1] not in kept]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _FOLDERS.remove(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -36,11 +73,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hold the rows that Spark hands to Python at a time, so that whole texts of a batch fit a small executor."""
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Hold rows and bytes that Spark hands to Python at a time, so that whole texts of a batch fit a small executor.
+
+    Both are settings of the session, and stay: Spark reads them when it plans, which is later. A lower
+    number of rows that the session has already is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def words_of(text: Column) -> Column:

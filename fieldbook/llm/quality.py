@@ -2,7 +2,8 @@
 
 Each document is measured by itself. The failures of each host (a document's ``source``) are then added up, its
 failure rate is drawn towards the rate of all hosts by a beta prior fitted to the hosts by moments, and a host
-whose shrunk rate passes ``host_limit`` takes all its documents with it.
+whose shrunk rate passes ``host_limit`` takes all its documents with it. Where hosts hardly differ no host passes it:
+a limit near the common rate would take clean documents for nothing.
 
 Null texts have no words, so they fail. A null source is a host of its own, ``''``. Lines are equal if their bytes
 are. Repeated rows count as often as they stand. Empty tables give empty results and no prior. Own columns replace
@@ -76,27 +77,38 @@ def host_rates(judged: DataFrame, host: str) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failed") + m * weight) / (F.col("docs") + weight))
 
 
+#: A table of hosts is sent to all tasks up to so many rows and bytes of names; a larger one meets salted rows.
+SENT_HOSTS, SENT_BYTES, SALTS = 50_000, 4 << 20, 16
+
+
+def with_hosts(rows: DataFrame, hosts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (with ``_host``) joined to ``hosts`` (``_h`` and more), which is written out, whatever share of the rows one host has."""
+    n, size = hosts.agg(F.count(F.lit(1)), F.sum(F.octet_length("_h"))).first()
+    if n <= SENT_HOSTS and (size or 0) <= SENT_BYTES:
+        return rows.join(F.broadcast(hosts), F.col("_host") == F.col("_h"), how)
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = hosts.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies.hint("merge"), F.expr("_host = _h and _salt = _s"), how).drop("_salt", "_s")
+
+
 def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """Every row without its text: the measures, ``base_failed``, ``host_rate`` and ``kept``."""
     narrow = with_base(measure(docs, text)).drop(text)
     narrow = materialize(narrow.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), "quality")
-    rates = host_rates(narrow, host).select(F.col("host").alias("_h"), F.col("rate").alias("host_rate"))
-    met = narrow.join(rates.hint("merge"), F.col("_host") == F.col("_h")).drop("_h", "_host")
+    rates = materialize(host_rates(narrow, "_host").select(F.col("host").alias("_h"), F.col("rate").alias("host_rate")), "hosts")
+    met = with_hosts(narrow, rates).drop("_h", "_host")
     return met.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
 
 
 def passing(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows that pass, with the columns of ``docs``.
 
-    The texts stay where they are: hosts over the limit, few beside all hosts, are taken out by a merge join that
-    reads the narrow host table; a document's own failure needs no join.
+    Texts are measured once: all rows are written with their verdict, hosts are counted and rows filtered from there.
     """
-    judged = with_base(measure(docs, text).select(F.col(host).alias("_source"), "n_words", "n_repeat_words"))
-    rates = materialize(host_rates(judged, "_source"), "hosts")
-    bad = rates.where(F.col("rate") > host_limit).select(F.col("host").alias("_h"))
-    # A row number that the filter asks for keeps Spark from copying the measures' expressions into the filter.
-    measured = measure(docs.withColumn("_text", F.col(text)), "_text").withColumn("_row", F.monotonically_increasing_id())
-    own = with_base(measured).where(~F.col("base_failed") & (F.col("_row") >= 0)).select(*docs.columns)
-    if not bad.take(1):
-        return own
-    return own.join(bad.hint("merge"), F.coalesce(F.col(host), F.lit("")) == F.col("_h"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text"))
+    judged = with_base(measure(rows, "_text")).select("_doc", "_host", "base_failed")
+    judged = materialize(judged, "judged")
+    rates = host_rates(judged.select("_host", "base_failed"), "_host")
+    bad = materialize(rates.where(F.col("rate") > host_limit).select(F.col("host").alias("_h")), "hosts")
+    own = judged.where(~F.col("base_failed"))
+    return with_hosts(own, bad, "left_anti").select("_doc.*")

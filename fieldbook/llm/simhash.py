@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -273,222 +272,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, doc_i
     least = met.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     named = met.join(least.hint("merge"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return prints.join(named.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
-
-
-# ---------------------------------------------------------------- similar documents, beyond a few bits
-
-#: Counts of shingles by their hash, in a fixed number of buckets; from large tables a sample of hashes is counted.
-BUCKETS, CHUNK, SAMPLED = 1 << 22, 1 << 16, 1 << 24
-FILTER_BITS = 1 << 27
-PARITIES = 1024
-STAR_ROUNDS = 3
-
-
-def _parities(h: np.ndarray) -> bytes:
-    """For each of ``PARITIES`` parts of the hashes, whether the set has an odd number there: sets differ in as many shingles as parts, or more."""
-    odd = np.bincount((h >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def shingle_sets(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, ``id`` (a hash of the set), ``n``, ``bits`` and ``h``, the sorted distinct shingle hashes as bytes, of every row."""
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts, at = [t or "" for t in b["text"]], 0
-            sets = []
-            while at < len(texts):
-                upto, held = at, 0
-                while upto < len(texts) and (held == 0 or held + len(texts[upto]) < SLICE_BYTES):
-                    held, upto = held + len(texts[upto]) + 1, upto + 1
-                h, ends = shingle_hashes(texts[at:upto], words)
-                sets += [np.unique(h[i:j]) for i, j in zip(ends, ends[1:])]
-                at = upto
-            n = np.array([len(x) for x in sets], dtype=np.int64)
-            raw = [x.astype("<u8").tobytes() for x in sets]
-            own = np.frombuffer(b"".join(blake2b(x, digest_size=8).digest() for x in raw), dtype="<i8")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "id": own, "n": n, "bits": [_parities(x) for x in sets], "h": raw})
-
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, "doc_id long, id long, n long, bits binary, h binary")
-
-
-def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """Counts of hashes for each bucket, at most 255. Only the order of shingles depends on them, never a result."""
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    share = np.uint64(min((1 << 32) - 1, int((1 << 32) * SAMPLED / max(1, total))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(BUCKETS, dtype=np.int64)
-        for b in batches:
-            h = np.frombuffer(b"".join(b["h"]), dtype="<u8")
-            h = h[(h >> np.uint64(32)) <= share]
-            found += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        parts = np.minimum(found, 255).astype(np.uint8).reshape(-1, CHUNK)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pd.DataFrame({"chunk": some, "counts": [parts[c].tobytes() for c in some]})
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        both = np.zeros(CHUNK, dtype=np.int64)
-        for x in rows["counts"]:
-            both += np.frombuffer(x, dtype=np.uint8)
-        return pd.DataFrame({"chunk": [key[0]], "counts": [np.minimum(both, 255).astype(np.uint8).tobytes()]})
-
-    form = "chunk long, counts binary"
-    counts = np.zeros((BUCKETS // CHUNK, CHUNK), dtype=np.uint8)
-    for r in sets.select("h").mapInPandas(run, form).groupBy("chunk").applyInPandas(add, form).collect():
-        counts[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.uint8)
-    return counts.reshape(-1)
-
-
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``key`` (a shingle), ``id``, ``n``, ``pos`` and ``short`` for the rarest shingles of each set.
-
-    In one order of all shingles, the first that two similar sets share stands at most at ``n - s * n`` in each, and at most at
-    ``n - 2s / (1 + s) * n`` in the smaller one (``short``): after it there must be room for all they share.
-    """
-    counts = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (x.iloc[i : i + 256] for x in batches for i in range(0, len(x), 256)):
-            keys, sizes = [], b["n"].to_numpy(dtype=np.int64)
-            longest = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-            for x, m in zip(b["h"], longest):
-                h = np.frombuffer(x, dtype="<u8")
-                often = counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                keys.append(h[np.argsort(often, kind="stable")[:m]])
-            many = np.array([len(k) for k in keys], dtype=np.int64)
-            n = np.repeat(sizes, many)
-            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            short = pos <= n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9)
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-            yield pd.DataFrame({"key": key, "id": np.repeat(b["id"].to_numpy(dtype=np.int64), many), "n": n.astype(np.int32), "pos": pos.astype(np.int32), "short": short})
-
-    return sets.select("id", "n", "h").mapInPandas(run, "key long, id long, n int, pos int, short boolean")
-
-
-def _may_be_similar(a: str, b: str, similarity: float) -> str:
-    """SQL: whether two sets that share the shingle of these rows can be similar, should it be the first they share."""
-    need = f"{similarity / (1 + similarity)!r}D * ({a}.n + {b}.n) - 1e-6D"
-    return f"""least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need} and least({a}.n, {b}.n) >= {similarity!r}D * greatest({a}.n, {b}.n) - 1e-6D
-        and if({a}.n = {b}.n, {a}.short and {b}.short, if({a}.n < {b}.n, {a}.short, {b}.short))"""
-
-
-def _verified(pairs: DataFrame, small: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (``u``, ``v``), those whose sets have a Jaccard similarity of ``similarity`` or more, by all their shingles.
-
-    Pairs whose parities differ in more places than similar sets in shingles go first, without their shingles.
-    """
-
-    @pandas_udf("boolean")
-    def perhaps(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(z), dtype=np.uint64).reshape(len(z), PARITIES // 64) for z in (x, y))
-        differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-        return pd.Series(differ <= (1 - similarity) / (1 + similarity) * (n + m).to_numpy() + 1e-6)
-
-    @pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), dtype=bool)
-        for i, (p, q) in enumerate(zip(x, y)):
-            a, b = np.frombuffer(p, dtype="<u8"), np.frombuffer(q, dtype="<u8")
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            out[i] = both >= similarity * (len(a) + len(b) - both) - 1e-9
-        return pd.Series(out)
-
-    a, b = small.select(F.col("id").alias("u"), F.col("bits").alias("x"), F.col("n").alias("nu")), small.select(F.col("id").alias("v"), F.col("bits").alias("y"), F.col("n").alias("nv"))
-    left = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(perhaps("x", "y", "nu", "nv")).select("u", "v")
-    left = materialize(left, "candidates")
-    held = materialize(_sets_of(sets, left.select(F.explode(F.array("u", "v")).alias("id")).distinct()), "held")
-    a, b = held.select(F.col("id").alias("u"), F.col("h").alias("hu")), held.select(F.col("id").alias("v"), F.col("h").alias("hv"))
-    return left.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(similar("hu", "hv")).select("u", "v")
-
-
-def _sets_of(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of ``sets`` for each of ``ids``. Bits of the ids hold back most other rows before the shuffle."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * ids.count() - 1).bit_length()))
-    words = ids.groupBy(F.expr(f"shiftright(id & {bits - 1}L, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("b")).toPandas()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
-    table = sets.sparkSession.sparkContext.broadcast(table)
-
-    @pandas_udf("boolean")
-    def perhaps(x: pd.Series) -> pd.Series:
-        p = x.to_numpy(dtype=np.int64) & (bits - 1)
-        return pd.Series((table.value[p >> 6] >> (p & 63)) & 1 == 1)
-
-    return sets.select("id", "h").where(perhaps("id")).join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("h").alias("h"))
-
-
-def _stars(met: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """At each key, one of those that meet with all of other roots: the same one at most keys, as one order decides."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    lead = met.groupBy(F.col("key").alias("k")).agg(F.min_by(F.struct("id", "n", "pos", "short", "root"), order).alias("l"))
-    both = met.join(lead.hint("merge"), F.col("key") == F.col("k")).select(F.struct("id", "n", "pos", "short", "root").alias("m"), "l")
-    return _pairs(both.where("m.root <> l.root"), "m", "l", similarity)
-
-
-def _across(met: DataFrame, similarity: float) -> DataFrame:
-    """At each key, all pairs of different roots; those of one root stand in lists of about a thousand."""
-    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.expr("m div 1000")))
-    lists = met.groupBy("key", "root", part.alias("part")).agg(F.collect_list(F.struct("id", "n", "pos", "short")).alias("x"))
-    lists = materialize(lists.select("key", "root", "x"), "lists")
-    other = lists.select(F.col("key").alias("k"), F.col("root").alias("r"), F.col("x").alias("y"))
-    both = lists.join(other.hint("merge"), (F.col("key") == F.col("k")) & (F.col("root") < F.col("r")))
-    both = both.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
-    return _pairs(both, "a", "b", similarity)
-
-
-def _pairs(both: DataFrame, a: str, b: str, similarity: float) -> DataFrame:
-    return both.where(_may_be_similar(a, b, similarity)).selectExpr(f"least({a}.id, {b}.id) as u", f"greatest({a}.id, {b}.id) as v").distinct()
-
-
-def similar_roots(sets: DataFrame, similarity: float, most: int = MOST_PER_KEY) -> DataFrame:
-    """``node`` and ``root``: components of all pairs of ``sets`` with a Jaccard similarity of ``similarity`` or more.
-
-    Pairs meet at the rarest shingles of their sets, which misses none, and all shingles of a pair are compared. At
-    each key one set is first compared with all others, again so with another one where more than ``most`` of several components
-    still meet. Pairs that are in one component by then need no test; all others are formed and tested.
-    """
-    keyed = prefixes(sets, similarity)
-    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k")
-    met = materialize(keyed.join(materialize(shared, "shared").hint("merge"), F.col("key") == F.col("k")).drop("k").withColumn("root", F.col("id")), "met")
-    small = materialize(sets.groupBy("id").agg(F.first("bits").alias("bits"), F.first("n").alias("n")), "small")
-    roots, crowded = None, met
-    for turn in range(STAR_ROUNDS):
-        roots = _joined(roots, _verified(_stars(crowded, similarity, turn), small, sets, similarity))
-        met = _still_open(met, roots)
-        crowded = met.where(F.col("m") > most)
-        if crowded.isEmpty():
-            break
-    return _joined(roots, _verified(_across(met, similarity), small, sets, similarity))
-
-
-def _joined(roots: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Components after new edges."""
-    edges = found if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
-    return materialize(connected_components(edges), "roots")
-
-
-def _still_open(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows at keys where several components meet, with their number ``m``."""
-    plain = met.select("key", "id", "n", "pos", "short")
-    named = plain.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    several = named.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k", "m")
-    return materialize(named.join(several.hint("merge"), F.col("key") == F.col("k")).drop("k"), "met")
-
-
-def survivors(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of similar ones, that with the smallest id, with the columns of ``docs``.
-
-    Two documents are similar if the Jaccard similarity of their sets of shingles is ``similarity`` or more, and groups are the
-    components of all such pairs. Texts of fewer words than a shingle are similar only to equal ones, empty ones to
-    empty ones. Rows of equal or null ids stay or go together.
-    """
-    sets = materialize(shingle_sets(docs, words, doc_id, text), "sets")
-    classes = sets.groupBy("id").agg(F.min("doc_id").alias("least"))
-    roots = similar_roots(sets, similarity)
-    met = materialize(classes.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "firsts")
-    least = met.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("first"))
-    named = met.join(least.hint("merge"), F.col("root") == F.col("r")).select(F.col("id").alias("i"), "first")
-    gone = sets.select("doc_id", "id").join(named.hint("merge"), F.col("id") == F.col("i")).where(F.col("doc_id") > F.col("first")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(doc_id) == F.col("_gone"), "left_anti")

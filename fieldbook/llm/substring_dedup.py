@@ -27,41 +27,30 @@ than the text are carried along; ``n_words``, ``n_removed`` and ``kept_sha256``
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldbook.llm.common import bounded_batches, materialize, shared_dir
+from fieldbook.llm.common import materialize
 from fieldbook.llm.simhash import xxh64_spans
+from fieldbook.llm.slices import U, answers_of, column, from_six, groups_of, listed, mix, number_of_groups, put_back, six, slices, unpacked
 
 WINDOW = 20
 LEAST, MOST = 4, 7
 ROUNDS = 10
-SLICE_BYTES = 2_500_000
-#: Entries of a group, about; and the fewest groups.
-GROUP_ENTRIES = 2_000_000
-FEWEST_GROUPS = 64
+#: Bytes of a slice that give one entry, about: a third of the words do.
+BYTES_PER_ENTRY = 17
 FAR = 1 << 29
-U = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers in which every bit depends on every other."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 # ---------------------------------------------------------------- one slice
 
 
@@ -82,6 +71,29 @@ def joined_text(texts: pa.Array) -> bytes:
     return data[keep].tobytes()
 
 
+def without_words(texts: pa.Array, gone: np.ndarray) -> pa.Array:
+    """The texts as they were, but for the flagged words (counted over all texts) and the white space after each of them."""
+    null, texts = texts.is_null(), texts.cast(pa.large_utf8()).fill_null("")
+    _, where, raw = texts.buffers()
+    upto = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(raw or b"", dtype=np.uint8)[upto[0] : upto[-1]]
+    upto = upto - upto[0]
+    before = np.ones(len(data), dtype=bool)
+    before[1:] = _SPACE[data[:-1]]
+    before[upto[:-1][upto[:-1] < len(data)]] = True
+    starts = np.flatnonzero(~_SPACE[data] & before)
+    ends = np.append(starts[1:], len(data))
+    ends = np.minimum(ends, upto[np.searchsorted(upto, starts, side="right")])  # a text's last word ends with the text
+    d = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(d, starts[gone], 1)
+    np.add.at(d, ends[gone], -1)
+    keep = np.cumsum(d)[: len(data)] == 0
+    kept = np.concatenate([[0], np.cumsum(keep)])[upto]
+    out = pa.py_buffer(data[keep].tobytes())
+    left = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(kept.astype(np.int64)), out]).cast(pa.utf8())
+    return pc.if_else(null, pa.scalar(None, pa.utf8()), left)
+
+
 class Slice:
     """Words of a slice: ``starts`` and ``ends`` in ``data``, ``doc`` of each, and ``hashes``."""
 
@@ -209,33 +221,6 @@ def distinct_windows(s: Slice, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.stack([a[first], b[first].astype(np.uint64)]), first, own
 
 
-def six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
-
-
-def groups_of(names: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the names by group, and where each group starts; stable, so that answers can be put back."""
-    p = (mix(names) % U(groups)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
-    return order, np.searchsorted(p[order], np.arange(groups + 1))
-
-
-def put_back(names: np.ndarray, groups: int, answers: list[tuple[int, bytes]]) -> np.ndarray:
-    """The answers' bits in the order of ``names``."""
-    order, at = groups_of(names, groups)
-    out = np.zeros(len(names), dtype=bool)
-    for p, bits in answers:
-        own = order[at[p] : at[p + 1]]
-        out[own] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(own)).astype(bool)
-    return out
-
-
 def shared_names(group: pd.DataFrame) -> pd.DataFrame:
     """For each slice, whether its names also stand in another slice."""
     names = [from_six(x) for x in group["names"]]
@@ -266,73 +251,32 @@ def first_places(group: pd.DataFrame) -> pd.DataFrame:
 # ---------------------------------------------------------------- the job
 
 
-def slices(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The bucketed table of slices: ``batch``, ``ids``, ``rows`` (the other columns, in Arrow's format), ``body``."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            t = pa.Table.from_batches([b]).sort_by([(doc_id, "ascending")])
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in t[text].combine_chunks().cast(pa.large_utf8())], dtype=np.int64)
-            part = np.cumsum(sizes) // SLICE_BYTES
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), t.num_rows]
-            for x, y in zip(edges, edges[1:]):
-                if x == y:
-                    continue
-                own = t.slice(x, y - x).combine_chunks()
-                sink = pa.BufferOutputStream()
-                rest = own.drop_columns([text])
-                with pa.ipc.new_stream(sink, rest.schema) as w:
-                    w.write_table(rest)
-                body = joined_text(own[text].combine_chunks())
-                ids = own[doc_id].combine_chunks().cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                values = [pa.array([x]) for x in (number, ids, sink.getvalue().to_pybytes(), body)]
-                yield pa.RecordBatch.from_arrays(values, names=["batch", "ids", "rows", "body"])
-                number += 1
-
-    name, buckets = f"fieldbook_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.mapInArrow(run, "batch long, ids binary, rows binary, body binary")
-    cut.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/slices").saveAsTable(name)
-    return spark.table(name)
-
-
-def _answers(answers: DataFrame, name: str) -> DataFrame:
-    """One row for each slice; a slice has at most one answer from each group."""
-    return answers.groupBy("batch").agg(F.collect_list(F.struct("p", "bits")).alias(name))
-
-
-def _listed(x) -> list[tuple[int, bytes]]:
-    return [(r["p"], r["bits"]) for r in x] if x is not None else []
-
-
 def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
     """Slices with the answers ``shared`` and ``first``, and the number of groups."""
     table = slices(docs, text, doc_id)
-    body_bytes = table.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    groups = max(FEWEST_GROUPS, int(body_bytes / 6 * 0.35 / GROUP_ENTRIES))  # about a third of the words give an entry
+    groups = number_of_groups(table, 1 / BYTES_PER_ENTRY)
 
     def send_symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for number, body in zip(b["batch"], b["body"]):
-                names = symbol_names(Slice(body))[0]
+            for number, data in zip(b["batch"], b["data"]):
+                names = symbol_names(Slice(joined_text(column(unpacked(data), text))))[0]
                 order, at = groups_of(names, groups)
                 rows = [(p, number, six(names[order[at[p] : at[p + 1]]]), b"", b"") for p in range(groups) if at[p] < at[p + 1]]
                 yield pd.DataFrame(rows, columns=SENT.names)
 
-    sent = table.select("batch", "body").mapInPandas(send_symbols, SENT)
+    sent = table.mapInPandas(send_symbols, SENT)
     shared = materialize(sent.groupBy("p").applyInPandas(shared_names, ANSWER), "shared")
 
     def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for number, body, raw, answers in zip(b["batch"], b["body"], b["ids"], b["shared"]):
-                s = Slice(body)
-                at = candidates(s, put_back(symbol_names(s)[0], groups, _listed(answers)))
+            for number, data, answers in zip(b["batch"], b["data"], b["shared"]):
+                t = unpacked(data)
+                s = Slice(joined_text(column(t, text)))
+                ids = column(t, doc_id).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                at = candidates(s, put_back(symbol_names(s)[0], groups, listed(answers)))
                 names, first, _ = distinct_windows(s, at)
                 order, cut = groups_of(names[0], groups)
                 local = s.doc[at[first]]
-                ids = np.frombuffer(raw, dtype="<i8")
                 out = []
                 for p in range(groups):
                     own = order[cut[p] : cut[p + 1]]
@@ -342,10 +286,10 @@ def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                         out.append((p, number, names[0][own].astype("<u8").tobytes(), more.tobytes(), ids[used].astype("<i8").tobytes()))
                 yield pd.DataFrame(out, columns=SENT.names)
 
-    met = table.select("batch", "ids", "body").join(_answers(shared, "shared").hint("merge"), "batch", "left")
+    met = table.join(answers_of(shared, "shared").hint("merge"), "batch", "left")
     sent = met.mapInPandas(send_windows, SENT)
     first = materialize(sent.groupBy("p").applyInPandas(first_places, ANSWER), "first")
-    both = table.join(_answers(shared, "shared").hint("merge"), "batch", "left").join(_answers(first, "first").hint("merge"), "batch", "left")
+    both = table.join(answers_of(shared, "shared").hint("merge"), "batch", "left").join(answers_of(first, "first").hint("merge"), "batch", "left")
     return both, groups
 
 
@@ -363,10 +307,11 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         for b in batches:
             for k in range(b.num_rows):  # one slice at a time
                 r = b.slice(k, 1).to_pylist()[0]
-                s = Slice(r["body"])
-                at = candidates(s, put_back(symbol_names(s)[0], groups, _listed(r["shared"])))
+                t = unpacked(r["data"])
+                s = Slice(joined_text(column(t, text)))
+                at = candidates(s, put_back(symbol_names(s)[0], groups, listed(r["shared"])))
                 names, first, which = distinct_windows(s, at)
-                here = put_back(names[0], groups, _listed(r["first"]))
+                here = put_back(names[0], groups, listed(r["first"]))
                 stays = np.zeros(len(at), dtype=bool)
                 stays[first[here]] = True
                 repeat = np.zeros(len(s.starts), dtype=bool)
@@ -379,11 +324,10 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 keep = np.cumsum(d)[: len(s.data)] == 0
                 lows = np.concatenate([[0], s.lines[:-1] + 1])
                 kept = [s.data[x:y][keep[x:y]].tobytes().rstrip(b" ") for x, y in zip(lows, s.lines)]
-                cols = pa.ipc.open_stream(r["rows"]).read_all().combine_chunks()
-                arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols.columns]
+                arrays = [column(t, f.name) for f in rest]
                 arrays += [pa.array(s.n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 if with_text:
-                    arrays.append(pa.array([k.decode() for k in kept]))
+                    arrays.append(without_words(column(t, text), gone))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
     return marked.mapInArrow(run, T.StructType(fields))
