@@ -10,37 +10,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import exact_dedup, packing, quality, simhash, substring_dedup, tokens
-from fieldbook.llm.common import materialize, read_table
+from fieldbook.llm import exact_dedup, packing, quality, similar, substring_dedup, tokens
+from fieldbook.llm.common import clear, materialize, read_table, written
 
 CAPACITY = 2048
 END_ID = 0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, of hosts that pass them."""
+    """Documents that pass the rules, of hosts that pass them; null sources are one host. An empty table stays empty."""
     return quality.passing(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest ``doc_id``."""
+    """Of equal texts, null being empty, the row with the largest ``doc_id``; a null id is smaller than any."""
     return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: five-word shingles, a similarity of about 0.8 or more."""
-    return simhash.survivors(docs)
+    """Of each group of similar documents (five-word shingles, a Jaccard similarity of 0.8 or more) the row with the smallest ``doc_id``.
+
+    Null ids come last, and rows are told apart by place, so of rows with one id each stays or goes for its own text.
+    """
+    return similar.survivors(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that stand earlier; texts that lose nothing stay as they are.
+    """Texts without the passages that stand earlier (by ``doc_id``, null first); what is left keeps its spacing.
 
-    A document of which nothing is left goes.
+    A document of which nothing is left goes; texts without a repeat, null ones too, stay as they are.
     """
-    cut = substring_dedup.without_repeats(docs.withColumn("_own", F.col("text")), with_text=True)
-    text = F.when(F.col("n_removed") == 0, F.col("_own")).otherwise(F.col("text"))
-    kept = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = substring_dedup.without_repeats(docs.withColumnRenamed("n_chars", "_n_chars"), with_text=True)
+    kept = cut.where("n_removed = 0 or n_removed < n_words")
+    n_chars = F.when(F.col("n_removed") == 0, F.col("_n_chars")).otherwise(F.length("text").cast("long"))
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage wrote for itself goes when its result is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            clear(spark, before, keep=docs.inputFiles())
     return docs
