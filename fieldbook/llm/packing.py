@@ -51,6 +51,9 @@ def pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, ca
     return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
 
 
+#: Pieces of a length beyond which more of them change nothing in the dominance criterion.
+ENOUGH = 4
+
 #: A kind of sequence: how many there are, and the lengths in it in order.
 Kind = tuple[int, list[int]]
 
@@ -76,7 +79,7 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[Kind]:
                     break
                 m = counts[a] // 2 if a == b else min(counts[a], counts[b])
                 if smallest <= room and b != room:
-                    m = 1
+                    m = max(1, m - ENOUGH)  # the criterion reads counts only up to three, so it holds until then
                 fixed.append((m, [a, b]))
                 changed = True
                 for x in (a, b):
@@ -148,7 +151,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Kind]:
 def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     """Where the ranks of each length go: ranks from ``rank`` on, ``each`` to a sequence from ``base``, at ``offset``."""
     counts = {a: n for a, n in counts.items() if n}
-    kinds = reduce_by_dominance(counts, capacity) + best_fit(counts, capacity)
+    alike: dict[tuple[int, ...], int] = {}
+    for m, inside in reduce_by_dominance(counts, capacity) + best_fit(counts, capacity):
+        alike[tuple(inside)] = alike.get(tuple(inside), 0) + m
+    kinds = [(m, inside) for inside, m in alike.items()]
     used: dict[int, int] = {}
     base, rows = 0, []
     for m, inside in kinds:
