@@ -85,6 +85,20 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Stands for a null id while rows are in Python, where a column of longs with nulls would become floating.
+NO_ID = -(1 << 63)
+
+
+def ids_and_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``NO_ID`` where it is null (and so first in order), and ``text``."""
+    return docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """Undo ``ids_and_texts``."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

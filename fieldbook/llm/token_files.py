@@ -7,7 +7,7 @@ of ``SEGMENT`` ids; each is coded by ``LANES`` interleaved coders and can be dec
 lanes' states and where its words start). CRC-32 sums of the stored bytes and of the ids are checked on reading.
 
 Null texts count as empty and hold the end id only. A null ``doc_id`` stands before all others; rows of equal ids
-are ordered by text, so repeated rows are interchangeable. A text of any length is one document of one block. An empty table
+are ordered by their ids' bytes, so repeated rows are interchangeable. A text of any length is one document of one block. An empty table
 gives no blocks and an empty result. Other columns are not used.
 """
 
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import bounded_batches, shared_dir
+from fieldbook.llm.common import bounded_batches, ids_and_texts, materialize, with_null_ids
 from fieldbook.llm.tokens import ChunkEncoder
 
 SCALE = 20
@@ -33,7 +33,7 @@ LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK32 = np.uint64(0xFFFFFFFF)
 
-SLICES = "part int, first long, doc_ids array<long>, lens array<long>, ids binary"
+TOKENS = "doc_id long, wide boolean, ids binary"
 BLOCKS = "part int, first long, doc_ids array<long>, lens array<long>, n long, words binary, word_at binary, states binary, stored_crc long, ids_crc long"
 
 
@@ -103,73 +103,81 @@ class Table:
 
 
 def tokenize(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Slices of the id sequence: parts in ascending order, and where each slice starts in its part."""
+    """``doc_id`` and the ids of every row, the end id included: 16-bit numbers where they fit, else (``wide``) 32-bit ones."""
     bounded_batches(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, part, first = encoder(), TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pd.DataFrame:
-            nonlocal first, held
-            keys, lens, ids = (np.concatenate(x) for x in zip(*held))
-            row = pd.DataFrame({"part": [part], "first": [first], "doc_ids": [keys], "lens": [lens], "ids": [ids.astype("<u4").tobytes()]})
-            first, held = first + len(ids), []
-            return row
-
+        encode = encoder()
         for b in batches:
-            keys = b["doc_id"].astype("object").to_numpy()
+            keys = b["doc_id"]
             for start, ids, at in encode.encode(b["text"].tolist()):
-                n = np.diff(at)
-                own = keys[start : start + len(n)]
-                held.append((own, n + 1, np.insert(ids, at[1:], end_id)))
-                if sum(len(x[2]) for x in held) >= BLOCK_IDS:
-                    yield flush()
-        if held:
-            yield flush()
+                wide = bool(max(int(ids.max(initial=0)), end_id) >= 1 << 16)
+                size = 4 if wide else 2
+                raw = np.insert(ids, at[1:], end_id).astype(f"<u{size}").tobytes()
+                cuts = (size * (at + np.arange(len(at)))).tolist()
+                rows = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+                yield pd.DataFrame({"doc_id": keys.iloc[start : start + len(rows)].to_numpy(), "wide": wide, "ids": rows})
+
+    return ids_and_texts(docs, doc_id, text).mapInPandas(run, TOKENS)
+
 
-    ordered = docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").repartitionByRange(parts, "doc_id")
-    return ordered.sortWithinPartitions("doc_id", "text").mapInPandas(run, SLICES)
+def _numbers(raw: bytes, wide: bool) -> np.ndarray:
+    return np.frombuffer(raw, dtype="<u4" if wide else "<u2")
 
 
-def count_ids(slices: DataFrame) -> np.ndarray:
-    """Occurrences of each id over all slices; the vocabulary bounds what reaches the driver."""
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """Occurrences of each id over all documents; the vocabulary bounds what reaches the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for raw in b["ids"]:
-                n = np.bincount(np.frombuffer(raw, dtype="<u4"), minlength=len(total))
+            for wide, rows in b.groupby("wide")["ids"]:
+                n = np.bincount(_numbers(b"".join(rows), bool(wide)), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    found = slices.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = tokens.select("wide", "ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, dtype=np.int64)
     counts[found["id"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
     return counts
 
 
-def encode_blocks(slices: DataFrame, freq: np.ndarray) -> DataFrame:
-    shared = slices.sparkSession.sparkContext.broadcast(freq)
+def encode_blocks(tokens: DataFrame, freq: np.ndarray) -> DataFrame:
+    """Blocks of the id sequence: parts in ascending order, and where each block starts in its part."""
+    shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = None
+        table, part, first = Table(shared.value), TaskContext.get().partitionId(), 0
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal first, held, size
+            ids = np.concatenate([x for _, x in held]).astype(np.int32)
+            words, at, state = table.encode(ids)
+            stored = words.astype("<u4").tobytes()
+            row = pd.DataFrame({
+                "part": [part], "first": [first], "doc_ids": [[k for k, _ in held]], "lens": [[len(x) for _, x in held]], "n": [len(ids)],
+                "words": [stored], "word_at": [at.astype("<i8").tobytes()], "states": [state.astype("<u8").tobytes()],
+                "stored_crc": [zlib.crc32(stored)], "ids_crc": [zlib.crc32(ids.astype("<u4"))],
+            })
+            first, held, size = first + len(ids), [], 0
+            return row
+
         for b in batches:
-            for r in b.itertuples(index=False):
-                table = table or Table(shared.value)
-                ids = np.frombuffer(r.ids, dtype="<u4").astype(np.int32)
-                words, at, state = table.encode(ids)
-                stored = words.astype("<u4").tobytes()
-                yield pd.DataFrame({
-                    "part": [r.part], "first": [r.first], "doc_ids": [r.doc_ids], "lens": [r.lens], "n": [len(ids)],
-                    "words": [stored], "word_at": [at.astype("<i8").tobytes()], "states": [state.astype("<u8").tobytes()],
-                    "stored_crc": [zlib.crc32(stored)], "ids_crc": [zlib.crc32(r.ids)],
-                })
+            for key, wide, raw in zip(b["doc_id"], b["wide"], b["ids"]):
+                ids = _numbers(raw, wide)
+                held.append((key, ids))
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    yield flush()
+        if held:
+            yield flush()
 
-    return slices.mapInPandas(run, BLOCKS)
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids").mapInPandas(run, BLOCKS)
 
 
 def decode_row(row, table: Table) -> np.ndarray:
@@ -184,14 +192,15 @@ def decode_row(row, table: Table) -> np.ndarray:
 
 
 def write(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, path: str) -> None:
-    """Write ``path/table`` (frequencies) and ``path/blocks``."""
+    """Write ``path/table`` (frequencies) and ``path/blocks``.
+
+    Texts become ids where they are read; only ids move, to the blocks' order.
+    """
     spark = docs.sparkSession
-    tokens = f"{shared_dir(spark)}/slices"
-    tokenize(docs, encoder, end_id).write.option("compression", "zstd").parquet(tokens)
-    slices = spark.read.schema(SLICES).parquet(tokens)
-    freq = frequencies(count_ids(slices))
+    tokens = materialize(tokenize(docs, encoder, end_id), "tokens")
+    freq = frequencies(count_ids(tokens))
     spark.createDataFrame(pd.DataFrame({"id": np.arange(len(freq)), "freq": freq}), "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
-    encode_blocks(slices, freq).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    encode_blocks(tokens, freq).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read(spark, path: str) -> DataFrame:
@@ -207,11 +216,11 @@ def read(spark, path: str) -> DataFrame:
                 ids = decode_row(r, decoder).astype("<u4")
                 ends = np.cumsum(r.lens)
                 sums = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends, r.lens)]
-                yield pd.DataFrame({"part": r.part, "doc_id": pd.array(r.doc_ids, dtype="Int64"), "rel": r.first + ends - r.lens, "n_tokens": r.lens, "ids_crc32": sums})
+                yield pd.DataFrame({"part": r.part, "doc_id": r.doc_ids, "rel": r.first + ends - r.lens, "n_tokens": r.lens, "ids_crc32": sums})
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     rows = blocks.mapInPandas(run, "part int, doc_id long, rel long, n_tokens long, ids_crc32 long")
     # One row for each part, as many as the writing job had partitions: small enough to send to all tasks.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
+    return with_null_ids(rows.join(F.broadcast(starts), "part")).select("doc_id", (F.col("before") + F.col("rel")).alias("start"), "n_tokens", "ids_crc32")
