@@ -52,18 +52,26 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             t.role = 'assistant' as learned))"""),
     )
     df = df.withColumn("formatted", F.expr(r"concat(array_join(transform(pieces, p -> concat(p.mark, p.text)), ''), '</turn>\n')"))
+    # Where pieces start: inside chunks of 64 pieces first, then the chunks themselves, so that no array grows by one a piece for long.
+    df = df.withColumn("_chunks", F.expr("transform(sequence(0, size(pieces) - 1, 64), i -> slice(pieces, i + 1, 64))"))
+    df = df.withColumn("_starts", F.expr(_running("_chunks", "aggregate(c, 0L, (n, p) -> n + length(p.mark) + length(p.text))")))
     df = df.withColumn(
         "loss_spans",
-        F.expr("""
-        filter(
-          aggregate(pieces, named_struct('at', 0L, 'out', cast(array() as array<struct<start: bigint, len: bigint, learned: boolean>>)),
-            (a, p) -> named_struct('at', a.at + length(p.mark) + length(p.text),
-                                   'out', array_append(a.out, named_struct('start', a.at + length(p.mark), 'len', cast(length(p.text) as bigint), 'learned', p.learned)))
-          ).out, s -> s.learned)"""),
+        F.expr(f"""
+        flatten(transform(_chunks, (c, i) -> filter(
+          zip_with(c, {_running("c", "length(c.mark) + length(c.text)")},
+                   (p, at) -> struct(get(_starts, i) + at + length(p.mark) as start, cast(length(p.text) as bigint) as len, p.learned as learned)),
+          s -> s.learned)))"""),
     )
     return df.select("conv_id", "formatted", F.expr("transform(loss_spans, s -> struct(s.start as start, s.len as len))").alias("loss_spans"))
 
 
+def _running(items: str, size: str) -> str:
+    """SQL: for each of ``items`` the sum of the sizes (of an item ``c``) before it."""
+    return f"""aggregate({items}, named_struct('at', 0L, 'out', cast(array() as array<bigint>)),
+        (a, c) -> named_struct('at', a.at + {size}, 'out', array_append(a.out, a.at))).out"""
+
+
 def parse(formatted: DataFrame) -> DataFrame:
     """Read turns and learned texts back from the output: ``turns`` (role, text) and ``learned`` (texts)."""
     blocks = F.expr(r"filter(split(formatted, '</turn>\n'), b -> b != '')")
