@@ -1,6 +1,6 @@
 """WARC archives: written with one gzip member for each record, read back record by record.
 
-Of pages with equal payloads (their SHA-1 and length) the one with the largest ``page_id`` is written as a response
+Of pages with equal payloads (by SHA-256; the SHA-1 that records carry can be made to collide) the one with the largest ``page_id`` is written as a response
 and the others as revisits that refer to it. Which is which is found on digests alone, so a payload that many pages
 share gathers nowhere.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,10 +36,10 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def open_store(path: str):
-    """File system and path for a folder that all machines share, by its scheme."""
+    """File system and path for a folder that all machines share, by its scheme (local, hdfs, s3, gs, abfs)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -70,7 +71,7 @@ def page_member(page_id: int | None, url: str | None, html: str | None, refers_t
 def with_references(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``html`` and ``refers_to``, null for responses."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", "html", F.concat_ws(":", F.sha1(body), F.octet_length(body)).alias("d"))
+    keyed = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("d"))
     narrow = keyed.select("page_id", "d")
     groups = narrow.groupBy("d").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = groups.select(F.col("d").alias("gd"), "refers_to")
