@@ -21,10 +21,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from fieldbook.llm.common import bounded_batches
+from fieldbook.llm.common import bounded_batches, ids_and_texts, with_null_ids
 from fieldbook.llm.tokens import ChunkEncoder
 
-LEAF_BYTES = 24
+LEAF_BYTES, LEAF_IDS = 24, 4096
 KEPT_PIECES = 400_000
 
 
@@ -88,7 +88,11 @@ class TreeBPE:
         return [whole] if whole is not None else self.encode(piece)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        """Halves are decoded and put together, down to leaves of ``LEAF_IDS`` ids."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join([self.bytes_of[i] for i in ids])
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(maxsize=2)
@@ -128,7 +132,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
             for first, ids, starts in encoder.encode(texts):
                 yield pd.DataFrame({"doc_id": keys.iloc[first : first + len(starts) - 1], "ids": np.split(ids, starts[1:-1])})
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, "doc_id long, ids array<int>")
+    return with_null_ids(ids_and_texts(docs, doc_id, text).mapInPandas(run, "doc_id long, ids array<int>"))
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,6 +151,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "
                 out.insert(0, "doc_id", b["doc_id"].iloc[first : first + len(rows)].to_numpy())
                 yield out
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return with_null_ids(ids_and_texts(docs, doc_id, text).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldbook.llm.common import bounded_batches, cut_points, materialize, rank_within
+from fieldbook.llm.common import bounded_batches, cut_points, ids_and_texts, materialize, rank_within, with_null_ids
 from fieldbook.llm.tokens import ChunkEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, ca
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
         for b in batches:
-            keys = b["doc_id"].astype("object").to_numpy()
+            keys = b["doc_id"].to_numpy()
             for first, ids, at in encode.encode(b["text"].tolist()):
                 rows = []
                 for i in range(len(at) - 1):
@@ -45,10 +45,9 @@ def pieces(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int, ca
                     cuts = [0, *range(len(own) % capacity or capacity, len(own), capacity), len(own)]
                     for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
                         rows.append((keys[first + i], k, s, e - s, zlib.crc32(own[s:e]), *([own[s:e].astype(np.int32)] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+    return with_null_ids(ids_and_texts(docs, doc_id, text).mapInPandas(run, PIECES + ", ids array<int>" * with_ids))
 
 
 #: Pieces of a length beyond which more of them change nothing in the dominance criterion.

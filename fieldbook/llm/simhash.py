@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldbook.llm.common import bounded_batches, materialize
+from fieldbook.llm.common import bounded_batches, ids_and_texts, materialize, with_null_ids
 from fieldbook.llm.components import connected_components
 
 SEED = 42
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text:
             fp = np.concatenate(found) if found else np.zeros((0, lanes), dtype=np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp[:, 0].view(np.int64) if lanes == 1 else [x.astype("<u8").tobytes() for x in fp]})
 
-    return docs.selectExpr(f"`{doc_id}` as doc_id", f"`{text}` as text").mapInPandas(run, f"doc_id long, fp {'long' if lanes == 1 else 'binary'}")
+    return with_null_ids(ids_and_texts(docs, doc_id, text).mapInPandas(run, f"doc_id long, fp {'long' if lanes == 1 else 'binary'}"))
 
 
 class Pivots:
