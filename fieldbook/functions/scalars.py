@@ -9,9 +9,9 @@ SIGMA_LUCK = 9.5
 SIGMA_PREDICTION = 14.5
 
 
-def portable_round(x: Column, places: int = 4) -> Column:
+def portable_round(x: Column | str, places: int = 4) -> Column:
     """Round in plain double arithmetic, which any engine repeats; halves go up."""
-    k = 10.0**places
+    k, x = 10.0**places, F.col(x) if isinstance(x, str) else x
     return F.floor(x * k + 0.500001) / k
 
 

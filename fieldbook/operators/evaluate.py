@@ -72,8 +72,8 @@ def blend_weights(predictions: DataFrame, columns: Sequence[str], step: int = 10
 
 def stability(left: DataFrame, right: DataFrame) -> DataFrame:
     """Seasons that both have: how many, in how many the right is better, and the median difference of Brier."""
-    met = left.select("season", F.col("brier").alias("a")).join(right.select("season", F.col("brier").alias("b")), "season").withColumn("delta", F.col("b") - F.col("a"))
-    return met.agg(F.count(F.lit(1)).alias("years"), F.sum((F.col("delta") < -1e-9).cast("int")).alias("better"), portable_round(F.percentile("delta", F.lit(0.5)) + 1.0).alias("median_plus_one"))
+    met = left.select("season", F.col("brier").alias("a")).join(right.select("season", F.col("brier").alias("b")).hint("merge"), "season").withColumn("delta", F.col("b") - F.col("a"))
+    return met.agg(F.count(F.lit(1)).alias("years"), F.sum((F.col("delta") < -1e-9).cast("int")).alias("better"), portable_round(F.percentile("delta", F.lit(0.5))).alias("median_delta"))
 
 
 def promoted(brier_drop: Column, loss_delta: Column, better_years: Column, median: Column) -> Column:

@@ -13,15 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import portable_round
+from fieldbook.sources.store import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldbook-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -120,7 +117,7 @@ def neighbours(edges: DataFrame, ratings: DataFrame) -> DataFrame:
     e = both_ways(undirected(edges)).select("g", "u", "v")
     met = e.join(ratings.select("g", F.col("u").alias("v"), F.col("rating").alias("rv")), ["g", "v"])
     near = met.groupBy("g", "u").agg(F.count(F.lit(1)).alias("opponents"), F.sum("rv").alias("t"))
-    return near.join(ratings, ["g", "u"]).select("g", "u", "opponents", portable_round(F.col("t") / F.col("opponents") + 100_000).alias("near"), portable_round(F.col("rating") - F.col("t") / F.col("opponents") + 100_000).alias("above"))
+    return near.join(ratings, ["g", "u"]).select("g", "u", "opponents", portable_round(F.col("t") / F.col("opponents")).alias("near"), portable_round(F.col("rating") - F.col("t") / F.col("opponents")).alias("above"))
 
 
 def spanning_tree(e: DataFrame) -> DataFrame:

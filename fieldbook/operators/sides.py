@@ -60,8 +60,8 @@ def sides(plays: DataFrame) -> DataFrame:
     sums = ("off_sum", "off_n", "st_sum", "giveaways", "rush_yds", "rush_n")
     mine = r.select(F.col("game_id").alias("g1"), F.col("team").alias("t1"), *sums)
     theirs = r.select(F.col("game_id").alias("g2"), F.col("team").alias("t2"), *[F.col(c).alias(f"opp_{c}") for c in sums])
-    out = two.join(mine, (F.col("game_id") == F.col("g1")) & (F.col("team") == F.col("t1")), "left")
-    out = out.join(theirs, (F.col("game_id") == F.col("g2")) & (F.col("opponent") == F.col("t2")), "left").drop("g1", "t1", "g2", "t2")
+    out = two.join(mine.hint("merge"), (F.col("game_id") == F.col("g1")) & (F.col("team") == F.col("t1")), "left")
+    out = out.join(theirs.hint("merge"), (F.col("game_id") == F.col("g2")) & (F.col("opponent") == F.col("t2")), "left").drop("g1", "t1", "g2", "t2")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "game_id", "season", "slate", "home", "away", "team", "opponent", "conf", "opp_conf", "div", "opp_div", "is_home", "points", "opp_points",
@@ -105,10 +105,28 @@ def board(two: DataFrame, min_games: int = 8) -> DataFrame:
     )
 
 
+def rated_board(two: DataFrame, book: DataFrame, min_games: int = 8) -> DataFrame:
+    """Season records with luck, adjusted values and the mean rating of the opponents faced (an unknown one is eight under the mean), ranked."""
+    final = book.where("cutoff = 99").select(F.col("season").alias("bs"), F.col("team").alias("bt"), F.floor(F.col("pom") + 0.500001).alias("whole"), "pom", "adjo", "adjd", F.col("tempo").alias("pace"))
+    expected = F.floor(win_probability(F.col("margin"), 9.5) * 1_000_000 + 0.500001)
+    met = two.join(final.select(F.col("bs").alias("os"), F.col("bt").alias("ot"), F.col("whole").alias("opp")).hint("merge"), F.expr("season = os and opponent = ot"), "left")
+    rec = met.groupBy("season", "team").agg(
+        F.sum((F.col("margin") > 0).cast("int")).alias("wins"), F.sum((F.col("margin") < 0).cast("int")).alias("losses"), F.count(F.lit(1)).alias("played"),
+        F.sum(expected).alias("e"), F.sum(F.coalesce("opp", F.lit(-800))).alias("o"),
+    )
+    out = rec.where(F.col("played") >= min_games).join(final.hint("merge"), F.expr("season = bs and team = bt"))
+    part = lambda c, k=100.0: portable_round(F.col(c) / k, 2).alias(c)
+    return out.select(
+        "season", "team", "wins", "losses", "played", part("pom"), part("adjo"), part("adjd"), portable_round(F.col("pace") / 2, 2).alias("tempo"),
+        portable_round((F.col("wins") - F.col("e") / 1_000_000) / F.col("played"), 3).alias("luck"), portable_round(F.col("o") / (F.col("played") * 100.0), 2).alias("sos"),
+        F.row_number().over(Window.partitionBy("season").orderBy(F.desc("whole"), "team")).alias("rank"),
+    )
+
+
 def strength_of_schedule(two: DataFrame, ratings: DataFrame, unknown: float = -8.0) -> DataFrame:
     """Mean rating (``team``, ``season``, ``rating`` in hundredths) of the opponents faced."""
     r = ratings.select(F.col("team").alias("o"), F.col("season").alias("s"), "rating")
-    met = two.join(r, (F.col("opponent") == F.col("o")) & (F.col("season") == F.col("s")), "left")
+    met = two.join(r.hint("merge"), (F.col("opponent") == F.col("o")) & (F.col("season") == F.col("s")), "left")
     return met.groupBy("season", "team").agg(portable_round(F.sum(F.coalesce("rating", F.lit(int(unknown * 100)))) / 100.0 / F.count(F.lit(1))).alias("sos"))
 
 

@@ -24,6 +24,25 @@ def gaps(plays: DataFrame, least: int, most: int) -> DataFrame:
     )
 
 
+def side_snaps(plays: DataFrame, wall: tuple[int, int] = (0, 20_000_000), clock: tuple[int, int] = (1, 400)) -> DataFrame:
+    """For each contest and team with the ball: seconds between snaps by the wall and by the clock, kicks with their expected makes, punts and plays.
+
+    Wall gaps need the same team and period, clock gaps the same period. A chance over 1 is a percentage; expected makes are in hundredths.
+    """
+    w = Window.partitionBy("game_id").orderBy("game_play_number")
+    same, period = F.lag("pos").over(w) == F.col("pos"), F.lag("period").over(w) == F.col("period")
+    snaps = plays.where(scrimmage()).select("game_id", "pos", (F.col("wall") - F.lag("wall").over(w)).alias("gap"), (F.lag("clock").over(w) - F.col("clock")).alias("tick"), same.alias("same"), period.alias("samep"))
+    use = F.coalesce(F.col("same") & F.col("samep") & F.col("gap").between(*wall), F.lit(False))
+    run = F.coalesce(F.col("samep") & F.col("tick").between(*clock), F.lit(False))
+    pick = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    gaps_ = snaps.groupBy("game_id", F.col("pos").alias("team")).agg(pick(use, F.col("gap")).alias("gap_sum"), pick(use, 1).alias("gap_n"), pick(run, F.col("tick")).alias("clock_sum"), pick(run, 1).alias("clock_n"))
+    chance = F.when(F.col("fg_chance") > 1, F.col("fg_chance")).otherwise(F.col("fg_chance") * 100)
+    kick = F.col("pos_unit") == "Special"
+    exp = plays.groupBy("game_id", F.col("pos").alias("team")).agg(pick(kick & (F.col("points") > 0), chance).alias("fg_exp"))
+    out = kicks(plays).join(exp.hint("merge"), ["game_id", "team"]).join(gaps_.hint("merge"), ["game_id", "team"], "left")
+    return out.fillna(0, ["gap_sum", "gap_n", "clock_sum", "clock_n"])
+
+
 def takeaways(plays: DataFrame) -> DataFrame:
     """Giveaways by the offence are takeaways of the defence."""
     lost = plays.groupBy("game_id", "pos", "def").agg(F.sum(F.col("turnover").cast("int")).alias("n"))
@@ -89,4 +108,4 @@ def newest_bundles(bundles: DataFrame, cap: int) -> DataFrame:
     n = bundles.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy(F.desc("game_id")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each contest
     keep = n.withColumn("total", F.sum("n").over(upto)).where(F.col("total") <= cap).select("game_id")
-    return bundles.join(keep, "game_id", "left_semi")
+    return bundles.join(keep.hint("merge"), "game_id", "left_semi")

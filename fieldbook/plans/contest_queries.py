@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.operators import history as H
 from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
 from fieldbook.plans.contest_sql import PLAYS, SIDES, div, r
 from fieldbook.sources.contests import contest_plays, top_division_plays
+from fieldbook.sources.store import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -25,11 +25,18 @@ def query(name: str, sql: str | None = None):
 
 
 def plays_of(spark: SparkSession, d: str) -> DataFrame:
-    return S.live(top_division_plays(contest_plays(spark, d).withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"}))).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
+    """Plays in folders by season, written once a session; most queries start here."""
+
+    def make() -> DataFrame:
+        plays = contest_plays(spark, d).withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"})
+        return S.live(top_division_plays(plays)).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
+
+    return stored(spark, d, "plays", make, by="season")
 
 
 def sides_of(spark: SparkSession, d: str) -> DataFrame:
-    return S.sides(plays_of(spark, d))
+    """Two rows for each contest, in folders by season, written once a session."""
+    return stored(spark, d, "sides", lambda: S.sides(plays_of(spark, d)), by="season")
 
 
 @query("s1_plays_scan", f"WITH {PLAYS} SELECT season, period, pos_unit, count(*) AS n, sum(epa)::BIGINT AS epa, max(pm)::BIGINT AS top_margin, sum(num)::BIGINT AS order_sum FROM plays GROUP BY ALL")
@@ -148,100 +155,3 @@ bundles AS (SELECT game_id, quarters, quarters = '1234' AS real, scale, (h - a)
  SELECT b.* FROM bundles b JOIN c USING (game_id) WHERE total <= 8000""")
 def quarter_bundles(spark, d):
     return N.newest_bundles(N.quarter_bundles(N.quarter_points(plays_of(spark, d))), 8000)
-
-
-# ---------------------------------------------------------------- history
-
-_SUMS = {
-    "games": "1", "wins": "(margin > 0)::INT", "margin_sum": "margin", "pf": "points", "pa": "opp_points", "home_n": "is_home::INT", "home_margin": "CASE WHEN is_home THEN margin ELSE 0 END",
-    "away_margin": "CASE WHEN is_home THEN 0 ELSE margin END", "close_n": "(abs(margin) <= 8)::INT", "close_wins": "(abs(margin) <= 8 AND margin > 0)::INT", "margin_sq": "margin * margin",
-    "late_n": "(slate >= 8)::INT", "late_wins": "(slate >= 8 AND margin > 0)::INT", "conf_n": "(conf = opp_conf)::INT", "conf_wins": "(conf = opp_conf AND margin > 0)::INT",
-    "conf_m": "CASE WHEN conf = opp_conf THEN margin ELSE 0 END", "give": "giveaways", "take": "opp_giveaways", "ryds": "rush_yds", "rn": "rush_n", "tempo_sum": "tempo", "osum": "off_sum", "ocnt": "off_n",
-}
-
-
-def _cumulated(source: str, sums: dict[str, str], tag: str = "") -> str:
-    by = ", ".join(f"sum({x})::BIGINT AS {k}" for k, x in sums.items())
-    run = ", ".join(f"coalesce(sum({k}) OVER w, 0)::BIGINT AS {k}" for k in sums)
-    return f"""per{tag} AS (SELECT season, slate, team, {by} FROM {source} GROUP BY ALL),
-cum{tag} AS (SELECT season, slate, team, max(slate) OVER w AS last_slate, {run} FROM per{tag} WINDOW w AS (PARTITION BY season, team ORDER BY slate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
-
-
-_FEATURES = f"""{_cumulated("sides", _SUMS)},
-feats AS (SELECT season, slate, team, games, {div("wins", "games", "0.5")} AS winpct, {div("margin_sum", "games")} AS avg_margin, {div("pf", "games")} AS avg_pf, {div("pa", "games")} AS avg_pa,
- {r("CASE WHEN games > 0 THEN (pf * pf) / (pf * pf + pa * pa + 1e-9) ELSE 0.5 END")} AS pythag, {div("home_margin", "home_n")} AS home_venue, {div("away_margin", "games - home_n")} AS away_venue,
- {div("close_wins", "close_n", "0.5")} AS close_winpct, {div("late_wins", "late_n", "0.5")} AS late_winpct, {div("conf_wins", "conf_n", "0.5")} AS conf_winpct, {div("conf_m", "conf_n")} AS conf_margin,
- {div("wins - conf_wins", "games - conf_n", "0.5")} AS out_winpct, {div("margin_sum - conf_m", "games - conf_n")} AS out_margin,
- {r("CASE WHEN games >= 2 THEN sqrt((games * margin_sq - margin_sum * margin_sum)::DOUBLE) / games ELSE 0.0 END", 3)} AS margin_std, slate - coalesce(last_slate, slate) AS rest,
- {div("take - give", "games")} AS turnover_margin, {div("ryds", "rn")} AS yards_per_carry, {div("tempo_sum", "games")} AS plays_pg, {div("osum", "ocnt")} AS off_epa FROM cum)"""
-
-
-@query("wn2_side_features", f"WITH {SIDES}, {_FEATURES} SELECT * FROM feats")
-def side_features(spark, d):
-    return H.side_features(sides_of(spark, d))
-
-
-_LISTS = """bs AS (SELECT season, slate, team, list(margin ORDER BY game_id) AS now FROM sides GROUP BY ALL),
-hist AS (SELECT season, slate, team, coalesce(flatten(list(now) OVER (PARTITION BY season, team ORDER BY slate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS m FROM bs),
-h AS (SELECT season, slate, team, m, len(m) AS n, list_sort(m) AS o, CASE WHEN len(m) >= 5 THEN greatest(len(m) // 10, 1) ELSE 0 END AS cut FROM hist)"""
-_MEAN = lambda k: div(f"coalesce(list_sum(m[greatest(n - {k} + 1, 1):n]), 0)", f"least(n, {k})")
-
-
-@query("wn3_recent_form", f"""WITH {SIDES}, {_LISTS}
- SELECT season, slate, team, {div("len(list_filter(m[greatest(n - 3, 1):n], lambda x: x > 0))", "least(n, 4)", "0.5")} AS form4_win, {_MEAN(2)} AS form2_margin, {_MEAN(4)} AS form4_margin, {_MEAN(8)} AS form8_margin,
-  CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN n % 2 = 1 THEN o[n // 2 + 1]::DOUBLE ELSE (o[n // 2] + o[n // 2 + 1])::DOUBLE / 2 END AS median_margin,
-  {r("list_reduce([x::DOUBLE FOR x IN m], lambda v, x: v * 0.45::DOUBLE + x * 0.55::DOUBLE, 0.0::DOUBLE)", 3)} AS ewma_margin,
-  list_reduce([x::BIGINT FOR x IN m], lambda s, x: CASE WHEN x > 0 THEN CASE WHEN s > 0 THEN s + 1 ELSE 1 END ELSE CASE WHEN s < 0 THEN s - 1 ELSE -1 END END, 0::BIGINT)::INT AS streak,
-  {div("coalesce(list_sum(o[cut + 1:n - cut]), 0)", "n - 2 * cut")} AS trimmed_margin,
-  {r("CASE WHEN n >= 2 THEN list_sum(m[greatest(n - 3, 1):n])::DOUBLE / least(n, 4) - list_sum(m)::DOUBLE / n ELSE 0.0 END")} AS momentum FROM h""")
-def recent_form(spark, d):
-    return H.recent(sides_of(spark, d))
-
-
-_RATED = f"""{_cumulated("sides", {"games": "1", "margin_sum": "margin"}, "_r")},
-rated AS (SELECT season, slate, team, CASE WHEN games > 0 THEN floor(margin_sum * 100 / games) ELSE -800 END::BIGINT AS rating FROM cum_r),
-met AS (SELECT s.*, coalesce(rating, -800) AS opp_rating FROM sides s LEFT JOIN rated x ON x.season = s.season AND x.slate = s.slate AND x.team = s.opponent)"""
-_SCHED = _cumulated("met", {
-    "games": "1", "opp": "opp_rating", "res": "margin * 100 - opp_rating", "q_n": "(opp_rating > 0)::INT", "q_wins": "(opp_rating > 0 AND margin > 0)::INT", "nc_n": "(conf <> opp_conf)::INT",
-    "nc": "CASE WHEN conf <> opp_conf THEN opp_rating ELSE 0 END", "tiers": "CASE WHEN margin > 0 THEN CASE WHEN opp_rating > 1000 THEN 24 WHEN opp_rating > 0 THEN 16 WHEN opp_rating > -1500 THEN 8 ELSE 1 END ELSE 0 END",
-}, "_s")
-
-
-@query("wn12_schedule_features", f"""WITH {SIDES}, {_RATED}, {_SCHED} SELECT season, slate, team, {div("opp", "games * 100.0")} AS sos, {div("res", "games * 100.0")} AS residual, {div("q_wins", "q_n", "0.5")} AS quality_winpct,
- {div("nc", "nc_n * 100.0")} AS ncsos, tiers / 4.0 AS tier_wins FROM cum_s""")
-def schedule_features(spark, d):
-    two = sides_of(spark, d)
-    return H.schedule_features(two, H.point_ratings(two))
-
-
-@query("wn24_year_over_year", f"""WITH {SIDES}, {_cumulated("sides", {"games": "1", "margin_sum": "margin"})}, f AS (SELECT season, team, sum(margin)::DOUBLE / count(*) AS mean FROM sides GROUP BY ALL),
- l AS (SELECT season, team, lag(mean) OVER (PARTITION BY team ORDER BY season) AS was FROM f)
- SELECT season, slate, team, {r("CASE WHEN was IS NOT NULL AND games > 0 THEN margin_sum::DOUBLE / games - was ELSE 0.0 END")} AS yoy_margin FROM cum JOIN l USING (season, team)""")
-def year_over_year(spark, d):
-    return H.year_over_year(sides_of(spark, d))
-
-
-@query("wn25_head_to_head", f"WITH {SIDES} SELECT game_id, home, away, coalesce(lag(margin) OVER (PARTITION BY home, away ORDER BY season, slate, game_id), 0) AS h2h FROM sides WHERE is_home")
-def head_to_head(spark, d):
-    return H.head_to_head(sides_of(spark, d))
-
-
-@query("wn32_expected_starter", f"""WITH {SIDES}, {_PASSERS}, b AS (SELECT p.*, season, slate FROM passers p JOIN games USING (game_id)),
- per AS (SELECT season, slate, team, max_by(passer, game_id) AS passer FROM b GROUP BY ALL),
- st AS (SELECT season, slate, team, last_value(passer) OVER (PARTITION BY season, team ORDER BY slate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starter FROM per)
- SELECT st.season, st.slate, st.team, starter, {div("coalesce(sum(epa_sum), 0)", "coalesce(sum(epa_cnt), 0)")} AS starter_epa, count(b.game_id) AS starts
- FROM st LEFT JOIN b ON b.season = st.season AND b.team = st.team AND b.passer = starter AND b.slate < st.slate WHERE starter IS NOT NULL GROUP BY ALL""")
-def expected_starter(spark, d):
-    plays = plays_of(spark, d)
-    return H.expected_starter(N.modal_passers(plays), S.final_scores(plays))
-
-
-_MENU = ["winpct", "avg_margin", "close_winpct", "rest", "pythag", "turnover_margin", "yards_per_carry", "plays_pg", "conf_winpct", "margin_std"]
-
-
-@query("f2_feature_menu", f"""WITH {SIDES}, {_FEATURES} SELECT g.game_id, g.season, g.slate, {", ".join(f"{r(f'h.{c} - a.{c}')} AS {c}_diff" for c in _MENU)} FROM games g
- LEFT JOIN feats h ON h.season = g.season AND h.slate = g.slate AND h.team = home LEFT JOIN feats a ON a.season = g.season AND a.slate = g.slate AND a.team = away""")
-def feature_menu(spark, d):
-    two = sides_of(spark, d)
-    games = S.listed_games(two).select("game_id", "season", "slate", "home", "away")
-    return H.by_role(games, H.side_features(two), _MENU)

@@ -12,6 +12,7 @@ from fieldbook.plans.contest_sql import PLAYS, SIDES, r
 from fieldbook.operators import sides as S
 from fieldbook.sources import pages as P
 from fieldbook.sources.contests import contest_plays
+from fieldbook.sources.store import scratch
 from fieldbook.streaming import logs as L
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,18 +32,6 @@ def read(spark, d, t) -> DataFrame:
     return spark.read.parquet(f"{d}/{t}.parquet")
 
 
-def scratch(spark) -> str:
-    """A folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/live-{uuid.uuid4().hex}"
-
-
 def as_log(events: DataFrame) -> DataFrame:
     """Events as a log: views move the line, clicks give a price, the first purchase starts the contest."""
     kind = F.when(F.col("event_type") == "view", "line").when(F.col("event_type") == "click", "price").when(F.col("event_type") == "purchase", "start").otherwise("other")

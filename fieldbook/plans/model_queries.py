@@ -11,8 +11,10 @@ from fieldbook.operators import graph as G
 from fieldbook.operators import history as H
 from fieldbook.operators import ratings as R
 from fieldbook.operators import sides as S
-from fieldbook.plans.contest_queries import _RATED, sides_of
-from fieldbook.plans.contest_sql import SIDES, div, r
+from fieldbook.plans.contest_queries import sides_of
+from fieldbook.plans.contest_sql import SIDES, r
+from fieldbook.plans.form_queries import _BEFORE, before_of
+from fieldbook.sources.store import stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -27,84 +29,37 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# ---------------------------------------------------------------- ratings
-
-_PASSES = 5
-
-
-def _adjusted_sql(passes: int) -> str:
-    """The passes of the opponent-adjusted ratings as a chain of tables."""
-    out = f"""WITH {SIDES}, st AS (SELECT season, team, opponent, div, is_home, count(*)::DOUBLE AS n, sum(off_sum) AS a, sum(off_n) AS an, sum(opp_off_sum) AS b, sum(opp_off_n) AS bn, sum(st)::DOUBLE / count(*) AS s, sum(tempo)::DOUBLE / count(*) AS t FROM sides GROUP BY ALL),
-raws AS (SELECT season, team, opponent, div, CASE WHEN is_home THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, n, CASE WHEN an > 0 THEN a::DOUBLE / an ELSE 0 END AS o, CASE WHEN bn > 0 THEN b::DOUBLE / bn ELSE 0 END AS d, s, t FROM st),
-lg AS (SELECT season, sum(n * o) / sum(n) AS league, sum(n * t) / sum(n) AS pace FROM raws GROUP BY season),
-tops AS (SELECT DISTINCT season, team FROM raws WHERE div = 'fbs'),
-p0 AS (SELECT season, team, 0.0::DOUBLE AS o, 0.0::DOUBLE AS d, 0.0::DOUBLE AS s, pace AS t FROM (SELECT DISTINCT season, team FROM raws) JOIN lg USING (season)),
-h0 AS (SELECT season, 0.02::DOUBLE AS h FROM lg)"""
-    for k in range(passes):
-        out += f""",
-x{k + 1} AS (SELECT r.season, r.team, sum(r.n * (r.o - q.d - league - h * sign)) / sum(r.n) AS o, sum(r.n * (r.d - q.o - league + h * sign)) / sum(r.n) AS d,
-  sum(r.n * (r.s + q.s)) / sum(r.n) AS s, sum(r.n * (r.t + pace - q.t)) / sum(r.n) AS t FROM raws r JOIN p{k} q ON q.season = r.season AND q.team = r.opponent JOIN lg ON lg.season = r.season JOIN h{k} hh ON hh.season = r.season GROUP BY ALL),
-c{k + 1} AS (SELECT season, avg(o) AS o, avg(d) AS d, avg(s) AS s, avg(t) AS t FROM x{k + 1} SEMI JOIN tops USING (season, team) GROUP BY season),
-p{k + 1} AS (SELECT x.season, team, x.o - c.o AS o, x.d - c.d AS d, x.s - c.s AS s, x.t - c.t + pace AS t FROM x{k + 1} x JOIN c{k + 1} c USING (season) JOIN lg USING (season)),
-h{k + 1} AS (SELECT r.season, (sum(r.n * (r.o - me.o - q.d - league)) FILTER (sign > 0) / sum(r.n) FILTER (sign > 0) - sum(r.n * (r.o - me.o - q.d - league)) FILTER (sign < 0) / sum(r.n) FILTER (sign < 0)) / 2 AS h
-  FROM raws r JOIN p{k + 1} me ON me.season = r.season AND me.team = r.team JOIN p{k + 1} q ON q.season = r.season AND q.team = r.opponent JOIN lg ON lg.season = r.season GROUP BY r.season)"""
-    return out + f""" SELECT season, team, {r("o + 1000", 3)} AS off, {r("d + 1000", 3)} AS def, {r("s + 1000", 3)} AS st, {r("t", 3)} AS tempo, {r("h + 100", 3)} AS home_adv FROM p{passes} JOIN h{passes} USING (season)"""
-
-
-@query("r1_adjusted_ratings", _adjusted_sql(_PASSES))
-def adjusted_ratings(spark, d):
-    book = R.adjusted(R.statistics(sides_of(spark, d)), _PASSES)
-    f = lambda c, k=0: X.portable_round(F.col(c) + k, 3).alias(c)
-    return book.select("season", "team", f("off", 1000), f("def", 1000), f("st", 1000), f("tempo"), f("home_adv", 100))
-
-
-@query("m1_walk_forward_ratings")
-def walk_forward_ratings(spark, d):
-    """All cutoffs at once: each sees earlier slates only."""
-    return R.overall(R.adjusted(R.statistics(sides_of(spark, d), cutoffs=True)))
-
-
-@query("r2_elo")
-def elo(spark, d):
-    return R.elo(S.listed_games(sides_of(spark, d)))
-
-
-@query("r3_elo_snapshots")
-def elo_snapshots(spark, d):
-    return R.elo_snapshots(elo(spark, d))
-
-
-@query("r4_r6_strengths")
-def strengths(spark, d):
-    return R.strengths(R.statistics(sides_of(spark, d)))
+def predictions_of(spark, d) -> DataFrame:
+    """Baseline predictions from the opponent-adjusted ratings before each slate, beside a line made from the contest's number."""
 
+    def make() -> DataFrame:
+        two = sides_of(spark, d)
+        games = S.listed_games(two).select("game_id", "season", "slate", "home", "away", "margin", "div", "opp_div")
+        for side in ("home", "away"):
+            one = before_of(spark, d).select(F.col("season").alias("rs"), F.col("slate").alias("rl"), F.col("team").alias("rt"), (F.col("rating") / 100.0).alias(f"{side}_rating"), (F.col("adjo") / 100.0).alias(f"{side}_adjo"), (F.col("adjd") / 100.0).alias(f"{side}_adjd"))
+            games = games.join(one.hint("merge"), (F.col("season") == F.col("rs")) & (F.col("slate") == F.col("rl")) & (F.col(side) == F.col("rt"))).drop("rs", "rl", "rt")
+        out = R.predict(games).withColumnRenamed("home_win_prob", "p").withColumn("won", (F.col("margin") > 0).cast("int"))
+        return out.withColumn("spread", F.when(F.col("game_id") % 10 != 0, (F.col("game_id") % 41 - 20) / 2.0))
 
-def predictions_of(spark, d) -> DataFrame:
-    """Baseline predictions from the sides' earlier margins, beside a made-up line."""
-    two = sides_of(spark, d)
-    rated = H.point_ratings(two)
-    games = S.listed_games(two).select("game_id", "season", "slate", "home", "away", "margin")
-    for side in ("home", "away"):
-        one = rated.select(F.col("season").alias("rs"), F.col("slate").alias("rl"), F.col("team").alias("rt"), (F.col("rating") / 100.0).alias(f"{side}_rating"))
-        games = games.join(one, (F.col("season") == F.col("rs")) & (F.col("slate") == F.col("rl")) & (F.col(side) == F.col("rt"))).drop("rs", "rl", "rt")
-    out = R.predict(games).withColumnRenamed("home_win_prob", "p").withColumn("won", (F.col("margin") > 0).cast("int"))
-    return out.withColumn("spread", F.when(F.col("game_id") % 10 != 0, (F.col("game_id") % 41 - 20) / 2.0))
+    return stored(spark, d, "predictions", make)
 
 
-_PRED = f"""{SIDES}, {_RATED},
-base AS (SELECT g.game_id, g.season, g.slate, g.home, g.away, g.home_points - g.away_points AS margin, h.rating / 100.0::DOUBLE AS hr, a.rating / 100.0::DOUBLE AS ar FROM games g
-  JOIN rated h ON h.season = g.season AND h.slate = g.slate AND h.team = home JOIN rated a ON a.season = g.season AND a.slate = g.slate AND a.team = away),
-pred AS (SELECT *, hr - ar + 2.5::DOUBLE AS pred_margin, 1.0 / (1.0 + exp(-(hr - ar + 2.5::DOUBLE) / 14.5::DOUBLE)) AS p, (margin > 0)::INT AS won, CASE WHEN game_id % 10 <> 0 THEN (game_id % 41 - 20) / 2.0::DOUBLE END AS spread FROM base)"""
+_PRED = f"""{SIDES}, {_BEFORE},
+base AS (SELECT g.game_id, g.season, g.slate, g.home, g.away, g.home_div AS div, g.away_div AS opp_div, g.home_points - g.away_points AS margin, h.rating / 100.0::DOUBLE AS hr, a.rating / 100.0::DOUBLE AS ar, h.adjo / 100.0::DOUBLE AS ho, h.adjd / 100.0::DOUBLE AS hd, a.adjo / 100.0::DOUBLE AS ao, a.adjd / 100.0::DOUBLE AS ad FROM games g
+  JOIN before h ON h.season = g.season AND h.slate = g.slate AND h.team = home JOIN before a ON a.season = g.season AND a.slate = g.slate AND a.team = away),
+pred AS MATERIALIZED (SELECT *, hr - ar + 2.5::DOUBLE AS pred_margin, 1.0 / (1.0 + exp(-(hr - ar + 2.5::DOUBLE) / 14.5::DOUBLE)) AS p, (margin > 0)::INT AS won, CASE WHEN game_id % 10 <> 0 THEN (game_id % 41 - 20) / 2.0::DOUBLE END AS spread FROM base)"""
 _LOSS = lambda p: f"-(CASE WHEN won = 1 THEN ln(least(greatest({p}, 1e-6), 1 - 1e-6)) ELSE ln(1 - least(greatest({p}, 1e-6), 1 - 1e-6)) END)"
 _METRICS = f"""count(*) AS n, {r("sum(((p >= 0.5) = (won = 1))::INT)::DOUBLE / count(*)")} AS accuracy, {r("sum((p - won) * (p - won)) / count(*)")} AS brier, {r(f"sum({_LOSS('p')}) / count(*)")} AS log_loss,
  {r("sum(abs(pred_margin - margin)) / count(*)")} AS mae, count(*) FILTER (spread IS NOT NULL AND abs(margin + spread) >= 1e-9) AS line_n,
  count(*) FILTER (spread IS NOT NULL AND abs(margin + spread) >= 1e-9 AND (pred_margin > -spread) = (margin + spread > 0)) AS line_hits, {r("sum(abs(p - 0.5)) / count(*)")} AS sharpness, {r("sum(p * (1 - p)) / count(*)")} AS expected_brier"""
 
 
-@query("r8_predictions", f"WITH {_PRED} SELECT game_id, {r('pred_margin + 1000', 2)} AS pred_margin, {r('p')} AS p, {r('(50 + pred_margin) / 2 + 1000', 1)} AS pred_home FROM pred")
+@query("r8_r9_predictions", f"WITH {_PRED} SELECT game_id, {r('pred_margin', 2)} AS pred_margin, {r('p')} AS p, {r('50.0::DOUBLE / 2 + (hr + 2.5::DOUBLE) / 2', 1)} AS pred_home, {r('50.0::DOUBLE / 2 - (hr - ar - 2.5::DOUBLE) / 2', 1)} AS pred_away, {r('50.0::DOUBLE / 2 + ho + ad + 1.25::DOUBLE', 1)} AS single_home, {r('50.0::DOUBLE / 2 + ao + hd - 1.25::DOUBLE', 1)} AS single_away FROM pred")
 def predictions(spark, d):
+    """The batch form's points, whose difference isn't the margin, and the single form's by offence and defence."""
     p = predictions_of(spark, d)
-    return p.select("game_id", X.portable_round(F.col("pred_margin") + 1000, 2).alias("pred_margin"), X.portable_round(F.col("p")).alias("p"), X.portable_round(F.col("pred_home") + 1000, 1).alias("pred_home"))
+    one = lambda c, k: X.portable_round(F.col(c), k).alias(c)
+    return p.select("game_id", one("pred_margin", 2), one("p", 4), one("pred_home", 1), one("pred_away", 1), one("single_home", 1), one("single_away", 1))
 
 
 @query("a18_metrics", f"WITH {_PRED} SELECT {_METRICS} FROM pred")
@@ -224,18 +179,18 @@ def blend_weights(spark, d):
 
 @query("a24_m9_stability", f"""WITH {_PRED}, a AS (SELECT season, {r("sum((p - won) * (p - won)) / count(*)")} AS x FROM pred GROUP BY season),
  b AS (SELECT season, {r("sum((q - won) * (q - won)) / count(*)")} AS x FROM (SELECT season, won, 1.0 / (1.0 + exp(-pred_margin / 9.5::DOUBLE)) AS q FROM pred) GROUP BY season)
- SELECT count(*) AS years, count(*) FILTER (b.x - a.x < -1e-9) AS better, {r("quantile_cont(b.x - a.x, 0.5) + 1.0")} AS median_plus_one FROM a JOIN b USING (season)""")
+ SELECT count(*) AS years, count(*) FILTER (b.x - a.x < -1e-9) AS better, {r("quantile_cont(b.x - a.x, 0.5)")} AS median_delta FROM a JOIN b USING (season)""")
 def stability(spark, d):
     p = predictions_of(spark, d)
     sharp = p.withColumn("p", X.win_probability(F.col("pred_margin"), 9.5))
     return E.stability(E.score(p, ["season"]), E.score(sharp, ["season"]))
 
 
-@query("a37_residual_slope", f"WITH {_PRED} SELECT season, count(*) AS n, {r('sum((hr - ar) * (margin - pred_margin)) / sum((hr - ar) * (hr - ar)) + 100')} AS slope FROM pred GROUP BY season HAVING count(*) >= 20")
+@query("a37_residual_slope", f"WITH {_PRED} SELECT season, count(*) AS n, {r('sum((hr - ar) * (margin - pred_margin)) / sum((hr - ar) * (hr - ar))')} AS slope FROM pred GROUP BY season HAVING count(*) >= 20")
 def residual_slope(spark, d):
     p = predictions_of(spark, d).withColumn("x", F.col("home_rating") - F.col("away_rating"))
     e = F.col("margin") - F.col("pred_margin")
-    return p.groupBy("season").agg(F.count(F.lit(1)).alias("n"), X.portable_round(F.sum(F.col("x") * e) / F.sum(F.col("x") * F.col("x")) + 100).alias("slope")).where("n >= 20")
+    return p.groupBy("season").agg(F.count(F.lit(1)).alias("n"), X.portable_round(F.sum(F.col("x") * e) / F.sum(F.col("x") * F.col("x"))).alias("slope")).where("n >= 20")
 
 
 @query("m11_m12_folds", f"WITH {SIDES}, s AS (SELECT DISTINCT season FROM sides) SELECT a.season AS fold, b.season AS train, CASE WHEN b.season < a.season THEN 'expanding' ELSE 'audit' END AS kind FROM s a JOIN s b ON a.season <> b.season")
@@ -247,14 +202,14 @@ def folds(spark, d):
 @query("x12_x22_prices", f"""WITH {_PRED}, q AS (SELECT *, CASE WHEN abs(pred_margin) < 0.5 OR abs(ln(p / (1 - p))) < 0.02 OR pred_margin * ln(p / (1 - p)) < 0 THEN 14.5 ELSE least(greatest(pred_margin / ln(p / (1 - p)), 10.0), 22.0) END AS sg FROM pred WHERE spread IS NOT NULL),
  c AS (SELECT *, 1.0 / (1.0 + exp(-(pred_margin + spread) / sg)) AS cover FROM q)
  SELECT game_id, (CASE WHEN p >= 0.5 THEN -round(100 * p / (1 - p)) ELSE round(100 * (1 - p) / p) END)::INT AS american, {r("sg", 3)} AS sigma, {r("cover")} AS cover, CASE WHEN cover >= 0.5 THEN 'home' ELSE 'away' END AS side,
-  {r("greatest(cover, 1 - cover) * 100 - (1 - greatest(cover, 1 - cover)) * 110 + 1000", 3)} AS value,
+  {r("greatest(cover, 1 - cover) * 100 - (1 - greatest(cover, 1 - cover)) * 110", 3)} AS value,
   CASE WHEN abs(margin + spread) < 1e-9 THEN 'push' WHEN (margin + spread > 0) = (cover >= 0.5) THEN 'hit' ELSE 'miss' END AS result FROM c""")
 def prices(spark, d):
     p = predictions_of(spark, d).where("spread is not null").withColumn("sg", X.implied_sigma(F.col("pred_margin"), F.col("p")))
     p = p.withColumn("cover", X.cover_probability(F.col("pred_margin"), F.col("spread"), F.col("sg"))).withColumn("side", F.when(F.col("cover") >= 0.5, "home").otherwise("away"))
     best = F.greatest(F.col("cover"), 1 - F.col("cover"))
     return p.select("game_id", X.american(F.col("p")).alias("american"), X.portable_round(F.col("sg"), 3).alias("sigma"), X.portable_round(F.col("cover")).alias("cover"), "side",
-                    X.portable_round(X.value_at_juice(best) + 1000, 3).alias("value"), X.settle(F.col("side"), F.col("margin"), F.col("spread")).alias("result"))
+                    X.portable_round(X.value_at_juice(best), 3).alias("value"), X.settle(F.col("side"), F.col("margin"), F.col("spread")).alias("result"))
 
 
 @query("p12_t2_upsets", f"WITH {_PRED} SELECT season, slate, game_id, home, away, {r('p')} AS p, margin FROM pred WHERE (p < 0.4 AND margin > 0) OR (p > 0.6 AND margin < 0)")
@@ -313,7 +268,7 @@ def graph_pagerank(spark, d):
     return G.pagerank(G.win_edges(games_of(spark, d)), 4).withColumn("r", X.portable_round(F.col("r"), 6))
 
 
-@query("g4_neighbours", f"WITH {_GRAPH} SELECT b.g, b.u, count(*) AS opponents, {r('sum(x.rating)::DOUBLE / count(*) + 100000')} AS near, {r('max(m.rating) - sum(x.rating)::DOUBLE / count(*) + 100000')} AS above FROM bw b JOIN rt x ON x.g = b.g AND x.u = b.v JOIN rt m ON m.g = b.g AND m.u = b.u GROUP BY ALL")
+@query("g4_neighbours", f"WITH {_GRAPH} SELECT b.g, b.u, count(*) AS opponents, {r('sum(x.rating)::DOUBLE / count(*) ')} AS near, {r('max(m.rating) - sum(x.rating)::DOUBLE / count(*)')} AS above FROM bw b JOIN rt x ON x.g = b.g AND x.u = b.v JOIN rt m ON m.g = b.g AND m.u = b.u GROUP BY ALL")
 def graph_neighbours(spark, d):
     games = games_of(spark, d)
     return G.neighbours(G.win_edges(games), node_ratings(games))

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
-from fieldbook.operators import features as FT
-from fieldbook.operators import history as H
 from fieldbook.operators import sides as S
-from fieldbook.plans.contest_queries import _FEATURES, _LISTS, _MEAN, _RATED, _SCHED, sides_of
+from fieldbook.plans.contest_queries import sides_of
 from fieldbook.plans.contest_sql import SIDES, div, r
 from fieldbook.plans.model_queries import _PRED, predictions_of
 
@@ -26,46 +24,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _menu_sql(columns: list[str], source: str, ctes: str) -> str:
-    return f"""WITH {SIDES}, {ctes} SELECT g.game_id, g.season, g.slate, {", ".join(f"{r(f'h.{c} - a.{c}')} AS {c}_diff" for c in columns)} FROM games g
- LEFT JOIN {source} h ON h.season = g.season AND h.slate = g.slate AND h.team = home LEFT JOIN {source} a ON a.season = g.season AND a.slate = g.slate AND a.team = away"""
-
-
-def _all_menus(name: str):
-    return lambda spark, d: FT.menu(sides_of(spark, d), name)
-
-
-_SF = f"""{_SCHED}, sf AS (SELECT season, slate, team, {div("opp", "games * 100.0")} AS sos, {div("res", "games * 100.0")} AS residual, {div("q_wins", "q_n", "0.5")} AS quality_winpct, {div("nc", "nc_n * 100.0")} AS ncsos, tiers / 4.0 AS tier_wins FROM cum_s)"""
-_RF = f"""{_LISTS}, rf AS (SELECT season, slate, team, {div("len(list_filter(m[greatest(n - 3, 1):n], lambda x: x > 0))", "least(n, 4)", "0.5")} AS form4_win, {_MEAN(2)} AS form2_margin, {_MEAN(4)} AS form4_margin, {_MEAN(8)} AS form8_margin,
-  CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN n % 2 = 1 THEN o[n // 2 + 1]::DOUBLE ELSE (o[n // 2] + o[n // 2 + 1])::DOUBLE / 2 END AS median_margin,
-  {r("list_reduce([x::DOUBLE FOR x IN m], lambda v, x: v * 0.45::DOUBLE + x * 0.55::DOUBLE, 0.0::DOUBLE)", 3)} AS ewma_margin,
-  list_reduce([x::BIGINT FOR x IN m], lambda s, x: CASE WHEN x > 0 THEN CASE WHEN s > 0 THEN s + 1 ELSE 1 END ELSE CASE WHEN s < 0 THEN s - 1 ELSE -1 END END, 0::BIGINT)::INT AS streak,
-  {r("CASE WHEN n >= 2 THEN list_sum(m[greatest(n - 3, 1):n])::DOUBLE / least(n, 4) - list_sum(m)::DOUBLE / n ELSE 0.0 END")} AS momentum FROM h)"""
-_ALL = f"{_FEATURES}, {_RATED}, {_SF}, {_RF}, af AS (SELECT * FROM feats JOIN rf USING (season, slate, team) JOIN sf USING (season, slate, team))"
-
-for _name, _row in (("extras", "f2"), ("signal", "f3"), ("craft", "f4"), ("conference", "f6"), ("pace", "f10"), ("specials", "f11")):
-    QUERIES[f"{_row}_{_name}_menu"] = _all_menus(_name)
-    ORACLE_SQL[f"{_row}_{_name}_menu"] = _menu_sql(FT.MENUS[_name], "af", _ALL)
-
-
-@query("f8_f9_flags", f"WITH {SIDES}, {_FEATURES} SELECT g.game_id, g.season - 2014 AS season_no, g.slate / 52.0::DOUBLE AS week_share, least(h.games, a.games) < 3 AS thin FROM games g JOIN feats h ON h.season = g.season AND h.slate = g.slate AND h.team = home JOIN feats a ON a.season = g.season AND a.slate = g.slate AND a.team = away")
-def flags(spark, d):
-    two = sides_of(spark, d)
-    f = H.cumulated(two, {"games": F.lit(1)}).select("season", "slate", "team", "games")
-    g = S.listed_games(two).select("game_id", "season", "slate", "home", "away")
-    for side in ("home", "away"):
-        g = g.join(f.withColumnsRenamed({"team": side, "games": f"{side}_games"}), ["season", "slate", side])
-    return FT.flags(g)
-
-
-@query("wn26_conference_ratings", f"""WITH {SIDES}, {_RATED}, c AS (SELECT DISTINCT season, slate, team, conf FROM sides), x AS (SELECT r.*, conf, season * 100 + slate AS sl FROM rated r JOIN c USING (season, slate, team)),
- t AS (SELECT DISTINCT conf, sl FROM x), l AS (SELECT t.conf, t.sl, team, arg_max(rating, x.sl) AS rating FROM t JOIN x ON x.conf = t.conf AND x.sl <= t.sl GROUP BY ALL)
- SELECT conf, sl, sum(rating)::BIGINT AS total, count(*) AS teams FROM l GROUP BY ALL""")
-def conference_ratings(spark, d):
-    two = sides_of(spark, d)
-    return FT.conference_ratings(two, H.point_ratings(two))
-
-
 @query("a25_scorecard", f"""WITH {_PRED}, w AS (SELECT *, season * 100 + slate AS day FROM pred), s AS (SELECT 'to date' AS part, * FROM w UNION ALL SELECT 'last' AS part, * FROM w WHERE day = (SELECT max(day) FROM w))
  SELECT part, count(*) AS n, count(*) FILTER ((p >= 0.5) = (won = 1)) AS wins, {r("sum((p - won) * (p - won)) / count(*)")} AS brier, max(day) AS day FROM s GROUP BY part""")
 def scorecard(spark, d):
@@ -88,10 +46,10 @@ def pick_grades(spark, d):
 
 
 @query("a29_conference_means", f"""WITH {SIDES}, t AS (SELECT season, conf, team, sum(margin) AS m, count(*) AS g, count(*) FILTER (margin > 0) AS w FROM sides GROUP BY ALL)
- SELECT season, conf, count(*) AS teams, {r("sum(m::DOUBLE / g) / count(*) + 1000", 3)} AS mean_margin, sum(w)::BIGINT AS wins, sum(g - w)::BIGINT AS others FROM t GROUP BY ALL""")
+ SELECT season, conf, count(*) AS teams, {r("sum(m::DOUBLE / g) / count(*)", 3)} AS mean_margin, sum(w)::BIGINT AS wins, sum(g - w)::BIGINT AS others FROM t GROUP BY ALL""")
 def conference_means(spark, d):
     t = sides_of(spark, d).groupBy("season", "conf", "team").agg(F.sum("margin").alias("m"), F.count(F.lit(1)).alias("g"), F.sum((F.col("margin") > 0).cast("int")).alias("w"))
-    return t.groupBy("season", "conf").agg(F.count(F.lit(1)).alias("teams"), X.portable_round(F.sum(F.col("m") / F.col("g")) / F.count(F.lit(1)) + 1000, 3).alias("mean_margin"), F.sum("w").alias("wins"), F.sum(F.col("g") - F.col("w")).alias("others"))
+    return t.groupBy("season", "conf").agg(F.count(F.lit(1)).alias("teams"), X.portable_round(F.sum(F.col("m") / F.col("g")) / F.count(F.lit(1)), 3).alias("mean_margin"), F.sum("w").alias("wins"), F.sum(F.col("g") - F.col("w")).alias("others"))
 
 
 @query("a39_g5_scaled", f"""WITH {SIDES}, t AS (SELECT season, team, count(*) FILTER (margin > 0)::DOUBLE / count(*) AS v FROM sides GROUP BY ALL)

@@ -89,6 +89,7 @@ def contest_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linestatus") == "O").alias("rush"), (F.col("l_linestatus") == "F").alias("pass"), (F.col("l_tax") >= 0.08).alias("turnover"),
         F.when(F.col("l_quantity") >= 40, 7).when(F.col("l_quantity") >= 30, 3).otherwise(0).alias("points"),
         F.col("l_quantity").cast("int").alias("yards"), F.col("c_name").alias("player"), F.unix_timestamp("l_shipdate").alias("wall"),
+        (F.col("l_partkey") % 900).cast("int").alias("clock"), (F.round(F.col("l_tax") * 100).cast("int") * 10).alias("fg_chance"),
     )
     order = Window.partitionBy("game_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
