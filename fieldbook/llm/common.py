@@ -51,16 +51,16 @@ def written() -> set[str]:
     return {*_FOLDERS, *_TABLES}
 
 
-def clear(spark: SparkSession, before: set[str], keep: Iterable[str] = ()) -> None:
-    """Remove what has been written since ``before``, but for the folders of the files in ``keep``.
+def clear(spark: SparkSession, names: Iterable[str], keep: Iterable[str] = ()) -> None:
+    """Remove of what ``written`` names these folders and tables, but for the folders of the files in ``keep``.
 
-    For jobs that have used up what they wrote; nothing calls it on its own but a whole run of the pipeline.
+    For jobs that have used up what they wrote; nothing calls it on its own but the stages of the pipeline.
     """
-    for name in [t for t in _TABLES if t not in before]:
+    names, kept = set(names), {part for f in keep for part in f.split("/")}
+    for name in [t for t in _TABLES if t in names]:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         _TABLES.remove(name)
-    kept = {part for f in keep for part in f.split("/")}
-    for path in [f for f in _FOLDERS if f not in before and f.rsplit("/", 1)[1] not in kept]:
+    for path in [f for f in _FOLDERS if f in names and f.rsplit("/", 1)[1] not in kept]:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         _FOLDERS.remove(path)
