@@ -7,6 +7,9 @@ rejects them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +20,41 @@ CAPACITY = 2048
 END_ID = 0
 
 
+#: What stages wrote to the shared folder for themselves and has not been removed.
+_LEFT: set[str] = set()
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage begins by removing what earlier ones wrote for themselves: its ``docs`` are written, so that is used up.
+
+    Folders that ``docs`` still reads from stay.
+    """
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear(spark, _LEFT, keep=docs.inputFiles())
+        before = written()
+        out = work(spark, docs, sf_dir)
+        _LEFT.intersection_update(written())
+        _LEFT.update(written() - before)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, of hosts that pass them; null sources are one host. An empty table stays empty."""
     return quality.passing(docs)
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, null being empty, the row with the largest ``doc_id``; a null id is smaller than any."""
     return exact_dedup.survivors(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents (five-word shingles, a Jaccard similarity of 0.8 or more) the row with the smallest ``doc_id``.
 
@@ -35,6 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return similar.survivors(docs)
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that stand earlier (by ``doc_id``, null first); what is left keeps its spacing.
 
@@ -46,6 +75,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of at most ``CAPACITY`` tokens."""
     import public_tokenizers
@@ -67,11 +97,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage wrote for itself goes when its result is written."""
-    docs, before = read_table(spark, sf_dir, "documents"), written()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``. A stage's result goes when the next one's is written."""
+    docs, last = read_table(spark, sf_dir, "documents"), set()
+    for k, (name, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            before = written()
             docs = materialize(docs, name)
-            clear(spark, before, keep=docs.inputFiles())
+            clear(spark, last)
+            last = written() - before
     return docs
