@@ -169,10 +169,30 @@ def pick_text(text: Column) -> tuple[Column, Column, Column]:
     return F.trim(F.regexp_replace(text, r"(?i)\s*(ml|[+-]\d+(?:\.\d+)?)\s*$", "")), kind, F.when(kind == "line", line.try_cast("double"))
 
 
-def after_catch(text: Column, yards: Column, own_side: Column, yards_to_goal: Column) -> Column:
-    """Yards after the catch from ``caught at ABC 30``: kept within -4 and 80, to one decimal."""
-    spot = F.regexp_extract(text, r"caught at ([A-Z]{2,5}) ?(\d{1,2})", 2).try_cast("double")
-    token = F.regexp_extract(text, r"caught at ([A-Z]{2,5}) ?(\d{1,2})", 1)
-    left = F.when(token == own_side, 100 - spot).otherwise(spot)
+def after_catch(text: Column, yards: Column, own: Column, other: Column, yards_to_goal: Column) -> Column:
+    """Yards after the catch from ``caught at [the] ABC 30``, whatever the case: kept within -4 and 80, to one decimal.
+
+    The team's letters say on whose side the spot is; letters of neither side give null.
+    """
+    pattern = r"(?i)caught at (?:the )?([A-Z]{2,4}) ?(\d{1,2})\b"
+    token, spot = F.upper(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2).try_cast("double")
+    left = F.when(token == F.upper(own), 100 - spot).when(token == F.upper(other), spot)
     got = yards - (yards_to_goal - left)
     return F.when(got.between(-4, 80), F.round(got, 1))
+
+
+# -- people
+
+
+def class_label(year: Column) -> Column:
+    return F.when(year == 1, "FR").when(year == 2, "SO").when(year == 3, "JR").when(year == 4, "SR")
+
+
+def home_town(city: Column, state: Column) -> Column:
+    """``City, State``, or the one that is known."""
+    return F.concat_ws(", ", city, state)
+
+
+def number(text: Column) -> Column:
+    """A number in a text that may have a currency sign and commas; null if it is none."""
+    return F.regexp_replace(text, "[$,]", "").try_cast("double")

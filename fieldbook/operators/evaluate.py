@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,10 @@ def calibration(predictions: DataFrame) -> DataFrame:
     )
 
 
-def fit_grid(predictions: DataFrame, candidates: Sequence[float], transform) -> DataFrame:
+def fit_grid(predictions: DataFrame, candidates: Sequence[float], transform, places: int = 6) -> DataFrame:
     """Log loss of every candidate parameter in one pass over the data; a row for each candidate."""
     row = predictions.agg(*[F.avg(log_loss(transform(F.col("p"), F.col("pred_margin"), c), F.col("won"))).alias(f"c{i}") for i, c in enumerate(candidates)])
-    one = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("value"), portable_round(F.col(f"c{i}"), 6).alias("loss")) for i, c in enumerate(candidates)]))
+    one = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("value"), portable_round(F.col(f"c{i}"), places).alias("loss")) for i, c in enumerate(candidates)]))
     return row.select(one.alias("x")).select("x.*")
 
 
@@ -54,11 +56,11 @@ def sigma(_: Column, margin: Column, s: float) -> Column:
     return win_probability(margin, s)
 
 
-def shrink_weight(predictions: DataFrame) -> DataFrame:
+def shrink_weight(predictions: DataFrame, places: int = 4) -> DataFrame:
     """The weight on one half that minimises the Brier score, in closed form, held in [0, 0.5]."""
     a, b = F.col("p") - F.col("won"), F.lit(0.5) - F.col("p")
     w = -F.sum(a * b) / F.sum(b * b)
-    return predictions.agg(portable_round(F.least(F.greatest(w, F.lit(0.0)), F.lit(0.5))).alias("weight"))
+    return predictions.agg(portable_round(F.least(F.greatest(w, F.lit(0.0)), F.lit(0.5)), places).alias("weight"))
 
 
 def blend_weights(predictions: DataFrame, columns: Sequence[str], step: int = 10) -> DataFrame:
@@ -80,15 +82,241 @@ def promoted(brier_drop: Column, loss_delta: Column, better_years: Column, media
     return (brier_drop >= 0.002) & (loss_delta <= 0) & ((median < 0) | (better_years >= 8))
 
 
-def expanding_folds(seasons: DataFrame) -> DataFrame:
-    """Pairs (fold, train season): every season before the fold's."""
-    a, b = seasons.select(F.col("season").alias("fold")).distinct(), seasons.select(F.col("season").alias("train")).distinct()
-    return a.join(b, F.col("train") < F.col("fold"))
-
-
-def leave_one_out_folds(seasons: DataFrame) -> DataFrame:
-    a, b = seasons.select(F.col("season").alias("fold")).distinct(), seasons.select(F.col("season").alias("train")).distinct()
-    return a.join(b, F.col("train") != F.col("fold"))
+def calibrations(p: Column, margin: Column, fitted: dict[str, float]) -> dict[str, Column]:
+    """A probability under every named calibration; the last three take a fitted parameter."""
+    clip = lambda e: F.least(F.greatest(p, F.lit(e)), F.lit(1 - e))
+    w = fitted["shrink"]
+    return {"identity": p, "clip05": clip(0.05), "clip10": clip(0.1), "temperature": temperature(p, margin, fitted["temperature"]), "sigma": sigma(p, margin, fitted["sigma"]), "shrink": (1 - w) * p + w * 0.5}
+
+
+def study(calibrated: DataFrame) -> DataFrame:
+    """Scores of each calibration (``name``, ``q``, ``won``) and their order: those that pass the bar first, then the fewest parameters, the lowest Brier score, the name."""
+    n = F.count(F.lit(1))
+    sc = calibrated.groupBy("name").agg(n.alias("n"), portable_round(F.sum((F.col("q") - F.col("won")) * (F.col("q") - F.col("won"))) / n, 5).alias("brier"), portable_round(F.avg(log_loss(F.col("q"), F.col("won"))), 5).alias("log_loss"))
+    base = sc.where("name = 'identity'").select(F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))  # one row
+    drop = F.col("b0") - F.col("brier")
+    out = sc.crossJoin(F.broadcast(base)).withColumns({"passes": (drop >= 0.002) & (F.col("log_loss") <= F.col("l0")), "parameters": F.when(F.col("name").isin("identity", "clip05", "clip10"), 0).otherwise(1)})
+    place = F.row_number().over(Window.orderBy(F.desc("passes"), "parameters", "brier", "name"))  # a row for each calibration
+    return out.select("name", "n", "brier", "log_loss", portable_round(drop, 5).alias("brier_drop"), "passes", "parameters", place.alias("place"))
+
+
+def apply_kept(predictions: DataFrame, calibrate) -> DataFrame:
+    """Calibrate ``p`` and keep it as ``raw_p``; where that is there already it is what is calibrated, so doing it again changes nothing."""
+    raw = F.coalesce("raw_p", "p") if "raw_p" in predictions.columns else F.col("p")
+    return predictions.withColumn("raw_p", raw).withColumn("p", calibrate(F.col("raw_p")))
+
+
+def platt(predictions: DataFrame, by: Sequence[str], steps: int = 25) -> DataFrame:
+    """Intercept and slope on the logit of each group by Newton's method; a step is one aggregate of five sums for each group."""
+    q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    data = predictions.select(*by, logit(q).alias("z"), "won").persist()
+    now = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumns({"a": F.lit(0.0), "b": F.lit(1.0)})
+    rows = {tuple(r[k] for k in by): [0.0, 1.0, r["n"]] for r in now.collect()}  # a row for each group
+    for _ in range(steps):
+        table = predictions.sparkSession.createDataFrame([(*k, v[0], v[1]) for k, v in rows.items()], ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in by) + ", a double, b double")
+        met = data.join(F.broadcast(table), list(by))
+        p = 1.0 / (1.0 + F.exp(-(F.col("a") + F.col("b") * F.col("z"))))
+        w, e, z = p * (1 - p), F.col("won") - p, F.col("z")
+        moved = 0.0
+        for r in met.groupBy(*by).agg(F.sum(e).alias("ga"), F.sum(e * z).alias("gb"), F.sum(w).alias("haa"), F.sum(w * z).alias("hab"), F.sum(w * z * z).alias("hbb")).collect():
+            det = r["haa"] * r["hbb"] - r["hab"] ** 2
+            if det > 1e-12:
+                da, db = (r["hbb"] * r["ga"] - r["hab"] * r["gb"]) / det, (r["haa"] * r["gb"] - r["hab"] * r["ga"]) / det
+                v = rows[tuple(r[k] for k in by)]
+                v[0], v[1], moved = v[0] + da, v[1] + db, max(moved, abs(da), abs(db))
+        if moved < 1e-9:
+            break
+    data.unpersist()
+    kinds = ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in by)
+    return predictions.sparkSession.createDataFrame([(*k, *v) for k, v in rows.items()], kinds + ", a double, b double, n long")
+
+
+def promotion(predictions: DataFrame, base: str, candidate: str) -> DataFrame:
+    """Both probabilities scored by season, and whether the fixed rule takes the candidate."""
+    n = F.count(F.lit(1))
+    sq = lambda c: F.sum((F.col(c) - F.col("won")) * (F.col(c) - F.col("won"))) / n
+    s = predictions.groupBy("season").agg(sq(base).alias("a"), sq(candidate).alias("b"), F.avg(log_loss(F.col(base), F.col("won"))).alias("la"), F.avg(log_loss(F.col(candidate), F.col("won"))).alias("lb"))
+    d = F.col("b") - F.col("a")
+    out = s.agg(n.alias("years"), F.sum((d < -1e-9).cast("int")).alias("better"), F.percentile(d, F.lit(0.5)).alias("m"), (F.avg("a") - F.avg("b")).alias("drop"), (F.avg("lb") - F.avg("la")).alias("loss"))
+    return out.select("years", "better", portable_round("m", 5).alias("median_delta"), promoted(F.col("drop"), F.col("loss"), F.col("better"), F.col("m")).alias("promoted"))
+
+
+def fold_sizes(predictions: DataFrame) -> DataFrame:
+    """Training rows of each fold: of earlier seasons (``expanding``), of all other seasons (``audit``), of earlier slates (``walk``). Folds without any are left out."""
+    n = F.count(F.lit(1))
+    year = predictions.groupBy("season").agg(n.alias("n"))
+    slate = predictions.groupBy("season", "slate").agg(n.alias("n"))
+    before = lambda *o: F.sum("n").over(Window.orderBy(*o).rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  # a row for each season or slate
+    fold = F.col("season") * 100
+    out = year.select(F.lit("expanding").alias("kind"), fold.alias("fold"), before("season").alias("train"))
+    out = out.unionByName(year.select(F.lit("audit").alias("kind"), fold.alias("fold"), (F.sum("n").over(Window.partitionBy()) - F.col("n")).alias("train")))
+    out = out.unionByName(slate.select(F.lit("walk").alias("kind"), (fold + F.col("slate")).alias("fold"), before("season", "slate").alias("train")))
+    return out.where("train > 0")
+
+
+# ---------------------------------------------------------------- ridge fits over folds, by sums that Spark adds up
+
+
+def _summed(data: DataFrame, run, schema: str) -> list:
+    """Partial sums of all partitions, added up for each fold; a row of a few hundred numbers for each fold reaches the driver."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fold": [key[0]], "sums": [np.sum(np.stack(rows["sums"].to_list()), axis=0)]})
+
+    return data.mapInPandas(run, schema).groupBy("fold").applyInPandas(add, schema).collect()
+
+
+_SUMS = "fold int, sums array<double>"
+
+
+def _folds(f: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray, float]]]:
+    """The data, and for each expanding fold the training rows' means, deviations and number."""
+    data = f.select("game_id", "season", "slate", "margin", "won", *columns)
+    k = len(columns)
+
+    def moments(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            x = b[columns].to_numpy(float)
+            one = np.hstack([np.ones((len(x), 1)), x, x * x])
+            for s in np.unique(b["season"]):
+                total[int(s)] = total.get(int(s), 0) + one[(b["season"] == s).to_numpy()].sum(axis=0)
+        yield pd.DataFrame({"fold": list(total), "sums": list(total.values())})
+
+    per = {r["fold"]: np.array(r["sums"]) for r in _summed(data, moments, _SUMS)}
+    out = {}
+    for year in sorted(per)[1:]:
+        t = sum(v for s, v in per.items() if s < year)
+        mean = t[1 : k + 1] / t[0]
+        sd = np.sqrt(np.maximum(t[k + 1 :] / t[0] - mean**2, 0))
+        out[year] = mean, np.where(sd > 1e-12, sd, 1.0), t[0]
+    return data, out
+
+
+def _design(b: pd.DataFrame, columns: list[str], stat: tuple) -> np.ndarray:
+    x = (b[columns].to_numpy(float) - stat[0]) / stat[1]
+    return np.hstack([np.ones((len(x), 1)), x])
+
+
+def _apply(data: DataFrame, columns: list[str], stats: dict, betas: dict, out: str, link) -> DataFrame:
+    keep = ["game_id", "season", "slate", "margin", "won"]
+
+    def run(batches):
+        for b in batches:
+            for year, beta in betas.items():
+                part = b[b["season"] == year]
+                if len(part):
+                    yield part[keep].assign(**{out: link(_design(part, columns, stats[year]) @ beta)})
+
+    return data.mapInPandas(run, f"game_id long, season int, slate int, margin long, won int, {out} double")
+
+
+def ridge_logistic_folds(f: DataFrame, columns: list[str], ridge: float = 1.0, steps: int = 40) -> DataFrame:
+    """Probabilities of each season from a ridge logistic fit to all earlier ones, on standardised columns, the intercept free.
+
+    All folds take a Newton step in one pass over the data, from gradients and curvatures that partitions add up.
+    """
+    data, stats = _folds(f, columns)
+    k = len(columns) + 1
+    betas = {y: np.zeros(k) for y in stats}
+    penalty = np.diag([0.0] + [ridge] * (k - 1))
+    for _ in range(steps):
+
+        def sums(batches, betas=betas):
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for year, beta in betas.items():
+                    part = b[b["season"] < year]
+                    if len(part):
+                        z = _design(part, columns, stats[year])
+                        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                        h = (z * (p * (1 - p))[:, None]).T @ z
+                        total[year] = total.get(year, 0) + np.concatenate([z.T @ (part["won"].to_numpy(float) - p), h.ravel()])
+            yield pd.DataFrame({"fold": list(total), "sums": list(total.values())})
+
+        moved, new = 0.0, {}
+        for r in _summed(data, sums, _SUMS):
+            v, beta = np.array(r["sums"]), betas[r["fold"]]
+            move = np.linalg.solve(v[k:].reshape(k, k) + penalty + 1e-9 * np.eye(k), v[:k] - penalty @ beta)
+            new[r["fold"]], moved = beta + move, max(moved, float(np.abs(move).max()))
+        betas = betas | new
+        if moved < 1e-6:
+            break
+    return _apply(data, columns, stats, betas, "p", lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+
+def ridge_margin_folds(f: DataFrame, columns: list[str], ridge: float = 1.0) -> DataFrame:
+    """Margins of each season from a ridge regression on all earlier ones: one pass of sums."""
+    data, stats = _folds(f, columns)
+    k = len(columns) + 1
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for year in stats:
+                part = b[b["season"] < year]
+                if len(part):
+                    z = _design(part, columns, stats[year])
+                    total[year] = total.get(year, 0) + np.concatenate([z.T @ part["margin"].to_numpy(float), (z.T @ z).ravel()])
+        yield pd.DataFrame({"fold": list(total), "sums": list(total.values())})
+
+    penalty = np.diag([0.0] + [ridge] * (k - 1)) + 1e-9 * np.eye(k)
+    betas = {r["fold"]: np.linalg.solve(np.array(r["sums"][k:]).reshape(k, k) + penalty, np.array(r["sums"][:k])) for r in _summed(data, sums, _SUMS)}
+    return _apply(data, columns, stats, betas, "pred", lambda x: x)
+
+
+def one_slope(data: DataFrame, x: str, steps: int = 25) -> float:
+    """The slope of the result's logit on one column without an intercept, by Newton steps of two sums."""
+    b = 0.0
+    for _ in range(steps):
+        p = 1.0 / (1.0 + F.exp(-F.lit(b) * F.col(x)))
+        g, h = data.agg(F.sum((F.col("won") - p) * F.col(x)), F.sum(p * (1 - p) * F.col(x) * F.col(x))).first()
+        move = (g or 0.0) / (h or 1.0)
+        b += move
+        if abs(move) < 1e-9:
+            break
+    return b
+
+
+def _brier_by_season(p: DataFrame) -> dict[int, float]:
+    return {r[0]: r[1] for r in p.groupBy("season").agg(F.avg((F.col("p") - F.col("won")) * (F.col("p") - F.col("won")))).collect()}
+
+
+def subset_scan(f: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """Brier scores of the groups and of the best one without each of its columns, on the season before the last; its choice's score on the last one.
+
+    The best group is the one with the lowest score on the season before the last.
+    """
+    last, chosen_on = [r[0] for r in f.select("season").distinct().orderBy(F.desc("season")).limit(2).collect()]
+    scores = {n: _brier_by_season(ridge_logistic_folds(f, c)) for n, c in groups.items()}
+    best = min(scores, key=lambda n: (scores[n][chosen_on], n))
+    for c in groups[best]:
+        left = [x for x in groups[best] if x != c]
+        scores[f"{best} without {c}"] = _brier_by_season(ridge_logistic_folds(f, left))
+    pick = min(scores, key=lambda n: (scores[n][chosen_on], n))
+    rows = [(n, v[chosen_on], v[last], n == pick) for n, v in scores.items()]
+    return f.sparkSession.createDataFrame(rows, "subset string, selected_on double, scored_on double, chosen boolean")
+
+
+def boosted(f: DataFrame, columns: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
+    """Gradient-boosted trees for the result and the margin before the last season: scores on it, and each column's share of the gain."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
+    parts = max(1, f.count() // 20_000)
+    data = VectorAssembler(inputCols=columns, outputCol="features").transform(f).select("season", "features", F.col("won").cast("double").alias("won"), F.col("margin").cast("double").alias("margin")).repartition(parts).persist()
+    last = data.agg(F.max("season")).first()[0]
+    train, test = data.where(F.col("season") < last), data.where(F.col("season") == last)
+    same = {"maxIter": rounds, "stepSize": 0.05, "maxDepth": 4, "minInstancesPerNode": 40, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed}
+    win, by = GBTClassifier(labelCol="won", **same).fit(train), GBTRegressor(labelCol="margin", predictionCol="pred", **same).fit(train)
+    scored = by.transform(win.transform(test)).withColumn("p", vector_to_array("probability")[1])
+    row = scored.agg(F.count(F.lit(1)), F.avg((F.col("p") - F.col("won")) * (F.col("p") - F.col("won"))), F.avg(F.abs(F.col("pred") - F.col("margin")))).first()
+    data.unpersist()
+    gain = [float(x) for x in win.featureImportances.toArray()]
+    total = sum(map(abs, gain)) or 1.0
+    return f.sparkSession.createDataFrame([(c, g / total, *row) for c, g in zip(columns, gain)], "feature string, gain_share double, n long, brier double, mae double")
 
 
 def slope(predictions: DataFrame, x: str, by: Sequence[str] = ("season",)) -> DataFrame:
@@ -97,16 +325,20 @@ def slope(predictions: DataFrame, x: str, by: Sequence[str] = ("season",)) -> Da
     return predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), portable_round(F.sum(F.col(x) * e) / F.sum(F.col(x) * F.col(x))).alias("slope")).where("n >= 20")
 
 
-def permutation_importance(predictions: DataFrame, features: Sequence[str], model, seed: int = 7) -> DataFrame:
-    """Increase of the Brier score when a feature's values are dealt to other rows; ``model`` gives p from columns."""
-    base = predictions.agg(F.avg((model(F.col) - F.col("won")) ** 2)).first()[0]
-    out = []
-    for f in features:
-        a = predictions.withColumn("_i", F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64("game_id"))))
-        b = predictions.select(F.col("season").alias("_s"), F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("season").orderBy(F.xxhash64("game_id", F.lit(seed)))).alias("_j"))
-        met = a.join(b, (F.col("season") == F.col("_s")) & (F.col("_i") == F.col("_j")))
-        out.append(met.agg((F.avg((model(lambda c, f=f: F.col("_v") if c == f else F.col(c)) - F.col("won")) ** 2) - base).alias("increase")).select(F.lit(f).alias("feature"), "increase"))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found
+def permutation_importance(predictions: DataFrame, features: Sequence[str], model, repeats: int = 5, seed: int = 7) -> DataFrame:
+    """Mean rise of the Brier score when a feature's values are dealt to other rows of the season; ``model`` gives p from columns.
+
+    All features and deals are one join for each deal and one aggregate in all.
+    """
+    n = Window.partitionBy("season")
+    base = predictions.withColumn("_i", F.row_number().over(n.orderBy(F.xxhash64("game_id"))))
+    out = None
+    for k in range(repeats):
+        dealt = predictions.select(F.col("season").alias("_s"), *[F.col(f).alias(f"_{f}") for f in features], F.row_number().over(n.orderBy(F.xxhash64("game_id", F.lit(seed + k)))).alias("_j"))
+        met = base.join(dealt.hint("merge"), (F.col("season") == F.col("_s")) & (F.col("_i") == F.col("_j")))
+        sq = lambda p: F.avg((p - F.col("won")) * (p - F.col("won")))
+        plain = sq(model(F.col))
+        row = met.agg(*[(sq(model(lambda c, f=f: F.col(f"_{c}") if c == f else F.col(c))) - plain).alias(f) for f in features])
+        one = row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("increase")) for f in features])).alias("x")).select("x.*")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("feature").agg(F.avg("increase").alias("increase"), F.count(F.lit(1)).alias("repeats"))

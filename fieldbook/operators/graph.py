@@ -197,3 +197,28 @@ def structure(e: DataFrame) -> DataFrame:
         return pd.DataFrame({"g": key[0], "u": names, "betweenness": between, "bridges": bridges, "fiedler": fiedler, "connectivity": connectivity})
 
     return e.groupBy("g").applyInPandas(run, "g int, u string, betweenness double, bridges long, fiedler double, connectivity double")
+
+
+def distance_histogram(e: DataFrame) -> DataFrame:
+    """Ordered pairs of nodes by their distance, with the lower bound on the mean path that the mean degree gives."""
+    d = distances(e).where("d > 0").groupBy("g", "d").agg(F.count(F.lit(1)).alias("pairs"))
+    n = both_ways(e).groupBy("g").agg(F.countDistinct("u").alias("n"), F.count(F.lit(1)).cast("double").alias("ends"))
+    return d.join(n.hint("merge"), "g").select("g", "d", "pairs", portable_round(2 - (F.col("ends") / F.col("n")) / (F.col("n") - 1)).alias("bound"))
+
+
+def attach(games: DataFrame) -> DataFrame:
+    """Measures of each node side by side: mean signed margin over all its contests, degree among its opponents, share of wins."""
+    one = F.explode(F.array(F.struct(F.col("home").alias("u"), F.col("margin").alias("m")), F.struct(F.col("away").alias("u"), (-F.col("margin")).alias("m"))))
+    n = F.count(F.lit(1))
+    base = games.select("g", one.alias("x")).groupBy("g", F.col("x.u").alias("u")).agg(F.sum("x.m").alias("total"), n.alias("n"), F.sum((F.col("x.m") > 0).cast("int")).alias("wins"))
+    degree = both_ways(undirected(win_edges(games))).groupBy("g", "u").agg(n.alias("degree"))
+    out = base.join(degree.hint("merge"), ["g", "u"], "left")
+    return out.select("g", "u", portable_round(F.col("total") / F.col("n")).alias("signed"), F.coalesce("degree", F.lit(0)).alias("degree"), portable_round(F.col("wins") / F.col("n")).alias("win_rate"))
+
+
+def ego(edges: DataFrame, ratings: DataFrame, node: str) -> DataFrame:
+    """One node's edges, and whether the loser was rated more than three above the winner."""
+    mine = edges.where((F.col("src") == node) | (F.col("dst") == node))
+    rated = lambda c: ratings.select("g", F.col("u").alias(c), F.col("rating").alias(f"{c}_rating")).hint("merge")
+    met = mine.join(rated("src"), ["g", "src"]).join(rated("dst"), ["g", "dst"])
+    return met.select("g", "src", "dst", "w", (F.col("dst_rating") - F.col("src_rating") > 3).alias("surprise"))

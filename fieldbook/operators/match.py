@@ -33,9 +33,9 @@ def longest_prefix(raw: DataFrame, known: DataFrame) -> DataFrame:
     words = F.split(name_key(F.col("raw")), " ")
     heads = raw.select("raw", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("n", "head"))
     k = known.select("name", name_key(F.col("name")).alias("kk"))
-    hit = heads.join(k, F.col("head") == F.col("kk")).groupBy("raw").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.lit(0).alias("tier"))
-    rest = raw.join(hit.select("raw"), "raw", "left_anti").select("raw", F.get(F.split(name_key(F.col("raw")), " "), F.lit(0)).alias("first"))
-    near = rest.join(k.withColumn("first", F.get(F.split("kk", " "), F.lit(0))), "first")
+    hit = heads.join(k.hint("merge"), F.col("head") == F.col("kk")).groupBy("raw").agg(F.max_by("name", F.struct("n", "name")).alias("name"), F.lit(0).alias("tier"))
+    rest = raw.join(hit.select("raw").hint("merge"), "raw", "left_anti").select("raw", name_key(F.col("raw")).alias("rk"), F.get(F.split(name_key(F.col("raw")), " "), F.lit(0)).alias("first"))
+    near = rest.join(k.withColumn("first", F.get(F.split("kk", " "), F.lit(0))).hint("merge"), "first").where(F.startswith(F.col("kk"), F.col("rk")) | F.startswith(F.col("rk"), F.col("kk")))
     only = near.groupBy("raw").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("tier")).where("n = 1").drop("n")
     return hit.unionByName(only.select(*hit.columns))
 
@@ -59,7 +59,7 @@ def bind(books: DataFrame, games: DataFrame) -> DataFrame:
     """Books (``bid``, ``a``, ``b``, ``day``) to games of the same unordered pair, on the same day unless a day is unknown."""
     x = books.select("bid", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("day").alias("bd"))
     y = games.select("game_id", F.least("home", "away").alias("glo"), F.greatest("home", "away").alias("ghi"), F.col("day").alias("gd"))
-    met = x.join(y, (F.col("lo") == F.col("glo")) & (F.col("hi") == F.col("ghi")) & F.coalesce(F.col("bd") == F.col("gd"), F.lit(True)))
+    met = x.join(y.hint("merge"), (F.col("lo") == F.col("glo")) & (F.col("hi") == F.col("ghi")) & F.coalesce(F.col("bd") == F.col("gd"), F.lit(True)))
     w = Window.partitionBy("bid").orderBy(F.col("gd").asc_nulls_last(), "game_id")
     return met.withColumn("i", F.row_number().over(w)).where("i = 1").select("bid", "game_id")
 
@@ -84,3 +84,31 @@ def nested_stats(long: DataFrame) -> DataFrame:
     """Rows (``player``, ``team``, ``bucket``, ``field``, ``value``) as map of maps; what isn't a number goes."""
     inner = long.withColumn("v", F.col("value").try_cast("double")).where(F.col("v").isNotNull()).groupBy("player", "team", "bucket").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "v")))).alias("m"))
     return inner.groupBy("player", "team").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "m"))).alias("stats"))
+
+
+def canonical(rows: DataFrame, aliases: DataFrame, by_conference: list[tuple[str, str, str]]) -> DataFrame:
+    """``name`` of each ``raw``: by the rules that also ask for the conference (raw, conf, name), else by the alias table, else as it is."""
+    ruled = F.lit(None).cast("string")
+    for raw, conf, name in by_conference:
+        ruled = F.coalesce(ruled, F.when((F.col("raw") == raw) & (F.col("conf") == conf), name))
+    a = aliases.groupBy(F.col("alias").alias("_a")).agg(F.min("name").alias("_n"))
+    return rows.join(a.hint("merge"), F.col("raw") == F.col("_a"), "left").withColumn("name", F.coalesce(ruled, "_n", "raw")).drop("_a", "_n")
+
+
+def resolve_query(asked: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """Known names that a text may mean: equal keys; else one contains the other; else the first four letters agree. The first ``most`` by name.
+
+    ``asked`` are a user's few texts, so each is held against all names.
+    """
+    q, k = name_key(F.col("query")), name_key(F.col("name"))
+    met = known.crossJoin(F.broadcast(asked))
+    tier = F.when(q == k, 0).when(F.contains(k, q) | F.contains(q, k), 1).when(F.left(k, F.lit(4)) == F.left(q, F.lit(4)), 2)
+    hit = met.withColumn("tier", tier).where("tier is not null").withColumn("best", F.min("tier").over(Window.partitionBy("query"))).where("tier = best").drop("best")
+    return hit.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("name"))).where(F.col("place") <= most)
+
+
+def modal_token(texts: DataFrame, pattern: str, out: str) -> DataFrame:
+    """For each team the token that a pattern finds most often in its texts; of equally frequent ones the first."""
+    found = texts.select("team", F.regexp_extract("text", pattern, 1).alias(out)).where(F.col(out) != "")
+    n = found.groupBy("team", out).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("team").agg(F.min_by(out, F.struct(-F.col("n"), out)).alias(out))

@@ -25,6 +25,11 @@ def special() -> Column:
     return ~F.col("pos_unit").eqNullSafe("Offense") & F.col("epa").isNotNull()
 
 
+def top_offence(div: str = "fbs") -> Column:
+    """Whether the side with the ball is in a division."""
+    return F.coalesce(F.when(F.col("pos") == F.col("home"), F.col("home_div")).otherwise(F.col("away_div")) == div, F.lit(False))
+
+
 def final_scores(plays: DataFrame) -> DataFrame:
     """A row for each contest; one aggregate, so the plays shuffle once. Contests short of four periods go."""
     return plays.groupBy("game_id").agg(

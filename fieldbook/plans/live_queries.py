@@ -218,12 +218,6 @@ def catalog(spark, d):
     return sides_of(spark, d).groupBy("season").agg(F.countDistinct("game_id").alias("games"), F.countDistinct("team").alias("teams"), F.min("slate").alias("first_slate"), F.max("slate").alias("last_slate"))
 
 
-@query("x27_pick_text", r"""SELECT conv_id, turn, regexp_extract(text, '([+-]\d+(?:\.\d+)?)\s*$', 1) AS line_text, regexp_matches(lower(text), '\bml\s*$') AS ml FROM conversations WHERE text IS NOT NULL""")
-def pick_text(spark, d):
-    c = read(spark, d, "conversations").where("text is not null")
-    return c.select("conv_id", "turn", F.regexp_extract("text", r"([+-]\d+(?:\.\d+)?)\s*$", 1).alias("line_text"), F.lower("text").rlike(r"\bml\s*$").alias("ml"))
-
-
 @query("a26_label_scores", f"""WITH p AS (SELECT l.doc_id, quality, toxic, n_chars, 1.0 / (1.0 + exp(-(n_chars - 500.0) / 900.0)) AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
  SELECT toxic, count(*) AS n, {r('sum((p - quality) * (p - quality)) / count(*)')} AS brier, {r('avg(((p >= 0.5) = (quality = 1))::INT)')} AS accuracy FROM p GROUP BY toxic""")
 def label_scores(spark, d):

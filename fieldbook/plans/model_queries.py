@@ -104,69 +104,6 @@ def shrink_weight(spark, d):
     return E.shrink_weight(predictions_of(spark, d))
 
 
-@query("m5_platt")
-def platt(spark, d):
-    """Slope and intercept on the logit, by MLlib's unpenalised logistic regression, season by season."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    p = predictions_of(spark, d).select("season", "p", "won").cache()  # read again by every step of the fit
-    clipped = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = VectorAssembler(inputCols=["z"], outputCol="features").transform(p.withColumn("z", X.logit(clipped)).withColumn("label", F.col("won").cast("double")))
-    fit = LogisticRegression(regParam=0.0, maxIter=50).fit(data)
-    return p.groupBy("season").agg(F.count(F.lit(1)).alias("n")).withColumns({"a": F.lit(float(fit.intercept)), "b": F.lit(float(fit.coefficients[0]))})
-
-
-@query("m14_ridge_logistic_expanding")
-def ridge_logistic(spark, d):
-    """Expanding-year folds: standardised ridge logistic on side features, scored on the fold's season."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    two = sides_of(spark, d)
-    menu = ["winpct", "avg_margin", "close_winpct", "rest", "pythag"]
-    games = S.listed_games(two).select("game_id", "season", "slate", "home", "away", "margin")
-    f = H.by_role(games, H.side_features(two), menu).join(games.select("game_id", (F.col("margin") > 0).cast("double").alias("label")), "game_id").cache()
-    years = sorted(x[0] for x in f.select("season").distinct().collect())
-    out = None
-    for y in years[1:]:
-        train, test = f.where(F.col("season") < y), f.where(F.col("season") == y)
-        n = train.count()
-        stages = [VectorAssembler(inputCols=[f"{m}_diff" for m in menu], outputCol="raw"), StandardScaler(withMean=True, inputCol="raw", outputCol="features"), LogisticRegression(regParam=1.0 / n, maxIter=40)]
-        got = Pipeline(stages=stages).fit(train).transform(test).select("game_id", "season", "probability", "label")
-        out = got if out is None else out.unionByName(got)
-    from pyspark.ml.functions import vector_to_array
-
-    scored = out.withColumn("p", vector_to_array("probability")[1])
-    return scored.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier"))
-
-
-@query("m15_boosted_trees_holdout")
-def boosted_trees(spark, d):
-    """Boosted trees on the season features, trained before the last season and scored on it."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    two = sides_of(spark, d)
-    menu = ["winpct", "avg_margin", "close_winpct", "pythag"]
-    games = S.listed_games(two).select("game_id", "season", "slate", "home", "away", "margin")
-    f = H.by_role(games, H.side_features(two), menu).join(games.select("game_id", (F.col("margin") > 0).cast("double").alias("label")), "game_id")
-    data = VectorAssembler(inputCols=[f"{m}_diff" for m in menu], outputCol="features").transform(f).cache()
-    last = data.agg(F.max("season")).first()[0]
-    fit = GBTClassifier(maxIter=20, stepSize=0.05, maxDepth=4, minInstancesPerNode=40, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=7).fit(data.where(F.col("season") < last))
-    scored = fit.transform(data.where(F.col("season") == last)).withColumn("p", vector_to_array("probability")[1])
-    gain = [float(x) for x in fit.featureImportances.toArray()]
-    return scored.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("label")) ** 2).alias("brier")).withColumn("gain", F.array(*[F.lit(g) for g in gain]))
-
-
-@query("m16_permutation_importance")
-def permutation(spark, d):
-    p = predictions_of(spark, d)
-    return E.permutation_importance(p, ["home_rating", "away_rating"], lambda c: X.win_probability(c("home_rating") - c("away_rating") + 2.5))
-
-
 _BLEND = [(i, j, 10 - i - j) for i in range(11) for j in range(11 - i)]
 _BLEND_SQL = ", ".join(f"({i / 10}::DOUBLE, {j / 10}::DOUBLE, {k / 10}::DOUBLE)" for i, j, k in _BLEND)
 
@@ -193,12 +130,6 @@ def residual_slope(spark, d):
     return p.groupBy("season").agg(F.count(F.lit(1)).alias("n"), X.portable_round(F.sum(F.col("x") * e) / F.sum(F.col("x") * F.col("x"))).alias("slope")).where("n >= 20")
 
 
-@query("m11_m12_folds", f"WITH {SIDES}, s AS (SELECT DISTINCT season FROM sides) SELECT a.season AS fold, b.season AS train, CASE WHEN b.season < a.season THEN 'expanding' ELSE 'audit' END AS kind FROM s a JOIN s b ON a.season <> b.season")
-def folds(spark, d):
-    s = sides_of(spark, d).select("season").distinct()
-    return E.leave_one_out_folds(s).withColumn("kind", F.when(F.col("train") < F.col("fold"), "expanding").otherwise("audit"))
-
-
 @query("x12_x22_prices", f"""WITH {_PRED}, q AS (SELECT *, CASE WHEN abs(pred_margin) < 0.5 OR abs(ln(p / (1 - p))) < 0.02 OR pred_margin * ln(p / (1 - p)) < 0 THEN 14.5 ELSE least(greatest(pred_margin / ln(p / (1 - p)), 10.0), 22.0) END AS sg FROM pred WHERE spread IS NOT NULL),
  c AS (SELECT *, 1.0 / (1.0 + exp(-(pred_margin + spread) / sg)) AS cover FROM q)
  SELECT game_id, (CASE WHEN p >= 0.5 THEN -round(100 * p / (1 - p)) ELSE round(100 * (1 - p) / p) END)::INT AS american, {r("sg", 3)} AS sigma, {r("cover")} AS cover, CASE WHEN cover >= 0.5 THEN 'home' ELSE 'away' END AS side,

@@ -34,17 +34,6 @@ def scorecard(spark, d):
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("wins"), X.portable_round(F.sum((F.col("p") - F.col("won")) * (F.col("p") - F.col("won"))) / F.count(F.lit(1))).alias("brier"), F.max("day").alias("day"))
 
 
-@query("a27_pick_grades", f"""WITH {_PRED}, k AS (SELECT *, CASE game_id % 3 WHEN 0 THEN 'ats' WHEN 1 THEN 'ml' ELSE 'score' END AS kind, CASE WHEN p >= 0.5 THEN 'home' ELSE 'away' END AS side FROM pred),
- g AS (SELECT *, CASE WHEN kind = 'ats' AND spread IS NULL THEN 'pending' WHEN kind = 'ats' AND abs(margin + spread) < 1e-9 THEN 'push' WHEN kind = 'ats' THEN CASE WHEN (margin + spread > 0) = (side = 'home') THEN 'hit' ELSE 'miss' END
-  WHEN margin = 0 THEN 'push' ELSE CASE WHEN (margin > 0) = (side = 'home') THEN 'hit' ELSE 'miss' END END AS result FROM k)
- SELECT season, kind, result, count(*) AS n FROM g GROUP BY ALL""")
-def pick_grades(spark, d):
-    k = predictions_of(spark, d).withColumn("kind", F.when(F.col("game_id") % 3 == 0, "ats").when(F.col("game_id") % 3 == 1, "ml").otherwise("score")).withColumn("side", F.when(F.col("p") >= 0.5, "home").otherwise("away"))
-    line = F.when(F.col("kind") == "ats", F.col("spread")).otherwise(0.0)
-    result = F.when(line.isNull(), "pending").otherwise(X.settle(F.col("side"), F.col("margin"), line))
-    return k.groupBy("season", "kind", result.alias("result")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("a29_conference_means", f"""WITH {SIDES}, t AS (SELECT season, conf, team, sum(margin) AS m, count(*) AS g, count(*) FILTER (margin > 0) AS w FROM sides GROUP BY ALL)
  SELECT season, conf, count(*) AS teams, {r("sum(m::DOUBLE / g) / count(*)", 3)} AS mean_margin, sum(w)::BIGINT AS wins, sum(g - w)::BIGINT AS others FROM t GROUP BY ALL""")
 def conference_means(spark, d):
@@ -61,12 +50,6 @@ def scaled(spark, d):
     return t.select("season", "team", X.portable_round(F.when(hi == lo, 17.0).otherwise(8 + 18 * (F.col("v") - lo) / (hi - lo)), 3).alias("size"))
 
 
-@query("t8_training_tail", f"WITH {SIDES} SELECT game_id, season, slate FROM games ORDER BY season DESC, slate DESC, game_id DESC LIMIT 800")
-def training_tail(spark, d):
-    """The last rows in the total order, as a training window takes them."""
-    return S.listed_games(sides_of(spark, d)).select("game_id", "season", "slate").orderBy(F.desc("season"), F.desc("slate"), F.desc("game_id")).limit(800)
-
-
 @query("q4_t1_leaderboard", f"WITH {SIDES} SELECT team, {div('sum(margin)', 'count(*)', places=3)} AS value FROM sides WHERE season = 1998 GROUP BY team ORDER BY sum(margin)::DOUBLE / count(*) DESC, team LIMIT 25")
 def leaderboard(spark, d):
     t = sides_of(spark, d).where("season = 1998").groupBy("team").agg(F.sum("margin").alias("m"), F.count(F.lit(1)).alias("n"))
