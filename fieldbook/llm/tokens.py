@@ -7,6 +7,7 @@ dictionary encoding; a cache of bounded size keeps the ids of the first ``most``
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -124,13 +125,20 @@ def _cut(ids: list[int], ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(upto, prepend=0)
 
 
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> ChunkEncoder:
-    """A byte-level tokenizer of the tokenizers library, whose ids' bytes add up to the text's."""
+def _load(path: str):
+    """A tokenizer of the tokenizers library without threads of its own: Spark runs a task for each core already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    return tok
+
+
+@lru_cache(maxsize=2)
+def byte_level(path: str) -> ChunkEncoder:
+    """A byte-level tokenizer of the tokenizers library, whose ids' bytes add up to the text's."""
+    tok = _load(path)
     vocab = tok.get_vocab(with_added_tokens=False)
     sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
     for piece, i in vocab.items():
@@ -163,10 +171,7 @@ def byte_level(path: str) -> ChunkEncoder:
 @lru_cache(maxsize=2)
 def word_level(path: str) -> ChunkEncoder:
     """A tokenizer of the tokenizers library that drops white space and lower-cases; a control character parts chunks."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok = _load(path)
     (mark,) = tok.encode(" \x01 ", add_special_tokens=False).ids
 
     def many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
