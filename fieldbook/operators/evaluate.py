@@ -211,38 +211,55 @@ def _apply(data: DataFrame, columns: list[str], stats: dict, betas: dict, out: s
     return data.mapInPandas(run, f"game_id long, season int, slate int, margin long, won int, {out} double")
 
 
-def ridge_logistic_folds(f: DataFrame, columns: list[str], ridge: float = 1.0, steps: int = 40) -> DataFrame:
-    """Probabilities of each season from a ridge logistic fit to all earlier ones, on standardised columns, the intercept free.
+def ridge_logistic_sets(f: DataFrame, sets: dict[str, list[str]], ridge: float = 1.0, steps: int = 40) -> DataFrame:
+    """Probabilities of each season from ridge logistic fits to all earlier ones, a fit for each named set of columns, standardised, the intercept free.
 
-    All folds take a Newton step in one pass over the data, from gradients and curvatures that partitions add up.
+    All sets and folds take a Newton step in one pass over the data, from gradients and curvatures that partitions add up.
     """
-    data, stats = _folds(f, columns)
-    k = len(columns) + 1
-    betas = {y: np.zeros(k) for y in stats}
-    penalty = np.diag([0.0] + [ridge] * (k - 1))
+    every = list({c: None for columns in sets.values() for c in columns})
+    data, stats = _folds(f, every)
+    names, years = list(sets), list(stats)
+    index = {n: [0] + [1 + every.index(c) for c in sets[n]] for n in names}
+    betas = {i * 10_000 + y: np.zeros(len(index[n])) for i, n in enumerate(names) for y in years}
     for _ in range(steps):
 
         def sums(batches, betas=betas):
             total: dict[int, np.ndarray] = {}
             for b in batches:
-                for year, beta in betas.items():
+                for year in years:
                     part = b[b["season"] < year]
-                    if len(part):
-                        z = _design(part, columns, stats[year])
-                        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-                        h = (z * (p * (1 - p))[:, None]).T @ z
-                        total[year] = total.get(year, 0) + np.concatenate([z.T @ (part["won"].to_numpy(float) - p), h.ravel()])
+                    if not len(part):
+                        continue
+                    whole, won = _design(part, every, stats[year]), part["won"].to_numpy(float)
+                    for key, beta in betas.items():
+                        if key % 10_000 == year:
+                            z = whole[:, index[names[key // 10_000]]]
+                            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                            h = (z * (p * (1 - p))[:, None]).T @ z
+                            total[key] = total.get(key, 0) + np.concatenate([z.T @ (won - p), h.ravel()])
             yield pd.DataFrame({"fold": list(total), "sums": list(total.values())})
 
-        moved, new = 0.0, {}
+        left = {}
         for r in _summed(data, sums, _SUMS):
             v, beta = np.array(r["sums"]), betas[r["fold"]]
+            k = len(beta)
+            penalty = np.diag([0.0] + [ridge] * (k - 1))
             move = np.linalg.solve(v[k:].reshape(k, k) + penalty + 1e-9 * np.eye(k), v[:k] - penalty @ beta)
-            new[r["fold"]], moved = beta + move, max(moved, float(np.abs(move).max()))
-        betas = betas | new
-        if moved < 1e-6:
+            left[r["fold"]] = float(np.abs(move).max()), beta + move
+        betas = betas | {key: beta for key, (_, beta) in left.items()}
+        if max((m for m, _ in left.values()), default=0) < 1e-6:
             break
-    return _apply(data, columns, stats, betas, "p", lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    keep = ["game_id", "season", "slate", "margin", "won"]
+
+    def apply(batches):
+        for b in batches:
+            for key, beta in betas.items():
+                part = b[b["season"] == key % 10_000]
+                if len(part):
+                    z = _design(part, every, stats[key % 10_000])[:, index[names[key // 10_000]]]
+                    yield part[keep].assign(p=1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))), set=names[key // 10_000])
+
+    return data.mapInPandas(apply, "game_id long, season int, slate int, margin long, won int, p double, set string")
 
 
 def ridge_margin_folds(f: DataFrame, columns: list[str], ridge: float = 1.0) -> DataFrame:
@@ -278,24 +295,25 @@ def one_slope(data: DataFrame, x: str, steps: int = 25) -> float:
     return b
 
 
-def _brier_by_season(p: DataFrame) -> dict[int, float]:
-    return {r[0]: r[1] for r in p.groupBy("season").agg(F.avg((F.col("p") - F.col("won")) * (F.col("p") - F.col("won")))).collect()}
-
-
 def subset_scan(f: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Brier scores of the groups and of the best one without each of its columns, on the season before the last; its choice's score on the last one.
 
     The best group is the one with the lowest score on the season before the last.
     """
     last, chosen_on = [r[0] for r in f.select("season").distinct().orderBy(F.desc("season")).limit(2).collect()]
-    scores = {n: _brier_by_season(ridge_logistic_folds(f, c)) for n, c in groups.items()}
-    best = min(scores, key=lambda n: (scores[n][chosen_on], n))
-    for c in groups[best]:
-        left = [x for x in groups[best] if x != c]
-        scores[f"{best} without {c}"] = _brier_by_season(ridge_logistic_folds(f, left))
-    pick = min(scores, key=lambda n: (scores[n][chosen_on], n))
-    rows = [(n, v[chosen_on], v[last], n == pick) for n, v in scores.items()]
-    return f.sparkSession.createDataFrame(rows, "subset string, selected_on double, scored_on double, chosen boolean")
+    sq = F.avg((F.col("p") - F.col("won")) * (F.col("p") - F.col("won")))
+
+    def scores(sets: dict[str, list[str]]) -> dict[str, dict[int, float]]:
+        out: dict[str, dict[int, float]] = {}
+        for r in ridge_logistic_sets(f, sets).groupBy("set", "season").agg(sq.alias("b")).collect():
+            out.setdefault(r["set"], {})[r["season"]] = r["b"]
+        return out
+
+    found = scores(groups)
+    best = min(found, key=lambda n: (found[n][chosen_on], n))
+    found |= scores({f"{best} without {c}": [x for x in groups[best] if x != c] for c in groups[best]})
+    pick = min(found, key=lambda n: (found[n][chosen_on], n))
+    return f.sparkSession.createDataFrame([(n, v[chosen_on], v[last], n == pick) for n, v in found.items()], "subset string, selected_on double, scored_on double, chosen boolean")
 
 
 def boosted(f: DataFrame, columns: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:

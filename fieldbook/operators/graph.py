@@ -41,21 +41,27 @@ def degrees(e: DataFrame) -> DataFrame:
     return d.groupBy("g").agg(F.count(F.lit(1)).alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), portable_round(F.sum("d") / F.count(F.lit(1))).alias("mean_degree"))
 
 
-def pagerank(edges: DataFrame, passes: int = 20, damping: float = 0.85) -> DataFrame:
-    """Credit flows from loser to winner by summed margin; what nodes without losses hold is dealt to all."""
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, most: int = 100, damping: float = 0.85) -> DataFrame:
+    """Credit flows from loser to winner by summed margin; what nodes without losses hold is dealt to all.
+
+    Passes go on until no node of any graph moves by more than ``tolerance``; every fourth is written out and asked.
+    """
     flow = edges.groupBy("g", F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.sum("w").alias("w"))
     flow = _cut(flow.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("g", "src"))))
-    nodes = _cut(flow.select("g", F.col("src").alias("u")).union(flow.select("g", "dst")).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g"))))
-    rank = nodes.withColumn("r", 1.0 / F.col("n"))
-    senders = flow.select("g", F.col("src").alias("u")).distinct().withColumn("sends", F.lit(1))
-    for k in range(passes):
-        loose = rank.join(senders, ["g", "u"], "left").where("sends is null").groupBy("g").agg(F.sum("r").alias("loose"))
-        got = rank.select("g", F.col("u").alias("src"), "r").join(flow, ["g", "src"]).groupBy("g", F.col("dst").alias("u")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
-        rank = nodes.join(got, ["g", "u"], "left").join(loose, "g", "left").select(
-            "g", "u", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("loose", F.lit(0.0)) / F.col("n"))).alias("r")
-        )
+    senders = flow.select("g", F.col("src").alias("u")).distinct().withColumn("sends", F.lit(True))
+    nodes = flow.select("g", F.col("src").alias("u")).union(flow.select("g", "dst")).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    nodes = _cut(nodes.join(senders.hint("merge"), ["g", "u"], "left").withColumn("sends", F.coalesce("sends", F.lit(False))))
+    rank = nodes.withColumns({"r": 1.0 / F.col("n"), "was": F.lit(0.0)})
+    for k in range(most):
+        got = rank.select("g", F.col("u").alias("src"), "r").join(flow.hint("merge"), ["g", "src"]).groupBy("g", F.col("dst").alias("u")).agg(F.sum(F.col("r") * F.col("share")).alias("got"))
+        loose = F.sum(F.when(~F.col("sends"), F.col("r")).otherwise(0.0)).over(Window.partitionBy("g"))
+        rank = rank.withColumn("loose", loose).join(got.hint("merge"), ["g", "u"], "left").select(
+            "g", "u", "n", "sends", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))).alias("x"), F.col("r").alias("was")
+        ).withColumnRenamed("x", "r")
         if k % 4 == 3:
             rank = _cut(rank)
+            if (rank.agg(F.max(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) < tolerance:
+                break
     return rank.select("g", "u", "r")
 
 
@@ -117,7 +123,7 @@ def neighbours(edges: DataFrame, ratings: DataFrame) -> DataFrame:
     e = both_ways(undirected(edges)).select("g", "u", "v")
     met = e.join(ratings.select("g", F.col("u").alias("v"), F.col("rating").alias("rv")), ["g", "v"])
     near = met.groupBy("g", "u").agg(F.count(F.lit(1)).alias("opponents"), F.sum("rv").alias("t"))
-    return near.join(ratings, ["g", "u"]).select("g", "u", "opponents", portable_round(F.col("t") / F.col("opponents")).alias("near"), portable_round(F.col("rating") - F.col("t") / F.col("opponents")).alias("above"))
+    return near.join(ratings.hint("merge"), ["g", "u"]).select("g", "u", "opponents", portable_round(F.col("t") / F.col("opponents")).alias("near"), portable_round(F.col("rating") - F.col("t") / F.col("opponents")).alias("above"))
 
 
 def spanning_tree(e: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """What a side's earlier slates say: every value at a slate comes from strictly earlier slates of the season.
 
 Sums are taken per slate first and then cumulated over rows, so contests of one slate never see each other and a
-window holds one row for each slate. Values that depend on the order inside the history use lists of the season's contests.
+window holds one row for each slate. The wide row of all features is in ``form``.
 """
 
 from __future__ import annotations
@@ -9,21 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.functions.scalars import portable_round, ratio
-
-def history_sums() -> dict[str, Column]:
-    """What is added up for each slate."""
-    return {
-        "games": F.lit(1), "wins": (F.col("margin") > 0).cast("int"), "margin_sum": F.col("margin"), "pf": F.col("points"), "pa": F.col("opp_points"),
-        "home_n": F.col("is_home").cast("int"), "home_margin": F.when(F.col("is_home"), F.col("margin")).otherwise(0),
-        "away_margin": F.when(F.col("is_home"), 0).otherwise(F.col("margin")), "close_n": (F.abs("margin") <= 8).cast("int"),
-        "close_wins": ((F.abs("margin") <= 8) & (F.col("margin") > 0)).cast("int"), "margin_sq": F.col("margin") * F.col("margin"),
-        "late_n": (F.col("slate") >= 8).cast("int"), "late_wins": ((F.col("slate") >= 8) & (F.col("margin") > 0)).cast("int"),
-        "conf_n": F.col("conf").eqNullSafe(F.col("opp_conf")).cast("int"), "conf_wins": (F.col("conf").eqNullSafe(F.col("opp_conf")) & (F.col("margin") > 0)).cast("int"),
-        "conf_margin": F.when(F.col("conf").eqNullSafe(F.col("opp_conf")), F.col("margin")).otherwise(0), "give": F.col("giveaways"), "take": F.col("opp_giveaways"),
-        "ryds": F.col("rush_yds"), "rn": F.col("rush_n"), "tempo_sum": F.col("tempo"), "osum": F.col("off_sum"), "ocnt": F.col("off_n"),
-    }
-
+from fieldbook.functions.scalars import portable_round
 
 def prior(keys: tuple[str, ...] = ("season", "team")) -> Window:
     return Window.partitionBy(*keys).orderBy("slate").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,105 +22,11 @@ def cumulated(two: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return by.select("season", "slate", "team", F.max("slate").over(w).alias("last_slate"), *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in sums])
 
 
-def side_features(two: DataFrame) -> DataFrame:
-    """Win shares, means, venue, close, late and conference splits, spread, rest, and rates of sums."""
-    c = cumulated(two, history_sums())
-    f = lambda a, b, d=0.0: portable_round(ratio(F.col(a), F.col(b), d))
-    var = F.col("games") * F.col("margin_sq") - F.col("margin_sum") * F.col("margin_sum")
-    out_n, out_wins, out_margin = F.col("games") - F.col("conf_n"), F.col("wins") - F.col("conf_wins"), F.col("margin_sum") - F.col("conf_margin")
-    return c.select(
-        "season", "slate", "team", "games", f("wins", "games", 0.5).alias("winpct"), f("margin_sum", "games").alias("avg_margin"), f("pf", "games").alias("avg_pf"), f("pa", "games").alias("avg_pa"),
-        portable_round(F.when(F.col("games") > 0, F.col("pf") * F.col("pf") / (F.col("pf") * F.col("pf") + F.col("pa") * F.col("pa") + 1e-9)).otherwise(0.5)).alias("pythag"),
-        f("home_margin", "home_n").alias("home_venue"), portable_round(ratio(F.col("away_margin"), F.col("games") - F.col("home_n"))).alias("away_venue"),
-        f("close_wins", "close_n", 0.5).alias("close_winpct"), f("late_wins", "late_n", 0.5).alias("late_winpct"), f("conf_wins", "conf_n", 0.5).alias("conf_winpct"), f("conf_margin", "conf_n").alias("conf_margin"),
-        portable_round(ratio(out_wins, out_n, 0.5)).alias("out_winpct"), portable_round(ratio(out_margin, out_n)).alias("out_margin"),
-        portable_round(F.when(F.col("games") >= 2, F.sqrt(var.cast("double")) / F.col("games")).otherwise(0.0), 3).alias("margin_std"),
-        (F.col("slate") - F.coalesce("last_slate", "slate")).alias("rest"), portable_round(ratio(F.col("take") - F.col("give"), F.col("games"))).alias("turnover_margin"),
-        f("ryds", "rn").alias("yards_per_carry"), f("tempo_sum", "games").alias("plays_pg"), f("osum", "ocnt").alias("off_epa"),
-    )
-
-
-def recent(two: DataFrame) -> DataFrame:
-    """Last-n means, median, moving average, streak, trimmed mean and momentum, from the ordered list of earlier contests."""
-    by = two.groupBy("season", "slate", "team").agg(F.sort_array(F.collect_list(F.struct("game_id", "margin"))).alias("now"))
-    h = by.withColumn("m", F.transform(F.flatten(F.collect_list("now").over(prior())), lambda x: x["margin"]))
-    h = h.withColumn("m", F.coalesce("m", F.expr("cast(array() as array<int>)"))).withColumn("n", F.size("m"))
-    tail = lambda k: F.expr(f"slice(m, greatest(n - {k} + 1, 1), {k})")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    mean = lambda k: portable_round(ratio(total(tail(k)), F.size(tail(k))))
-    wins4 = F.size(F.filter(tail(4), lambda x: x > 0))
-    ordered = F.array_sort("m")
-    median = F.expr("case when n = 0 then 0.0 when n % 2 = 1 then double(get(array_sort(m), n div 2)) else (get(array_sort(m), n div 2 - 1) + get(array_sort(m), n div 2)) / 2.0 end")
-    cut = F.when(F.col("n") >= 5, F.greatest(F.floor(F.col("n") / 10), F.lit(1))).otherwise(0).cast("int")
-    kept = F.slice(ordered, cut + 1, F.greatest(F.col("n") - 2 * cut, F.lit(0)))
-    ewma = F.aggregate("m", F.lit(0.0), lambda v, x: v * 0.45 + x * 0.55)
-    # A streak counts back from the last contest while results stay alike; a tie counts as a loss.
-    streak = F.expr("""aggregate(m, 0, (s, x) -> case when x > 0 then case when s > 0 then s + 1 else 1 end else case when s < 0 then s - 1 else -1 end end)""")
-    return h.select(
-        "season", "slate", "team", portable_round(ratio(wins4, F.least("n", F.lit(4)), 0.5)).alias("form4_win"), mean(2).alias("form2_margin"), mean(4).alias("form4_margin"), mean(8).alias("form8_margin"),
-        median.alias("median_margin"), portable_round(ewma, 3).alias("ewma_margin"), streak.alias("streak"), portable_round(ratio(total(kept), F.size(kept))).alias("trimmed_margin"),
-        portable_round(F.when(F.col("n") >= 2, total(tail(4)) / F.size(tail(4)) - total(F.col("m")) / F.col("n")).otherwise(0.0)).alias("momentum"),
-    )
-
-
-def point_ratings(two: DataFrame) -> DataFrame:
-    """A stand-in rating in hundredths: the mean margin of earlier slates, -800 with none."""
-    c = cumulated(two, {"games": F.lit(1), "margin_sum": F.col("margin")})
-    return c.select("season", "slate", "team", F.when(F.col("games") > 0, F.floor(F.col("margin_sum") * 100 / F.col("games"))).otherwise(-800).cast("long").alias("rating"))
-
-
-def schedule_features(two: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Opponents as they were rated at game time: schedule strength, residual, quality wins, tier points."""
-    r = ratings.select(F.col("season").alias("rs"), F.col("slate").alias("rl"), F.col("team").alias("rt"), F.col("rating").alias("opp_rating"))
-    met = two.join(r, (F.col("season") == F.col("rs")) & (F.col("slate") == F.col("rl")) & (F.col("opponent") == F.col("rt")), "left")
-    met = met.withColumn("opp_rating", F.coalesce("opp_rating", F.lit(-800)))
-    won = F.col("margin") > 0
-    away = ~F.col("conf").eqNullSafe(F.col("opp_conf"))
-    tier = F.when(F.col("opp_rating") > 1000, 24).when(F.col("opp_rating") > 0, 16).when(F.col("opp_rating") > -1500, 8).otherwise(1)
-    c = cumulated(met, {
-        "games": F.lit(1), "opp": F.col("opp_rating"), "res": F.col("margin") * 100 - F.col("opp_rating"), "q_n": (F.col("opp_rating") > 0).cast("int"),
-        "q_wins": ((F.col("opp_rating") > 0) & won).cast("int"), "nc_n": away.cast("int"), "nc": F.when(away, F.col("opp_rating")).otherwise(0), "tiers": F.when(won, tier).otherwise(0),
-    })
-    f = lambda a, b, d=0.0, k=1.0: portable_round(ratio(F.col(a), F.col(b) * k, d))
-    return c.select("season", "slate", "team", f("opp", "games", k=100.0).alias("sos"), f("res", "games", k=100.0).alias("residual"), f("q_wins", "q_n", 0.5).alias("quality_winpct"),
-                    f("nc", "nc_n", k=100.0).alias("ncsos"), (F.col("tiers") / 4.0).alias("tier_wins"))
-
-
 def year_over_year(two: DataFrame) -> DataFrame:
     """Mean margin so far less the final mean of the last earlier season that had contests (0 without one)."""
     now = cumulated(two, {"games": F.lit(1), "margin_sum": F.col("margin")})
     final = two.groupBy("season", "team").agg((F.sum("margin") / F.count(F.lit(1))).alias("mean"))
     last = final.select("team", "season", F.lag("mean").over(Window.partitionBy("team").orderBy("season")).alias("was"))
-    met = now.join(last, ["season", "team"])
+    met = now.join(last.hint("merge"), ["season", "team"])
     value = F.when(F.col("was").isNotNull() & (F.col("games") > 0), F.col("margin_sum") / F.col("games") - F.col("was")).otherwise(0.0)
     return met.select("season", "slate", "team", portable_round(value).alias("yoy_margin"))
-
-
-def head_to_head(two: DataFrame) -> DataFrame:
-    """Margin of the last meeting of the ordered pair in an earlier slate of any season (0)."""
-    w = Window.partitionBy("home", "away").orderBy("season", "slate", "game_id")
-    return two.where("is_home").select("game_id", "home", "away", F.coalesce(F.lag("margin").over(w), F.lit(0)).alias("h2h"))
-
-
-def expected_starter(passers: DataFrame, games: DataFrame) -> DataFrame:
-    """The passer of the most recent earlier contest, with what he has done for the team this season."""
-    by = passers.join(games.select("game_id", "season", "slate"), "game_id")
-    per = by.groupBy("season", "slate", "team").agg(F.max_by("passer", "game_id").alias("passer"))
-    named = per.withColumn("starter", F.last("passer", ignorenulls=True).over(prior())).where(F.col("starter").isNotNull())
-    done = by.groupBy("season", "team", F.col("passer").alias("starter"), "slate").agg(F.sum("epa_sum").alias("s"), F.sum("epa_cnt").alias("n"), F.count(F.lit(1)).alias("g"))
-    d = done.select(F.col("season").alias("ds"), F.col("team").alias("dt"), F.col("starter").alias("dp"), F.col("slate").alias("dl"), "s", "n", "g")
-    met = named.join(d, (F.col("season") == F.col("ds")) & (F.col("team") == F.col("dt")) & (F.col("starter") == F.col("dp")) & (F.col("dl") < F.col("slate")), "left")
-    return met.groupBy("season", "slate", "team", "starter").agg(
-        portable_round(ratio(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)))).alias("starter_epa"), F.coalesce(F.sum("g"), F.lit(0)).alias("starts")
-    )
-
-
-def by_role(games: DataFrame, features: DataFrame, columns: list[str], how: str = "minus") -> DataFrame:
-    """Home's value less away's for each contest, by two joins on season, slate and team."""
-    def role(side: str) -> DataFrame:
-        return features.select(F.col("season").alias(f"{side}_s"), F.col("slate").alias(f"{side}_l"), F.col("team").alias(f"{side}_t"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
-
-    out = games
-    for side in ("home", "away"):
-        out = out.join(role(side), (F.col("season") == F.col(f"{side}_s")) & (F.col("slate") == F.col(f"{side}_l")) & (F.col(side) == F.col(f"{side}_t")), "left")
-    return out.select("game_id", "season", "slate", *[portable_round(F.col(f"home_{c}") - F.col(f"away_{c}")).alias(f"{c}_diff") for c in columns])

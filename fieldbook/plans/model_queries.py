@@ -186,17 +186,18 @@ def graph_degrees(spark, d):
 
 
 def _pagerank_sql(passes: int) -> str:
-    out = f"""WITH {_GRAPH}, fl AS (SELECT g, dst AS src, src AS dst, sum(w)::DOUBLE AS w FROM we GROUP BY ALL), f AS (SELECT g, src, dst, w / sum(w) OVER (PARTITION BY g, src) AS share FROM fl),
- nd AS (SELECT g, u, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, src AS u FROM fl UNION SELECT g, dst FROM fl)), r0 AS (SELECT g, u, n, 1.0::DOUBLE / n AS r FROM nd)"""
+    out = f"""WITH {_GRAPH}, fl AS (SELECT g, dst AS src, src AS dst, sum(w)::DOUBLE AS w FROM we GROUP BY ALL), f AS MATERIALIZED (SELECT g, src, dst, w / sum(w) OVER (PARTITION BY g, src) AS share FROM fl),
+ nd AS MATERIALIZED (SELECT g, u, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, src AS u FROM fl UNION SELECT g, dst FROM fl)), r0 AS (SELECT g, u, n, 1.0::DOUBLE / n AS r FROM nd)"""
     for k in range(passes):
         out += f""", l{k + 1} AS (SELECT g, sum(r) AS loose FROM r{k} ANTI JOIN (SELECT g, src AS u FROM f) USING (g, u) GROUP BY g), q{k + 1} AS (SELECT f.g, f.dst AS u, sum(r * share) AS got FROM r{k} r JOIN f ON f.g = r.g AND f.src = r.u GROUP BY ALL),
- r{k + 1} AS (SELECT nd.g, nd.u, n, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + coalesce(loose, 0) / n) AS r FROM nd LEFT JOIN q{k + 1} USING (g, u) LEFT JOIN l{k + 1} ON l{k + 1}.g = nd.g)"""
+ r{k + 1} AS MATERIALIZED (SELECT nd.g, nd.u, n, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + coalesce(loose, 0) / n) AS r FROM nd LEFT JOIN q{k + 1} USING (g, u) LEFT JOIN l{k + 1} ON l{k + 1}.g = nd.g)"""
     return out + f" SELECT g, u, {r('r', 6)} AS r FROM r{passes}"
 
 
-@query("g3_pagerank", _pagerank_sql(4))
+@query("g3_pagerank", _pagerank_sql(60))
 def graph_pagerank(spark, d):
-    return G.pagerank(G.win_edges(games_of(spark, d)), 4).withColumn("r", X.portable_round(F.col("r"), 6))
+    """To convergence, so that the passes that SQL goes on for change nothing."""
+    return G.pagerank(G.win_edges(games_of(spark, d)), 1e-9).withColumn("r", X.portable_round(F.col("r"), 6))
 
 
 @query("g4_neighbours", f"WITH {_GRAPH} SELECT b.g, b.u, count(*) AS opponents, {r('sum(x.rating)::DOUBLE / count(*) ')} AS near, {r('max(m.rating) - sum(x.rating)::DOUBLE / count(*)')} AS above FROM bw b JOIN rt x ON x.g = b.g AND x.u = b.v JOIN rt m ON m.g = b.g AND m.u = b.u GROUP BY ALL")

@@ -161,11 +161,7 @@ def columns_of(*names: str) -> list[str]:
 @query("m14_m18_m19_set_comparison")
 def set_comparison(spark, d):
     """Every named set of menus under expanding-year ridge logistic fits: pooled and by slices of the season."""
-    f = features_of(spark, d)
-    out = None
-    for name, menus in _SETS.items():
-        p = E.ridge_logistic_folds(f, columns_of(*menus)).withColumn("set", F.lit(name))
-        out = p if out is None else out.unionByName(p)
+    out = E.ridge_logistic_sets(features_of(spark, d), {n: columns_of(*m) for n, m in _SETS.items()})
     scored = out.withColumn("part", X.week_slice(F.col("slate")))
     n, e = F.count(F.lit(1)), (F.col("p") - F.col("won")) * (F.col("p") - F.col("won"))
     return scored.rollup("set", "part").agg(n.alias("n"), (F.sum(e) / n).alias("brier"), (F.sum(X.log_loss(F.col("p"), F.col("won"))) / n).alias("log_loss")).where("set is not null")

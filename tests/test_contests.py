@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
 from fieldbook.operators import evaluate as E
+from fieldbook.operators import form as FM
 from fieldbook.operators import graph as G
 from fieldbook.operators import history as H
 from fieldbook.operators import match as M
@@ -38,11 +39,23 @@ def by(df, *keys):
     return {tuple(r[k] for k in keys): r for r in df.collect()}
 
 
-def test_history_sees_only_earlier_slates(two):
-    f = by(H.side_features(two), "season", "slate", "team")
-    assert f[2020, 1, "a"].games == 0 and f[2020, 1, "a"].winpct == 0.5
+SNAP = "game_id long, team string, gap_sum long, gap_n long, clock_sum long, clock_n long, fg_att long, fg_made long, fg_yds long, fg_exp long, punt_n long, punt_yds long, plays long"
+
+
+def wide_of(spark, two):
+    """The wide rows of a small table, from its own ratings and Elo."""
+    before = R.before(two, R.adjusted(R.statistics(two, cutoffs=True), 5))
+    walk = R.elo(S.listed_games(two))
+    snaps = spark.createDataFrame([(g, t, 10 * g, g, 6, 2, 2, 1, 30, 150, 3, 120, 40) for g, t in [(r.game_id, r.team) for r in two.select("game_id", "team").collect()]], SNAP)
+    return FM.before_slate(FM.rows(two, before, walk, snaps), before)
+
+
+def test_history_sees_only_earlier_slates(spark, two):
+    f = by(wide_of(spark, two), "season", "slate", "team")
+    assert f[2020, 1, "a"].games == 0 and f[2020, 1, "a"].winpct == 0.5 and f[2020, 1, "a"].pom == -8.0 and f[2020, 1, "a"].elo == 1500
     assert f[2020, 2, "a"].games == 2 and f[2020, 2, "a"].winpct == 0.5 and f[2020, 2, "a"].avg_margin == -8.5
     assert f[2020, 3, "a"].rest == 1 and f[2021, 1, "a"].games == 0
+    assert f[2020, 2, "a"].snap_seconds == 10.0 and f[2020, 2, "a"].fg_residual == -0.25 and f[2020, 2, "a"].punt_rate == pytest.approx(3 / 43, abs=1e-4)
 
 
 @pytest.mark.parametrize("slate", [2, 3])
@@ -50,13 +63,12 @@ def test_no_feature_leaks(spark, two, slate):
     """Changing anything from a slate on changes no feature up to it."""
     other = [(s, w, g, h, a, hp + 50 * (w >= slate), ap) for s, w, g, h, a, hp, ap in GAMES if s == 2020]
     changed = spark.createDataFrame(two_sides(other), SIDE)
-    for make in (H.side_features, H.recent, H.point_ratings, lambda t: H.schedule_features(t, H.point_ratings(t))):
-        one, new = (sorted(map(tuple, make(t).where((F.col("season") == 2020) & (F.col("slate") <= slate)).collect())) for t in (two, changed))
-        assert one == new
+    one, new = (sorted(map(tuple, wide_of(spark, t).where((F.col("season") == 2020) & (F.col("slate") <= slate)).collect())) for t in (two, changed))
+    assert one == new
 
 
-def test_recent(two):
-    f = by(H.recent(two), "season", "slate", "team")
+def test_recent(spark, two):
+    f = by(wide_of(spark, two), "season", "slate", "team")
     r = f[2020, 4, "a"]
     assert r.streak == 2 and r.median_margin == 4.5
     v = 0.0
@@ -64,13 +76,54 @@ def test_recent(two):
         v = 0.45 * v + 0.55 * m
     assert r.ewma_margin == pytest.approx(v, abs=1e-3)
     assert f[2020, 1, "a"].median_margin == 0 and f[2020, 1, "a"].form4_win == 0.5
+    logs = [np.sign(m) * np.log1p(abs(m)) for m in (10, -27, 7, 2)]
+    assert r.log_margin == pytest.approx(np.mean(logs), abs=1e-3) and r.luck == pytest.approx(0.75 - np.mean([1 / (1 + np.exp(-m / 9.5)) for m in (10, -27, 7, 2)]), abs=1e-3)
+    walk = by(R.elo(S.listed_games(two)), "game_id")
+    assert r.elo == pytest.approx(walk[5,].home_before, abs=1e-3) and r.elo_momentum == pytest.approx(walk[5,].home_before - 1500, abs=1e-3)
+
+
+def test_ties_and_unknown_conferences(spark):
+    """A tie is the away side's; two unknown conferences aren't the same one."""
+    rows = [list(r) for r in two_sides([(2020, 1, 1, "a", "b", 7, 7), (2020, 2, 2, "a", "b", 9, 7)])]
+    for r in rows:
+        r[7] = r[8] = None
+    f = by(wide_of(spark, spark.createDataFrame([tuple(r) for r in rows], SIDE)), "slate", "team")
+    assert f[2, "a"].winpct == 0.0 and f[2, "b"].winpct == 1.0 and f[2, "a"].streak == -1
+    assert f[2, "a"].conf_winpct == 0.5 and f[2, "b"].out_winpct == 1.0
 
 
 def test_year_over_year_and_meetings(two):
-    assert by(H.head_to_head(two), "game_id")[5,].h2h == 10 and by(H.head_to_head(two), "game_id")[1,].h2h == 0
+    met = by(FM.last_meeting(two), "game_id")
+    assert met[1,].h2h == 0 and met[3,].h2h == -10 and met[5,].h2h == 7 and met[6,].h2h == -1
     assert by(H.year_over_year(two), "season", "slate", "team")[2020, 2, "a"].yoy_margin == 0
 
 
+def test_starters(spark, two):
+    passers = spark.createDataFrame([(1, "a", "x", 3, 60), (3, "a", "y", 2, 10), (4, "a", "y", 2, 30), (6, "a", "y", 1, 5)], "game_id long, team string, passer string, epa_cnt long, epa_sum long")
+    f = by(FM.starters(passers, two), "season", "slate", "team")
+    assert f[2020, 1, "a"].starter is None and f[2020, 2, "a"].starter == "x" and f[2020, 2, "a"].starter_epa == 20.0 and f[2020, 2, "a"].starter_change == 1.0
+    assert f[2020, 4, "a"].starter == "y" and f[2020, 4, "a"].starter_log == pytest.approx(np.log(3), abs=1e-4)
+    assert f[2021, 1, "a"].starter == "y" and f[2021, 1, "a"].starter_change == 0.0 and f[2021, 1, "a"].starter_last == 10.0 and f[2021, 1, "a"].starter_epa == 0.0
+
+
+def test_menus(spark, two):
+    wide = wide_of(spark, two).withColumns({c: F.lit(v) for c, v in {"srs": 2.0, "colley": 0.5, "glm": 0.3, "conf_pom": 0.0, "conf_elo": 1500.0, "power": 0, "yoy_margin": 0.0, "starter_epa": 0.0, "starter_change": 0.0, "starter_log": 0.0, "starter_last": 0.0}.items()})
+    m = by(FM.menu(FM.contests(two), wide, *FM.MENUS), "game_id")
+    h, a = (by(wide, "season", "slate", "team")[2020, 4, t] for t in "ab")
+    r = m[5,]
+    assert r.avg_margin_diff == pytest.approx(h.avg_margin - a.avg_margin, abs=1e-4) and r.h2h == 7.0 and r.glm_sum == 0.6 and r.srs_diff == 0.0
+    assert r.elo_tanh == pytest.approx(np.tanh((h.elo - a.elo) / 200), abs=1e-4) and r.log_pom == pytest.approx(np.sign(h.pom - a.pom) * np.log1p(abs(h.pom - a.pom)), abs=1e-4)
+    assert [len(x) for x in FM.MENUS.values()] == [10, 10, 18, 12, 10, 8, 4, 2, 1, 4, 7, 4]
+
+
+def test_carried_prior(two):
+    """Before a season's first slate the book is the last one's final; its rows then count as four contests."""
+    got = by(R.carried(two), "season", "cutoff", "team")
+    final, first = got[2020, 99, "a"], got[2021, 1, "a"]
+    assert first.off == final.off and first.pom == pytest.approx(final.pom) and first.games == 0
+    assert got[2021, 99, "c"]["off"] is not None and got[2021, 99, "a"].games == 1
+
+
 def test_garbage_and_money(spark):
     df = spark.createDataFrame([(1, 42, "$1,234"), (3, 27, "x"), (4, -22, None), (None, None, "7")], "p int, m int, t string")
     got = df.select(X.garbage(F.col("p"), F.col("m")).alias("g"), X.money(F.col("t")).alias("n")).collect()
@@ -82,7 +135,7 @@ def test_names(spark):
     assert df.k == "d andre smith jones jr" and df.p == "d andre smith jones"
     raw = spark.createDataFrame([("Ohio State Buckeyes",), ("Miami",), ("Zzz",)], "raw string")
     known = spark.createDataFrame([("Ohio State",), ("Ohio",), ("Miami (FL)",), ("Rice",)], "name string")
-    assert {r.raw: r.name for r in M.longest_prefix(raw, known).collect()} == {"Ohio State Buckeyes": "Ohio State", "Miami": "Miami (FL)"}
+    assert {r.raw: r.name for r in M.longest_prefix(raw, known).collect()} == {"Ohio State Buckeyes": "Ohio State", "Miami": "Miami (FL)"}  # no known name starts as Zzz does
 
 
 def test_prices(spark):
@@ -96,7 +149,7 @@ def test_adjusted_ratings_against_plain_loops(two):
     got = {r.team: r for r in R.adjusted(stats, 3).collect()}
     rows = [(t, o, 1 if home else -1, p * 10 / 30, q * 10 / 30) for _, s, _, h, a, hp, ap in [g for g in GAMES if g[0] == 2020] for t, o, home, p, q in ((h, a, True, hp, ap), (a, h, False, ap, hp)) for s in [s]]
     league = np.mean([r[3] for r in rows])
-    off, dfn, home = dict.fromkeys("abc", 0.0), dict.fromkeys("abc", 0.0), 0.02
+    off, dfn, home = dict.fromkeys("abc", 0.0), dict.fromkeys("abc", 0.0), R.START_HOME
     for _ in range(3):
         no = {t: np.mean([r[3] - dfn[r[1]] - league - home * r[2] for r in rows if r[0] == t]) for t in "abc"}
         nd = {t: np.mean([r[4] - off[r[1]] - league + home * r[2] for r in rows if r[0] == t]) for t in "abc"}
@@ -141,7 +194,40 @@ def test_graph(spark):
     d = G.distance_summary(e).first()
     assert d.diameter == 2 and d.radius == 1
     flow = e.select("g", F.col("a").alias("src"), F.col("b").alias("dst"), "w")
-    assert sum(r.r for r in G.pagerank(flow, 8).collect()) == pytest.approx(1.0)
+    assert sum(r.r for r in G.pagerank(flow).collect()) == pytest.approx(1.0)
+
+
+def test_ridge_folds_against_plain_newton(spark):
+    """All sets and folds at once give what a fit of each by itself does."""
+    rng = np.random.default_rng(3)
+    rows = [(i, 2000 + i % 3, 1, int(y * 5 - 2), int(y), *map(float, x)) for i, (x, y) in enumerate(zip(rng.normal(size=(240, 2)), rng.integers(0, 2, 240)))]
+    f = spark.createDataFrame(rows, "game_id long, season int, slate int, margin long, won int, u double, v double").repartition(3)
+    got = by(E.ridge_logistic_sets(f, {"one": ["u"], "two": ["u", "v"]}), "set", "game_id")
+    data = np.array([[r[1], r[4], r[5], r[6]] for r in rows])
+    for name, k in (("one", 1), ("two", 2)):
+        for year in (2001, 2002):
+            t, h = data[data[:, 0] < year], data[data[:, 0] == year]
+            mean, sd = t[:, 2 : 2 + k].mean(axis=0), t[:, 2 : 2 + k].std(axis=0)
+            z, b = np.hstack([np.ones((len(t), 1)), (t[:, 2 : 2 + k] - mean) / sd]), np.zeros(k + 1)
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-z @ b))
+                pen = np.diag([0.0] + [1.0] * k)
+                b = b + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pen, z.T @ (t[:, 1] - p) - pen @ b)
+            want = 1 / (1 + np.exp(-np.hstack([np.ones((len(h), 1)), (h[:, 2 : 2 + k] - mean) / sd]) @ b))
+            ids = [r[0] for r in rows if r[1] == year]
+            assert [got[name, i].p for i in ids] == pytest.approx(list(want), abs=1e-5)
+
+
+def test_platt_and_permutation(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=400)
+    won = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + 1.7 * z)))).astype(int)
+    p = spark.createDataFrame([(i, 2000, float(1 / (1 + np.exp(-x))), int(w), float(x)) for i, (x, w) in enumerate(zip(z, won))], "game_id long, season int, p double, won int, z double")
+    r = E.platt(p, ["season"]).first()
+    q = 1 / (1 + np.exp(-(r.a + r.b * z)))
+    assert abs((won - q).sum()) < 1e-5 and abs(((won - q) * z).sum()) < 1e-4 and r.n == 400
+    rise = E.permutation_importance(p, ["z"], lambda c: 1.0 / (1.0 + F.exp(-c("z")))).first()
+    assert rise.repeats == 5 and rise.increase > 0.02
 
 
 def test_line_log_stream_equals_batch(spark, tmp_path):
