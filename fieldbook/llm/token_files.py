@@ -28,7 +28,7 @@ from fieldbook.llm.tokens import ChunkEncoder
 SCALE = 20
 LANES = 8
 SEGMENT = 2048
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK32 = np.uint64(0xFFFFFFFF)
