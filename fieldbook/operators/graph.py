@@ -5,8 +5,6 @@ Undirected edges are (``g``, ``a`` < ``b``, ``w``); directed ones (``g``, ``src`
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,7 +69,7 @@ def components(e: DataFrame) -> DataFrame:
     now = _cut(pairs.select("g", "u").distinct().withColumn("label", F.col("u")))
     while True:
         near = pairs.join(now.select("g", F.col("u").alias("v"), F.col("label").alias("l")), ["g", "v"]).groupBy("g", "u").agg(F.min("l").alias("l"))
-        new = _cut(now.join(near, ["g", "u"]).select("g", "u", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved")))
+        new = _cut(now.join(near.hint("merge"), ["g", "u"]).select("g", "u", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("moved")))
         if not new.where("moved").take(1):
             return new.select("g", "u", "label")
         now = new.drop("moved")
@@ -85,7 +83,7 @@ def distances(e: DataFrame) -> DataFrame:
     while True:
         level += 1
         step = front.select("g", "s", "u").join(pairs, ["g", "u"]).select("g", "s", F.col("v").alias("u")).distinct()
-        front = _cut(step.join(seen, ["g", "s", "u"], "left_anti").withColumn("d", F.lit(level)))
+        front = _cut(step.join(seen.hint("merge"), ["g", "s", "u"], "left_anti").withColumn("d", F.lit(level)))
         if not front.take(1):
             return seen
         seen = _cut(seen.unionByName(front))
@@ -133,7 +131,7 @@ def spanning_tree(e: DataFrame) -> DataFrame:
     taken = None
     while True:
         la, lb = label.select("g", F.col("u").alias("a"), F.col("c").alias("ca")), label.select("g", F.col("u").alias("b"), F.col("c").alias("cb"))
-        cross = edges.join(la, ["g", "a"]).join(lb, ["g", "b"]).where("ca <> cb")
+        cross = edges.join(la.hint("merge"), ["g", "a"]).join(lb.hint("merge"), ["g", "b"]).where("ca <> cb")
         order = F.struct("w", F.struct("a", "b"))
         best = cross.select("g", F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "w", "ca", "cb").groupBy("g", "c").agg(F.max_by(F.struct("a", "b", "w", "ca", "cb"), order).alias("x"))
         new = _cut(best.select("g", "x.*").distinct())
@@ -142,67 +140,69 @@ def spanning_tree(e: DataFrame) -> DataFrame:
         taken = _cut((taken.unionByName(new.select("g", "a", "b", "w")) if taken is not None else new.select("g", "a", "b", "w")).distinct())
         merged = components(new.select("g", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w").distinct())
         m = merged.select("g", F.col("u").alias("c"), F.col("label"))
-        label = _cut(label.join(m, ["g", "c"], "left").select("g", "u", F.coalesce("label", "c").alias("c")))
+        label = _cut(label.join(m.hint("merge"), ["g", "c"], "left").select("g", "u", F.coalesce("label", "c").alias("c")))
+
+
+def betweenness(e: DataFrame) -> DataFrame:
+    """Share of shortest paths through each node, normalised: paths are counted outwards level by level, shares added up on the way back, all starts and graphs at once."""
+    near = _cut(both_ways(e).select("g", "u", "v"))
+    far = distances(e)
+    top = far.agg(F.max("d")).first()[0] or 0
+    level = lambda k: far.where(F.col("d") == k).select("g", "s", "u")
+    paths = [_cut(level(0).withColumn("n", F.lit(1.0)))]
+    for k in range(1, top + 1):
+        step = paths[-1].join(near.hint("merge"), ["g", "u"]).groupBy("g", "s", F.col("v").alias("u")).agg(F.sum("n").alias("n"))
+        paths.append(_cut(step.join(level(k).hint("merge"), ["g", "s", "u"])))
+    total, share = None, paths[top].withColumn("x", F.lit(0.0))
+    for k in range(top, 0, -1):
+        back = share.select("g", "s", F.col("u").alias("w"), ((1 + F.col("x")) / F.col("n")).alias("y")).join(near.select("g", F.col("v").alias("w"), "u").hint("merge"), ["g", "w"]).groupBy("g", "s", "u").agg(F.sum("y").alias("y"))
+        if k < top:
+            total = share if total is None else total.unionByName(share)
+        share = _cut(paths[k - 1].join(back.hint("merge"), ["g", "s", "u"], "left").select("g", "s", "u", "n", (F.col("n") * F.coalesce("y", F.lit(0.0))).alias("x")))
+    nodes = near.select("g", "u").distinct().withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("g")))
+    got = total.groupBy("g", "u").agg(F.sum("x").alias("x")) if total is not None else nodes.select("g", "u", F.lit(0.0).alias("x"))
+    out = nodes.join(got.hint("merge"), ["g", "u"], "left")
+    return out.select("g", "u", (F.coalesce("x", F.lit(0.0)) / F.greatest((F.col("size") - 1) * (F.col("size") - 2), F.lit(1))).alias("betweenness"))
+
+
+def bridges(e: DataFrame) -> DataFrame:
+    """Edges without which their ends are apart. Only edges of a spanning forest can be; each is left out while its first end's reach spreads."""
+    near = _cut(both_ways(e).select("g", "u", "v"))
+    tried = spanning_tree(e).select("g", "a", "b")
+    seen = _cut(tried.withColumn("u", F.col("a")))
+    front = seen
+    while True:
+        step = front.join(near.hint("merge"), ["g", "u"]).where("not (least(u, v) = a and greatest(u, v) = b)").select("g", "a", "b", F.col("v").alias("u")).distinct()
+        front = _cut(step.join(seen.hint("merge"), ["g", "a", "b", "u"], "left_anti"))
+        if not front.take(1):
+            break
+        seen = _cut(seen.unionByName(front))
+    return tried.join(seen.where("u = b").select("g", "a", "b").hint("merge"), ["g", "a", "b"], "left_anti")
 
 
-def structure(e: DataFrame) -> DataFrame:
-    """Betweenness, bridges at a node, and the Fiedler coordinate of each graph's largest component.
+def spectrum(e: DataFrame) -> DataFrame:
+    """Algebraic connectivity, Fiedler coordinate and a second one of the nodes of each graph's largest component of three nodes or more.
 
-    A graph is one group here; its adjacency must fit a task, as a season's schedule does.
+    A component is one group: its matrix, the square of its nodes, must fit a task, as a month's or season's schedule does.
     """
+    label = components(e)
+    size = label.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+    giant = size.where("n >= 3").groupBy("g").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
+    inside = label.join(giant.hint("merge"), ["g", "label"]).select("g", F.col("u").alias("a"))
+    edges = e.select("g", "a", "b").join(inside.hint("merge"), ["g", "a"])
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(g["a"]) | set(g["b"]))
-        at = {t: i for i, t in enumerate(names)}
-        n = len(names)
-        near: list[set[int]] = [set() for _ in names]
-        for a, b in zip(g["a"].map(at), g["b"].map(at)):
-            near[a].add(b)
-            near[b].add(a)
-        between, reach = np.zeros(n), []
-        for s in range(n):  # paths are counted outwards level by level, and shares added up on the way back
-            paths, dist, back, order, todo = np.zeros(n), np.full(n, -1), [[] for _ in names], [], deque([s])
-            paths[s], dist[s] = 1, 0
-            while todo:
-                u = todo.popleft()
-                order.append(u)
-                for v in near[u]:
-                    if dist[v] < 0:
-                        dist[v] = dist[u] + 1
-                        todo.append(v)
-                    if dist[v] == dist[u] + 1:
-                        paths[v] += paths[u]
-                        back[v].append(u)
-            share = np.zeros(n)
-            for v in reversed(order):
-                for u in back[v]:
-                    share[u] += paths[u] / paths[v] * (1 + share[v])
-                if v != s:
-                    between[v] += share[v]
-            reach.append(frozenset(order))
-        between /= max((n - 1) * (n - 2), 1)
-
-        def cut_off(a: int, b: int) -> bool:
-            seen, todo = {a}, [a]
-            while todo:
-                u = todo.pop()
-                for v in near[u]:
-                    if v not in seen and {u, v} != {a, b}:
-                        seen.add(v)
-                        todo.append(v)
-            return b not in seen
-
-        bridges = np.array([sum(cut_off(u, v) for v in near[u]) for u in range(n)])
-        giant = sorted(max(reach, key=lambda r: (len(r), -min(r))))
-        fiedler, connectivity = np.zeros(n), 0.0
-        if len(giant) >= 3:
-            lap = np.array([[len(near[u]) if u == v else -float(v in near[u]) for v in giant] for u in giant])
-            values, vectors = np.linalg.eigh(lap)
-            vec = vectors[:, 1] * (1 if vectors[np.argmax(np.abs(vectors[:, 1])), 1] > 0 else -1)
-            fiedler[giant], connectivity = vec, values[1]
-        return pd.DataFrame({"g": key[0], "u": names, "betweenness": between, "bridges": bridges, "fiedler": fiedler, "connectivity": connectivity})
-
-    return e.groupBy("g").applyInPandas(run, "g int, u string, betweenness double, bridges long, fiedler double, connectivity double")
+        i, j = (g[c].map({t: k for k, t in enumerate(names)}).to_numpy() for c in ("a", "b"))
+        lap = np.zeros((len(names), len(names)))
+        np.add.at(lap, (i, j), -1.0)
+        lap = lap + lap.T
+        lap -= np.diag(lap.sum(axis=1))
+        values, vectors = np.linalg.eigh(lap)
+        way = lambda v: v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
+        return pd.DataFrame({"g": key[0], "u": names, "connectivity": values[1], "fiedler": way(vectors[:, 1]), "second": way(vectors[:, 2])})
+
+    return edges.groupBy("g").applyInPandas(run, "g int, u string, connectivity double, fiedler double, second double")
 
 
 def distance_histogram(e: DataFrame) -> DataFrame:

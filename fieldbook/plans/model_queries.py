@@ -233,11 +233,35 @@ def graph_cycles(spark, d):
     return G.cycles(G.win_edges(games), node_ratings(games))
 
 
-@query("g13_spanning_tree")
+@query("g13_spanning_tree", f"""WITH RECURSIVE {_GRAPH}, e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, a DESC, b DESC) AS i FROM ue), x AS MATERIALIZED (SELECT g, a AS u, b AS v, i FROM e UNION ALL SELECT g, b, a, i FROM e),
+ rc AS (SELECT g, i, a AS u FROM e UNION SELECT rc.g, rc.i, x.v FROM rc JOIN x ON x.g = rc.g AND x.u = rc.u AND x.i < rc.i) SELECT g, a, b, w FROM e ANTI JOIN rc ON rc.g = e.g AND rc.i = e.i AND rc.u = e.b""")
 def graph_spanning_tree(spark, d):
     return G.spanning_tree(graph_edges(spark, d))
 
 
-@query("g10_g12_g15_structure")
-def graph_structure(spark, d):
-    return G.structure(graph_edges(spark, d))
+def _between_sql(levels: int) -> str:
+    out = f"""WITH RECURSIVE {_GRAPH}, bfs AS (SELECT DISTINCT g, u AS s, u, 0 AS d FROM bw UNION SELECT f.g, f.s, b.v, f.d + 1 FROM bfs f JOIN bw b ON b.g = f.g AND b.u = f.u WHERE f.d < {levels}),
+ sp AS MATERIALIZED (SELECT g, s, u, min(d) AS d FROM bfs GROUP BY ALL), n0 AS MATERIALIZED (SELECT g, s, u, 1.0::DOUBLE AS n FROM sp WHERE d = 0)"""
+    for k in range(1, levels + 1):
+        out += f""", n{k} AS MATERIALIZED (SELECT p.g, p.s, p.u, sum(q.n) AS n FROM sp p JOIN bw b ON b.g = p.g AND b.v = p.u JOIN n{k - 1} q ON q.g = p.g AND q.s = p.s AND q.u = b.u WHERE p.d = {k} GROUP BY ALL)"""
+    out += f", x{levels} AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS x FROM n{levels})"
+    for k in range(levels, 0, -1):
+        out += f""", x{k - 1} AS MATERIALIZED (SELECT p.g, p.s, p.u, any_value(p.n) AS n, any_value(p.n) * coalesce(sum((1 + q.x) / q.n), 0) AS x FROM n{k - 1} p LEFT JOIN (SELECT q.*, b.v FROM x{k} q JOIN bw b ON b.g = q.g AND b.u = q.u) q ON q.g = p.g AND q.s = p.s AND q.v = p.u GROUP BY p.g, p.s, p.u)"""
+    all_ = " UNION ALL ".join(f"SELECT g, u, x FROM x{k}" for k in range(1, levels + 1))
+    return out + f""" SELECT g, u, {r("coalesce(sum(x), 0) / greatest((n - 1) * (n - 2), 1)", 6)} AS betweenness FROM (SELECT g, u, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT g, u FROM bw)) LEFT JOIN ({all_}) USING (g, u) GROUP BY g, u, n"""
+
+
+@query("g10_betweenness", _between_sql(8))
+def graph_betweenness(spark, d):
+    return G.betweenness(graph_edges(spark, d)).withColumn("betweenness", X.portable_round("betweenness", 6))
+
+
+@query("g12_bridges", f"""WITH RECURSIVE {_GRAPH}, rc AS (SELECT g, a, b, a AS u FROM ue UNION SELECT rc.g, rc.a, rc.b, x.v FROM rc JOIN bw x ON x.g = rc.g AND x.u = rc.u WHERE NOT (least(x.u, x.v) = rc.a AND greatest(x.u, x.v) = rc.b))
+ SELECT g, a, b FROM ue ANTI JOIN rc ON rc.g = ue.g AND rc.a = ue.a AND rc.b = ue.b AND rc.u = ue.b""")
+def graph_bridges(spark, d):
+    return G.bridges(graph_edges(spark, d))
+
+
+@query("g15_spectrum")
+def graph_spectrum(spark, d):
+    return G.spectrum(graph_edges(spark, d))

@@ -189,8 +189,14 @@ def test_graph(spark):
     assert {(r.u, r.label) for r in G.components(e).collect()} == {(u, "a") for u in "abcd"} | {("x", "x"), ("y", "x")}
     assert G.triangles(e).first().triangles == 1
     assert {(r.a, r.b) for r in G.spanning_tree(e).collect()} == {("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")}
-    s = {r.u: r for r in G.structure(e.where("a <> 'x'")).collect()}
-    assert s["c"].bridges == 1 and s["a"].bridges == 0 and s["c"].betweenness == pytest.approx(4 / 6)
+    assert {(r.a, r.b) for r in G.bridges(e).collect()} == {("c", "d"), ("x", "y")}
+    s = {r.u: r.betweenness for r in G.betweenness(e.where("a <> 'x'")).collect()}
+    assert s == {"a": 0, "b": 0, "c": pytest.approx(4 / 6), "d": 0}
+    lap = np.array([[2, -1, -1, 0], [-1, 2, -1, 0], [-1, -1, 3, -1], [0, 0, -1, 1]])
+    f = {r.u: r for r in G.spectrum(e).collect()}
+    assert set(f) == set("abcd") and f["a"].connectivity == pytest.approx(np.linalg.eigvalsh(lap)[1])
+    v = np.array([f[x].fiedler for x in "abcd"])
+    assert np.allclose(lap @ v, f["a"].connectivity * v)
     d = G.distance_summary(e).first()
     assert d.diameter == 2 and d.radius == 1
     flow = e.select("g", F.col("a").alias("src"), F.col("b").alias("dst"), "w")
