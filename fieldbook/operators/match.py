@@ -112,3 +112,20 @@ def modal_token(texts: DataFrame, pattern: str, out: str) -> DataFrame:
     found = texts.select("team", F.regexp_extract("text", pattern, 1).alias(out)).where(F.col(out) != "")
     n = found.groupBy("team", out).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("team").agg(F.min_by(out, F.struct(-F.col("n"), out)).alias(out))
+
+
+def picks_cascade(picks: DataFrame, games: DataFrame) -> DataFrame:
+    """Picks (``pick``, ``game_id``, ``week``, ``away``, ``home``, ``name``) to games (with ``open``), by the first of five ways that gives one game.
+
+    0 by id; 1 by week and sides; 2 by sides, 3 by a side's name, 4 by a side's name among open games, these if only one game has it.
+    """
+    g = games.select(F.col("game_id").alias("gid"), F.col("week").alias("gw"), F.col("home").alias("gh"), F.col("away").alias("ga"), "open").hint("merge")
+    tier = lambda df, k: df.select("pick", "gid", F.lit(k).alias("tier"))
+    alone = lambda df: df.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pick"))).where("n = 1")
+    by_id = picks.join(g, F.col("game_id") == F.col("gid"))
+    sides = picks.join(g, (F.col("home") == F.col("gh")) & (F.col("away") == F.col("ga")))
+    one = games.select(F.col("game_id").alias("gid"), "open", F.explode(F.array("home", "away")).alias("side")).withColumn("side", name_key(F.col("side"))).hint("merge")
+    named = picks.withColumn("nk", name_key(F.col("name"))).join(one, F.col("nk") == F.col("side"))
+    out = tier(by_id, 0).unionByName(tier(sides.where("week = gw"), 1)).unionByName(tier(alone(sides), 2)).unionByName(tier(alone(named), 3)).unionByName(tier(alone(named.where("open")), 4))
+    w = Window.partitionBy("pick").orderBy("tier", "gid")
+    return out.withColumn("i", F.row_number().over(w)).where("i = 1").drop("i")

@@ -92,6 +92,15 @@ def leaders(plays: DataFrame, minimum: int = 3, limit: int = 60) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("average", portable_round(ratio(F.col("yards"), F.col("attempts"))))
 
 
+def passing_board(plays: DataFrame, minimum: int = 3, limit: int = 60) -> DataFrame:
+    """Passers by yards: attempts, completions (of ten yards or more), yards per attempt and rank."""
+    n = plays.where(F.col("pass") & scrimmage()).groupBy("season", "player", F.col("pos").alias("team")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum((F.col("yards") >= 10).cast("int")).alias("completions"), F.sum("yards").alias("yards"), F.sum("epa").alias("epa"),
+    ).where(F.col("attempts") >= minimum)
+    w = Window.partitionBy("season").orderBy(F.desc("yards"), F.desc("attempts"), "player", "team")
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("per_attempt", portable_round(ratio(F.col("yards"), F.col("attempts"))))
+
+
 def quarter_bundles(quarters: DataFrame) -> DataFrame:
     """Training rows made of quarter combinations, scaled to a whole contest; ties go. The real row comes first."""
     sets = [(q,) for q in range(1, 5)] + [(1, 2), (3, 4), (1, 3), (2, 4), (1, 2, 3), (2, 3, 4)]

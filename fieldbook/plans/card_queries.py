@@ -297,3 +297,51 @@ def model_catalog(spark, d):
     n = F.count(F.lit(1))
     s = house.unionByName(user).groupBy("model").agg(n.alias("n"), X.portable_round(F.sum((F.col("q") - F.col("won")) * (F.col("q") - F.col("won"))) / n, 5).alias("brier"), X.portable_round(F.sum(((F.col("q") >= 0.5) == (F.col("won") == 1)).cast("int")) / n).alias("rate"))
     return s.withColumn("place", F.row_number().over(Window.orderBy("brier", F.desc("rate"), "model")))  # a row for each model
+
+
+# ---------------------------------------------------------------- context
+
+
+@query("s18_context_events", f"""WITH {_CARDS} SELECT game_id, CASE WHEN game_id % 3 <> 0 THEN (game_id % 60)::DOUBLE END AS temperature, CASE WHEN game_id % 3 <> 0 THEN 'sky ' || game_id % 4 END AS sky, {r('CASE game_id % 2 WHEN 0 THEN (game_id % 99 + 1) / 100.0::DOUBLE ELSE (game_id % 99 + 1) / 100.0::DOUBLE END')} AS home_chance,
+ spread AS line, home || '|' || away AS passers FROM cards""")
+def context_events(spark, d):
+    """Nested JSON of each card, some parts missing, a percentage or a fraction, one name twice, flattened."""
+    from fieldbook.sources.context import SHAPE, parse_context
+
+    c = cards_of(spark, d)
+    percent = F.col("game_id") % 99 + 1
+    leader = lambda x, p: F.struct(F.col(x), F.lit(p)).cast("struct<name:string,position:string>")
+    weather = F.when(F.col("game_id") % 3 != 0, F.struct((F.col("game_id") % 60).cast("double"), F.concat(F.lit("sky "), F.col("game_id") % 4)))
+    chance = F.when(F.col("game_id") % 2 == 0, F.when(percent > 1, percent.cast("string")).otherwise("0.01")).otherwise((percent / 100.0).cast("string"))
+    payload = F.struct(weather, F.struct(F.struct(chance)), F.array(*[F.struct(F.lit(n), x).cast("struct<provider:string,spread:double>") for n, x in (("a", F.lit(None)), ("b", F.col("spread")))]),
+                       F.array(leader("home", "QB"), leader("away", "QB"), leader("home", "QB"), leader("away", "RB"))).cast(SHAPE)
+    out = parse_context(c.select("game_id", F.to_json(payload).alias("payload")))
+    return out.withColumn("passers", F.array_join("passers", "|")).withColumn("home_chance", X.portable_round("home_chance"))
+
+
+@query("st2_context_log", """WITH ev AS (SELECT user_id AS key, {'t': ts, 'i': event_id} AS a, CASE event_type WHEN 'view' THEN 'odds' WHEN 'click' THEN 'predictor' WHEN 'signup' THEN 'weather' WHEN 'error' THEN 'passers' ELSE 'lock' END AS kind, value FROM events WHERE NOT (user_id % 10 = 0 AND event_type <> 'purchase' AND event_id < 5000)),
+ lk AS (SELECT key, min(a) AS l FROM ev WHERE kind = 'lock' GROUP BY key), m AS (SELECT ev.*, l, l IS NULL OR a < l AS early FROM ev LEFT JOIN lk USING (key)),
+ g AS (SELECT key, max_by(value, a) FILTER (kind = 'weather' AND early) AS weather, max_by(value, a) FILTER (kind = 'predictor' AND early) AS predictor, max_by(value, a) FILTER (kind = 'odds' AND early) AS odds, max_by(value, a) FILTER (kind = 'passers' AND early) AS passers,
+  coalesce(bool_or(kind <> 'lock' AND early), false) AS had, min_by(kind, a) FILTER (kind <> 'lock' AND NOT early) AS lk, min_by(value, a) FILTER (kind <> 'lock' AND NOT early) AS lv, bool_or(l IS NOT NULL) AS locked FROM m GROUP BY key)
+ SELECT key, coalesce(weather, CASE WHEN NOT had AND lk = 'weather' THEN lv END) AS weather, coalesce(predictor, CASE WHEN NOT had AND lk = 'predictor' THEN lv END) AS predictor, coalesce(odds, CASE WHEN NOT had AND lk = 'odds' THEN lv END) AS odds, coalesce(passers, CASE WHEN NOT had AND lk = 'passers' THEN lv END) AS passers, locked FROM g""")
+def context_log_query(spark, d):
+    """Fields frozen at the lock; every tenth key has no record before it and takes its first one after."""
+    from fieldbook.sources.context import context_log
+
+    e = read(spark, d, "events").where("not (user_id % 10 = 0 and event_type <> 'purchase' and event_id < 5000)")
+    kind = F.when(F.col("event_type") == "view", "odds").when(F.col("event_type") == "click", "predictor").when(F.col("event_type") == "signup", "weather").when(F.col("event_type") == "error", "passers").otherwise("lock")
+    return context_log(e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), "value"))
+
+
+@query("j15_pick_cascade", f"""WITH {_CARDS}, g AS (SELECT game_id, season * 100 + slate AS week, home, away, NOT completed AS open FROM cards WHERE season = 2001 AND slate >= 5), p AS (SELECT game_id AS pick, CASE WHEN game_id % 5 = 0 THEN game_id END AS gid, CASE WHEN game_id % 5 = 1 THEN week END AS week, CASE WHEN game_id % 5 < 3 THEN home END AS home, CASE WHEN game_id % 5 < 3 THEN away END AS away, CASE WHEN game_id % 5 >= 3 THEN lower(replace(home, '_', ' ')) END AS name FROM g),
+ s AS (SELECT pick, g.game_id AS gid, p.week AS pw, g.week AS gw, count(*) OVER (PARTITION BY pick) AS n FROM p JOIN g ON g.home = p.home AND g.away = p.away),
+ nm AS (SELECT pick, game_id AS gid, open FROM p JOIN (SELECT game_id, open, unnest([home, away]) AS side FROM g) ON lower(replace(side, '_', ' ')) = name), n1 AS (SELECT *, count(*) OVER (PARTITION BY pick) AS n FROM nm), n2 AS (SELECT *, count(*) OVER (PARTITION BY pick) AS n FROM nm WHERE open),
+ t AS (SELECT pick, gid, 0 AS tier FROM p WHERE gid IS NOT NULL UNION ALL SELECT pick, gid, 1 FROM s WHERE pw = gw UNION ALL SELECT pick, gid, 2 FROM s WHERE n = 1 UNION ALL SELECT pick, gid, 3 FROM n1 WHERE n = 1 UNION ALL SELECT pick, gid, 4 FROM n2 WHERE n = 1)
+ SELECT pick, gid, tier FROM t QUALIFY row_number() OVER (PARTITION BY pick ORDER BY tier, gid) = 1""")
+def pick_cascade(spark, d):
+    from fieldbook.operators import match as M
+
+    g = cards_of(spark, d).where("season = 2001 and slate >= 5").select("game_id", (F.col("season") * 100 + F.col("slate")).alias("week"), "home", "away", (~F.col("completed")).alias("open"))
+    k = F.col("game_id") % 5
+    p = g.select(F.col("game_id").alias("pick"), F.when(k == 0, F.col("game_id")).alias("game_id"), F.when(k == 1, F.col("week")).alias("week"), F.when(k < 3, F.col("home")).alias("home"), F.when(k < 3, F.col("away")).alias("away"), F.when(k >= 3, F.lower(F.replace("home", F.lit("_"), F.lit(" ")))).alias("name"))
+    return M.picks_cascade(p, g)

@@ -353,3 +353,47 @@ def cost_pages(spark, d):
 def engine_counts(spark, d):
     g = S.listed_games(sides_of(spark, d))
     return g.groupBy("season", F.when(F.col("game_id") % 5 == 0, "prior").when(F.col("game_id") % 7 == 0, "carried").otherwise("logistic").alias("engine")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a35_passing_board", f"""WITH {PLAYS}, n AS (SELECT season, player, pos AS team, count(*) AS attempts, count(*) FILTER (yards >= 10) AS completions, sum(yards)::BIGINT AS yards, sum(epa)::BIGINT AS epa FROM plays WHERE pass AND pos_unit = 'Offense' GROUP BY ALL HAVING count(*) >= 3)
+ SELECT *, row_number() OVER (PARTITION BY season ORDER BY yards DESC, attempts DESC, player, team) AS rank, {div("yards", "attempts")} AS per_attempt FROM n QUALIFY rank <= 60""")
+def passing_board(spark, d):
+    from fieldbook.operators import snaps as N
+
+    return N.passing_board(plays_of(spark, d))
+
+
+@query("q8_average_after_catch", f"""WITH {PLAYS}, c AS (SELECT season, player, count(*) AS n, sum(yards - 20)::BIGINT AS y FROM plays WHERE pass AND yards >= 20 GROUP BY ALL HAVING count(*) >= 10)
+ SELECT season, player, n, {div("y", "n", places=2)} AS average, row_number() OVER (PARTITION BY season ORDER BY {div("y", "n", places=2)} DESC, player) AS place FROM c QUALIFY place <= 10""")
+def average_after_catch(spark, d):
+    """Players by the mean of what they gain past the first twenty yards, ten plays at least."""
+    c = plays_of(spark, d).where(F.col("pass") & (F.col("yards") >= 20)).groupBy("season", "player").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("yards") - 20).alias("y")).where("n >= 10")
+    c = c.select("season", "player", "n", X.portable_round(X.ratio(F.col("y"), F.col("n")), 2).alias("average"))
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("season").orderBy(F.desc("average"), "player"))).where("place <= 10")
+
+
+@query("a29_conference_elo", f"""WITH RECURSIVE {SIDES}, {book()}, {ELO}, e AS (SELECT season, team, arg_max(af, slate * 100000000 + game_id % 100000000) AS elo FROM elo_rows GROUP BY ALL), t AS (SELECT season, team, any_value(conf) AS conf, count(*) FILTER (margin > 0) AS w, count(*) FILTER (margin < 0) AS l FROM sides GROUP BY ALL)
+ SELECT t.season, conf, count(*) AS teams, {r("avg(coalesce(pom, 0) / 100.0::DOUBLE)", 2)} AS mean_pom, {r("avg(coalesce(elo, 1500.0))", 2)} AS mean_elo, sum(w)::BIGINT AS wins, sum(l)::BIGINT AS losses FROM t LEFT JOIN e USING (season, team) LEFT JOIN (SELECT season, team, pom FROM book WHERE cutoff = 99) b USING (season, team) GROUP BY ALL""")
+def conference_elo(spark, d):
+    """Means of final rating and Elo by conference, with summed records; an unknown team counts as 0 and 1500."""
+    t = sides_of(spark, d).groupBy("season", "team").agg(F.first("conf").alias("conf"), F.sum((F.col("margin") > 0).cast("int")).alias("w"), F.sum((F.col("margin") < 0).cast("int")).alias("l"))
+    t = t.join(R.elo_snapshots(walk_of(spark, d)).hint("merge"), ["season", "team"], "left").join(book_of(spark, d).where("cutoff = 99").select("season", "team", "pom").hint("merge"), ["season", "team"], "left")
+    return t.groupBy("season", "conf").agg(F.count(F.lit(1)).alias("teams"), X.portable_round(F.avg(F.coalesce("pom", F.lit(0.0)) / 100.0), 2).alias("mean_pom"), X.portable_round(F.avg(F.coalesce("elo", F.lit(1500.0))), 2).alias("mean_elo"), F.sum("w").alias("wins"), F.sum("l").alias("losses"))
+
+
+@query("q11_cross_search", f"""WITH e AS (SELECT 'team' AS kind, n_name AS name FROM nation UNION ALL SELECT 'player', c_name FROM customer UNION ALL SELECT 'draft', 'Order ' || o_orderkey FROM orders UNION ALL SELECT 'part', p_name || ' ' || p_partkey FROM part), s AS (SELECT kind, name, CASE WHEN {_KEY('name')} = 'order 12' THEN 0 WHEN contains({_KEY('name')}, 'order 12') THEN 1 WHEN split_part({_KEY('name')}, ' ', -1) = '12' THEN 2 END AS score FROM e)
+ SELECT * FROM s WHERE score IS NOT NULL ORDER BY score, kind, name LIMIT 20""")
+def cross_search(spark, d):
+    one = lambda k, t, c: read(spark, d, t).select(F.lit(k).alias("kind"), c.alias("name"))
+    e = one("team", "nation", F.col("n_name")).unionByName(one("player", "customer", F.col("c_name"))).unionByName(one("draft", "orders", F.concat(F.lit("Order "), "o_orderkey"))).unionByName(one("part", "part", F.concat("p_name", F.lit(" "), "p_partkey")))
+    return M.search(e, "Order 12")
+
+
+@query("s2_s3_module_scans", f"WITH {SIDES} SELECT season, sum(tempo)::BIGINT AS plays, count(*) AS games FROM games GROUP BY season")
+def module_scans(spark, d):
+    """Seasons scanned one by one with a short list of columns, a column that one lacks included, and put together again."""
+    from fieldbook.sources.contests import seasons
+
+    p = sides_of(spark, d).where("is_home").select("season", "game_id", "tempo")
+    parts = [p.where("season < 1998"), p.where("season >= 1998").withColumn("extra", F.lit(1))]
+    return seasons(parts).groupBy("season").agg(F.sum("tempo").alias("plays"), F.count(F.lit(1)).alias("games"))
