@@ -21,13 +21,13 @@ ELO_MEAN, ELO_K, ELO_HOME, ELO_CARRY = 1500.0, 20.0, 55.0, 0.75
 def statistics(two: DataFrame, cutoffs: bool = False) -> DataFrame:
     """Counts and sums for each pair and venue, of whole seasons (cutoff 99) and on request before each of their slates.
 
-    ``n`` contests have rates on both sides and count for those; ``games``, ``margin`` and ``wins`` take all.
+    ``n`` contests have rates on both sides and count for those; ``games``, ``margin`` and ``wins`` take all. A tie is the away side's win.
     """
     use = (F.col("off_n") > 0) & (F.col("opp_off_n") > 0)
     one = lambda x: F.sum(F.when(use, x).otherwise(0))
     per = two.groupBy("season", "slate", "team", "opponent", "div", F.when(F.col("is_home"), 1).otherwise(-1).alias("sign")).agg(
         one(1).alias("n"), one(F.col("off_sum") / F.col("off_n")).alias("off"), one(F.col("opp_off_sum") / F.col("opp_off_n")).alias("def"), one(F.col("st")).alias("st"), one(F.col("tempo")).alias("tempo"),
-        F.count(F.lit(1)).alias("games"), F.sum("margin").alias("margin"), F.sum((F.col("margin") > 0).cast("int")).alias("wins"),
+        F.count(F.lit(1)).alias("games"), F.sum("margin").alias("margin"), F.sum(((F.col("margin") > 0) | ((F.col("margin") == 0) & ~F.col("is_home"))).cast("int")).alias("wins"),
     )
     ends = two.select(F.col("season").alias("cs")).distinct().withColumn("cutoff", F.lit(99))
     if cutoffs:

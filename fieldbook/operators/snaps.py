@@ -112,9 +112,14 @@ def quarter_bundles(quarters: DataFrame) -> DataFrame:
     )
 
 
-def newest_bundles(bundles: DataFrame, cap: int) -> DataFrame:
-    """Whole bundles, newest contests first, until ``cap`` rows are reached; none is split."""
-    n = bundles.groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy(F.desc("game_id")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each contest
-    keep = n.withColumn("total", F.sum("n").over(upto)).where(F.col("total") <= cap).select("game_id")
+def newest_bundles(bundles: DataFrame, cap: int, per_block: int = 10_000) -> DataFrame:
+    """Whole bundles, newest contests first, until ``cap`` rows are reached; none is split.
+
+    Rows are counted by blocks of contest numbers first (a block of ``per_block`` numbers is a month), so no task orders all contests.
+    """
+    n = bundles.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("game_id") / per_block))
+    newer = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = n.groupBy(F.col("block").alias("b")).agg(F.sum("n").alias("rows")).select("b", F.coalesce(F.sum("rows").over(newer), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("block").orderBy(F.desc("game_id")).rowsBetween(Window.unboundedPreceding, 0)
+    keep = n.join(blocks.hint("merge"), F.col("block") == F.col("b")).withColumn("total", F.col("before") + F.sum("n").over(upto)).where(F.col("total") <= cap).select("game_id")
     return bundles.join(keep.hint("merge"), "game_id", "left_semi")

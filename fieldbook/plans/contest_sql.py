@@ -78,6 +78,10 @@ elo_rows AS (SELECT game_id, season, slate, home AS team, hb AS b, hb + move AS
 elo_at AS MATERIALIZED (SELECT season, slate, team, arg_min(b, game_id) AS elo FROM elo_rows GROUP BY ALL)"""
 
 
+#: The same with every season a pool of its own.
+ELO_BY_SEASON = ELO.replace("1500.0::DOUBLE + 0.75::DOUBLE * (x - 1500)", "1500.0::DOUBLE")
+
+
 def r(x: str, places: int = 4) -> str:
     """Rounding that both engines do alike."""
     k = 10**places

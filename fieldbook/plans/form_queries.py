@@ -148,13 +148,15 @@ yl AS (SELECT season, team, lag(mean) OVER (PARTITION BY team ORDER BY season) A
 yy AS MATERIALIZED (SELECT season, slate, team, {r("CASE WHEN was IS NOT NULL AND coalesce(g, 0) > 0 THEN m::DOUBLE / g - was ELSE 0.0 END")} AS yoy_margin FROM yc JOIN yl USING (season, team))"""
 _H2H = """hh AS MATERIALIZED (SELECT game_id, coalesce(last_value(margin) OVER (PARTITION BY team, opponent ORDER BY season * 100 + slate RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h2h, is_home FROM sides),
 gx AS MATERIALIZED (SELECT g.*, h2h, coalesce(home_conf = away_conf, false)::INT AS same_conf FROM games g JOIN hh ON hh.game_id = g.game_id AND hh.is_home)"""
-_ALL = f"""{_FORM}, {_CONF}, {_STARTERS}, {_YOY}, {_H2H}, wide AS MATERIALIZED (SELECT f.*, conf_pom, conf_elo, (conf IN {FM.POWER})::INT AS power, yoy_margin, starter_epa, starter_change, starter_log, starter_last
-  FROM form f JOIN (SELECT DISTINCT season, slate, team, conf FROM sides) s USING (season, slate, team) JOIN cf USING (conf, season, slate) JOIN yy USING (season, slate, team) JOIN starters USING (season, slate, team))"""
+def _wide(tables: str = "", columns: str = "", joins: str = "") -> str:
+    """All that menus need, with further tables, columns and joins."""
+    return f"""{_FORM}, {_CONF}, {_STARTERS}, {_YOY}, {_H2H}{tables}, wide AS MATERIALIZED (SELECT f.*{columns}, conf_pom, conf_elo, (conf IN {FM.POWER})::INT AS power, yoy_margin, starter_epa, starter_change, starter_log, starter_last
+  FROM form f JOIN (SELECT DISTINCT season, slate, team, conf FROM sides) s USING (season, slate, team) JOIN cf USING (conf, season, slate) JOIN yy USING (season, slate, team) JOIN starters USING (season, slate, team){joins})"""
 
 
-def menu_sql(*names: str) -> str:
+def menu_sql(*names: str, wide: str = "") -> str:
     columns = {k: v for n in names for k, v in FM.MENUS[n].items()}
-    return f"""WITH RECURSIVE {SIDES}, {_ALL} SELECT g.game_id, g.season, g.slate, {", ".join(f"{r(v)} AS {k}" for k, v in columns.items())} FROM gx g
+    return f"""WITH RECURSIVE {SIDES}, {wide or _wide()} SELECT g.game_id, g.season, g.slate, {", ".join(f"{r(v)} AS {k}" for k, v in columns.items())} FROM gx g
  JOIN wide h ON h.season = g.season AND h.slate = g.slate AND h.team = g.home JOIN wide a ON a.season = g.season AND a.slate = g.slate AND a.team = g.away"""
 
 
@@ -190,6 +192,33 @@ def elo_snapshots(spark, d):
     return R.elo_snapshots(walk_of(spark, d)).withColumn("elo", portable_round("elo", 3))
 
 
+#: Colley's system of each cutoff as a list of rows (coefficients, right side), eliminated column by column; the diagonal dominates, so no rows need be exchanged.
+_SOLVED = """sg AS MATERIALIZED (SELECT season, slate, team, opponent, count(*) AS n, sum(margin) AS m, count(*) FILTER (margin > 0 OR (margin = 0 AND NOT is_home)) AS w FROM sides GROUP BY ALL),
+sc AS (SELECT DISTINCT season, slate AS cutoff FROM sides UNION SELECT DISTINCT season, 99 FROM sides),
+pw AS MATERIALIZED (SELECT season, cutoff, team, opponent, sum(n)::DOUBLE AS n, sum(m)::DOUBLE AS m, sum(w)::DOUBLE AS w FROM sg JOIN sc USING (season) WHERE slate < cutoff GROUP BY ALL),
+tk AS MATERIALIZED (SELECT season, cutoff, team, row_number() OVER (PARTITION BY season, cutoff ORDER BY team) AS k, count(*) OVER (PARTITION BY season, cutoff) AS size, sum(n) AS n, sum(m) AS m, sum(w) AS w FROM pw GROUP BY season, cutoff, team),
+mx AS (SELECT season, cutoff, size, list(c ORDER BY k) AS c FROM (SELECT t.season, t.cutoff, any_value(t.size) AS size, t.k, list(CASE WHEN o.k = t.k THEN 2 + t.n ELSE -coalesce(p.n, 0) END ORDER BY o.k) || [any_value((2 + 2 * t.w - t.n) / 2)] AS c
+  FROM tk t JOIN tk o USING (season, cutoff) LEFT JOIN pw p ON p.season = t.season AND p.cutoff = t.cutoff AND p.team = t.team AND p.opponent = o.team GROUP BY t.season, t.cutoff, t.k) GROUP BY ALL),
+ge AS (SELECT season, cutoff, size, 1 AS i, c FROM mx UNION ALL SELECT season, cutoff, size, i + 1, list_transform(c, lambda x, j: CASE WHEN j = i THEN [y / x[i] FOR y IN x] ELSE list_transform(x, lambda y, q: y - x[i] / c[i][i] * c[i][q]) END) FROM ge WHERE i <= size),
+colley AS MATERIALIZED (SELECT t.season, t.cutoff, t.team, g.c[t.k][t.size + 1] AS colley FROM tk t JOIN ge g ON g.season = t.season AND g.cutoff = t.cutoff WHERE g.i = g.size + 1)"""
+
+
+_SRS = """mr AS (SELECT season, cutoff, size, list(c ORDER BY k) AS c FROM (SELECT t.season, t.cutoff, any_value(t.size) AS size, t.k, list(CASE WHEN t.k = t.size THEN 1.0::DOUBLE WHEN o.k = t.k THEN t.n ELSE -coalesce(p.n, 0) END ORDER BY o.k) || [any_value(CASE WHEN t.k = t.size THEN 0.0::DOUBLE ELSE t.m END)] AS c
+  FROM tk t JOIN tk o USING (season, cutoff) LEFT JOIN pw p ON p.season = t.season AND p.cutoff = t.cutoff AND p.team = t.team AND p.opponent = o.team GROUP BY t.season, t.cutoff, t.k) GROUP BY ALL),
+gr AS (SELECT season, cutoff, size, 1 AS i, c FROM mr UNION ALL SELECT season, cutoff, size, i + 1, list_transform(c, lambda x, j: CASE WHEN j = i THEN [y / x[i] FOR y IN x] ELSE list_transform(x, lambda y, q: y - x[i] / c[i][i] * c[i][q]) END) FROM gr WHERE i <= size),
+srs AS MATERIALIZED (SELECT t.season, t.cutoff, t.team, g.c[t.k][t.size + 1] AS srs FROM tk t JOIN gr g ON g.season = t.season AND g.cutoff = t.cutoff WHERE g.i = g.size + 1)"""
+
+
+@query("r4_srs", f"WITH RECURSIVE {SIDES}, {_SOLVED}, {_SRS} SELECT season, cutoff, team, {r('srs', 5)} AS srs FROM srs")
+def srs(spark, d):
+    return strengths_of(spark, d).select("season", "cutoff", "team", portable_round("srs", 5).alias("srs"))
+
+
+@query("r5_colley", f"WITH RECURSIVE {SIDES}, {_SOLVED} SELECT season, cutoff, team, {r('colley', 6)} AS colley FROM colley")
+def colley(spark, d):
+    return strengths_of(spark, d).select("season", "cutoff", "team", portable_round("colley", 6).alias("colley"))
+
+
 @query("r4_r6_strengths")
 def strengths(spark, d):
     return strengths_of(spark, d)
@@ -240,6 +269,9 @@ def _menu(*names: str):
 for _row, _names in (("f1_locked_menu", ["locked"]), ("f2_extras_menu", ["extras"]), ("f3_signal_menu", ["signal"]), ("f6_conference_menu", ["conference"]), ("f8_time_menu", ["time"]), ("f9_thin_menu", ["thin"]),
                      ("f10_pace_menu", ["pace"]), ("f11_specials_menu", ["specials"]), ("f12_passer_menu", ["passer"]), ("f14_extras_pace_specials", ["locked", "extras", "pace", "specials"])):
     QUERIES[_row], ORACLE_SQL[_row] = _menu(*_names), menu_sql(*_names)
-# Bradley-Terry and the linear systems behind these are solved to convergence, which SQL can't; tests hold them against plain versions.
-for _row, _names in (("f4_craft_menu", ["craft"]), ("f5_loso_menu", ["loso"]), ("f7_glm4_menu", ["glm4"]), ("f13_all_menus", list(FM.MENUS))):
+_STRONG = " LEFT JOIN {t} ON {t}.season = f.season AND {t}.cutoff = f.slate AND {t}.team = f.team"
+QUERIES["f4_craft_menu"] = _menu("craft")
+ORACLE_SQL["f4_craft_menu"] = menu_sql("craft", wide=_wide(f", {_SOLVED}, {_SRS}", ", coalesce(srs, 0.0) AS srs, coalesce(colley, 0.5) AS colley", _STRONG.format(t="srs") + _STRONG.format(t="colley")))
+# Bradley-Terry is fitted by Newton steps, which SQL can't repeat; tests hold it against a plain version.
+for _row, _names in (("f5_loso_menu", ["loso"]), ("f7_glm4_menu", ["glm4"]), ("f13_all_menus", list(FM.MENUS))):
     QUERIES[_row] = _menu(*_names)

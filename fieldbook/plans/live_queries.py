@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions import scalars as X
 from fieldbook.operators import match as M
 from fieldbook.plans.contest_queries import sides_of
-from fieldbook.plans.contest_sql import PLAYS, SIDES, r
+from fieldbook.plans.contest_sql import ELO_BY_SEASON, PLAYS, SIDES, r
 from fieldbook.operators import sides as S
 from fieldbook.sources import pages as P
 from fieldbook.sources.contests import contest_plays
@@ -87,14 +87,15 @@ def daily_card_stream(spark, d):
     return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query("st5_live_ratings_stream")
+@query("st5_live_ratings_stream", f"WITH RECURSIVE {SIDES}, {ELO_BY_SEASON} SELECT game_id, false AS late, {r('hb', 3)} AS home_before, {r('ab', 3)} AS away_before FROM walk")
 def live_ratings(spark, d):
     """Contests of the year's months as a stream into each season's pool."""
     games = S.listed_games(sides_of(spark, d)).select(F.col("season").alias("pool"), F.col("slate").alias("slate_no"), "game_id", "home", "away", "margin")
     path = scratch(spark)
     games.write.parquet(f"{path}/games")
     stream = spark.readStream.schema(games.schema).parquet(f"{path}/games")
-    return L.run_to_end(L.rating_stream(stream), spark, f"{path}/run")
+    out = L.run_to_end(L.rating_stream(stream), spark, f"{path}/run")
+    return out.select("game_id", "late", X.portable_round("home_before", 3).alias("home_before"), X.portable_round("away_before", 3).alias("away_before"))
 
 
 @query("j5_st4_score_stamp", f"""WITH {SIDES}, g AS (SELECT game_id, margin FROM sides WHERE is_home), p AS (SELECT game_id, 0.5::DOUBLE AS p, CASE WHEN game_id % 3 = 0 THEN NULL ELSE (game_id % 21 - 10)::DOUBLE END AS spread FROM g),
@@ -114,7 +115,7 @@ def page_rows(spark, d):
     return P.page_rows(read(spark, d, "pages")).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("s16_event_props", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+@query("x31_event_props", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def event_props(spark, d):
     return P.event_props(read(spark, d, "events"))
 
@@ -218,7 +219,7 @@ def catalog(spark, d):
     return sides_of(spark, d).groupBy("season").agg(F.countDistinct("game_id").alias("games"), F.countDistinct("team").alias("teams"), F.min("slate").alias("first_slate"), F.max("slate").alias("last_slate"))
 
 
-@query("a26_label_scores", f"""WITH p AS (SELECT l.doc_id, quality, toxic, n_chars, 1.0 / (1.0 + exp(-(n_chars - 500.0) / 900.0)) AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+@query("a18_label_metrics", f"""WITH p AS (SELECT l.doc_id, quality, toxic, n_chars, 1.0 / (1.0 + exp(-(n_chars - 500.0) / 900.0)) AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
  SELECT toxic, count(*) AS n, {r('sum((p - quality) * (p - quality)) / count(*)')} AS brier, {r('avg(((p >= 0.5) = (quality = 1))::INT)')} AS accuracy FROM p GROUP BY toxic""")
 def label_scores(spark, d):
     l, docs = read(spark, d, "labels"), read(spark, d, "documents").select(F.col("doc_id").alias("i"), "n_chars")

@@ -17,6 +17,10 @@ PLAY_TYPES = {
 }
 
 
+#: Rows up to which the table of nations is sent to all tasks.
+SMALL = 10_000
+
+
 def scan(spark: SparkSession, path: str, columns: Sequence[str], types: dict[str, str] = PLAY_TYPES) -> DataFrame:
     """The named columns of a Parquet log; those that the files lack are nulls of their type."""
     df = spark.read.parquet(path)
@@ -98,8 +102,9 @@ def contest_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_play_number": F.row_number().over(order), "period": F.ntile(4).over(order),
         "home_score": own, "away_score": F.sum(F.when(F.col("pos_k") != F.col("home_k"), F.col("points")).otherwise(0)).over(upto),
     })
+    small = nation.count() <= SMALL  # 25 nations; a larger table meets by shuffles
     for side in ("pos", "def", "home", "away"):
         names = nation.select(F.col("k").alias(f"{side}_nk"), F.col("name").alias(side), F.col("conf").alias(f"{side}_conf"), F.col("div").alias(f"{side}_div"))
-        df = df.join(F.broadcast(names), F.col(f"{side}_k") == F.col(f"{side}_nk"))  # 25 nations
+        df = df.join(F.broadcast(names) if small else names.hint("merge"), F.col(f"{side}_k") == F.col(f"{side}_nk"))
     margin = F.when(F.col("pos_k") == F.col("home_k"), F.col("home_score") - F.col("away_score")).otherwise(F.col("away_score") - F.col("home_score"))
     return df.withColumn("pos_margin", margin).drop("pos_nk", "def_nk", "home_nk", "away_nk", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

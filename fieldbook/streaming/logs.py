@@ -7,6 +7,7 @@ replaces one that is; ``start`` locks. Late events of a key are taken in the ord
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,7 +86,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def rating_stream(games: DataFrame) -> DataFrame:
-    """Live Elo: a pool's ratings are its state; contests of a slate older than the state's are marked late and move nothing."""
+    """Live Elo by margin of victory: a pool's ratings are its state; contests of a slate older than the state's are marked late and move nothing."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names, values, upto = state.get if state.exists else ([], [], -1)
@@ -96,7 +97,9 @@ def rating_stream(games: DataFrame) -> DataFrame:
             h, a = now.get(r.home, 1500.0), now.get(r.away, 1500.0)
             if not late:
                 upto = r.slate_no
-                move = 20.0 * ((1.0 if r.margin > 0 else 0.0) - 1 / (1 + 10 ** (-(h + 55.0 - a) / 400)))
+                ahead, won = h + 55.0 - a, r.margin > 0
+                by = math.log(abs(r.margin) + 1) * 2.2 / ((ahead if won else -ahead) * 0.001 + 2.2)
+                move = 20.0 * by * (float(won) - 1 / (1 + 10 ** (-ahead / 400)))
                 now[r.home], now[r.away] = h + move, a - move
             rows.append((r.game_id, late, h, a))
         state.update((list(now), list(now.values()), int(upto)))

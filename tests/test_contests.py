@@ -177,6 +177,22 @@ def test_linear_strengths(two):
         assert n * got[t].srs - sum(k * got[o].srs for o, k in opp) == pytest.approx(margin)
 
 
+def test_bradley_terry_before_each_slate(spark):
+    """Against Newton steps on a row for each contest, ties being the away side's."""
+    games = [*[g for g in GAMES if g[0] == 2020], (2020, 5, 9, "b", "c", 7, 7), (2020, 6, 10, "c", "a", 1, 0)]
+    two = spark.createDataFrame(two_sides(games), SIDE)
+    got = {(r.cutoff, r.team): r.glm for r in R.strengths(R.statistics(two, cutoffs=True)).collect()}
+    for cutoff in (3, 6, 99):
+        played = [g for g in games if g[1] < cutoff]
+        names = sorted({t for g in played for t in g[3:5]})
+        x = np.array([[(t == g[3]) - (t == g[4]) for t in names] for g in played], dtype=float)
+        y, b = np.array([float(g[5] > g[6]) for g in played]), np.zeros(len(names))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(names)), x.T @ (y - p) - b)
+        assert [got[cutoff, t] for t in names] == pytest.approx(list(b - b.mean()), abs=1e-6)
+
+
 def test_metrics_and_calibration(spark):
     p = spark.createDataFrame([(0.9, 3.0, 1, 7, -3.0), (0.2, -2.0, 1, 1, None), (1.0, 9.0, 1, 3, -3.0)], "p double, pred_margin double, won int, margin int, spread double")
     r = E.score(p).first()
