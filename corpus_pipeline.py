@@ -27,12 +27,14 @@ _LEFT: set[str] = set()
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage begins by removing what earlier ones wrote for themselves: its ``docs`` are written, so that is used up.
 
-    Folders that ``docs`` still reads from stay.
+    Folders that ``docs`` still reads from stay, and everything stays if ``docs`` isn't read from files (it may be a cached
+    result that would have to be made again).
     """
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        clear(spark, _LEFT, keep=docs.inputFiles())
+        if files := docs.inputFiles():
+            clear(spark, _LEFT, keep=files)
         before = written()
         out = work(spark, docs, sf_dir)
         _LEFT.intersection_update(written())
