@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import win_probability
+from fieldbook.sources.store import shared_folder
 
 #: Values are in hundredths of a point. An unknown team is eight points under the mean.
 PASSES, PRIOR_GAMES, START_HOME, UNKNOWN = 40, 4.0, 2.0, -800
@@ -88,6 +89,7 @@ def carried(two: DataFrame) -> DataFrame:
 
     At a season's first slate the book is the last final one itself. The final values of one season, a row for each team, go by the driver.
     """
+    shared_folder(two.sparkSession)  # for the checkpoints
     out, prior, pace = None, None, 0.0
     for (season,) in sorted(map(tuple, two.select("season").distinct().collect())):
         mine = two.where(F.col("season") == season)

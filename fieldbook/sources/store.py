@@ -32,6 +32,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/fieldbook-{uuid.uuid4().hex}"
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is whole and hasn't been removed meanwhile."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """``make()``, written the first time that a session asks for it, perhaps in folders of the column ``by``.
 
@@ -39,7 +45,7 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
     Spark chooses joins by them.
     """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
         path = f"{scratch(spark)}/{name}"
         writer = make().write
         (writer.partitionBy(by) if by else writer).parquet(path)
