@@ -209,6 +209,22 @@ gr AS (SELECT season, cutoff, size, 1 AS i, c FROM mr UNION ALL SELECT season, c
 srs AS MATERIALIZED (SELECT t.season, t.cutoff, t.team, g.c[t.k][t.size + 1] AS srs FROM tk t JOIN gr g ON g.season = t.season AND g.cutoff = t.cutoff WHERE g.i = g.size + 1)"""
 
 
+_P = lambda a, b: f"(1.0 / (1.0 + exp(-(x[{a}] - x[{b}]))))"
+#: Bradley-Terry: a dozen Newton steps on the pairs' counts, each an elimination, column by column; by then no step moves anything.
+_GLM = f"""gn AS (SELECT season, cutoff, any_value(size)::INT AS size, list(nr ORDER BY k) AS nm, list(wr ORDER BY k) AS wm FROM (SELECT t.season, t.cutoff, any_value(t.size) AS size, t.k, list(coalesce(p.n, 0.0) ORDER BY o.k) AS nr, list(coalesce(p.w, 0.0) ORDER BY o.k) AS wr
+  FROM tk t JOIN tk o USING (season, cutoff) LEFT JOIN pw p ON p.season = t.season AND p.cutoff = t.cutoff AND p.team = t.team AND p.opponent = o.team GROUP BY t.season, t.cutoff, t.k) GROUP BY ALL),
+nt AS (SELECT season, cutoff, size, nm, wm, 0 AS step, size + 1 AS i, [0.0::DOUBLE FOR y IN nm] AS x, [[0.0::DOUBLE FOR z IN range(size + 1)] FOR y IN nm] AS c FROM gn
+ UNION ALL SELECT season, cutoff, size, nm, wm, CASE WHEN i > size THEN step + 1 ELSE step END, CASE WHEN i > size THEN 1 ELSE i + 1 END, x, CASE WHEN i > size THEN list_transform(nm, lambda nr, k: list_transform(nr, lambda nn, o: CASE WHEN o = k THEN 1.0 + list_sum(list_transform(nr, lambda m, q: m * {_P("k", "q")} * (1 - {_P("k", "q")}))) ELSE -nn * {_P("k", "o")} * (1 - {_P("k", "o")}) END)
+   || [list_sum(list_transform(nr, lambda m, q: wm[k][q] - m * {_P("k", "q")})) - x[k]]) ELSE list_transform(c, lambda y, j: CASE WHEN j = i THEN [z / y[i] FOR z IN y] ELSE list_transform(y, lambda z, q: z - y[i] / c[i][i] * c[i][q]) END) END
+  FROM (SELECT season, cutoff, size, nm, wm, step, i, CASE WHEN i > size THEN list_transform(x, lambda v, j: v + c[j][size + 1]) ELSE x END AS x, c FROM nt WHERE step <= 12)),
+glm AS MATERIALIZED (SELECT t.season, t.cutoff, t.team, g.x[t.k] - list_avg(g.x) AS glm FROM tk t JOIN nt g ON g.season = t.season AND g.cutoff = t.cutoff WHERE g.step = 13 AND g.i = 1)"""
+
+
+@query("r6_bradley_terry", f"WITH RECURSIVE {SIDES}, {_SOLVED}, {_GLM} SELECT season, cutoff, team, {r('glm', 5)} AS glm FROM glm")
+def bradley_terry(spark, d):
+    return strengths_of(spark, d).select("season", "cutoff", "team", portable_round("glm", 5).alias("glm"))
+
+
 @query("r4_srs", f"WITH RECURSIVE {SIDES}, {_SOLVED}, {_SRS} SELECT season, cutoff, team, {r('srs', 5)} AS srs FROM srs")
 def srs(spark, d):
     return strengths_of(spark, d).select("season", "cutoff", "team", portable_round("srs", 5).alias("srs"))
@@ -219,11 +235,6 @@ def colley(spark, d):
     return strengths_of(spark, d).select("season", "cutoff", "team", portable_round("colley", 6).alias("colley"))
 
 
-@query("r4_r6_strengths")
-def strengths(spark, d):
-    return strengths_of(spark, d)
-
-
 @query("a16_a17_r10_rated_board", f"""WITH {SIDES}, {book()}, rec AS (SELECT season, team, count(*) FILTER (margin > 0) AS wins, count(*) FILTER (margin < 0) AS losses, count(*) AS played, sum(floor((1.0::DOUBLE / (1.0 + exp(-margin / 9.5::DOUBLE))) * 1000000 + 0.500001))::BIGINT AS e, sum((margin > 0)::INT) AS w FROM sides GROUP BY ALL),
  sos AS (SELECT s.season, s.team, sum(coalesce(floor(pom + 0.500001), -800))::BIGINT AS o FROM sides s LEFT JOIN book b ON b.season = s.season AND b.team = s.opponent AND b.cutoff = 99 GROUP BY ALL)
  SELECT b.season, b.team, wins, losses, played, {r('pom / 100.0::DOUBLE', 2)} AS pom, {r('adjo / 100.0::DOUBLE', 2)} AS adjo, {r('adjd / 100.0::DOUBLE', 2)} AS adjd, {r('tempo / 2', 2)} AS tempo, {r('(w - e / 1000000::DOUBLE) / played', 3)} AS luck, {r('o / (played * 100.0::DOUBLE)', 2)} AS sos,
@@ -270,8 +281,6 @@ for _row, _names in (("f1_locked_menu", ["locked"]), ("f2_extras_menu", ["extras
                      ("f10_pace_menu", ["pace"]), ("f11_specials_menu", ["specials"]), ("f12_passer_menu", ["passer"]), ("f14_extras_pace_specials", ["locked", "extras", "pace", "specials"])):
     QUERIES[_row], ORACLE_SQL[_row] = _menu(*_names), menu_sql(*_names)
 _STRONG = " LEFT JOIN {t} ON {t}.season = f.season AND {t}.cutoff = f.slate AND {t}.team = f.team"
-QUERIES["f4_craft_menu"] = _menu("craft")
-ORACLE_SQL["f4_craft_menu"] = menu_sql("craft", wide=_wide(f", {_SOLVED}, {_SRS}", ", coalesce(srs, 0.0) AS srs, coalesce(colley, 0.5) AS colley", _STRONG.format(t="srs") + _STRONG.format(t="colley")))
-# Bradley-Terry is fitted by Newton steps, which SQL can't repeat; tests hold it against a plain version.
-for _row, _names in (("f5_loso_menu", ["loso"]), ("f7_glm4_menu", ["glm4"]), ("f13_all_menus", list(FM.MENUS))):
-    QUERIES[_row] = _menu(*_names)
+_SYSTEMS = _wide(f", {_SOLVED}, {_SRS}, {_GLM}", ", coalesce(srs, 0.0) AS srs, coalesce(colley, 0.5) AS colley, coalesce(glm, 0.0) AS glm", "".join(_STRONG.format(t=t) for t in ("srs", "colley", "glm")))
+for _row, _names in (("f4_craft_menu", ["craft"]), ("f5_loso_menu", ["loso"]), ("f7_glm4_menu", ["glm4"]), ("f13_all_menus", list(FM.MENUS))):
+    QUERIES[_row], ORACLE_SQL[_row] = _menu(*_names), menu_sql(*_names, wide=_SYSTEMS)
