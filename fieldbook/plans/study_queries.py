@@ -89,10 +89,19 @@ def reapplied(spark, d):
     return twice.select("game_id", X.portable_round("raw_p", 6).alias("raw"), X.portable_round("p", 6).alias("p"))
 
 
-@query("m5_platt_by_season")
+def _platt_sql(steps: int) -> str:
+    out = f"""WITH {_PRED}, z AS MATERIALIZED (SELECT season, ln({_CL} / (1 - {_CL})) AS z, won FROM pred), s0 AS (SELECT season, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, count(*) AS n FROM z GROUP BY season)"""
+    q = "1.0 / (1.0 + exp(-(a + b * z)))"
+    for k in range(steps):
+        out += f""", t{k} AS (SELECT season, a, b, n, sum(won - {q}) AS ga, sum((won - {q}) * z) AS gb, sum({q} * (1 - {q})) AS haa, sum({q} * (1 - {q}) * z) AS hab, sum({q} * (1 - {q}) * z * z) AS hbb FROM s{k} JOIN z USING (season) GROUP BY ALL),
+ s{k + 1} AS MATERIALIZED (SELECT season, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b, n FROM t{k})"""
+    return out + f" SELECT season, {r('a', 5)} AS a, {r('b', 5)} AS b, n FROM s{steps}"
+
+
+@query("m5_platt_by_season", _platt_sql(15))
 def platt_by_season(spark, d):
     """Slope and intercept on the logit of each season, by Newton steps on five sums a step."""
-    return E.platt(predictions_of(spark, d), ["season"])
+    return E.platt(predictions_of(spark, d), ["season"]).select("season", X.portable_round("a", 5).alias("a"), X.portable_round("b", 5).alias("b"), "n")
 
 
 @query("m9_a24_promotion", f"""WITH {_PRED}, s AS (SELECT season, sum((p - won) * (p - won)) / count(*) AS a, sum((q - won) * (q - won)) / count(*) AS b, avg({_LOSS("p")}) AS la, avg({_LOSS("q")}) AS lb FROM (SELECT *, 1.0 / (1.0 + exp(-pred_margin / 40.0::DOUBLE)) AS q FROM pred) GROUP BY season)
