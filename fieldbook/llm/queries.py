@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens, warc
+from fieldbook.llm import new_queries
 from fieldbook.llm.common import read_table, shared_dir
 
 
@@ -170,3 +171,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = pipeline
+QUERIES |= new_queries.QUERIES
+ORACLE_SQL |= new_queries.ORACLE_SQL
