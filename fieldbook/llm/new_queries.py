@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import spelling
+from fieldbook.llm import interaction, spelling
 from fieldbook.llm.common import read_table
 
 
@@ -51,5 +51,45 @@ ends AS (SELECT walk.word, walk.root FROM walk JOIN f ON f.word = walk.root WHER
 SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)
 """
 
-QUERIES = {"op11_spelling_variants": op11_spelling_variants}
-ORACLE_SQL = {"op11_spelling_variants": OP11_SQL}
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = interaction.failures(read_table(spark, sf_dir, "documents"))
+    return interaction.audit(interaction.mask_counts(failed, read_table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, unnest(range(1, 6))::INT AS step FROM o),
+r AS (
+  SELECT part, array_to_string(o, '') AS filter_order, step, o[step] AS letter,
+    sum(n) FILTER (NOT list_has_any(fails, o[1:step])) AS kept,
+    sum(n) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS removed,
+    sum(n) FILTER (list_contains(fails, o[step]) AND list_has_any(fails, o[1:step - 1])) AS redundant,
+    sum(n) FILTER (fails = [o[step]]) AS unique_fails,
+    sum(good) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS good_lost,
+    sum(toxic) FILTER (list_contains(fails, o[step]) AND NOT list_has_any(fails, o[1:step - 1])) AS toxic_lost
+  FROM m, s GROUP BY part, o, step)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM r
+"""
+
+QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op13_filter_interaction": op13_filter_interaction}
+ORACLE_SQL = {"op11_spelling_variants": OP11_SQL, "op13_filter_interaction": OP13_SQL}
