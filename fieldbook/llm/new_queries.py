@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldbook.llm import interaction, spelling
+from fieldbook.llm import interaction, licenses, spelling
 from fieldbook.llm.common import read_table
 
 
@@ -91,5 +93,37 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 FROM r
 """
 
-QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op13_filter_interaction": op13_filter_interaction}
-ORACLE_SQL = {"op11_spelling_variants": OP11_SQL, "op13_filter_interaction": OP13_SQL}
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """Phrases by lists of words, templates as regular expressions over the words joined by spaces."""
+    places, wordings = [], []
+    for phrase, label in licenses.PHRASES.items():
+        words = licenses.words_in(phrase)
+        places.append(f"SELECT doc_id, i, '{label}' AS label FROM p WHERE w[i + 1:i + {len(words)}] = {words}")
+        wordings.append((label, words))
+    wordings += [(label, licenses.parse(t)) for label, t in licenses.TEMPLATES]
+    tests = [f"CASE WHEN regexp_matches(t, ' {licenses.as_regex(x)}') THEN {{'label': '{label}', 'm': {licenses.mandatory(x)}}} END" for label, x in wordings]
+    return rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+b AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM ({" UNION ALL ".join(places)}) GROUP BY doc_id),
+h AS (
+  SELECT doc_id, list_filter([{", ".join(tests)}], lambda x: x IS NOT NULL) AS hits
+  FROM (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS t FROM d))
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first AS first_word, last AS last_word, coalesce(labels, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label))), ',') AS labels,
+  coalesce(list_max(list_transform(hits, lambda x: x.m)) / (list_max(list_transform(hits, lambda x: x.m)) + 4.0)::DOUBLE, 0)::DOUBLE AS score
+FROM d JOIN h USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
+
+
+QUERIES = {"op12_license_scan": op12_license_scan, "op11_spelling_variants": op11_spelling_variants, "op13_filter_interaction": op13_filter_interaction}
+ORACLE_SQL = {"op12_license_scan": _license_sql(), "op11_spelling_variants": OP11_SQL, "op13_filter_interaction": OP13_SQL}
