@@ -1,4 +1,4 @@
-"""Ratings of sides: opponent-adjusted rates, Elo, and linear-system strengths.
+"""Ratings of sides: opponent-adjusted rates, linear-system strengths, and what is read off the Elo walk.
 
 Contests shrink to sufficient statistics in Spark (a row for each season, cutoff, side, opponent and venue); only these
 are iterated. The statistics of one season and cutoff, at most the square of its sides, are a group.
@@ -16,7 +16,6 @@ from fieldbook.sources.store import shared_folder
 
 #: Values are in hundredths of a point. An unknown team is eight points under the mean.
 PASSES, PRIOR_GAMES, START_HOME, UNKNOWN = 40, 4.0, 2.0, -800
-ELO_MEAN, ELO_K, ELO_HOME, ELO_CARRY = 1500.0, 20.0, 55.0, 0.75
 
 
 def statistics(two: DataFrame, cutoffs: bool = False) -> DataFrame:
@@ -117,34 +116,6 @@ def before(two: DataFrame, book: DataFrame) -> DataFrame:
     )
 
 
-def elo(games: DataFrame, pool: str | None = None) -> DataFrame:
-    """Elo by margin of victory, before and after each contest, in the order (season, slate, game_id).
-
-    Each contest depends on all earlier ones of its pool, so a pool is a group: one narrow row for a contest. Pools run
-    in parallel. A tie counts as a loss at home but its margin moves nothing. A new season draws back to the mean.
-    """
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["season", "slate", "game_id"])
-        now: dict[str, float] = {}
-        season, rows = None, []
-        for r in g.itertuples(index=False):
-            if season is not None and r.season != season:
-                now = {t: ELO_MEAN + ELO_CARRY * (e - ELO_MEAN) for t, e in now.items()}
-            season = r.season
-            h, a = now.get(r.home, ELO_MEAN), now.get(r.away, ELO_MEAN)
-            lead = h + ELO_HOME - a
-            won = 1.0 if r.margin > 0 else 0.0
-            gap = lead if won else -lead
-            move = ELO_K * np.log(abs(r.margin) + 1) * 2.2 / (gap * 0.001 + 2.2) * (won - 1 / (1 + 10 ** (-lead / 400)))
-            now[r.home], now[r.away] = h + move, a - move
-            rows.append((r.game_id, r.season, r.slate, r.home, r.away, h, a, h + move, a - move))
-        return pd.DataFrame(rows, columns=["game_id", "season", "slate", "home", "away", "home_before", "away_before", "home_after", "away_after"])
-
-    keyed = games.select("game_id", "season", "slate", "home", "away", "margin", (F.col(pool) if pool else F.lit(0)).alias("pool"))
-    return keyed.groupBy("pool").applyInPandas(fold, "game_id long, season int, slate int, home string, away string, home_before double, away_before double, home_after double, away_after double")
-
-
 def elo_snapshots(walk: DataFrame) -> DataFrame:
     """The last value of each side and season."""
     sides = walk.select("season", "slate", "game_id", F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("home_after").alias("elo")), F.struct(F.col("away").alias("team"), F.col("away_after").alias("elo")))).alias("s"))

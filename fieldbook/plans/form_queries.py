@@ -11,6 +11,7 @@ from fieldbook.operators import history as H
 from fieldbook.operators import ratings as R
 from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
+from fieldbook.operators.elo import elo as elo_walk
 from fieldbook.plans.contest_queries import _PASSERS, plays_of, sides_of
 from fieldbook.plans.contest_sql import ELO, SIDES, book, div, r
 from fieldbook.sources.store import stored
@@ -42,7 +43,7 @@ def before_of(spark: SparkSession, d: str) -> DataFrame:
 
 def walk_of(spark: SparkSession, d: str) -> DataFrame:
     """Elo before and after each contest."""
-    return stored(spark, d, "walk", lambda: R.elo(S.listed_games(sides_of(spark, d))))
+    return stored(spark, d, "walk", lambda: elo_walk(S.listed_games(sides_of(spark, d))))
 
 
 def snaps_of(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
+from fieldbook.operators.elo import elo
 from fieldbook.operators import evaluate as E
 from fieldbook.operators import form as FM
 from fieldbook.operators import graph as G
@@ -45,7 +46,7 @@ SNAP = "game_id long, team string, gap_sum long, gap_n long, clock_sum long, clo
 def wide_of(spark, two):
     """The wide rows of a small table, from its own ratings and Elo."""
     before = R.before(two, R.adjusted(R.statistics(two, cutoffs=True), 5))
-    walk = R.elo(S.listed_games(two))
+    walk = elo(S.listed_games(two))
     snaps = spark.createDataFrame([(g, t, 10 * g, g, 6, 2, 2, 1, 30, 150, 3, 120, 40) for g, t in [(r.game_id, r.team) for r in two.select("game_id", "team").collect()]], SNAP)
     return FM.before_slate(FM.rows(two, before, walk, snaps), before)
 
@@ -78,7 +79,7 @@ def test_recent(spark, two):
     assert f[2020, 1, "a"].median_margin == 0 and f[2020, 1, "a"].form4_win == 0.5
     logs = [np.sign(m) * np.log1p(abs(m)) for m in (10, -27, 7, 2)]
     assert r.log_margin == pytest.approx(np.mean(logs), abs=1e-3) and r.luck == pytest.approx(0.75 - np.mean([1 / (1 + np.exp(-m / 9.5)) for m in (10, -27, 7, 2)]), abs=1e-3)
-    walk = by(R.elo(S.listed_games(two)), "game_id")
+    walk = by(elo(S.listed_games(two)), "game_id")
     assert r.elo == pytest.approx(walk[5,].home_before, abs=1e-3) and r.elo_momentum == pytest.approx(walk[5,].home_before - 1500, abs=1e-3)
 
 
@@ -161,7 +162,7 @@ def test_adjusted_ratings_against_plain_loops(two):
 
 
 def test_elo_is_zero_sum_and_reverts(two):
-    walk = by(R.elo(S.listed_games(two)), "game_id")
+    walk = by(elo(S.listed_games(two)), "game_id")
     first = walk[1,]
     assert first.home_before == 1500 and first.home_after + first.away_after == pytest.approx(3000)
     assert walk[6,].away_before == pytest.approx(1500 + 0.75 * (walk[5,].home_after - 1500))
