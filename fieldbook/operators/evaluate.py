@@ -82,55 +82,12 @@ def promoted(brier_drop: Column, loss_delta: Column, better_years: Column, media
     return (brier_drop >= 0.002) & (loss_delta <= 0) & ((median < 0) | (better_years >= 8))
 
 
-def calibrations(p: Column, margin: Column, fitted: dict[str, float]) -> dict[str, Column]:
-    """A probability under every named calibration; the last three take a fitted parameter."""
-    clip = lambda e: F.least(F.greatest(p, F.lit(e)), F.lit(1 - e))
-    w = fitted["shrink"]
-    return {"identity": p, "clip05": clip(0.05), "clip10": clip(0.1), "temperature": temperature(p, margin, fitted["temperature"]), "sigma": sigma(p, margin, fitted["sigma"]), "shrink": (1 - w) * p + w * 0.5}
-
-
-def study(calibrated: DataFrame) -> DataFrame:
-    """Scores of each calibration (``name``, ``q``, ``won``) and their order: those that pass the bar first, then the fewest parameters, the lowest Brier score, the name."""
-    n = F.count(F.lit(1))
-    sc = calibrated.groupBy("name").agg(n.alias("n"), portable_round(F.sum((F.col("q") - F.col("won")) * (F.col("q") - F.col("won"))) / n, 5).alias("brier"), portable_round(F.avg(log_loss(F.col("q"), F.col("won"))), 5).alias("log_loss"))
-    base = sc.where("name = 'identity'").select(F.col("brier").alias("b0"), F.col("log_loss").alias("l0"))  # one row
-    drop = F.col("b0") - F.col("brier")
-    out = sc.crossJoin(F.broadcast(base)).withColumns({"passes": (drop >= 0.002) & (F.col("log_loss") <= F.col("l0")), "parameters": F.when(F.col("name").isin("identity", "clip05", "clip10"), 0).otherwise(1)})
-    place = F.row_number().over(Window.orderBy(F.desc("passes"), "parameters", "brier", "name"))  # a row for each calibration
-    return out.select("name", "n", "brier", "log_loss", portable_round(drop, 5).alias("brier_drop"), "passes", "parameters", place.alias("place"))
-
-
 def apply_kept(predictions: DataFrame, calibrate) -> DataFrame:
     """Calibrate ``p`` and keep it as ``raw_p``; where that is there already it is what is calibrated, so doing it again changes nothing."""
     raw = F.coalesce("raw_p", "p") if "raw_p" in predictions.columns else F.col("p")
     return predictions.withColumn("raw_p", raw).withColumn("p", calibrate(F.col("raw_p")))
 
 
-def platt(predictions: DataFrame, by: Sequence[str], steps: int = 25) -> DataFrame:
-    """Intercept and slope on the logit of each group by Newton's method; a step is one aggregate of five sums for each group."""
-    q = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = predictions.select(*by, logit(q).alias("z"), "won").persist()
-    now = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumns({"a": F.lit(0.0), "b": F.lit(1.0)})
-    rows = {tuple(r[k] for k in by): [0.0, 1.0, r["n"]] for r in now.collect()}  # a row for each group
-    for _ in range(steps):
-        table = predictions.sparkSession.createDataFrame([(*k, v[0], v[1]) for k, v in rows.items()], ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in by) + ", a double, b double")
-        met = data.join(F.broadcast(table), list(by))
-        p = 1.0 / (1.0 + F.exp(-(F.col("a") + F.col("b") * F.col("z"))))
-        w, e, z = p * (1 - p), F.col("won") - p, F.col("z")
-        moved = 0.0
-        for r in met.groupBy(*by).agg(F.sum(e).alias("ga"), F.sum(e * z).alias("gb"), F.sum(w).alias("haa"), F.sum(w * z).alias("hab"), F.sum(w * z * z).alias("hbb")).collect():
-            det = r["haa"] * r["hbb"] - r["hab"] ** 2
-            if det > 1e-12:
-                da, db = (r["hbb"] * r["ga"] - r["hab"] * r["gb"]) / det, (r["haa"] * r["gb"] - r["hab"] * r["ga"]) / det
-                v = rows[tuple(r[k] for k in by)]
-                v[0], v[1], moved = v[0] + da, v[1] + db, max(moved, abs(da), abs(db))
-        if moved < 1e-9:
-            break
-    data.unpersist()
-    kinds = ", ".join(f"{k} {predictions.schema[k].dataType.simpleString()}" for k in by)
-    return predictions.sparkSession.createDataFrame([(*k, *v) for k, v in rows.items()], kinds + ", a double, b double, n long")
-
-
 def promotion(predictions: DataFrame, base: str, candidate: str) -> DataFrame:
     """Both probabilities scored by season, and whether the fixed rule takes the candidate."""
     n = F.count(F.lit(1))

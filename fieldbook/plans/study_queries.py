@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
+from fieldbook.operators import calibrate as C
 from fieldbook.operators import evaluate as E
 from fieldbook.operators import form as FM
 from fieldbook.operators import graph as G
@@ -31,77 +32,97 @@ def query(name: str, sql: str | None = None):
 
 # ---------------------------------------------------------------- calibration
 
-_TEMPERATURES = [round(0.4 + 0.05 * i, 2) for i in range(43)]
-_SIGMAS = [6 + 0.5 * i for i in range(45)]
 _CL = "least(greatest(p, 1e-6), 1 - 1e-6)"
-_TEMPERED = lambda t: f"1.0 / (1.0 + exp(-ln({_CL} / (1 - {_CL})) / {t}))"
-_SIGMAED = lambda s: f"1.0 / (1.0 + exp(-pred_margin / {s}))"
-_best = lambda values, p, where: f"(SELECT value FROM (SELECT value, {r(f'avg({_LOSS(p)})', 9)} AS loss FROM pred, (SELECT unnest({values}::DOUBLE[]) AS value) WHERE {where} GROUP BY value) ORDER BY loss, value LIMIT 1)"
-_SHRINK = lambda where: f"(SELECT least(greatest(-sum((p - won) * (0.5 - p)) / sum((0.5 - p) * (0.5 - p)), 0.0), 0.5) FROM pred WHERE {where})"
-_FIT = f"""fit AS MATERIALIZED (SELECT season, {_best(_TEMPERATURES, _TEMPERED('value'), 'season < y.season')} AS temperature, {_best(_SIGMAS, _SIGMAED('value'), 'season < y.season')} AS sigma, {_SHRINK('season < y.season')} AS shrink FROM (SELECT 1999 AS season) y)""".replace("season < y.season", "season < 1999")
-_HOLD = f"{_PRED}, {_FIT}, hold AS (SELECT * FROM pred WHERE season >= 1999)"
+_SPLIT = 1999
+
+
+def _scale_sql(out: str, source: str, x: str, bounds: tuple[float, float]) -> str:
+    """The bracketing passes as a chain of tables that ends in ``out`` with ``season`` and ``s``."""
+    n = C.PROBES + 1
+    sql = f"""{out}x AS MATERIALIZED (SELECT season, {x} AS x, won FROM {source}), {out}0 AS (SELECT DISTINCT season, {1 / bounds[1]!r}::DOUBLE AS lo, {1 / bounds[0]!r}::DOUBLE AS hi FROM {out}x)"""
+    for k in range(C.PASSES):
+        sql += f""", {out}{k + 1} AS MATERIALIZED (SELECT season, lo + (hi - lo) * m / {n} AS lo, lo + (hi - lo) * (m + 1) / {n} AS hi FROM (SELECT season, lo, hi, count(*) FILTER (g <= 0) AS m FROM
+ (SELECT season, lo, hi, j, sum((1.0 / (1.0 + exp(-(lo + (hi - lo) * (j / {n}.0::DOUBLE)) * x)) - won) * x) AS g FROM {out}x JOIN {out}{k} USING (season), (SELECT unnest(range(1, {n})) AS j) GROUP BY ALL) GROUP BY ALL))"""
+    return f"{sql}, {out} AS (SELECT season, 2.0 / (lo + hi) AS s FROM {out}{C.PASSES})"
+
+
+def _newton_sql(out: str, source: str, steps: int = C.NEWTON) -> str:
+    """Platt's Newton steps as a chain that ends in ``out`` with ``season``, ``a`` and ``b``."""
+    q = "1.0 / (1.0 + exp(-(a + b * z)))"
+    sql = f"""{out}z AS MATERIALIZED (SELECT season, ln({_CL} / (1 - {_CL})) AS z, won FROM {source}), {out}0 AS (SELECT DISTINCT season, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM {out}z)"""
+    for k in range(steps):
+        sql += f""", {out}t{k} AS (SELECT season, a, b, sum(won - {q}) AS ga, sum((won - {q}) * z) AS gb, sum({q} * (1 - {q})) AS haa, sum({q} * (1 - {q}) * z) AS hab, sum({q} * (1 - {q}) * z * z) AS hbb FROM {out}{k} JOIN {out}z USING (season) GROUP BY ALL),
+ {out}{k + 1} AS MATERIALIZED (SELECT season, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM {out}t{k})"""
+    return f"{sql}, {out} AS (SELECT * FROM {out}{steps})"
+
+
+def _parameters_sql(out: str, source: str) -> str:
+    """All fitted numbers of the seasons of ``source``, unrounded."""
+    return f"""{_scale_sql(out + "t", source, f"ln({_CL} / (1 - {_CL}))", C.TEMPERATURES)}, {_scale_sql(out + "g", source, "pred_margin", C.SIGMAS)}, {_newton_sql(out + "p", source)},
+ {out}r AS (SELECT season, avg(won) AS rate FROM {source} GROUP BY season), {out}w AS (SELECT season, any_value(rate) AS rate, least(greatest(-sum((p - won) * (rate - p)) / sum((rate - p) * (rate - p)), 0.0), 0.5) AS w FROM {source} JOIN {out}r USING (season) GROUP BY season),
+ {out} AS MATERIALIZED (SELECT season, t.s AS temperature, g.s AS sigma, w AS shrink, rate, a, b FROM {out}t t JOIN {out}g g USING (season) JOIN {out}w USING (season) JOIN {out}p USING (season))"""
+
+
+_ROUNDED = ", ".join(f"{r(c, k)} AS {c}" for c, k in C.PLACES.items())
+#: Seasons before the split are one training group (0), the rest one holdout (1).
+_HOLD = f"{_PRED}, train AS (SELECT * REPLACE (0 AS season) FROM pred WHERE season < {_SPLIT}), hold AS (SELECT * REPLACE (1 AS season) FROM pred WHERE season >= {_SPLIT}), {_parameters_sql('ft', 'train')}"
 _APPLIED = {
-    "identity": "p", "clip05": "least(greatest(p, 0.05), 0.95)", "clip10": "least(greatest(p, 0.1), 0.9)", "temperature": _TEMPERED("(SELECT temperature FROM fit)"), "sigma": _SIGMAED("(SELECT sigma FROM fit)"),
-    "shrink": "(1 - (SELECT shrink FROM fit)) * p + (SELECT shrink FROM fit) * 0.5::DOUBLE",
+    "identity": "p", "clip05": "least(greatest(p, 0.05), 0.95)", "clip10": "least(greatest(p, 0.1), 0.9)", "temperature": f"1.0 / (1.0 + exp(-ln({_CL} / (1 - {_CL})) / temperature))", "sigma": "1.0 / (1.0 + exp(-pred_margin / sigma))",
+    "shrink": "(1 - shrink) * p + shrink * rate", "platt": f"1.0 / (1.0 + exp(-(a + b * ln({_CL} / (1 - {_CL})))))",
 }
-_SPLIT = 1999
 
 
-@query("m2_m3_m4_fitted", f"WITH {_PRED}, {_FIT} SELECT temperature, sigma, {r('shrink', 5)} AS shrink FROM fit")
+def split_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = predictions_of(spark, d)
+    return p.where(F.col("season") < _SPLIT), p.where(F.col("season") >= _SPLIT)
+
+
+def published(spark: SparkSession, d: str) -> DataFrame:
+    """The numbers fitted before the holdout, as they are published: one row."""
+    return stored(spark, d, "calibration", lambda: C.rounded(C.parameters(split_of(spark, d)[0])))
+
+
+@query("m2_m3_m4_fitted", f"WITH {_HOLD} SELECT {_ROUNDED} FROM ft")
 def fitted(spark, d):
-    """The parameters that do best before the holdout: each candidate is scored in one pass."""
-    train = predictions_of(spark, d).where(F.col("season") < _SPLIT)
-    best = lambda x, n: x.groupBy().agg(F.min_by("value", F.struct("loss", "value")).alias(n))
-    t, s = E.fit_grid(train, _TEMPERATURES, E.temperature, 9), E.fit_grid(train, _SIGMAS, E.sigma, 9)
-    one = best(t, "temperature").crossJoin(best(s, "sigma"))  # a row each
-    return one.crossJoin(E.shrink_weight(train, 9)).select("temperature", "sigma", X.portable_round("weight", 5).alias("shrink"))
+    """The numbers that do best before the holdout, by bracketing and Newton steps."""
+    return published(spark, d)
 
 
-def calibrated(spark: SparkSession, d: str) -> DataFrame:
-    """The holdout under every calibration but Platt's: ``name``, ``q``."""
-    f = fitted(spark, d).first()
-    train = predictions_of(spark, d).where(F.col("season") < _SPLIT)
-    shrink = E.shrink_weight(train, 12).first()[0]
-    hold = predictions_of(spark, d).where(F.col("season") >= _SPLIT)
-    q = E.calibrations(F.col("p"), F.col("pred_margin"), {"temperature": f["temperature"], "sigma": f["sigma"], "shrink": shrink})
-    return hold.select("game_id", "season", "slate", "won", "margin", "pred_margin", "spread", "p", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("q")) for n, c in q.items()])).alias("x")).select("*", F.col("x.name").alias("name"), F.col("x.q").alias("q")).drop("x")
+@query("m2_m3_m5_by_season", f"WITH {_PRED}, {_parameters_sql('fs', 'pred')} SELECT season, {_ROUNDED} FROM fs")
+def fitted_by_season(spark, d):
+    """The same for every season by itself, all seasons in each pass."""
+    return C.rounded(C.parameters(predictions_of(spark, d), ["season"]))
 
 
-_STUDY = f"""{_HOLD}, cal AS (SELECT season, won, pred_margin, name, q FROM (SELECT season, won, pred_margin, p, unnest({list(_APPLIED)}) AS name, unnest([{", ".join(_APPLIED.values())}]) AS q FROM hold)),
- sc AS (SELECT name, count(*) AS n, {r("sum((q - won) * (q - won)) / count(*)", 5)} AS brier, {r("avg(" + _LOSS("q") + ")", 5)} AS log_loss FROM cal GROUP BY name)"""
-_PARAMETERS = "CASE name WHEN 'identity' THEN 0 WHEN 'clip05' THEN 0 WHEN 'clip10' THEN 0 ELSE 1 END"
+_NAMES = lambda names, prefix="": ", ".join(f"{{'name': '{prefix}{n}', 'q': {_APPLIED[n]}}}" for n in names)
+_CAL = lambda source, out: f"""{out} AS (SELECT u.name, u.q, won FROM (SELECT won, unnest([{_NAMES(_APPLIED)}]) AS u FROM {source} CROSS JOIN pub) UNION ALL SELECT u.name, u.q, won FROM (SELECT won, unnest([{_NAMES(("temperature", "platt"), "oracle_")}]) AS u FROM {source} CROSS JOIN fh))"""
+_SCORES = lambda source: f"(SELECT name, count(*) AS n, {r('sum((q - won) * (q - won)) / count(*)', 5)} AS brier, {r('avg(' + _LOSS('q') + ')', 5)} AS log_loss FROM {source} GROUP BY name)"
+_FREE = "CASE regexp_replace(name, '^oracle_', '') " + " ".join(f"WHEN '{n}' THEN {k}" for n, k in C.FREE.items()) + " END"
 
 
-@query("m6_m7_m10_calibration_study", f"""WITH {_STUDY}, b AS (SELECT brier AS b0, log_loss AS l0 FROM sc WHERE name = 'identity') SELECT name, n, brier, log_loss, {r('b0 - brier', 5)} AS brier_drop, b0 - brier >= 0.002 AND log_loss <= l0 AS passes, {_PARAMETERS} AS parameters,
- row_number() OVER (ORDER BY (b0 - brier >= 0.002 AND log_loss <= l0) DESC, {_PARAMETERS}, brier, name) AS place FROM sc, b""")
+@query("m6_m7_m10_calibration_study", f"""WITH {_HOLD}, {_parameters_sql('fho', 'hold')}, fh AS (SELECT * EXCLUDE (season) FROM fho), pub AS (SELECT {_ROUNDED} FROM ft), {_CAL('hold', 'ch')}, {_CAL('train', 'ct')}, sc AS {_SCORES('ch')}, tr AS {_SCORES('ct')}, b AS (SELECT brier AS b0, log_loss AS l0 FROM sc WHERE name = 'identity'),
+ o AS (SELECT s.name, s.n, s.brier, s.log_loss, t.brier AS train_brier, t.log_loss AS train_log_loss, b0 - s.brier AS drop, s.name NOT LIKE 'oracle%' AND s.name <> 'identity' AND b0 - s.brier >= 0.002 AND s.log_loss <= l0 AS passes FROM sc s JOIN tr t USING (name), b)
+ SELECT name, n, brier, log_loss, train_brier, train_log_loss, {r('drop', 5)} AS brier_drop, passes, {_FREE} AS parameters, row_number() OVER (ORDER BY CASE WHEN passes THEN 2 WHEN name = 'identity' THEN 1 ELSE 0 END DESC, {_FREE}, brier, name) = 1 AS promoted FROM o""")
 def calibration_study(spark, d):
-    """Fitted before the holdout and scored on it: of those that pass, the fewest parameters come first, then the lowest Brier score."""
-    return E.study(calibrated(spark, d))
+    """Seven calibrations fitted before the holdout and scored on it and at home, with two ceilings fitted on the holdout itself."""
+    return C.study(*split_of(spark, d))
 
 
-@query("m8_reapplied", f"""WITH {_HOLD} SELECT game_id, {r('p', 6)} AS raw, {r(_APPLIED['temperature'], 6)} AS p FROM hold""")
+@query("m8_reapplied", f"""WITH {_HOLD}, pub AS (SELECT {_ROUNDED} FROM ft) SELECT game_id, {r('p', 6)} AS raw, {r(_APPLIED['temperature'], 6)} AS p FROM hold, pub""")
 def reapplied(spark, d):
     """A calibration applied twice is applied once: the raw probability is kept and taken each time."""
-    t = fitted(spark, d).first()["temperature"]
-    hold = predictions_of(spark, d).where(F.col("season") >= _SPLIT)
-    once = E.apply_kept(hold, lambda p: E.temperature(p, p, t))
-    twice = E.apply_kept(once, lambda p: E.temperature(p, p, t))
+    hold = split_of(spark, d)[1].crossJoin(F.broadcast(published(spark, d)))  # one row
+    once = E.apply_kept(hold, lambda p: C.applied(p, F.col("pred_margin"))["temperature"])
+    twice = E.apply_kept(once, lambda p: C.applied(p, F.col("pred_margin"))["temperature"])
     return twice.select("game_id", X.portable_round("raw_p", 6).alias("raw"), X.portable_round("p", 6).alias("p"))
 
 
-def _platt_sql(steps: int) -> str:
-    out = f"""WITH {_PRED}, z AS MATERIALIZED (SELECT season, ln({_CL} / (1 - {_CL})) AS z, won FROM pred), s0 AS (SELECT season, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, count(*) AS n FROM z GROUP BY season)"""
-    q = "1.0 / (1.0 + exp(-(a + b * z)))"
-    for k in range(steps):
-        out += f""", t{k} AS (SELECT season, a, b, n, sum(won - {q}) AS ga, sum((won - {q}) * z) AS gb, sum({q} * (1 - {q})) AS haa, sum({q} * (1 - {q}) * z) AS hab, sum({q} * (1 - {q}) * z * z) AS hbb FROM s{k} JOIN z USING (season) GROUP BY ALL),
- s{k + 1} AS MATERIALIZED (SELECT season, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b, n FROM t{k})"""
-    return out + f" SELECT season, {r('a', 5)} AS a, {r('b', 5)} AS b, n FROM s{steps}"
-
-
-@query("m5_platt_by_season", _platt_sql(15))
+@query("m5_platt_by_season", f"WITH {_PRED}, {_newton_sql('fp', 'pred')}, n AS (SELECT season, count(*) AS n FROM pred GROUP BY season) SELECT season, {r('a', 5)} AS a, {r('b', 5)} AS b, n FROM fp JOIN n USING (season)")
 def platt_by_season(spark, d):
     """Slope and intercept on the logit of each season, by Newton steps on five sums a step."""
-    return E.platt(predictions_of(spark, d), ["season"]).select("season", X.portable_round("a", 5).alias("a"), X.portable_round("b", 5).alias("b"), "n")
+    p = predictions_of(spark, d)
+    n = p.groupBy("season").agg(F.count(F.lit(1)).alias("n"))
+    return C.fit_platt(p, ["season"]).join(n.hint("merge"), "season").select("season", X.portable_round("a", 5).alias("a"), X.portable_round("b", 5).alias("b"), "n")
 
 
 @query("m9_a24_promotion", f"""WITH {_PRED}, s AS (SELECT season, sum((p - won) * (p - won)) / count(*) AS a, sum((q - won) * (q - won)) / count(*) AS b, avg({_LOSS("p")}) AS la, avg({_LOSS("q")}) AS lb FROM (SELECT *, 1.0 / (1.0 + exp(-pred_margin / 40.0::DOUBLE)) AS q FROM pred) GROUP BY season)

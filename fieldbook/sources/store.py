@@ -32,6 +32,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/fieldbook-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder and read from there: lineage is cut and the size is known."""
+    path = f"{scratch(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     """Whether a written table is whole and hasn't been removed meanwhile."""
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

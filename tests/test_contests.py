@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
 from fieldbook.operators.elo import elo
+from fieldbook.operators import calibrate as C
 from fieldbook.operators import evaluate as E
 from fieldbook.operators import form as FM
 from fieldbook.operators import graph as G
@@ -246,7 +247,7 @@ def test_platt_and_permutation(spark):
     z = rng.normal(size=400)
     won = (rng.random(400) < 1 / (1 + np.exp(-(0.4 + 1.7 * z)))).astype(int)
     p = spark.createDataFrame([(i, 2000, float(1 / (1 + np.exp(-x))), int(w), float(x)) for i, (x, w) in enumerate(zip(z, won))], "game_id long, season int, p double, won int, z double")
-    r = E.platt(p, ["season"]).first()
+    r = C.fit_platt(p, ["season"]).first()
     q = 1 / (1 + np.exp(-(r.a + r.b * z)))
     assert abs((won - q).sum()) < 1e-5 and abs(((won - q) * z).sum()) < 1e-4 and r.n == 400
     rise = E.permutation_importance(p, ["z"], lambda c: 1.0 / (1.0 + F.exp(-c("z")))).first()
