@@ -105,7 +105,7 @@ def triangles(e: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame, ratings: DataFrame, limit: int = 12) -> DataFrame:
     """Directed three-cycles, each set of teams once, by tension: how far losers were rated above winners."""
     one = edges.groupBy("g", "src", "dst").agg(F.max("w").alias("w"))
-    e = one.join(ratings.select("g", F.col("u").alias("src"), F.col("rating").alias("rs")), ["g", "src"]).join(ratings.select("g", F.col("u").alias("dst"), F.col("rating").alias("rd")), ["g", "dst"])
+    e = one.join(ratings.select("g", F.col("u").alias("src"), F.col("rating").alias("rs")).hint("merge"), ["g", "src"]).join(ratings.select("g", F.col("u").alias("dst"), F.col("rating").alias("rd")).hint("merge"), ["g", "dst"])
     e = e.select("g", "src", "dst", F.greatest(F.lit(0), F.col("rd") - F.col("rs")).alias("t"))
     x, y, z = (e.select(F.col("g").alias(f"g{i}"), F.col("src").alias(f"s{i}"), F.col("dst").alias(f"d{i}"), F.col("t").alias(f"t{i}")) for i in (1, 2, 3))
     met = x.join(y, (F.col("g1") == F.col("g2")) & (F.col("d1") == F.col("s2"))).join(z, (F.col("g1") == F.col("g3")) & (F.col("d2") == F.col("s3")) & (F.col("d3") == F.col("s1")))
@@ -119,7 +119,7 @@ def cycles(edges: DataFrame, ratings: DataFrame, limit: int = 12) -> DataFrame:
 def neighbours(edges: DataFrame, ratings: DataFrame) -> DataFrame:
     """Mean rating of distinct opponents beside one's own."""
     e = both_ways(undirected(edges)).select("g", "u", "v")
-    met = e.join(ratings.select("g", F.col("u").alias("v"), F.col("rating").alias("rv")), ["g", "v"])
+    met = e.join(ratings.select("g", F.col("u").alias("v"), F.col("rating").alias("rv")).hint("merge"), ["g", "v"])
     near = met.groupBy("g", "u").agg(F.count(F.lit(1)).alias("opponents"), F.sum("rv").alias("t"))
     return near.join(ratings.hint("merge"), ["g", "u"]).select("g", "u", "opponents", portable_round(F.col("t") / F.col("opponents")).alias("near"), portable_round(F.col("rating") - F.col("t") / F.col("opponents")).alias("above"))
 
