@@ -123,22 +123,18 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
     Rows are ranked inside blocks of the first order column, which ``cuts`` part; the rows of the earlier
     blocks, a few counts for each key, give each block its first number.
     """
-    first = F.col(order[0])
+    row = F.struct(*[c for c in df.columns if c != out])  # whole, so that no name of a column can clash
+    df = df.select(row.alias("_doc"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    own, by = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    first = F.col("_o0")
     block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < first)) if cuts else F.lit(0)
     df = df.withColumn("_block", F.when(first.isNull(), F.lit(-1)).otherwise(block))
-    counts = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    ranked = df.withColumn("_row", F.row_number().over(inside) - 1)
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_block") == F.col("_b")]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
+    counts = df.groupBy(*own, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"_s{k}") for k in own], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = df.withColumn("_row", F.row_number().over(Window.partitionBy(*own, "_block").orderBy(*by)) - 1)
+    on = F.col("_block") == F.col("_b")
+    for k in own:
+        on = on & (F.col(k) == F.col(f"_s{k}"))
     joined = ranked.join(starts.hint("shuffle_hash"), on)
-    return joined.withColumn(out, (F.col("_start") + F.col("_row")).cast("long")).drop(
-        "_block", "_b", "_row", "_start", *[f"_k{i}" for i in range(len(keys))]
-    )
+    return joined.select("_doc.*", (F.col("_start") + F.col("_row")).cast("long").alias(out))

@@ -1,6 +1,7 @@
 """Exact deduplication with two passes over a Bloom filter.
 
-Pass one turns each text's hash into a few bit positions. Every task packs its positions by chunk of the filter, each chunk is
+Pass one turns each text's hash into a few bit positions. Every task packs its positions by chunk of the filter, of each position two at most
+however many rows of the task have it, so a text that a third of all rows share weighs no more than one that two share. Each chunk is
 merged from what all tasks sent, and the bits that two rows or more set are kept. Pass
 two tests every row against these bits: a row with one bit that nobody else set is the only one with its text and
 goes straight through; only the others shuffle, and their full SHA-256 decides.
@@ -46,6 +47,11 @@ def positions(h: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     return np.stack(found).astype(np.int64)
 
 
+def at_most_two(p: np.ndarray) -> np.ndarray:
+    """Sorted positions without the third and further ones of a kind, which say nothing new."""
+    return p[np.r_[True, True, p[2:] != p[:-2]][: len(p)]]
+
+
 def repeated_bits(texts: DataFrame, text: str, bits: int, hashes: int) -> np.ndarray:
     """Bits that two rows or more set, as bytes. What reaches the driver is the filter, ``bits / 8`` bytes at most."""
 
@@ -53,7 +59,7 @@ def repeated_bits(texts: DataFrame, text: str, bits: int, hashes: int) -> np.nda
         held: list[np.ndarray] = []
 
         def flush() -> pd.DataFrame:
-            p = np.sort(positions(np.concatenate(held), bits, hashes).reshape(-1))
+            p = at_most_two(np.sort(positions(np.concatenate(held), bits, hashes).reshape(-1)))
             held.clear()
             chunk, at = np.unique(p // CHUNK_BITS, return_index=True)
             return pd.DataFrame({"chunk": chunk, "bits": [x.astype("<u4").tobytes() for x in np.split((p % CHUNK_BITS), at[1:])]})

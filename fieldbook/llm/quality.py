@@ -26,9 +26,12 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the five measures as longs."""
-    plain = F.coalesce(F.col(text), F.lit(""))
+    # The row is carried whole, so that no name of a column can clash.
+    row = F.struct(*[c for c in docs.columns if c not in MEASURES])
+    df = docs.select(row.alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    plain = F.col("_text")
     lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_words", words_of(F.col(text))).withColumn("_lines", lines)
+    df = df.withColumn("_words", words_of(plain)).withColumn("_lines", lines)
     df = df.withColumn("_n", F.size("_words"))
     # A hash for each three-word window; only texts in which one repeats go on to sort them.
     df = df.withColumn(
@@ -48,7 +51,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("array_sort(transform(filter(_s, (x, i) -> coalesce(x.h = get(_s, i - 1).h, false) or coalesce(x.h = get(_s, i + 1).h, false)), x -> x.p))"),
     )
     return df.select(
-        *[c for c in docs.columns if c not in MEASURES],
+        "_doc.*",
         F.col("_n").cast("long").alias("n_words"),
         (F.length(plain) - F.regexp_count(plain, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(plain, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -93,11 +96,12 @@ def with_hosts(rows: DataFrame, hosts: DataFrame, how: str = "inner") -> DataFra
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """Every row without its text: the measures, ``base_failed``, ``host_rate`` and ``kept``."""
-    narrow = with_base(measure(docs, text)).drop(text)
-    narrow = materialize(narrow.withColumn("_host", F.coalesce(F.col(host), F.lit(""))), "quality")
+    own = (text, *MEASURES, "base_failed", "host_rate", "kept")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in own]).alias("_row"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_whole"))
+    narrow = materialize(with_base(measure(rows, "_whole")).drop("_whole"), "quality")
     rates = materialize(host_rates(narrow, "_host").select(F.col("host").alias("_h"), F.col("rate").alias("host_rate")), "hosts")
-    met = with_hosts(narrow, rates).drop("_h", "_host")
-    return met.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_limit))
+    met = with_hosts(narrow, rates)
+    return met.select("_row.*", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= host_limit)).alias("kept"))
 
 
 def passing(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
