@@ -20,12 +20,13 @@ CAPACITY = 2048
 END_ID = 0
 
 
-#: What stages wrote to the shared folder for themselves and has not been removed.
-_LEFT: set[str] = set()
+#: Under this key a column of a stage's result says what the stage wrote to the shared folder for itself.
+SCRATCH = "fieldbook_scratch"
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage begins by removing what earlier ones wrote for themselves: its ``docs`` are written, so that is used up.
+    """A stage's result names what the stage wrote for itself, and Parquet keeps that with the columns. The stage that reads the
+    written result back removes just this: not what another run or stage wrote, and nothing before the result is written.
 
     Folders that ``docs`` still reads from stay, and everything stays if ``docs`` isn't read from files (it may be a cached
     result that would have to be made again).
@@ -33,13 +34,12 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if files := docs.inputFiles():
-            clear(spark, _LEFT, keep=files)
+        used = docs.schema[0].metadata.get(SCRATCH, [])
+        if used and (files := docs.inputFiles()):
+            clear(spark, used, keep=files)
         before = written()
         out = work(spark, docs, sf_dir)
-        _LEFT.intersection_update(written())
-        _LEFT.update(written() - before)
-        return out
+        return out.withMetadata(out.columns[0], {SCRATCH: sorted(written() - before)})
 
     return run_stage
 
@@ -71,10 +71,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes; texts without a repeat, null ones too, stay as they are.
     """
-    cut = substring_dedup.without_repeats(docs.withColumnRenamed("n_chars", "_n_chars"), with_text=True)
+    rows = docs.select("doc_id", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"), "text")  # no name can clash
+    cut = substring_dedup.without_repeats(rows, with_text=True)
     kept = cut.where("n_removed = 0 or n_removed < n_words")
-    n_chars = F.when(F.col("n_removed") == 0, F.col("_n_chars")).otherwise(F.length("text").cast("long"))
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars")
+    return kept.select(*[n_chars if c == "n_chars" else F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 @stage
