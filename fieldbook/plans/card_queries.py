@@ -17,7 +17,7 @@ from fieldbook.plans.form_queries import _BEFORE, book_of
 from fieldbook.plans.live_queries import _LINE, as_log, read
 from fieldbook.plans.model_queries import _PRED, predictions_of
 from fieldbook.sources import markets as MK
-from fieldbook.sources.store import stored
+from fieldbook.sources.store import scratch, stored
 from fieldbook.streaming import logs as L
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -333,6 +333,43 @@ def context_log_query(spark, d):
     return context_log(e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), "value"))
 
 
+_KINDS = {"view": "odds", "click": "predictor", "signup": "weather", "error": "passers"}
+
+
+@query("st2_st7_context_stream", f"""WITH ev AS (SELECT user_id AS key, {{'t': ts, 'i': event_id}} AS a, ts, event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} ELSE 'lock' END AS kind, value FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)),
+ lk AS (SELECT key, min(a) AS l FROM ev WHERE kind = 'lock' GROUP BY key), m AS (SELECT ev.*, l, l IS NULL OR a < l AS early FROM ev LEFT JOIN lk USING (key)),
+ o AS (SELECT key, value IS DISTINCT FROM lag(value) OVER w OR lag(a) OVER w IS NULL AS moved FROM m WHERE kind = 'odds' AND early WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)), sn AS (SELECT key, least(24, count(*) FILTER (moved))::INT AS snapshots FROM o GROUP BY key),
+ g AS (SELECT key, {", ".join(f"max_by(value, a) FILTER (kind = '{k}' AND early) AS {k}" for k in ("weather", "predictor", "odds", "passers"))}, bool_or(kind <> 'lock' AND early) AS had, min_by(kind, a) FILTER (kind <> 'lock' AND NOT early) AS lk, min_by(value, a) FILTER (kind <> 'lock' AND NOT early) AS lv, bool_or(l IS NOT NULL) AS locked, count(*) AS version FROM m GROUP BY key)
+ SELECT key, {", ".join(f"coalesce({k}, CASE WHEN NOT had AND lk = '{k}' THEN lv END) AS {k}" for k in ("weather", "predictor", "odds", "passers"))}, locked, coalesce(snapshots, 0) AS snapshots, version FROM g LEFT JOIN sn USING (key)""")
+def context_stream_query(spark, d):
+    """All events as a stream of context records, as far as the watermark has come: fields frozen at the lock, changes of the odds counted."""
+    from fieldbook.plans.live_queries import event_stream
+    from fieldbook.streaming import context
+
+    e = event_stream(spark, d)
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _KINDS.items()], F.lit("lock"))
+    out = context.run(e.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), "value"), spark, scratch(spark))
+    return out.withColumn("snapshots", F.size("snapshots"))
+
+
+@query("st3_st4_score_stream", f"""WITH {SIDES}, g AS (SELECT game_id, margin FROM sides WHERE is_home)
+ SELECT game_id, 0.5::DOUBLE AS p, coalesce(CASE WHEN game_id % 3 <> 0 THEN (game_id % 21 - 10)::DOUBLE END, CASE WHEN game_id % 2 = 0 THEN (game_id % 15 - 7)::DOUBLE END) AS spread, CASE WHEN game_id % 2 = 0 THEN margin::DOUBLE END AS actual, game_id % 3 = 0 AND game_id % 2 = 0 AS filled FROM g""")
+def score_stream(spark, d):
+    """Two reports of every second contest in micro-batches of their own, a line and then the score with another line, stamped onto frozen projections."""
+    from fieldbook.streaming import stamps
+
+    g = S.listed_games(sides_of(spark, d)).select("game_id", "margin")
+    proj = g.select("game_id", F.lit(0.5).alias("p"), F.when(F.col("game_id") % 3 != 0, (F.col("game_id") % 21 - 10).cast("double")).alias("spread"))
+    path = scratch(spark)
+    for k in (1, 2):
+        line = F.col("game_id") % 15 - 7 if k == 1 else F.col("game_id") % 9
+        score = F.when(F.lit(k == 2), F.col("margin").cast("double"))
+        g.where("game_id % 2 = 0").select("game_id", F.timestamp_seconds(F.lit(k)).alias("ts"), F.lit(k).cast("long").alias("id"), score.alias("margin"), line.cast("double").alias("spread")).coalesce(1).write.parquet(f"{path}/in/{k}")
+    schema = spark.read.parquet(f"{path}/in/1").schema
+    stamps.stamp_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*"), proj, path)
+    return stamps.stamped(proj, stamps.stamps_of(spark, path))
+
+
 @query("j15_pick_cascade", f"""WITH {_CARDS}, g AS (SELECT game_id, season * 100 + slate AS week, home, away, NOT completed AS open FROM cards WHERE season = 2001 AND slate >= 5), p AS (SELECT game_id AS pick, CASE WHEN game_id % 5 = 0 THEN game_id END AS gid, CASE WHEN game_id % 5 = 1 THEN week END AS week, CASE WHEN game_id % 5 < 3 THEN home END AS home, CASE WHEN game_id % 5 < 3 THEN away END AS away, CASE WHEN game_id % 5 >= 3 THEN lower(replace(home, '_', ' ')) END AS name FROM g),
  s AS (SELECT pick, g.game_id AS gid, p.week AS pw, g.week AS gw, count(*) OVER (PARTITION BY pick) AS n FROM p JOIN g ON g.home = p.home AND g.away = p.away),
  nm AS (SELECT pick, game_id AS gid, open FROM p JOIN (SELECT game_id, open, unnest([home, away]) AS side FROM g) ON lower(replace(side, '_', ' ')) = name), n1 AS (SELECT *, count(*) OVER (PARTITION BY pick) AS n FROM nm), n2 AS (SELECT *, count(*) OVER (PARTITION BY pick) AS n FROM nm WHERE open),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions import scalars as X
 from fieldbook.operators import calibrate as C
 from fieldbook.operators import evaluate as E
+from fieldbook.operators import folds as D
 from fieldbook.operators import form as FM
 from fieldbook.operators import graph as G
 from fieldbook.operators import sides as S
@@ -144,6 +145,35 @@ def folds(spark, d):
     return E.fold_sizes(predictions_of(spark, d))
 
 
+def fold_scores(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Contests of both top sides under fits of one kind of folds on the baseline's and the extras' columns: scores of each fold, raw and clipped."""
+    f = features_of(spark, d)
+    out = D.ridge_folds(f, columns_of("locked", "extras"), kind)
+    top = f.where("top").select("game_id")
+    n, e = F.count(F.lit(1)), lambda q: F.sum((q - F.col("won")) * (q - F.col("won"))) / F.count(F.lit(1))
+    clip = F.least(F.greatest("p", F.lit(0.05)), F.lit(0.95))
+    return out.join(top.hint("merge"), "game_id").groupBy("fold", "trained").agg(n.alias("n"), e(F.col("p")).alias("brier"), e(clip).alias("brier_clip"), F.avg(X.log_loss(F.col("p"), F.col("won"))).alias("log_loss"))
+
+
+@query("m12_leave_one_season_out")
+def leave_one_out(spark, d):
+    """Each season under a fit to all other seasons (an audit: later ones are among them)."""
+    return fold_scores(spark, d, "audit")
+
+
+@query("m11_expanding_years")
+def expanding_years(spark, d):
+    """Each season under a fit to the earlier ones."""
+    return fold_scores(spark, d, "expanding")
+
+
+@query("m1_m13_slate_walk")
+def slate_walk(spark, d):
+    """Each slate under a fit to all earlier slates: a probability for every contest that has enough before it."""
+    out = D.ridge_folds(features_of(spark, d), columns_of("locked", "extras"), "walk")
+    return out.select("game_id", "season", "slate", "won", "trained", X.portable_round("p", 6).alias("p"))
+
+
 @query("m21_equal_ensemble", f"WITH {_PRED} SELECT game_id, {r('(p + 1.0 / (1.0 + exp(-pred_margin / 9.5::DOUBLE)) + 0.5::DOUBLE) / 3')} AS p, {r('(pred_margin + hr - ar) / 2', 3)} AS margin FROM pred")
 def ensemble(spark, d):
     p = predictions_of(spark, d)

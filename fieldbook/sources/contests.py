@@ -45,15 +45,6 @@ def seasons(root_frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def build_once(spark: SparkSession, path: str, make, rebuild: bool = False) -> DataFrame:
-    """Read a stored table, or make and store it first."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if rebuild or not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def documents(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """JSON arrays kept as ``dataset=/season=`` folders; placeholder objects have nulls everywhere and go."""
     df = spark.read.schema(schema).option("multiLine", True).json(root)

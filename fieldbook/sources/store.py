@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where a session has written what, by application, source folder and name.
-_WRITTEN: dict[tuple[str, str, str], str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -39,22 +41,79 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _fs(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     """Whether a written table is whole and hasn't been removed meanwhile."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    done, fs = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(done)
+
+
+@lru_cache(maxsize=1)
+def _code() -> str:
+    """A digest of this library's own modules: a table made by other code isn't taken for this code's."""
+    root = Path(__file__).resolve().parents[1]
+    own = hashlib.sha256()
+    for f in sorted(root.rglob("*.py")):
+        own.update(f.relative_to(root).as_posix().encode() + f.read_bytes())
+    return own.hexdigest()
+
+
+def fingerprint(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of all files under a folder, as one digest: three levels of folders, a call for each."""
+    stated = []
+    for depth in ("", "/*", "/*/*", "/*/*/*"):
+        path, fs = _fs(spark, source + depth)
+        stated.append(spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.globStatus(path)))
+    return hashlib.sha256(re.sub(r"access_time=\d+", "", "".join(stated)).encode()).hexdigest()
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """What a stored table was made from; empty if there is none or it is damaged."""
+    where, fs = _fs(spark, f"{path}/_manifest.json")
+    if not fs.exists(where):
+        return {}
+    stream = fs.open(where)
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    except (ValueError, Py4JJavaError):
+        return {}
+    finally:
+        stream.close()
+
+
+def build_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], source: str | None = None, rebuild: bool = False, by: str | None = None, code: str = "") -> DataFrame:
+    """The table under ``path``, made if it isn't there, on request, or if its manifest tells of other source files or other code.
+
+    It is made beside its place, which it takes when it is whole; the manifest comes last. So a run that dies leaves a table that the next one makes anew.
+    """
+    wanted = {"source": source or "", "fingerprint": fingerprint(spark, source) if source else "", "code": code}
+    if not rebuild and _there(spark, path) and (not source or manifest(spark, path) == wanted):
+        return spark.read.parquet(path)
+    beside = f"{scratch(spark)}/made"
+    writer = make().write
+    (writer.partitionBy(by) if by else writer).parquet(beside)
+    place, fs = _fs(spark, path)
+    fs.delete(place, True)
+    fs.mkdirs(place.getParent())
+    if not fs.rename(_fs(spark, beside)[0], place):
+        raise OSError(f"{beside} can't be moved to {path}")
+    out = fs.create(_fs(spark, f"{path}/_manifest.json")[0], True)
+    out.write(bytearray(json.dumps(wanted).encode()))
+    out.close()
+    return spark.read.parquet(path)
 
 
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
-    """``make()``, written the first time that a session asks for it, perhaps in folders of the column ``by``.
+    """``make()``, written the first time that it is asked for, perhaps in folders of the column ``by``.
 
-    What has been written isn't made anew if the source's files change meanwhile. Sizes of what is read back are known, so
+    Its place in the shared folder follows from the source, the state of its files and this library's code, so any session that shares the folder finds it, and source files
+    that change lead to another place: no table answers for files that it wasn't made from. Sizes of what is read back are known, so
     Spark chooses joins by them.
     """
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _WRITTEN or not _there(spark, _WRITTEN[key]):
-        path = f"{scratch(spark)}/{name}"
-        writer = make().write
-        (writer.partitionBy(by) if by else writer).parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    state = hashlib.sha256(f"{source}\0{fingerprint(spark, source)}\0{_code()}".encode()).hexdigest()[:24]
+    return build_once(spark, f"{shared_folder(spark)}/fieldbook-stored-{state}/{name}", make, by=by)

@@ -8,6 +8,7 @@ from fieldbook.operators import people as P
 from fieldbook.sources import contests as C
 from fieldbook.sources import markets as K
 from fieldbook.sources import pages as G
+from fieldbook.sources import store as T1
 
 
 def test_scan_adds_missing_columns(spark, tmp_path):
@@ -25,7 +26,25 @@ def test_build_once(spark, tmp_path):
         return spark.range(3)
 
     for rebuild, n in ((False, 1), (False, 1), (True, 2)):
-        assert C.build_once(spark, f"{tmp_path}/t", make, rebuild).count() == 3 and len(made) == n
+        assert T1.build_once(spark, f"{tmp_path}/t", make, rebuild=rebuild).count() == 3 and len(made) == n
+
+
+def test_changed_sources_change_the_answer(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    spark.range(3).write.parquet(f"{source}/a.parquet")
+    make = lambda: spark.read.parquet(f"{source}/a.parquet")
+    read = lambda: (T1.stored(spark, source, "t", make).count(), T1.build_once(spark, f"{tmp_path}/out", make, source).count())
+    assert read() == (3, 3)
+    first = T1.fingerprint(spark, source)
+    assert read() == (3, 3) and T1.fingerprint(spark, source) == first and T1.manifest(spark, f"{tmp_path}/out")["fingerprint"] == first
+    spark.range(5).write.mode("overwrite").parquet(f"{source}/a.parquet")
+    assert read() == (5, 5) and T1.fingerprint(spark, source) != first
+    spark.range(1).write.parquet(f"{source}/b.parquet/part=1")  # a file more, three levels down
+    assert T1.manifest(spark, f"{tmp_path}/out")["fingerprint"] != T1.fingerprint(spark, source)
+    (tmp_path / "out" / "_manifest.json").write_text("{")
+    assert T1.manifest(spark, f"{tmp_path}/out") == {} and read() == (5, 5)
+    (tmp_path / "out" / "_SUCCESS").unlink()  # a run that died
+    assert read() == (5, 5) and (tmp_path / "out" / "_SUCCESS").exists()
 
 
 def test_documents_and_publish(spark, tmp_path):
