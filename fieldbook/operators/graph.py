@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import portable_round
-from fieldbook.sources.store import shared_folder
+from fieldbook.sources.store import shared_folder, written
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -165,31 +165,74 @@ def betweenness(e: DataFrame) -> DataFrame:
     return out.select("g", "u", (F.coalesce("x", F.lit(0.0)) / F.greatest((F.col("size") - 1) * (F.col("size") - 2), F.lit(1))).alias("betweenness"))
 
 
-def bridges(e: DataFrame) -> DataFrame:
-    """Edges without which their ends are apart. Only edges of a spanning forest can be; each is left out while its first end's reach spreads."""
-    near = _cut(both_ways(e).select("g", "u", "v"))
-    tried = spanning_tree(e).select("g", "a", "b")
-    seen = _cut(tried.withColumn("u", F.col("a")))
-    front = seen
+def rooted(e: DataFrame) -> DataFrame:
+    """``g``, ``u``, ``root``, ``depth`` and ``parent``: the forest of shortest paths from the smallest node of each component, whose own parent is null.
+
+    Each node takes the least of what its neighbours offer (root, depth, parent) until none changes, some two passes a level.
+    """
+    pairs = _cut(both_ways(e.where("a <> b")).select("g", "u", "v").distinct())
+    now = _cut(pairs.select("g", "u").distinct().withColumn("at", F.struct(F.col("u").alias("root"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))))
     while True:
-        step = front.join(near.hint("merge"), ["g", "u"]).where("not (least(u, v) = a and greatest(u, v) = b)").select("g", "a", "b", F.col("v").alias("u")).distinct()
-        front = _cut(step.join(seen.hint("merge"), ["g", "a", "b", "u"], "left_anti"))
-        if not front.take(1):
-            break
-        seen = _cut(seen.unionByName(front))
-    return tried.join(seen.where("u = b").select("g", "a", "b").hint("merge"), ["g", "a", "b"], "left_anti")
+        offer = F.struct(F.col("at.root").alias("root"), (F.col("at.depth") + 1).alias("depth"), F.col("v").alias("parent"))
+        near = pairs.join(now.select("g", F.col("u").alias("v"), "at").hint("merge"), ["g", "v"]).groupBy("g", "u").agg(F.min(offer).alias("to"))
+        new = _cut(now.join(near.hint("merge"), ["g", "u"]).select("g", "u", F.least("at", "to").alias("at"), (F.col("to") < F.col("at")).alias("moved")))
+        if not new.where("moved").take(1):
+            return new.select("g", "u", "at.*")
+        now = new.drop("moved")
+
+
+def below(tree: DataFrame, columns: list[str]) -> DataFrame:
+    """``tree`` (``g``, ``u``, ``parent``, ``columns``) with each column's exclusive or over the node and all below it.
+
+    By doubling: a node knows what lies less than 2^k steps under it and who stands 2^k steps above it, and those exactly 2^k steps
+    under it tell theirs, so a tree of depth d takes log2(d) passes.
+    """
+    now = tree.select("g", "u", F.col("parent").alias("up"), *columns)
+    while True:
+        now = _cut(now)
+        if not now.where("up is not null").take(1):
+            return tree.drop(*columns).join(now.select("g", "u", *columns).hint("merge"), ["g", "u"])
+        told = now.where("up is not null").groupBy("g", F.col("up").alias("u")).agg(*[F.bit_xor(c).alias(f"{c}_told") for c in columns])
+        above = now.select("g", F.col("u").alias("up"), F.col("up").alias("next"))
+        more = now.join(told.hint("merge"), ["g", "u"], "left").join(above.hint("merge"), ["g", "up"], "left")
+        now = more.select("g", "u", F.col("next").alias("up"), *[F.col(c).bitwiseXOR(F.coalesce(f"{c}_told", F.lit(0).cast("long"))).alias(c) for c in columns])
 
 
-def spectrum(e: DataFrame) -> DataFrame:
+def bridges(e: DataFrame) -> DataFrame:
+    """Edges without which their ends are apart: ``g``, ``a`` < ``b``.
+
+    Only edges of a spanning forest can be. Each other edge has a label of 128 bits, which both its ends hold; over the nodes under a
+    tree's edge the labels of edges that stay inside cancel out, so nothing is left if and only if no other edge leads out. That
+    two labels or more cancel by chance has odds of 2^-128 an edge. Edges given twice count once.
+    """
+    edges = e.where("a <> b").select("g", "a", "b").distinct()
+    forest = rooted(e)
+    tree = forest.where("parent is not null").select("g", F.least("u", "parent").alias("a"), F.greatest("u", "parent").alias("b"))
+    label = [F.xxhash64(F.lit(k), "g", "a", "b").alias(f"l{k}") for k in (0, 1)]
+    other = edges.join(tree.hint("merge"), ["g", "a", "b"], "left_anti").select("g", F.explode(F.array("a", "b")).alias("u"), *label)
+    held = other.groupBy("g", "u").agg(F.bit_xor("l0").alias("l0"), F.bit_xor("l1").alias("l1"))
+    nodes = forest.join(held.hint("merge"), ["g", "u"], "left").na.fill(0, ["l0", "l1"])
+    out = below(nodes.select("g", "u", "parent", "l0", "l1"), ["l0", "l1"]).where("parent is not null and l0 = 0 and l1 = 0")
+    return out.select("g", F.least("u", "parent").alias("a"), F.greatest("u", "parent").alias("b"))
+
+
+#: Components up to this many nodes are solved as one group (a matrix of 8 MB); larger ones are iterated.
+DENSE = 1000
+#: Vectors that are iterated together, and the filter's degree in a round.
+BLOCK, DEGREE, SALTS = 6, 12, 32
+
+
+def spectrum(e: DataFrame, dense: int = DENSE) -> DataFrame:
     """Algebraic connectivity, Fiedler coordinate and a second one of the nodes of each graph's largest component of three nodes or more.
 
-    A component is one group: its matrix, the square of its nodes, must fit a task, as a month's or season's schedule does.
+    Of equally large components that with the smallest node counts. Coordinates have length 1 over the component; the entry that is farthest from 0 (of
+    equals, to nine digits, the first node's) is positive. Components of more than ``dense`` nodes never meet in a task: see ``_iterated``.
     """
     label = components(e)
     size = label.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
-    giant = size.where("n >= 3").groupBy("g").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-    inside = label.join(giant.hint("merge"), ["g", "label"]).select("g", F.col("u").alias("a"))
-    edges = e.select("g", "a", "b").join(inside.hint("merge"), ["g", "a"])
+    giant = size.where("n >= 3").groupBy("g").agg(F.min_by(F.struct("label", "n"), F.struct(-F.col("n"), "label")).alias("x")).select("g", "x.*")
+    inside = label.join(giant.hint("merge"), ["g", "label"]).select("g", F.col("u").alias("a"), "n")
+    edges = _cut(e.where("a <> b").select("g", "a", "b").distinct().join(inside.hint("merge"), ["g", "a"]))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(g["a"]) | set(g["b"]))
@@ -199,10 +242,91 @@ def spectrum(e: DataFrame) -> DataFrame:
         lap = lap + lap.T
         lap -= np.diag(lap.sum(axis=1))
         values, vectors = np.linalg.eigh(lap)
-        way = lambda v: v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
+        way = lambda v: v * (1 if v[np.argmax(np.round(np.abs(v), 9))] > 0 else -1)
         return pd.DataFrame({"g": key[0], "u": names, "connectivity": values[1], "fiedler": way(vectors[:, 1]), "second": way(vectors[:, 2])})
 
-    return edges.groupBy("g").applyInPandas(run, "g int, u string, connectivity double, fiedler double, second double")
+    small = edges.where(F.col("n") <= dense).groupBy("g").applyInPandas(run, "g int, u string, connectivity double, fiedler double, second double")
+    large = edges.where(F.col("n") > dense)
+    return small.unionByName(_iterated(large)) if large.take(1) else small
+
+
+def _beside(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Nodes with their graph's row. A graph may hold most nodes, so its row is copied and its nodes are dealt."""
+    salt = graphs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return nodes.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salt.hint("merge"), ["g", "salt"]).drop("salt")
+
+
+def _iterated(edges: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """The same by subspace iteration, a row for each node with ``BLOCK`` numbers, all graphs at once.
+
+    The matrix stands as rows, its diagonal too, so a product is a join and a sum. In a round a Chebyshev polynomial lifts what belongs to small
+    eigenvalues, the constant vector is taken out, and each graph's small matrices of inner products (sums of Spark, a row for
+    each graph) give the rotation to the best vectors. A graph is done when both its residuals are below ``tolerance`` of its largest
+    possible eigenvalue, or after ``rounds`` with what has been reached; the others go on.
+    """
+    some = range(BLOCK)
+    keep = lambda df: written(df, "state")  # noqa: E731  (what a checkpoint knows of its columns' constraints would double each round)
+    ways = edges.select("g", F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("g", "x.*")
+    degree = keep(ways.groupBy("g", "u").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    matrix = keep(ways.withColumn("w", F.lit(-1.0)).unionByName(degree.select("g", "u", F.col("u").alias("v"), "w")))
+    top = keep(degree.groupBy("g").agg(F.least(F.count(F.lit(1)).cast("double"), 2 * F.max("w")).alias("top")))
+    own = F.col("u") == F.col("v")
+    mine = lambda x: F.sum(F.when(own, x).otherwise(0.0))
+
+    def product(state: DataFrame) -> DataFrame:
+        met = matrix.join(state.hint("merge"), ["g", "v"]).groupBy("g", F.col("u").alias("v"))
+        return met.agg(*[mine(F.col(f"x{k}")).alias(f"x{k}") for k in some], *[F.sum(F.col("w") * F.col(f"x{k}")).alias(f"y{k}") for k in some])
+
+    def filtered(state: DataFrame) -> DataFrame:
+        """``DEGREE`` steps of the recurrence; ``mid`` and ``half`` are the middle and half the width of what is damped."""
+        now = state.select("g", "v", "mid", "half", *[f"x{k}" for k in some], *[F.lit(0.0).alias(f"p{k}") for k in some])
+        for step in range(DEGREE):
+            scale = (1.0 if step == 0 else 2.0) / F.col("half")
+            new = lambda k, s=scale: F.sum(s * (F.col("w") - F.when(own, F.col("mid")).otherwise(0.0)) * F.col(f"x{k}") - F.when(own, F.col(f"p{k}")).otherwise(0.0))
+            met = matrix.join(now.hint("merge"), ["g", "v"]).groupBy("g", F.col("u").alias("v"))
+            now = met.agg(F.max("mid").alias("mid"), F.max("half").alias("half"), *[new(k).alias(f"x{k}") for k in some], *[mine(F.col(f"x{k}")).alias(f"p{k}") for k in some])
+            if step % 4 == 3:
+                now = keep(now)
+        return now.select("g", "v", *[f"x{k}" for k in some])
+
+    def rotations(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                s, h = (np.array(x, dtype=float).reshape(BLOCK, BLOCK) for x in (r.s, r.h))
+                scale = np.sqrt(np.maximum(np.diag(s), 1e-300))
+                val, vec = np.linalg.eigh(s / np.outer(scale, scale))
+                real = val > 1e-10 * max(val.max(), 1e-300)
+                base = (vec[:, real] / np.sqrt(val[real])) / scale[:, None]
+                theta, turn = np.linalg.eigh(base.T @ ((h + h.T) / 2) @ base)
+                rot, full = np.zeros((BLOCK, BLOCK)), np.zeros(BLOCK)
+                rot[:, : len(theta)], full[: len(theta)] = base @ turn, theta
+                damped = min(theta[-1], (r.top + 2 * theta[0]) / 3)  # so that no direction grows by more than 10^7 against another
+                out.append((r.g, r.top, rot.ravel().tolist(), full.tolist(), (damped + r.top) / 2, (r.top - damped) / 2))
+            yield pd.DataFrame(out, columns=["g", "top", "rot", "theta", "mid", "half"])
+
+    state = degree.select("g", F.col("u").alias("v"), *[(F.xxhash64("u", F.lit(k)) / float(2**63)).alias(f"x{k}") for k in some])
+    done = None
+    for k in range(rounds):
+        mean = state.groupBy("g").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in some])
+        state = keep(product(_beside(state, mean).select("g", "v", *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in some])))
+        dots = lambda c: F.array(*[F.sum(F.col(f"x{i}") * F.col(f"{c}{j}")) for i in some for j in some])
+        turned = state.groupBy("g").agg(dots("x").alias("s"), dots("y").alias("h")).join(top.hint("merge"), "g")
+        turned = keep(turned.mapInPandas(rotations, "g int, top double, rot array<double>, theta array<double>, mid double, half double"))
+        new = lambda c, j: sum(F.col(f"{c}{i}") * F.col("rot")[i * BLOCK + j] for i in some).alias(f"{c}{j}")
+        state = keep(_beside(state, turned).select("g", "v", "top", "theta", "mid", "half", *[new("x", j) for j in some], *[new("y", j) for j in some]))
+        miss = [F.sum((F.col(f"y{j}") - F.col("theta")[j] * F.col(f"x{j}")) ** 2) for j in (0, 1)]
+        apart = keep(state.groupBy("g").agg((F.sqrt(F.greatest(*miss)) / F.max("top")).alias("miss")))
+        state = keep(_beside(state, apart))
+        is_open = (F.col("miss") >= tolerance) & F.lit(k < rounds - 1)
+        done = state.where(~is_open) if done is None else done.unionByName(state.where(~is_open))
+        state = state.where(is_open)
+        if not state.take(1):
+            break
+        state = filtered(state)
+    far = lambda c: F.min_by(F.signum(c), F.struct(-F.round(F.abs(F.col(c)), 9), "v"))
+    sign = done.groupBy("g").agg(far("x0").alias("s0"), far("x1").alias("s1"))
+    return _beside(done, sign).select("g", F.col("v").alias("u"), F.col("theta")[0].alias("connectivity"), (F.col("x0") * F.col("s0")).alias("fiedler"), (F.col("x1") * F.col("s1")).alias("second"))
 
 
 def distance_histogram(e: DataFrame) -> DataFrame:
