@@ -119,7 +119,8 @@ def settle(side: Column, margin: Column, spread: Column) -> Column:
 
 
 def money(text: Column) -> Column:
-    return F.regexp_replace(text, r"[$,\s]", "").try_cast("bigint")
+    """Whole amounts with ``$``, commas and either minus sign; null for anything else."""
+    return F.regexp_replace(F.translate(text, "\u2212", "-"), r"[$,\s]", "").try_cast("bigint")
 
 
 def money_label(n: Column) -> Column:

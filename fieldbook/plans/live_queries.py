@@ -11,6 +11,7 @@ from fieldbook.plans.contest_queries import sides_of
 from fieldbook.plans.contest_sql import ELO_BY_SEASON, PLAYS, SIDES, r
 from fieldbook.operators import sides as S
 from fieldbook.sources import pages as P
+from fieldbook.sources import tables as T
 from fieldbook.sources.contests import contest_plays
 from fieldbook.sources.store import scratch
 from fieldbook.streaming import logs as L
@@ -115,6 +116,27 @@ def page_rows(spark, d):
     return P.page_rows(read(spark, d, "pages")).withColumn("cells", F.array_join("cells", "|"))
 
 
+#: Suppliers on one made page of costs.
+_ON_PAGE = 50
+
+
+@query("s13_published_costs", f"""SELECT CASE WHEN (s_suppkey // {_ON_PAGE}) % 2 = 0 THEN 'roster' ELSE 'spend' END AS route, s_name || ' & Co' AS team, 'Conf ' || (s_suppkey // {_ON_PAGE}) AS conference, (floor(s_acctbal) * 1000)::BIGINT AS amount,
+ (s_suppkey // {_ON_PAGE})::BIGINT AS page_id FROM supplier WHERE (s_suppkey // {_ON_PAGE}) % 2 = 0 OR s_suppkey % 4 <> 0""")
+def published_costs(spark, d):
+    """Suppliers stand for teams: Spark writes them as pages (entities, a cell that spans its table, unclosed tags, two kinds of headers), which are read back."""
+    s = read(spark, d, "supplier").select("s_suppkey", (F.expr(f"s_suppkey div {_ON_PAGE}")).alias("page_id"), F.concat("s_name", F.lit(" &amp; Co")).alias("team"), (F.floor("s_acctbal") * 1000).cast("bigint").alias("n"))
+    sign = F.when(F.col("n") < 0, F.when(F.col("s_suppkey") % 2 == 0, "-").otherwise("&minus;")).otherwise("")
+    amount = F.concat(sign, F.lit("$"), F.format_number(F.abs("n"), 0))
+    roster = F.struct("s_suppkey", F.concat(F.lit("<tr><td>"), "team").alias("head"), F.concat(F.lit("<td>"), amount, F.lit("</td></tr>")).alias("tail"))
+    spend = F.struct("s_suppkey", F.concat(F.lit("<tr><td><b>"), "team", F.lit("</b></td><td>"), "s_suppkey", F.lit("<td>"), F.when(F.col("s_suppkey") % 4 == 0, "FCS").otherwise("FBS")).alias("head"), F.concat(F.lit("<td>1</td><td> "), amount, F.lit("\n</td>")).alias("tail"))
+    is_roster = F.col("page_id") % 2 == 0
+    rows = s.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(is_roster, roster).otherwise(spend))).alias("rows"))
+    shared = F.concat(F.lit("<td rowspan="), F.size("rows"), F.lit(">Conf "), "page_id", F.lit("</td>"))
+    body = F.array_join(F.transform("rows", lambda x, i: F.concat(x["head"], F.when(i == 0, shared).otherwise(""), x["tail"])), "")
+    header = F.when(is_roster, "<tr><th>Team<th>Conference<th>2026 Roster Cost estimate").otherwise("<tr><th>School<th>Spending rank</th><th>Subdivision<th>Conference<th>Teams<th>FY 2025</tr>")
+    return T.cost_records(T.page_tables(rows.select("page_id", F.concat(F.lit("<html><p>x<table><tbody>"), header, body, F.lit("</table>")).alias("html"))))
+
+
 @query("x31_event_props", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def event_props(spark, d):
     return P.event_props(read(spark, d, "events"))
