@@ -95,18 +95,6 @@ def canonical(rows: DataFrame, aliases: DataFrame, by_conference: list[tuple[str
     return rows.join(a.hint("merge"), F.col("raw") == F.col("_a"), "left").withColumn("name", F.coalesce(ruled, "_n", "raw")).drop("_a", "_n")
 
 
-def resolve_query(asked: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
-    """Known names that a text may mean: equal keys; else one contains the other; else the first four letters agree. The first ``most`` by name.
-
-    ``asked`` are a user's few texts, so each is held against all names.
-    """
-    q, k = name_key(F.col("query")), name_key(F.col("name"))
-    met = known.crossJoin(F.broadcast(asked))
-    tier = F.when(q == k, 0).when(F.contains(k, q) | F.contains(q, k), 1).when(F.left(k, F.lit(4)) == F.left(q, F.lit(4)), 2)
-    hit = met.withColumn("tier", tier).where("tier is not null").withColumn("best", F.min("tier").over(Window.partitionBy("query"))).where("tier = best").drop("best")
-    return hit.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("name"))).where(F.col("place") <= most)
-
-
 def modal_token(texts: DataFrame, pattern: str, out: str) -> DataFrame:
     """For each team the token that a pattern finds most often in its texts; of equally frequent ones the first."""
     found = texts.select("team", F.regexp_extract("text", pattern, 1).alias(out)).where(F.col(out) != "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import win_probability
@@ -17,24 +17,36 @@ from fieldbook.sources.store import shared_folder
 #: Values are in hundredths of a point. An unknown team is eight points under the mean.
 PASSES, PRIOR_GAMES, START_HOME, UNKNOWN = 40, 4.0, 2.0, -800
 
+#: The cutoff that takes a whole season, and the seasons up to which their lists of slates are broadcast.
+WHOLE, FEW_SEASONS = 99, 1000
+
 
 def statistics(two: DataFrame, cutoffs: bool = False) -> DataFrame:
     """Counts and sums for each pair and venue, of whole seasons (cutoff 99) and on request before each of their slates.
 
     ``n`` contests have rates on both sides and count for those; ``games``, ``margin`` and ``wins`` take all. A tie is the away side's win.
+    Sums run over the slates in which a pair met and hold until it meets again, so only sums are copied to cutoffs, after the shuffle, and no
+    join compares slates.
     """
     use = (F.col("off_n") > 0) & (F.col("opp_off_n") > 0)
     one = lambda x: F.sum(F.when(use, x).otherwise(0))
-    per = two.groupBy("season", "slate", "team", "opponent", "div", F.when(F.col("is_home"), 1).otherwise(-1).alias("sign")).agg(
+    pair = ["season", "team", "opponent", "div", "sign"]
+    signed = two.withColumn("sign", F.when(F.col("is_home"), 1).otherwise(-1)).where(F.col("slate") < WHOLE)
+    per = signed.groupBy(*pair, *(["slate"] if cutoffs else [])).agg(
         one(1).alias("n"), one(F.col("off_sum") / F.col("off_n")).alias("off"), one(F.col("opp_off_sum") / F.col("opp_off_n")).alias("def"), one(F.col("st")).alias("st"), one(F.col("tempo")).alias("tempo"),
         F.count(F.lit(1)).alias("games"), F.sum("margin").alias("margin"), F.sum(((F.col("margin") > 0) | ((F.col("margin") == 0) & ~F.col("is_home"))).cast("int")).alias("wins"),
     )
-    ends = two.select(F.col("season").alias("cs")).distinct().withColumn("cutoff", F.lit(99))
-    if cutoffs:
-        ends = ends.unionByName(two.select(F.col("season").alias("cs"), F.col("slate").alias("cutoff")).distinct())
-    per = per.join(ends.hint("merge"), (F.col("season") == F.col("cs")) & (F.col("slate") < F.col("cutoff"))).drop("cs")
     sums = ("n", "off", "def", "st", "tempo", "games", "margin", "wins")
-    return per.groupBy("season", "cutoff", "team", "opponent", "div", "sign").agg(*[F.sum(c).alias(c) for c in sums])
+    columns = ["season", "cutoff", "team", "opponent", "div", "sign", *sums]
+    if not cutoffs:
+        return per.withColumn("cutoff", F.lit(WHOLE)).select(*columns)
+    ends = signed.groupBy("season").agg(F.array_append(F.sort_array(F.collect_set("slate")), F.lit(WHOLE)).alias("ends"))  # a season has few slates
+    few = len(ends.select("season").take(FEW_SEASONS + 1)) <= FEW_SEASONS
+    w = Window.partitionBy(*pair).orderBy("slate")
+    so_far = per.select(*pair, "slate", F.lead("slate").over(w).alias("next"), *[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in sums])
+    met = so_far.join(F.broadcast(ends) if few else ends.hint("merge"), "season")
+    holds = F.filter("ends", lambda c: (c > F.col("slate")) & (c <= F.coalesce("next", c)))
+    return met.withColumn("cutoff", F.explode(holds)).select(*columns)
 
 
 BOOK = "season int, cutoff int, team string, games long, off double, def double, st double, tempo double, home_adv double, plays_pg double, pom double, adjo double, adjd double"

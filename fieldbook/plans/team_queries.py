@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
+from fieldbook.operators import lookup as LK
 from fieldbook.operators import match as M
 from fieldbook.operators import people as PP
 from fieldbook.operators import sides as S
@@ -221,9 +222,9 @@ def canonical_names(spark, d):
  t AS (SELECT query, name, 0 AS tier FROM m WHERE qk = key UNION ALL SELECT query, name, 1 FROM m WHERE contains(key, qk) OR contains(qk, key) UNION ALL SELECT query, name, 2 FROM m WHERE left(key, 4) = left(qk, 4)),
  b AS (SELECT * FROM t QUALIFY tier = min(tier) OVER (PARTITION BY query)) SELECT query, tier, name, row_number() OVER (PARTITION BY query ORDER BY name) AS place FROM b QUALIFY place <= 8""")
 def resolve_query(spark, d):
-    known = read(spark, d, "nation").select(F.col("n_name").alias("name"))
+    index = stored(spark, d, "team-names", lambda: LK.index_names(read(spark, d, "nation").select(F.lit("team").alias("kind"), F.col("n_name").alias("name"))))
     asked = spark.createDataFrame([(x,) for x in ("NATION_3", "nation 2", "Supplier", "nat-ion 1")], "query string")
-    return M.resolve_query(asked, known)
+    return LK.resolve(index, asked)
 
 
 @query("x10_a36_after_catch", f"""WITH {PLAYS}, ab AS (SELECT k, chr((65 + k % 26)::INT) || chr((65 + (k * 7) % 26)::INT) || 'X' AS abbr FROM nat), t AS (SELECT s.game_id, s.num, s.yards, p.abbr AS own, o.abbr AS other, CASE num % 4 WHEN 0 THEN lower(p.abbr) WHEN 1 THEN o.abbr WHEN 2 THEN 'ZZZ' ELSE o.abbr END AS token, num % 49 + 1 AS spot, yards + 20 AS togo FROM plays s JOIN ab p ON p.k = pk JOIN ab o ON o.k = dk WHERE pass),
@@ -381,12 +382,22 @@ def conference_elo(spark, d):
     return t.groupBy("season", "conf").agg(F.count(F.lit(1)).alias("teams"), X.portable_round(F.avg(F.coalesce("pom", F.lit(0.0)) / 100.0), 2).alias("mean_pom"), X.portable_round(F.avg(F.coalesce("elo", F.lit(1500.0))), 2).alias("mean_elo"), F.sum("w").alias("wins"), F.sum("l").alias("losses"))
 
 
+def name_index(spark, d) -> DataFrame:
+    """Names of all kinds by their pieces, written once."""
+
+    def make() -> DataFrame:
+        one = lambda k, t, c: read(spark, d, t).select(F.lit(k).alias("kind"), c.alias("name"))
+        e = one("team", "nation", F.col("n_name")).unionByName(one("player", "customer", F.col("c_name"))).unionByName(one("draft", "orders", F.concat(F.lit("Order "), "o_orderkey")))
+        return LK.index_names(e.unionByName(one("part", "part", F.concat("p_name", F.lit(" "), "p_partkey"))))
+
+    return stored(spark, d, "names", make)
+
+
 @query("q11_cross_search", f"""WITH e AS (SELECT 'team' AS kind, n_name AS name FROM nation UNION ALL SELECT 'player', c_name FROM customer UNION ALL SELECT 'draft', 'Order ' || o_orderkey FROM orders UNION ALL SELECT 'part', p_name || ' ' || p_partkey FROM part), s AS (SELECT kind, name, CASE WHEN {_KEY('name')} = 'order 12' THEN 0 WHEN contains({_KEY('name')}, 'order 12') THEN 1 WHEN split_part({_KEY('name')}, ' ', -1) = '12' THEN 2 END AS score FROM e)
  SELECT * FROM s WHERE score IS NOT NULL ORDER BY score, kind, name LIMIT 20""")
 def cross_search(spark, d):
-    one = lambda k, t, c: read(spark, d, t).select(F.lit(k).alias("kind"), c.alias("name"))
-    e = one("team", "nation", F.col("n_name")).unionByName(one("player", "customer", F.col("c_name"))).unionByName(one("draft", "orders", F.concat(F.lit("Order "), "o_orderkey"))).unionByName(one("part", "part", F.concat("p_name", F.lit(" "), "p_partkey")))
-    return M.search(e, "Order 12")
+    asked = spark.createDataFrame([("Order 12",)], "query string")
+    return LK.find(name_index(spark, d), asked).select("kind", "name", "score")
 
 
 @query("s2_s3_module_scans", f"WITH {SIDES} SELECT season, sum(tempo)::BIGINT AS plays, count(*) AS games FROM games GROUP BY season")

@@ -162,6 +162,32 @@ def test_adjusted_ratings_against_plain_loops(two):
         assert got[t]["off"] == pytest.approx(off[t]) and got[t]["def"] == pytest.approx(dfn[t]) and got[t].home_adv == pytest.approx(home)
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_statistics_before_each_slate(spark, monkeypatch, few):
+    """Running sums are what adding up all earlier slates gives, for every cutoff; no join compares slates."""
+    monkeypatch.setattr(R, "FEW_SEASONS", few)
+    rng = np.random.default_rng(11)
+    games = []
+    for i in range(80):
+        h, a = (str(t) for t in rng.choice(list("abcde"), 2, replace=False))
+        games.append((2020 + i % 2, int(rng.integers(1, 9)), i, h, a, int(rng.integers(0, 30)), int(rng.integers(0, 30))))
+    two = spark.createDataFrame(two_sides(games), SIDE)
+    found = R.statistics(two, cutoffs=True)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and not any("<" in x for x in joins)
+    got = {(r.season, r.cutoff, r.team, r.opponent, r.sign): (r.games, r.margin, r.wins, r.n) for r in found.collect()}
+    want: dict = {}
+    for season, slate, _, h, a, x, y in games:
+        for cutoff in {g[1] for g in games if g[0] == season} | {99}:
+            if slate < cutoff:
+                for t, o, sign, m in ((h, a, 1, x - y), (a, h, -1, y - x)):
+                    n, total, wins = want.get((season, cutoff, t, o, sign), (0, 0, 0))
+                    want[season, cutoff, t, o, sign] = n + 1, total + m, wins + (m > 0 or (m == 0 and sign < 0))
+    assert {k: v[:3] for k, v in got.items()} == want
+    whole = {(r.season, r.team, r.opponent, r.sign): (r.games, r.margin, r.wins) for r in R.statistics(two).collect()}
+    assert whole == {(k[0], *k[2:]): v for k, v in want.items() if k[1] == 99}
+
+
 def test_elo_is_zero_sum_and_reverts(two):
     walk = by(elo(S.listed_games(two)), "game_id")
     first = walk[1,]
