@@ -79,10 +79,6 @@ def week_slice(week: Column) -> Column:
     return F.when(week <= 3, "early").when(week <= 8, "mid").otherwise("late")
 
 
-def tier_points(rating: Column) -> Column:
-    return F.when(rating > 10, 6.0).when(rating > 0, 4.0).when(rating > -15, 2.0).otherwise(0.25)
-
-
 # -- prices
 
 
@@ -134,11 +130,19 @@ def share(x: Column) -> Column:
     return F.when(x > 1, x / 100).otherwise(x)
 
 
-def scores_of(margin: Column, total: Column) -> tuple[Column, Column]:
-    total = F.coalesce(total, F.lit(50.0))
-    home, away = (total + margin) / 2, (total - margin) / 2
-    ok = home.between(0, 120) & away.between(0, 120)
-    return F.when(ok, home), F.when(ok, away)
+def scores_of(home: Column, away: Column, margin: Column, total: Column) -> tuple[Column, Column]:
+    """Scores as given, or from margin and total if both scores are unknown; null if one is missing or outside 0 to 120."""
+    made = home.isNull() & away.isNull()
+    h, a = F.when(made, (total + margin) / 2).otherwise(home), F.when(made, (total - margin) / 2).otherwise(away)
+    ok = h.between(0, 120) & a.between(0, 120)
+    return F.when(ok, h), F.when(ok, a)
+
+
+def engine_scores(margin: Column, home: Column, away: Column) -> tuple[Column, Column]:
+    """An engine's margin as scores: the total is that of the scores given (null: 0), or 50 if that is none."""
+    given = F.coalesce(home, F.lit(0.0)) + F.coalesce(away, F.lit(0.0))
+    total = F.when(given > 0, given).otherwise(50.0)
+    return (total + margin) / 2, (total - margin) / 2
 
 
 # -- days

@@ -317,3 +317,11 @@ def permutation_importance(predictions: DataFrame, features: Sequence[str], mode
         one = row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("increase")) for f in features])).alias("x")).select("x.*")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("feature").agg(F.avg("increase").alias("increase"), F.count(F.lit(1)).alias("repeats"))
+
+
+def mid_rank(value: str, pool: list[str], higher: bool = True) -> Column:
+    """Share of a pool that a value beats, equal ones (itself, too) counting half. With ``higher`` false a lower value beats; a null value has none."""
+    v = F.col(value)
+    order = Window.partitionBy(*pool).orderBy(v.asc_nulls_last() if higher else v.desc_nulls_last())
+    same, n = F.count(v).over(Window.partitionBy(*pool, v)), F.count(v).over(Window.partitionBy(*pool))
+    return F.when(v.isNotNull(), (F.rank().over(order) - 1 + 0.5 * same) / n)

@@ -17,8 +17,17 @@ def live(plays: DataFrame) -> DataFrame:
     return plays.where(~F.coalesce(kind.isin(*DEAD), F.lit(False)) & (F.coalesce(penalty, F.lit(0)) == 0))
 
 
-def scrimmage() -> Column:
-    return (F.col("pos_unit") == "Offense") & F.col("epa").isNotNull()
+#: Flags of plays that aren't from scrimmage, whichever unit is on the field.
+KICKS = ("kickoff_play", "punt", "fg_inds")
+
+
+def scrimmage(plays: DataFrame) -> Column:
+    """Offence with a known value, without kickoffs, punts and field goals where the plays are flagged for them (null: isn't one)."""
+    use = (F.col("pos_unit") == "Offense") & F.col("epa").isNotNull()
+    for c in KICKS:
+        if c in plays.columns:
+            use &= F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0
+    return use
 
 
 def special() -> Column:
@@ -35,14 +44,14 @@ def final_scores(plays: DataFrame) -> DataFrame:
     return plays.groupBy("game_id").agg(
         *[F.min_by(c, "game_play_number").alias(c) for c in ("season", "slate", "home", "away", "home_conf", "away_conf", "home_div", "away_div")],
         F.max("home_score").alias("home_points"), F.max("away_score").alias("away_points"), F.max("period").alias("periods"),
-        F.sum(scrimmage().cast("int")).alias("tempo"),
+        F.sum(scrimmage(plays).cast("int")).alias("tempo"),
     ).where("periods >= 4")
 
 
 def rates(plays: DataFrame) -> DataFrame:
     """Sums for each contest and side with the ball; decided plays count for tempo and special teams only."""
     decided = garbage(F.col("period"), F.col("pos_margin"))
-    use = scrimmage() & ~decided
+    use = scrimmage(plays) & ~decided
     count = lambda c: F.sum(c.cast("int"))
     pick = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
     return plays.groupBy("game_id", F.col("pos").alias("team")).agg(

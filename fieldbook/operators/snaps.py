@@ -15,7 +15,7 @@ def gaps(plays: DataFrame, least: int, most: int) -> DataFrame:
     The lag is taken after the filter, so a play that isn't a snap doesn't part two snaps.
     """
     w = Window.partitionBy("game_id").orderBy("game_play_number")
-    snaps = plays.where(scrimmage()).withColumns({
+    snaps = plays.where(scrimmage(plays)).withColumns({
         "gap": F.col("wall") - F.lag("wall").over(w), "same": (F.lag("pos").over(w) == F.col("pos")) & (F.lag("period").over(w) == F.col("period")),
     })
     use = F.col("same") & F.col("gap").between(least, most)
@@ -31,7 +31,7 @@ def side_snaps(plays: DataFrame, wall: tuple[int, int] = (0, 20_000_000), clock:
     """
     w = Window.partitionBy("game_id").orderBy("game_play_number")
     same, period = F.lag("pos").over(w) == F.col("pos"), F.lag("period").over(w) == F.col("period")
-    snaps = plays.where(scrimmage()).select("game_id", "pos", (F.col("wall") - F.lag("wall").over(w)).alias("gap"), (F.lag("clock").over(w) - F.col("clock")).alias("tick"), same.alias("same"), period.alias("samep"))
+    snaps = plays.where(scrimmage(plays)).select("game_id", "pos", (F.col("wall") - F.lag("wall").over(w)).alias("gap"), (F.lag("clock").over(w) - F.col("clock")).alias("tick"), same.alias("same"), period.alias("samep"))
     use = F.coalesce(F.col("same") & F.col("samep") & F.col("gap").between(*wall), F.lit(False))
     run = F.coalesce(F.col("samep") & F.col("tick").between(*clock), F.lit(False))
     pick = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
@@ -58,13 +58,13 @@ def kicks(plays: DataFrame) -> DataFrame:
     return plays.groupBy("game_id", F.col("pos").alias("team")).agg(
         F.sum((kick & (F.col("points") > 0)).cast("int")).alias("fg_att"), F.sum(made.cast("int")).alias("fg_made"),
         F.coalesce(F.sum(F.when(made, F.col("yards"))), F.lit(0)).alias("fg_yds"), F.sum((kick & (F.col("points") == 0)).cast("int")).alias("punt_n"),
-        F.coalesce(F.sum(F.when(kick & (F.col("points") == 0), F.col("yards"))), F.lit(0)).alias("punt_yds"), F.sum(scrimmage().cast("int")).alias("plays"),
+        F.coalesce(F.sum(F.when(kick & (F.col("points") == 0), F.col("yards"))), F.lit(0)).alias("punt_yds"), F.sum(scrimmage(plays).cast("int")).alias("plays"),
     )
 
 
 def modal_passers(plays: DataFrame) -> DataFrame:
     """The most frequent passer of each side with his sums; of equally frequent ones the first by name."""
-    n = plays.where(F.col("pass") & scrimmage()).groupBy("game_id", F.col("pos").alias("team"), F.lower(F.trim("player")).alias("passer")).agg(
+    n = plays.where(F.col("pass") & scrimmage(plays)).groupBy("game_id", F.col("pos").alias("team"), F.lower(F.trim("player")).alias("passer")).agg(
         F.count(F.lit(1)).alias("epa_cnt"), F.sum("epa").alias("epa_sum")
     )
     w = Window.partitionBy("game_id", "team").orderBy(F.desc("epa_cnt"), "passer")
@@ -94,7 +94,7 @@ def leaders(plays: DataFrame, minimum: int = 3, limit: int = 60) -> DataFrame:
 
 def passing_board(plays: DataFrame, minimum: int = 3, limit: int = 60) -> DataFrame:
     """Passers by yards: attempts, completions (of ten yards or more), yards per attempt and rank."""
-    n = plays.where(F.col("pass") & scrimmage()).groupBy("season", "player", F.col("pos").alias("team")).agg(
+    n = plays.where(F.col("pass") & scrimmage(plays)).groupBy("season", "player", F.col("pos").alias("team")).agg(
         F.count(F.lit(1)).alias("attempts"), F.sum((F.col("yards") >= 10).cast("int")).alias("completions"), F.sum("yards").alias("yards"), F.sum("epa").alias("epa"),
     ).where(F.col("attempts") >= minimum)
     w = Window.partitionBy("season").orderBy(F.desc("yards"), F.desc("attempts"), "player", "team")

@@ -151,11 +151,35 @@ def upsets(spark, d):
 
 @query("a30_percentiles", f"WITH {SIDES}, m AS (SELECT season, team, sum(margin) AS v FROM sides GROUP BY ALL) SELECT season, team, {r('(rank() OVER (PARTITION BY season ORDER BY v) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY season, v)) / count(*) OVER (PARTITION BY season)')} AS pct FROM m")
 def percentiles(spark, d):
-    from pyspark.sql import Window
-
     m = sides_of(spark, d).groupBy("season", "team").agg(F.sum("margin").alias("v"))
-    pool = Window.partitionBy("season")
-    return m.select("season", "team", X.portable_round((F.rank().over(pool.orderBy("v")) - 1 + 0.5 * F.count(F.lit(1)).over(Window.partitionBy("season", "v"))) / F.count(F.lit(1)).over(pool)).alias("pct"))
+    return m.select("season", "team", X.portable_round(E.mid_rank("v", ["season"])).alias("pct"))
+
+
+@query("a30_lower_is_better", f"WITH {SIDES}, m AS (SELECT season, team, sum((margin < 0)::INT) AS v FROM sides GROUP BY ALL) SELECT season, team, v::BIGINT AS losses, {r('(rank() OVER (PARTITION BY season ORDER BY v DESC) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY season, v)) / count(*) OVER (PARTITION BY season)')} AS pct FROM m")
+def percentiles_of_losses(spark, d):
+    """Fewer losses beat more."""
+    m = sides_of(spark, d).groupBy("season", "team").agg(F.sum((F.col("margin") < 0).cast("int")).alias("losses"))
+    return m.select("season", "team", "losses", X.portable_round(E.mid_rank("losses", ["season"], higher=False)).alias("pct"))
+
+
+@query("x26_scores", f"""WITH {SIDES}, p AS (SELECT game_id, margin::DOUBLE AS margin, CASE WHEN game_id % 5 > 0 THEN 20.0::DOUBLE + game_id % 100 END AS total, CASE WHEN game_id % 7 = 0 THEN (game_id % 130)::DOUBLE END AS h, CASE WHEN game_id % 7 = 0 AND game_id % 2 = 0 THEN 21.0::DOUBLE END AS a FROM sides WHERE is_home),
+ s AS (SELECT *, CASE WHEN h IS NULL AND a IS NULL THEN (total + margin) / 2 ELSE h END AS x, CASE WHEN h IS NULL AND a IS NULL THEN (total - margin) / 2 ELSE a END AS y, CASE WHEN coalesce(h, 0) + coalesce(a, 0) > 0 THEN coalesce(h, 0) + coalesce(a, 0) ELSE 50 END AS t FROM p)
+ SELECT game_id, CASE WHEN x BETWEEN 0 AND 120 AND y BETWEEN 0 AND 120 THEN {r('x')} END AS home_score, CASE WHEN x BETWEEN 0 AND 120 AND y BETWEEN 0 AND 120 THEN {r('y')} END AS away_score, {r('(t + margin) / 2')} AS engine_home, {r('(t - margin) / 2')} AS engine_away FROM s""")
+def scores(spark, d):
+    """Scores of contests from lines, and of an engine that only knows the margin; lines and scores follow from the contest's number."""
+    k = F.col("game_id")
+    p = S.listed_games(sides_of(spark, d)).select("game_id", F.col("margin").cast("double").alias("margin"), F.when(k % 5 > 0, 20.0 + k % 100).alias("total"), F.when(k % 7 == 0, (k % 130).cast("double")).alias("h"), F.when((k % 7 == 0) & (k % 2 == 0), 21.0).alias("a"))
+    home, away = X.scores_of(F.col("h"), F.col("a"), F.col("margin"), F.col("total"))
+    e_home, e_away = X.engine_scores(F.col("margin"), F.col("h"), F.col("a"))
+    return p.select("game_id", *[X.portable_round(c).alias(n) for n, c in (("home_score", home), ("away_score", away), ("engine_home", e_home), ("engine_away", e_away))])
+
+
+@query("p8_slates", "SELECT o_orderkey, (coalesce(CASE WHEN o_orderkey % 9 > 0 THEN month(o_orderdate) END, 0) + CASE WHEN o_orderstatus = 'P' THEN 20 ELSE 0 END)::INT AS slate FROM orders")
+def slates(spark, d):
+    """A contest's slate from its week, which may be unknown; orders that are open in part stand for the postseason."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    week = F.when(F.col("o_orderkey") % 9 > 0, F.month("o_orderdate"))
+    return o.select("o_orderkey", X.slate_of(week, F.col("o_orderstatus") == "P").alias("slate"))
 
 
 # ---------------------------------------------------------------- graphs: one for each month

@@ -306,3 +306,22 @@ def test_every_query_has_its_oracle_columns():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_scrimmage_scores_money_and_ranks(spark):
+    plays = spark.createDataFrame([("Offense", 0.1, None, 0, 0.0), ("Offense", 0.1, 1, 0, 0.0), ("Offense", 0.1, 0, 1, None), ("Offense", 0.1, 0, 0, 1.0), ("Offense", None, 0, 0, 0.0), ("Special", 0.1, 1, 0, 0.0)], "pos_unit string, epa double, kickoff_play int, punt int, fg_inds double")
+    assert [bool(r[0]) for r in plays.select(S.scrimmage(plays)).collect()] == [True, False, False, False, False, False]
+    bare = plays.select("pos_unit", "epa")
+    assert [bool(r[0]) for r in bare.select(S.scrimmage(bare)).collect()] == [True, True, True, True, False, False]
+    rows = spark.createDataFrame([(1, None, None, 3.0, 45.0), (2, 30.0, None, 3.0, 45.0), (3, 10.0, 121.0, 3.0, 45.0), (4, None, None, 3.0, None), (5, 7.0, 14.0, None, None)], "i int, h double, a double, m double, t double")
+    h, a = X.scores_of(F.col("h"), F.col("a"), F.col("m"), F.col("t"))
+    assert [tuple(r) for r in rows.orderBy("i").select(h, a).collect()] == [(24.0, 21.0), (None, None), (None, None), (None, None), (7.0, 14.0)]
+    h, a = X.engine_scores(F.lit(4.0), F.col("h"), F.col("a"))
+    assert [tuple(r) for r in rows.orderBy("i").select(h, a).limit(2).collect()] == [(27.0, 23.0), (17.0, 13.0)]
+    text = spark.createDataFrame([(0, "$1,234"), (1, "\u2212$7"), (2, "about 5"), (3, None)], "i int, t string").orderBy("i")
+    assert [r[0] for r in text.select(X.money(F.col("t"))).collect()] == [1234, -7, None, None]
+    n = spark.createDataFrame([(0, 1_234_567), (1, 45_600), (2, 999)], "i int, n long").orderBy("i")
+    assert [r[0] for r in n.select(X.money_label(F.col("n"))).collect()] == ["$1.2M", "$46K", "$999"]
+    v = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 2), (1, "d", 5), (1, "e", None)], "g int, u string, v int")
+    up, down = E.mid_rank("v", ["g"]).alias("up"), E.mid_rank("v", ["g"], higher=False).alias("down")
+    assert {r.u: (r.up, r.down) for r in v.select("u", up, down).collect()} == {"a": (0.125, 0.875), "b": (0.5, 0.5), "c": (0.5, 0.5), "d": (0.875, 0.125), "e": (None, None)}
