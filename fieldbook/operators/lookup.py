@@ -2,7 +2,7 @@
 
 An index has a row for each piece of a name: ``piece``, the name's columns ``kind``, ``name``, its ``key``, and ``copies``, how many
 entities share both. The first character of a piece tells what it is: ``~`` up to three letters that stand anywhere in the key, ``!`` its first
-three, ``^`` its first four, ``$`` its last word. It is made without a shuffle but for the copies, and is best stored.
+three, ``^`` its first four, ``$`` its last word. It is sorted by piece (a range of pieces and names a task, so frequent ones are split) and is best stored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,17 @@ def index_names(entities: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("!"), F.left(key, F.lit(3))), F.concat(F.lit("^"), F.left(key, F.lit(4))), F.concat(F.lit("$"), _last_word(key))),
     )
     one = entities.where("name is not null").groupBy("kind", "name").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    return one.withColumn("key", name_key(F.col("name"))).select(F.explode(pieces).alias("piece"), "kind", "name", "key", "copies")
+    return one.withColumn("key", name_key(F.col("name"))).select(F.explode(pieces).alias("piece"), "kind", "name", "key", "copies").repartitionByRange("piece", "name").sortWithinPartitions("piece")
+
+
+#: Pieces up to which a scan of the index is told them, so that a sorted table's other row groups aren't read.
+MOST_TOLD = 1000
+
+
+def _told(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The index, of few wanted pieces only their rows."""
+    few = [r["piece"] for r in wanted.select("piece").distinct().take(MOST_TOLD + 1)]
+    return index.where(F.col("piece").isin(few)) if len(few) <= MOST_TOLD else index
 
 
 def _rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -43,12 +53,12 @@ def _rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
     key = F.col("qk")
     runs = F.when(F.length(key) == 0, F.array(F.lit(""))).when(F.length(key) < 3, F.array(key)).otherwise(_runs(key, 3))
     wanted = asked.select("query", "qk", F.explode(_marked("~", runs)).alias("piece"))
-    found = index.join(wanted.select("piece").distinct().hint("merge"), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    found = _told(index, wanted).join(wanted.select("piece").distinct().hint("merge"), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     return wanted.join(found.hint("merge"), "piece", "left").groupBy("query", "qk").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
 
 
 def _candidates(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    return index.join(wanted.hint("merge"), "piece").select("query", "qk", "kind", "name", "key", "copies").distinct()
+    return _told(index, wanted).join(wanted.hint("merge"), "piece").select("query", "qk", "kind", "name", "key", "copies").distinct()
 
 
 def _asked(asked: DataFrame) -> DataFrame:
