@@ -31,15 +31,14 @@ from pyspark.sql.functions import pandas_udf
 from fieldbook.llm.common import bounded_batches, materialize
 from fieldbook.llm.components import connected_components
 from fieldbook.llm.simhash import SLICE_BYTES, links, shingle_hashes
-from fieldbook.llm.slices import PLACE_BITS, U, answers_of, column, from_six, groups_of, listed, number_of_groups, put_back, six, slices, unpacked
+from fieldbook.llm.slices import PLACE_BITS, SENT, U, answers_of, ask, column, entries, listed, messages, numbers, put_back, route_for, slices, unpacked
 
 PARITIES = 1024
 STAR_ROUNDS = 2
 #: Bytes of a slice that give one distinct shingle, about.
 BYTES_PER_SHINGLE = 7.5
-#: Rows of whole sets handed to Python at a time are held to this many bytes by ``bounded_batches``.
-SENT = "p int, batch long, names binary, counts binary"
-ANSWER = "batch long, p int, bits binary"
+#: Entries: a shingle's name, and how many documents of a slice have it.
+NAME_BYTES, ENTRY_BYTES = 6, 6 + 1
 OPEN = "row long, doc_id long, class binary, n int, fp long, keys array<long>, pos array<int>, odd array<long>, h binary"
 
 
@@ -68,30 +67,23 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<i8")[0])
 
 
-def rarity(group: pd.DataFrame) -> pd.DataFrame:
-    """For each slice and each of its names, how many documents have it: 0 for one, else a step of a logarithmic scale."""
-    names = [from_six(x) for x in group["names"]]
-    counts = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in group["counts"]])
-    _, own = np.unique(np.concatenate(names), return_inverse=True)
-    total = np.bincount(own, weights=counts)
-    step = np.where(total > 1, np.minimum(255, 1 + 8 * np.log2(total)), 0).astype(np.uint8)[own]
-    cuts = np.cumsum([len(x) for x in names])[:-1]
-    return pd.DataFrame({"batch": group["batch"], "p": group["p"], "bits": [x.tobytes() for x in np.split(step, cuts)]})
+def rarity(rec: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """How many documents have the names: 0 for one, else a step of a logarithmic scale."""
+    _, own = np.unique(numbers(rec, 0, NAME_BYTES), return_inverse=True)
+    total = np.bincount(own, weights=numbers(rec, NAME_BYTES, 1))
+    return np.where(total > 1, np.minimum(255, 1 + 8 * np.log2(total)), 0).astype(np.uint8)[own]
 
 
 def open_sets(table: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
     """Rows whose sets may be similar to another's, with their keys: shingles that decide it and stand elsewhere too."""
-    groups = number_of_groups(table, 1 / BYTES_PER_SHINGLE)
+    route = route_for(table, BYTES_PER_SHINGLE)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for number, data in zip(b["batch"], b["data"]):
                 sets = sets_of(column(unpacked(data), text).to_pylist(), words)
                 names, n = np.unique(np.concatenate(sets) >> U(16), return_counts=True)
-                order, at = groups_of(names, groups)
-                n = np.minimum(n, 255).astype(np.uint8)
-                rows = [(p, number, six(names[order[x:y]]), n[order[x:y]].tobytes()) for p, (x, y) in enumerate(zip(at, at[1:])) if x < y]
-                yield pd.DataFrame(rows, columns=["p", "batch", "names", "counts"])
+                yield messages(number, names, entries((names, NAME_BYTES), (np.minimum(n, 255), 1)), route)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,7 +93,7 @@ def open_sets(table: DataFrame, words: int, similarity: float, doc_id: str, text
                 sets = sets_of(column(t, text).to_pylist(), words)
                 flat = np.concatenate(sets)
                 names, own = np.unique(flat >> U(16), return_inverse=True)
-                often = put_back(names, groups, listed(answers), bits=False)[own]
+                often = put_back(names, route, listed(answers), bits=False)[own]
                 n = np.array([len(x) for x in sets])
                 at = np.concatenate([[0], np.cumsum(n)])
                 longest = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
@@ -116,7 +108,7 @@ def open_sets(table: DataFrame, words: int, similarity: float, doc_id: str, text
                 yield pd.DataFrame(rows, columns=["row", "doc_id", "class", "n", "fp", "keys", "pos", "odd", "h"]).astype({"doc_id": "Int64", "n": np.int32})
 
     sent = table.mapInPandas(send, SENT)
-    steps = materialize(sent.groupBy("p").applyInPandas(rarity, ANSWER), "rarity")
+    steps = materialize(ask(sent, ENTRY_BYTES, NAME_BYTES, rarity, route, bits=False), "rarity")
     met = table.join(answers_of(steps, "rarity").hint("merge"), "batch", "left")
     return materialize(met.mapInPandas(prefixes, OPEN), "open")
 

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from fieldbook.llm.common import materialize
 from fieldbook.llm.simhash import xxh64_spans
-from fieldbook.llm.slices import U, answers_of, column, from_six, groups_of, listed, mix, number_of_groups, put_back, six, slices, unpacked
+from fieldbook.llm.slices import SENT, Route, U, answers_of, ask, column, entries, listed, messages, mix, numbers, put_back, route_for, slices, unpacked
 
 WINDOW = 20
 LEAST, MOST = 4, 7
@@ -185,11 +185,8 @@ def spread(covered_from: np.ndarray, n: int, width: int = WINDOW) -> np.ndarray:
 # ---------------------------------------------------------------- names of a slice, cut into groups and sent
 
 
-SENT = T.StructType([
-    T.StructField("p", T.IntegerType()), T.StructField("batch", T.LongType()), T.StructField("names", T.BinaryType()),
-    T.StructField("more", T.BinaryType()), T.StructField("docs", T.BinaryType()),
-])
-ANSWER = "batch long, p int, bits binary"
+#: Entries: a symbol's name; a window's hash in two parts and the id of its document.
+SYMBOL_BYTES, WINDOW_BYTES = 6, 8 + 4 + 8
 
 
 def symbol_names(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,51 +218,40 @@ def distinct_windows(s: Slice, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.stack([a[first], b[first].astype(np.uint64)]), first, own
 
 
-def shared_names(group: pd.DataFrame) -> pd.DataFrame:
-    """For each slice, whether its names also stand in another slice."""
-    names = [from_six(x) for x in group["names"]]
-    _, own, n = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    cuts = np.cumsum([len(x) for x in names])[:-1]
-    bits = [np.packbits(x).tobytes() for x in np.split(n[own] > 1, cuts)]
-    return pd.DataFrame({"batch": group["batch"], "p": group["p"], "bits": bits})
+def shared_names(rec: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """Whether names also stand in another slice; a slice sends each of its names once."""
+    _, own, n = np.unique(numbers(rec, 0, SYMBOL_BYTES), return_inverse=True, return_counts=True)
+    return n[own] > 1
 
 
-def first_places(group: pd.DataFrame) -> pd.DataFrame:
-    """For each slice, whether its hashes stand nowhere before, in order of document and slice."""
-    a = np.concatenate([np.frombuffer(x, dtype="<u8") for x in group["names"]])
-    more = [np.frombuffer(x, dtype="<u4").reshape(2, -1) for x in group["more"]]
-    b = np.concatenate([x[0] for x in more])
-    doc = np.concatenate([np.frombuffer(d, dtype="<i8")[x[1]] for d, x in zip(group["docs"], more)])
-    sizes = [x.shape[1] for x in more]
-    batch = np.repeat(group["batch"].to_numpy(), sizes)
+def first_places(rec: np.ndarray, batch: np.ndarray) -> np.ndarray:
+    """Whether hashes stand nowhere before, in order of document and slice."""
+    a, b, doc = numbers(rec, 0, 8), numbers(rec, 8, 4), numbers(rec, 12, 8).view("<i8")
     order = np.lexsort((batch, doc, b, a))
     a, b = a[order], b[order]
     first = np.ones(len(a), dtype=bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     out = np.empty(len(a), dtype=bool)
     out[order] = first
-    bits = [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]
-    return pd.DataFrame({"batch": group["batch"], "p": group["p"], "bits": bits})
+    return out
 
 
 # ---------------------------------------------------------------- the job
 
 
-def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, int]:
-    """Slices with the answers ``shared`` and ``first``, and the number of groups."""
+def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, Route]:
+    """Slices with the answers ``shared`` and ``first``, and the way that they came."""
     table = slices(docs, text, doc_id)
-    groups = number_of_groups(table, 1 / BYTES_PER_ENTRY)
+    route = route_for(table, BYTES_PER_ENTRY)
 
     def send_symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for number, data in zip(b["batch"], b["data"]):
                 names = symbol_names(Slice(joined_text(column(unpacked(data), text))))[0]
-                order, at = groups_of(names, groups)
-                rows = [(p, number, six(names[order[at[p] : at[p + 1]]]), b"", b"") for p in range(groups) if at[p] < at[p + 1]]
-                yield pd.DataFrame(rows, columns=SENT.names)
+                yield messages(number, names, entries((names, SYMBOL_BYTES)), route)
 
     sent = table.mapInPandas(send_symbols, SENT)
-    shared = materialize(sent.groupBy("p").applyInPandas(shared_names, ANSWER), "shared")
+    shared = materialize(ask(sent, SYMBOL_BYTES, SYMBOL_BYTES, shared_names, route), "shared")
 
     def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -273,24 +259,14 @@ def mark_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 t = unpacked(data)
                 s = Slice(joined_text(column(t, text)))
                 ids = column(t, doc_id).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                at = candidates(s, put_back(symbol_names(s)[0], groups, listed(answers)))
-                names, first, _ = distinct_windows(s, at)
-                order, cut = groups_of(names[0], groups)
-                local = s.doc[at[first]]
-                out = []
-                for p in range(groups):
-                    own = order[cut[p] : cut[p + 1]]
-                    if len(own):
-                        used, place = np.unique(local[own], return_inverse=True)
-                        more = np.stack([names[1][own].astype("<u4"), place.astype("<u4")])
-                        out.append((p, number, names[0][own].astype("<u8").tobytes(), more.tobytes(), ids[used].astype("<i8").tobytes()))
-                yield pd.DataFrame(out, columns=SENT.names)
+                at = candidates(s, put_back(symbol_names(s)[0], route, listed(answers)))
+                (names, more), first, _ = distinct_windows(s, at)
+                yield messages(number, names, entries((names, 8), (more, 4), (ids[s.doc[at[first]]], 8)), route)
 
     met = table.join(answers_of(shared, "shared").hint("merge"), "batch", "left")
-    sent = met.mapInPandas(send_windows, SENT)
-    first = materialize(sent.groupBy("p").applyInPandas(first_places, ANSWER), "first")
+    first = materialize(ask(met.mapInPandas(send_windows, SENT), WINDOW_BYTES, 8, first_places, route), "first")
     both = table.join(answers_of(shared, "shared").hint("merge"), "batch", "left").join(answers_of(first, "first").hint("merge"), "batch", "left")
-    return both, groups
+    return both, route
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
@@ -298,7 +274,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = ("n_words", "n_removed", "kept_sha256")
     rest = [f for f in docs.schema.fields if f.name not in (text, *own)]
     docs = docs.select(*[f.name for f in rest], text)
-    marked, groups = mark_repeats(docs, text, doc_id)
+    marked, route = mark_repeats(docs, text, doc_id)
     fields = [*rest, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if with_text:
         fields.append(T.StructField(text, T.StringType()))
@@ -309,9 +285,9 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 r = b.slice(k, 1).to_pylist()[0]
                 t = unpacked(r["data"])
                 s = Slice(joined_text(column(t, text)))
-                at = candidates(s, put_back(symbol_names(s)[0], groups, listed(r["shared"])))
+                at = candidates(s, put_back(symbol_names(s)[0], route, listed(r["shared"])))
                 names, first, which = distinct_windows(s, at)
-                here = put_back(names[0], groups, listed(r["first"]))
+                here = put_back(names[0], route, listed(r["first"]))
                 stays = np.zeros(len(at), dtype=bool)
                 stays[first[here]] = True
                 repeat = np.zeros(len(s.starts), dtype=bool)
