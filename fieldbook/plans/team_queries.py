@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import scalars as X
+from fieldbook.operators import elo as EL
 from fieldbook.operators import lookup as LK
 from fieldbook.operators import match as M
 from fieldbook.operators import people as PP
@@ -103,7 +104,7 @@ def live_projection(spark, d):
     """A season seen from before it: the last one's final book and Elo drawn to the mean, nothing of its own contests."""
     f = book_of(spark, d).where("cutoff = 99").select("season", "team", (F.col("pom") / 100.0).alias("pom"))
     e = R.elo_snapshots(walk_of(spark, d))
-    p = f.join(e.hint("merge"), ["season", "team"], "left").select((F.col("season") + 1).alias("ps"), F.col("team").alias("pt"), "pom", (R.ELO_MEAN + R.ELO_CARRY * (F.coalesce("elo", F.lit(R.ELO_MEAN)) - R.ELO_MEAN)).alias("elo"))
+    p = f.join(e.hint("merge"), ["season", "team"], "left").select((F.col("season") + 1).alias("ps"), F.col("team").alias("pt"), "pom", (EL.MEAN + EL.CARRY * (F.coalesce("elo", F.lit(EL.MEAN)) - EL.MEAN)).alias("elo"))
     g = S.listed_games(sides_of(spark, d)).select("game_id", "season", "home", "away")
     for side in ("home", "away"):
         g = g.join(p.hint("merge"), F.expr(f"season = ps and {side} = pt"), "left").drop("ps", "pt").withColumnsRenamed({"pom": f"{side}_pom", "elo": f"{side}_elo"})
