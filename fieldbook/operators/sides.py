@@ -39,48 +39,68 @@ def top_offence(div: str = "fbs") -> Column:
     return F.coalesce(F.when(F.col("pos") == F.col("home"), F.col("home_div")).otherwise(F.col("away_div")) == div, F.lit(False))
 
 
+#: What the first play of a contest says of it.
+FIRST = ("season", "slate", "home", "away", "home_conf", "away_conf", "home_div", "away_div")
+SUMS = ("off_sum", "off_n", "st_sum", "giveaways", "rush_yds", "rush_n")
+
+
+def _of_games(plays: DataFrame) -> dict[str, Column]:
+    return {
+        "first": F.min("game_play_number"), "home_points": F.max("home_score"), "away_points": F.max("away_score"), "periods": F.max("period"),
+        "tempo": F.sum(scrimmage(plays).cast("int")),
+    }
+
+
 def final_scores(plays: DataFrame) -> DataFrame:
-    """A row for each contest; one aggregate, so the plays shuffle once. Contests short of four periods go."""
-    return plays.groupBy("game_id").agg(
-        *[F.min_by(c, "game_play_number").alias(c) for c in ("season", "slate", "home", "away", "home_conf", "away_conf", "home_div", "away_div")],
-        F.max("home_score").alias("home_points"), F.max("away_score").alias("away_points"), F.max("period").alias("periods"),
-        F.sum(scrimmage(plays).cast("int")).alias("tempo"),
+    """A row for each contest. Contests short of four periods go.
+
+    Plays are added up under all that they say of their contest, by hashing; only those few sums are put in order.
+    """
+    per = plays.groupBy("game_id", *FIRST).agg(*[c.alias(k) for k, c in _of_games(plays).items()])
+    return per.groupBy("game_id").agg(
+        *[F.min_by(c, "first").alias(c) for c in FIRST],
+        F.max("home_points").alias("home_points"), F.max("away_points").alias("away_points"), F.max("periods").alias("periods"), F.sum("tempo").alias("tempo"),
     ).where("periods >= 4")
 
 
-def rates(plays: DataFrame) -> DataFrame:
-    """Sums for each contest and side with the ball; decided plays count for tempo and special teams only."""
+def _of_sides(plays: DataFrame) -> dict[str, Column]:
+    """Sums of a side with the ball; decided plays count for tempo and special teams only."""
     decided = garbage(F.col("period"), F.col("pos_margin"))
     use = scrimmage(plays) & ~decided
     count = lambda c: F.sum(c.cast("int"))
     pick = lambda c, x: F.coalesce(F.sum(F.when(c, x)), F.lit(0))
-    return plays.groupBy("game_id", F.col("pos").alias("team")).agg(
-        pick(use, F.col("epa")).alias("off_sum"), count(use).alias("off_n"), pick(special(), F.col("epa")).alias("st_sum"),
-        count(F.col("turnover")).alias("giveaways"), pick(F.col("rush") & (F.col("pos_unit") == "Offense"), F.col("yards")).alias("rush_yds"),
-        count(F.col("rush") & (F.col("pos_unit") == "Offense")).alias("rush_n"), count(F.lit(True)).alias("plays"),
-    )
+    return {
+        "off_sum": pick(use, F.col("epa")), "off_n": count(use), "st_sum": pick(special(), F.col("epa")),
+        "giveaways": count(F.col("turnover")), "rush_yds": pick(F.col("rush") & (F.col("pos_unit") == "Offense"), F.col("yards")),
+        "rush_n": count(F.col("rush") & (F.col("pos_unit") == "Offense")),
+    }
 
 
 def sides(plays: DataFrame) -> DataFrame:
-    """Two rows for each contest, each with its own and the opponent's sums."""
-    games, r = final_scores(plays), rates(plays)
-    both = F.explode(F.array(
-        F.struct(F.col("home").alias("team"), F.col("away").alias("opponent"), F.col("home_points").alias("points"), F.col("away_points").alias("opp_points"),
-                 F.col("home_conf").alias("conf"), F.col("away_conf").alias("opp_conf"), F.col("home_div").alias("div"), F.col("away_div").alias("opp_div"), F.lit(True).alias("is_home")),
-        F.struct(F.col("away").alias("team"), F.col("home").alias("opponent"), F.col("away_points").alias("points"), F.col("home_points").alias("opp_points"),
-                 F.col("away_conf").alias("conf"), F.col("home_conf").alias("opp_conf"), F.col("away_div").alias("div"), F.col("home_div").alias("opp_div"), F.lit(False).alias("is_home")),
-    ))
-    two = games.select("game_id", "season", "slate", "home", "away", "tempo", both.alias("s")).select("game_id", "season", "slate", "home", "away", "tempo", "s.*")
-    sums = ("off_sum", "off_n", "st_sum", "giveaways", "rush_yds", "rush_n")
-    mine = r.select(F.col("game_id").alias("g1"), F.col("team").alias("t1"), *sums)
-    theirs = r.select(F.col("game_id").alias("g2"), F.col("team").alias("t2"), *[F.col(c).alias(f"opp_{c}") for c in sums])
-    out = two.join(mine.hint("merge"), (F.col("game_id") == F.col("g1")) & (F.col("team") == F.col("t1")), "left")
-    out = out.join(theirs.hint("merge"), (F.col("game_id") == F.col("g2")) & (F.col("opponent") == F.col("t2")), "left").drop("g1", "t1", "g2", "t2")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(
+    """Two rows for each contest, each with its own and the opponent's sums.
+
+    One aggregate reads the plays; what follows works on its rows, a few for each contest.
+    """
+    per = plays.groupBy("game_id", F.col("pos").alias("with_ball"), *FIRST).agg(*[c.alias(k) for k, c in (_of_games(plays) | _of_sides(plays)).items()])
+    whole = Window.partitionBy("game_id")
+    per = per.select("game_id", "with_ball", *[F.min_by(c, "first").over(whole).alias(c) for c in FIRST], "home_points", "away_points", "periods", "tempo", *SUMS)
+    of = lambda side, c: F.coalesce(F.sum(F.when(F.col("with_ball") == F.col(side), F.col(c))), F.lit(0)).alias(f"{side}_{c}")
+    games = per.groupBy("game_id", *FIRST).agg(
+        F.max("home_points").alias("home_points"), F.max("away_points").alias("away_points"), F.max("periods").alias("periods"), F.sum("tempo").alias("tempo"),
+        *[of(side, c) for side in ("home", "away") for c in SUMS],
+    ).where("periods >= 4")
+
+    def seen(side: str, other: str) -> Column:
+        pairs = {"team": side, "opponent": other, "points": f"{side}_points", "opp_points": f"{other}_points", "conf": f"{side}_conf", "opp_conf": f"{other}_conf", "div": f"{side}_div", "opp_div": f"{other}_div"}
+        pairs |= {c: f"{side}_{c}" for c in SUMS} | {f"opp_{c}": f"{other}_{c}" for c in SUMS}
+        return F.struct(*[F.col(c).alias(k) for k, c in pairs.items()], F.lit(side == "home").alias("is_home"))
+
+    two = games.select("game_id", "season", "slate", "home", "away", "tempo", F.explode(F.array(seen("home", "away"), seen("away", "home"))).alias("s"))
+    two = two.select("game_id", "season", "slate", "home", "away", "tempo", "s.*")
+    return two.select(
         "game_id", "season", "slate", "home", "away", "team", "opponent", "conf", "opp_conf", "div", "opp_div", "is_home", "points", "opp_points",
-        (F.col("points") - F.col("opp_points")).alias("margin"), F.col("tempo"), *[zero(c).alias(c) for c in sums], *[zero(f"opp_{c}").alias(f"opp_{c}") for c in sums],
-        (zero("st_sum") - zero("opp_st_sum")).alias("st"),
+        (F.col("points") - F.col("opp_points")).alias("margin"), F.col("tempo"), *SUMS, *[f"opp_{c}" for c in SUMS],
+        (F.col("st_sum") - F.col("opp_st_sum")).alias("st"),
     )
 
 

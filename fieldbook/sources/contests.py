@@ -17,8 +17,8 @@ PLAY_TYPES = {
 }
 
 
-#: Rows up to which the table of nations is sent to all tasks.
-SMALL = 10_000
+#: Rows up to which the table of nations, and the nations of suppliers, are sent to all tasks.
+SMALL, SUPPLIERS = 10_000, 1_000_000
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str], types: dict[str, str] = PLAY_TYPES) -> DataFrame:
@@ -59,43 +59,48 @@ def publish(df: DataFrame, path: str, by: Sequence[str] = ("season",)) -> None:
 def contest_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as plays between the supplier's and the customer's nation.
 
-    A contest is a month's dealings of two nations. Small dimension tables are left to Spark's own choice of join.
+    A contest is a month's dealings of two nations. Line items shuffle twice, to their orders and to their contests, by the
+    same joins at any size, so what moves grows with the input. Only columns that can't be derived again move.
     """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     nation = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("r_name").alias("conf"),
         F.when(F.col("n_regionkey") < 4, "fbs").otherwise("fcs").alias("div"),
     )
+    supplier = read("supplier").select("s_suppkey", F.col("s_nationkey").alias("pos_k"))
+    supplier = F.broadcast(supplier) if supplier.count() <= SUPPLIERS else supplier.hint("merge")
+    customer = read("customer").select("c_custkey", F.col("c_nationkey").alias("def_k"), F.col("c_name").alias("player"))
+    orders = read("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("slate"))
+    orders = orders.join(customer.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
     df = (
-        read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .where(F.col("s_nationkey") != F.col("c_nationkey"))
+        read("lineitem").join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .where(F.col("pos_k") != F.col("def_k"))
     )
-    lo, hi = F.least("s_nationkey", "c_nationkey"), F.greatest("s_nationkey", "c_nationkey")
-    season, slate = F.year("o_orderdate"), F.month("o_orderdate")
-    home = F.when((F.col("s_nationkey") + F.col("c_nationkey") + slate) % 2 == 0, lo).otherwise(hi)
+    lo, hi = F.least("pos_k", "def_k"), F.greatest("pos_k", "def_k")
+    home = F.when((F.col("pos_k") + F.col("def_k") + F.col("slate")) % 2 == 0, lo).otherwise(hi)
     df = df.select(
-        season.alias("season"), slate.alias("slate"), (season * 1_000_000 + slate * 10_000 + lo * 100 + hi).cast("bigint").alias("game_id"),
-        F.col("s_nationkey").alias("pos_k"), F.col("c_nationkey").alias("def_k"), home.alias("home_k"), (lo + hi - home).alias("away_k"),
+        "season", "slate", (F.col("season") * 1_000_000 + F.col("slate") * 10_000 + lo * 100 + hi).cast("bigint").alias("game_id"), "pos_k", "def_k",
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        (F.round(F.col("l_discount") * 100).cast("int") * 10 - 50).alias("epa"),
-        F.when(F.col("l_returnflag") == "R", "Special").otherwise("Offense").alias("pos_unit"),
+        (F.round(F.col("l_discount") * 100).cast("int") * 10 - 50).alias("epa"), (F.col("l_returnflag") == "R").alias("special"),
         (F.col("l_linestatus") == "O").alias("rush"), (F.col("l_linestatus") == "F").alias("pass"), (F.col("l_tax") >= 0.08).alias("turnover"),
         F.when(F.col("l_quantity") >= 40, 7).when(F.col("l_quantity") >= 30, 3).otherwise(0).alias("points"),
-        F.col("l_quantity").cast("int").alias("yards"), F.col("c_name").alias("player"), F.unix_timestamp("l_shipdate").alias("wall"),
-        (F.col("l_partkey") % 900).cast("int").alias("clock"), (F.round(F.col("l_tax") * 100).cast("int") * 10).alias("fg_chance"),
+        F.col("l_quantity").cast("int").alias("yards"), "player", F.unix_timestamp("l_shipdate").alias("wall"), (F.round(F.col("l_tax") * 100).cast("int") * 10).alias("fg_chance"),
     )
-    order = Window.partitionBy("game_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # A contest's number tells its season, which is named as a key so that rows come in the order in which they are written by season.
+    order = Window.partitionBy("season", "game_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    own = F.sum(F.when(F.col("pos_k") == F.col("home_k"), F.col("points")).otherwise(0)).over(upto)
+    score = lambda mine: F.sum(F.when(mine, F.col("points")).otherwise(0)).over(upto)
     df = df.withColumns({
         "game_play_number": F.row_number().over(order), "period": F.ntile(4).over(order),
-        "home_score": own, "away_score": F.sum(F.when(F.col("pos_k") != F.col("home_k"), F.col("points")).otherwise(0)).over(upto),
+        "home_score": score(F.col("pos_k") == home), "away_score": score(F.col("pos_k") != home),
+    })
+    df = df.withColumns({
+        "home_k": home, "away_k": lo + hi - home, "pos_unit": F.when(F.col("special"), "Special").otherwise("Offense"), "clock": (F.col("l_partkey") % 900).cast("int"),
     })
     small = nation.count() <= SMALL  # 25 nations; a larger table meets by shuffles
     for side in ("pos", "def", "home", "away"):
         names = nation.select(F.col("k").alias(f"{side}_nk"), F.col("name").alias(side), F.col("conf").alias(f"{side}_conf"), F.col("div").alias(f"{side}_div"))
         df = df.join(F.broadcast(names) if small else names.hint("merge"), F.col(f"{side}_k") == F.col(f"{side}_nk"))
     margin = F.when(F.col("pos_k") == F.col("home_k"), F.col("home_score") - F.col("away_score")).otherwise(F.col("away_score") - F.col("home_score"))
-    return df.withColumn("pos_margin", margin).drop("pos_nk", "def_nk", "home_nk", "away_nk", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return df.withColumn("pos_margin", margin).drop("pos_nk", "def_nk", "home_nk", "away_nk", "special", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
