@@ -1,8 +1,10 @@
 """Names found by an inverted index of pieces of their keys, where a scan would ask every name.
 
-An index has a row for each piece of a name: ``piece``, the name's columns ``kind``, ``name``, its ``key``, and ``copies``, how many
-entities share both. The first character of a piece tells what it is: ``~`` up to three letters that stand anywhere in the key, ``!`` its first
-three, ``^`` its first four, ``$`` its last word. It is sorted by piece (a range of pieces and names a task, so frequent ones are split) and is best stored.
+An index has a row for each piece of a name: ``piece``, the name's columns ``kind`` and ``name``, and ``copies``, how many entities share
+both. The first character of a piece tells what it is: ``~`` three letters that stand anywhere in the key, which ends in two bars for this, so that shorter
+runs are beginnings of pieces (and ``~`` alone, which all have), ``!`` its first three, ``^`` its first four, ``$`` its last word. Names are dealt to
+tasks in equal numbers and each task sorts the pieces of its own, so only names shuffle, and pieces that are frequent gather nowhere. It is best stored: a
+reader that is told pieces skips what lies beside them in each file.
 """
 
 from __future__ import annotations
@@ -27,15 +29,21 @@ def _last_word(key: Column) -> Column:
     return F.element_at(F.split(key, " "), -1)
 
 
-def index_names(entities: DataFrame) -> DataFrame:
-    """The index of ``entities`` (``kind``, ``name``). Null names are in none of its rows; a null kind stays null."""
+#: Names a task; few enough for a file to hold each name once, as an entry of its dictionary.
+NAMES = 40_000
+
+
+def index_names(entities: DataFrame, names: int = NAMES) -> DataFrame:
+    """The index of ``entities`` (``kind``, ``name``), of ``names`` names a task. Null names are in none of its rows; a null kind stays null."""
     key = F.col("key")
+    barred, places = F.concat(key, F.lit("||")), F.when(F.length(key) > 0, F.sequence(F.lit(1), F.length(key))).otherwise(F.array().cast("array<int>"))
     pieces = F.array_union(
-        F.concat(_marked("~", F.concat(*[_runs(key, n) for n in (1, 2, 3)])), F.array(F.lit("~"))),
-        F.array(F.concat(F.lit("!"), F.left(key, F.lit(3))), F.concat(F.lit("^"), F.left(key, F.lit(4))), F.concat(F.lit("$"), _last_word(key))),
+        F.transform(places, lambda i: F.concat(F.lit("~"), F.substring(barred, i, F.lit(3)))),
+        F.array(F.lit("~"), F.concat(F.lit("!"), F.left(key, F.lit(3))), F.concat(F.lit("^"), F.left(key, F.lit(4))), F.concat(F.lit("$"), _last_word(key))),
     )
-    one = entities.where("name is not null").groupBy("kind", "name").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    return one.withColumn("key", name_key(F.col("name"))).select(F.explode(pieces).alias("piece"), "kind", "name", "key", "copies").repartitionByRange("piece", "name").sortWithinPartitions("piece")
+    known = entities.where("name is not null")
+    one = known.groupBy("kind", "name").agg(F.count(F.lit(1)).cast("int").alias("copies")).repartition(known.count() // names + 1, "kind", "name")
+    return one.withColumn("key", name_key(F.col("name"))).select(F.explode(pieces).alias("piece"), "kind", "name", "copies").sortWithinPartitions("piece")
 
 
 #: Pieces up to which a scan of the index is told them, so that a sorted table's other row groups aren't read.
@@ -43,9 +51,19 @@ MOST_TOLD = 1000
 
 
 def _told(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The index, of few wanted pieces only their rows."""
+    """The index, of few wanted pieces only their rows; with each of its runs of three letters, the shorter ones that it begins with."""
+    piece = F.col("piece")
     few = [r["piece"] for r in wanted.select("piece").distinct().take(MOST_TOLD + 1)]
-    return index.where(F.col("piece").isin(few)) if len(few) <= MOST_TOLD else index
+    short = [p for p in few if p.startswith("~") and 1 < len(p) < 4]
+    if len(few) <= MOST_TOLD:
+        use = piece.isin(few)
+        for p in short:
+            use |= piece.startswith(p)
+        index = index.where(use)
+        if not short:
+            return index
+    runs = F.when(piece.startswith("~") & (F.length(piece) == 4), F.array(piece, F.left(piece, F.lit(3)), F.left(piece, F.lit(2)))).otherwise(F.array(piece))
+    return index.withColumn("piece", F.explode(runs))
 
 
 def _rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
@@ -58,7 +76,7 @@ def _rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _candidates(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    return _told(index, wanted).join(wanted.hint("merge"), "piece").select("query", "qk", "kind", "name", "key", "copies").distinct()
+    return _told(index, wanted).join(wanted.hint("merge"), "piece").select("query", "qk", "kind", "name", "copies").distinct()
 
 
 def _asked(asked: DataFrame) -> DataFrame:
@@ -85,7 +103,7 @@ def resolve(index: DataFrame, asked: DataFrame, most: int = 8) -> DataFrame:
     key = F.col("qk")
     inside = F.concat(_marked("!", F.concat(*[_runs(key, n) for n in (1, 2, 3)])), F.array(F.lit("!"), F.concat(F.lit("^"), F.left(key, F.lit(4)))))
     wanted = _rarest(index, q).unionByName(q.select("query", "qk", F.explode(F.array_distinct(inside)).alias("piece")))
-    k = F.col("key")
+    k = name_key(F.col("name"))
     tier = F.when(key == k, 0).when(F.contains(k, key) | F.contains(key, k), 1).when(F.left(k, F.lit(4)) == F.left(key, F.lit(4)), 2)
     hit = _candidates(index, wanted).withColumn("tier", tier).where("tier is not null").groupBy("query", "name").agg(F.min("tier").alias("tier"))
     w = Window.partitionBy("query").orderBy("tier", "name")

@@ -42,3 +42,19 @@ def test_against_a_scan(spark):
         assert [means.get(x, {})[i + 1] for i in range(len(want))] == want and len(means.get(x, {})) == len(want)
     assert set(found) <= set(asked)
     assert L.find(index.where("false"), q).count() == 0
+
+
+def test_only_names_shuffle(spark):
+    names = spark.range(5000).selectExpr("'draft' AS kind", "concat('Order ', id) AS name")
+    index = L.index_names(names, 1000)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.index("Generate") < plan.index("Exchange")  # pieces are made after the last shuffle
+    rows = index.collect()
+    assert len(rows) == sum(len({f"{k}||"[i : i + 3] for i in range(len(k))}) + 4 for k in (f"order {n}" for n in range(5000)))
+    found = L.find(index, spark.createDataFrame([("der 49",), ("r 4999",), ("9",), ("99",)], "query string"), 3).collect()
+    best = {}
+    for r in found:
+        best.setdefault(r["query"], {})[r.place] = (r.score, r.name)
+    for q in ("der 49", "r 4999", "9", "99"):
+        want = sorted((1, f"Order {n}") for n in range(5000) if q in f"order {n}")[:3]
+        assert [best[q][i + 1] for i in range(len(want))] == want and len(best[q]) == len(want)
