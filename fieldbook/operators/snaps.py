@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import portable_round, ratio
@@ -38,8 +38,8 @@ def side_snaps(plays: DataFrame, wall: tuple[int, int] = (0, 20_000_000), clock:
     gaps_ = snaps.groupBy("game_id", F.col("pos").alias("team")).agg(pick(use, F.col("gap")).alias("gap_sum"), pick(use, 1).alias("gap_n"), pick(run, F.col("tick")).alias("clock_sum"), pick(run, 1).alias("clock_n"))
     chance = F.when(F.col("fg_chance") > 1, F.col("fg_chance")).otherwise(F.col("fg_chance") * 100)
     kick = F.col("pos_unit") == "Special"
-    exp = plays.groupBy("game_id", F.col("pos").alias("team")).agg(pick(kick & (F.col("points") > 0), chance).alias("fg_exp"))
-    out = kicks(plays).join(exp.hint("merge"), ["game_id", "team"]).join(gaps_.hint("merge"), ["game_id", "team"], "left")
+    out = plays.groupBy("game_id", F.col("pos").alias("team")).agg(*_kick_sums(plays), pick(kick & (F.col("points") > 0), chance).alias("fg_exp"))
+    out = out.where("game_id is not null and team is not null").join(gaps_.hint("merge"), ["game_id", "team"], "left")
     return out.fillna(0, ["gap_sum", "gap_n", "clock_sum", "clock_n"])
 
 
@@ -51,15 +51,19 @@ def takeaways(plays: DataFrame) -> DataFrame:
     return own.unionByName(other).groupBy("game_id", "team").agg(F.sum("giveaways").alias("giveaways"), F.sum("takeaways").alias("takeaways"))
 
 
-def kicks(plays: DataFrame) -> DataFrame:
-    """Special-teams plays as kicks: attempts, those that scored, their distance, and punts."""
+def _kick_sums(plays: DataFrame) -> list[Column]:
     kick = F.col("pos_unit") == "Special"
     made = kick & (F.col("points") == 3)
-    return plays.groupBy("game_id", F.col("pos").alias("team")).agg(
+    return [
         F.sum((kick & (F.col("points") > 0)).cast("int")).alias("fg_att"), F.sum(made.cast("int")).alias("fg_made"),
         F.coalesce(F.sum(F.when(made, F.col("yards"))), F.lit(0)).alias("fg_yds"), F.sum((kick & (F.col("points") == 0)).cast("int")).alias("punt_n"),
         F.coalesce(F.sum(F.when(kick & (F.col("points") == 0), F.col("yards"))), F.lit(0)).alias("punt_yds"), F.sum(scrimmage(plays).cast("int")).alias("plays"),
-    )
+    ]
+
+
+def kicks(plays: DataFrame) -> DataFrame:
+    """Special-teams plays as kicks: attempts, those that scored, their distance, and punts."""
+    return plays.groupBy("game_id", F.col("pos").alias("team")).agg(*_kick_sums(plays))
 
 
 def modal_passers(plays: DataFrame) -> DataFrame:

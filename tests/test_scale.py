@@ -1,6 +1,7 @@
 """Plans that must not change their kind as tables grow, and the results of the steps in them."""
 
 from fieldbook.operators import sides as S
+from fieldbook.operators import snaps as N
 from fieldbook.sources.contests import contest_plays
 
 ROOT = "/root/testdata/sf0.001"
@@ -24,6 +25,16 @@ def test_sides_read_plays_once(spark, tmp_path):
     assert plan.count("FileScan") == 1 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
 
 
+def test_snaps_read_plays_twice(spark, tmp_path):
+    more = f"{PLAY}, wall long, clock int, points int, fg_chance int"
+    spark.createDataFrame([], more).write.parquet(f"{tmp_path}/p")
+    assert _plan(N.side_snaps(spark.read.parquet(f"{tmp_path}/p"))).count("FileScan") == 2  # once for the kicks, once for the gaps
+    row = (1, 1, 2000, 1, "A", "B", "x", "y", "fbs", "fcs", "A", 0, 0, 1, "Special", 5, 0, False, True, 40, 100, 10)
+    rows = [(*row, 3, 60), (None, *row[1:], 3, 60)]  # a play without a contest counts nowhere
+    out = N.side_snaps(spark.createDataFrame(rows, more)).collect()
+    assert [(r.game_id, r.team, r.fg_att, r.fg_made, r.fg_yds, r.fg_exp, r.punt_n, r.plays, r.gap_n) for r in out] == [(1, "A", 1, 1, 40, 60, 0, 0, 0)]
+
+
 def test_sides_follow_the_first_play(spark):
     def play(g, n, pos, home="A", away="B", conf="x", score=(0, 0), period=1, unit="Offense", epa=10, turnover=False, rush=True, yards=3):
         return (g, n, 2000, 1, home, away, conf, "y", "fbs", "fcs", pos, *score, period, unit, epa, 0, turnover, rush, yards)
