@@ -9,7 +9,7 @@ from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
 from fieldbook.plans.contest_sql import PLAYS, SIDES, div, r
 from fieldbook.sources.contests import contest_plays, top_division_plays
-from fieldbook.sources.store import stored
+from fieldbook.sources.store import is_stored, stored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -24,19 +24,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def plays_of(spark: SparkSession, d: str) -> DataFrame:
-    """Plays in folders by season, written once a session; most queries start here."""
+def live_plays(spark: SparkSession, d: str, by_season: bool = False) -> DataFrame:
+    """Live plays of rated sides, straight from the given tables."""
+    plays = contest_plays(spark, d, by_season).withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"})
+    return S.live(top_division_plays(plays)).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
 
-    def make() -> DataFrame:
-        plays = contest_plays(spark, d).withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"})
-        return S.live(top_division_plays(plays)).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
 
-    return stored(spark, d, "plays", make, by="season")
+def plays_of(spark: SparkSession, d: str) -> DataFrame:
+    """Plays in folders by season, written once a session."""
+    return stored(spark, d, "plays", lambda: live_plays(spark, d, by_season=True), by="season")
 
 
 def sides_of(spark: SparkSession, d: str) -> DataFrame:
-    """Two rows for each contest, in folders by season, written once a session."""
-    return stored(spark, d, "sides", lambda: S.sides(plays_of(spark, d)), by="season")
+    """Two rows for each contest, in folders by season, written once a session; most queries start here.
+
+    They come from the stored plays where these are there, else straight from the given tables: a query that needs no plays writes none and
+    moves only the columns that sides are made of. A query that needs both asks for its plays first.
+    """
+    return stored(spark, d, "sides", lambda: S.sides((plays_of if is_stored(spark, d, "plays") else live_plays)(spark, d)), by="season")
 
 
 @query("s1_plays_scan", f"WITH {PLAYS} SELECT season, period, pos_unit, count(*) AS n, sum(epa)::BIGINT AS epa, max(pm)::BIGINT AS top_margin, sum(num)::BIGINT AS order_sum FROM plays GROUP BY ALL")

@@ -71,13 +71,14 @@ def form_of(spark: SparkSession, d: str) -> DataFrame:
     """The wide row of every season, slate and team: all that any menu needs."""
 
     def make() -> DataFrame:
+        plays = plays_of(spark, d)  # before the sides, which are then made of them
         two = sides_of(spark, d)
         keys = ["season", "slate", "team"]
         wide = FM.before_slate(rows_of(spark, d), before_of(spark, d))
         conf = two.select(*keys, "conf").distinct().join(conference_of(spark, d).hint("merge"), ["conf", "season", "slate"], "left")
         conf = conf.select(*keys, F.coalesce("conf_pom", F.lit(0.0)).alias("conf_pom"), F.coalesce("conf_elo", F.lit(1500.0)).alias("conf_elo"), F.coalesce(F.col("conf").isin(*FM.POWER), F.lit(False)).cast("int").alias("power"))
         strong = strengths_of(spark, d).select("season", F.col("cutoff").alias("slate"), "team", "srs", "colley", "glm")
-        for part, how in ((conf, "inner"), (H.year_over_year(two), "inner"), (FM.starters(N.modal_passers(plays_of(spark, d)), two), "inner"), (strong, "left")):
+        for part, how in ((conf, "inner"), (H.year_over_year(two), "inner"), (FM.starters(N.modal_passers(plays), two), "inner"), (strong, "left")):
             wide = wide.join(part.hint("merge"), keys, how)
         return wide.fillna({"srs": 0.0, "colley": 0.5, "glm": 0.0})
 
@@ -275,7 +276,11 @@ def starters(spark, d):
 
 
 def _menu(*names: str):
-    return lambda spark, d: FM.menu(FM.contests(sides_of(spark, d)), form_of(spark, d), *names)
+    def run(spark, d):
+        wide = form_of(spark, d)  # before the sides, as it needs plays
+        return FM.menu(FM.contests(sides_of(spark, d)), wide, *names)
+
+    return run
 
 
 for _row, _names in (("f1_locked_menu", ["locked"]), ("f2_extras_menu", ["extras"]), ("f3_signal_menu", ["signal"]), ("f6_conference_menu", ["conference"]), ("f8_time_menu", ["time"]), ("f9_thin_menu", ["thin"]),

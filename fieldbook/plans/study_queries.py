@@ -207,9 +207,10 @@ def features_of(spark: SparkSession, d: str) -> DataFrame:
     """All menus' columns of each contest with its result."""
 
     def make() -> DataFrame:
+        wide = form_of(spark, d)  # before the sides, as it needs plays
         c = FM.contests(sides_of(spark, d))
         y = c.select("game_id", F.col("margin"), (F.col("margin") > 0).cast("int").alias("won"), ((F.col("div") == "fbs") & (F.col("opp_div") == "fbs")).alias("top"))
-        return FM.menu(c, form_of(spark, d), *FM.MENUS).join(y.hint("merge"), "game_id")
+        return FM.menu(c, wide, *FM.MENUS).join(y.hint("merge"), "game_id")
 
     return stored(spark, d, "features", make)
 
@@ -265,8 +266,9 @@ def synthetic_rows(spark, d):
     from fieldbook.operators import snaps as N
     from fieldbook.plans.contest_queries import plays_of
 
+    quarters = N.quarter_points(plays_of(spark, d))  # plays before predictions, whose sides are then made of them
     p = predictions_of(spark, d).select("game_id", "season", (F.col("home_rating") - F.col("away_rating") + 2.5).alias("z"))
-    rows = N.quarter_bundles(N.quarter_points(plays_of(spark, d))).select("game_id", "real", "won").join(p.hint("merge"), "game_id")
+    rows = N.quarter_bundles(quarters).select("game_id", "real", "won").join(p.hint("merge"), "game_id")
     last = rows.agg(F.max("season")).first()[0]
     train, test = rows.where(F.col("season") < last), rows.where((F.col("season") == last) & F.col("real"))
     out = None

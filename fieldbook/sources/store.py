@@ -108,6 +108,16 @@ def build_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], so
     return spark.read.parquet(path)
 
 
+def _place(spark: SparkSession, source: str, name: str) -> str:
+    state = hashlib.sha256(f"{source}\0{fingerprint(spark, source)}\0{_code()}".encode()).hexdigest()[:24]
+    return f"{shared_folder(spark)}/fieldbook-stored-{state}/{name}"
+
+
+def is_stored(spark: SparkSession, source: str, name: str) -> bool:
+    """Whether a table is there already."""
+    return _there(spark, _place(spark, source, name))
+
+
 def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """``make()``, written the first time that it is asked for, perhaps in folders of the column ``by``.
 
@@ -115,5 +125,4 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
     that change lead to another place: no table answers for files that it wasn't made from. Sizes of what is read back are known, so
     Spark chooses joins by them.
     """
-    state = hashlib.sha256(f"{source}\0{fingerprint(spark, source)}\0{_code()}".encode()).hexdigest()[:24]
-    return build_once(spark, f"{shared_folder(spark)}/fieldbook-stored-{state}/{name}", make, by=by)
+    return build_once(spark, _place(spark, source, name), make, by=by)

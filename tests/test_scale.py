@@ -1,8 +1,14 @@
 """Plans that must not change their kind as tables grow, and the results of the steps in them."""
 
+import shutil
+
 from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
+from fieldbook.plans.contest_queries import live_plays, plays_of, sides_of
+from fieldbook.plans.form_queries import QUERIES as FORM
+from fieldbook.plans.model_queries import QUERIES as MODEL
 from fieldbook.sources.contests import contest_plays
+from fieldbook.sources.store import is_stored
 
 ROOT = "/root/testdata/sf0.001"
 PLAY = "game_id long, game_play_number int, season int, slate int, home string, away string, home_conf string, away_conf string, home_div string, away_div string, pos string, home_score int, away_score int, period int, pos_unit string, epa int, pos_margin int, turnover boolean, rush boolean, yards int"
@@ -19,6 +25,24 @@ def test_plays_meet_by_the_same_joins_at_any_size(spark):
     assert "clock" not in to_contests and "home_k#" not in to_contests.split("\n", 1)[1]  # derived again after the shuffle
 
 
+def test_ratings_and_predictions_write_no_plays(spark, tmp_path):
+    shutil.copytree(ROOT, d := f"{tmp_path}/d")
+    FORM["r5_colley"](spark, d).collect()
+    assert is_stored(spark, d, "sides") and not is_stored(spark, d, "plays")
+    MODEL["m20_blend_weights"](spark, d).collect()
+    assert not is_stored(spark, d, "plays")
+    straight = sides_of(spark, d)
+    through = S.sides(plays_of(spark, d))
+    assert is_stored(spark, d, "plays") and straight.count() == through.count() > 0
+    assert straight.select(*through.columns).exceptAll(through).count() == through.exceptAll(straight.select(*through.columns)).count() == 0
+
+
+def test_sides_move_only_what_they_are_made_of(spark):
+    plan = _plan(S.sides(live_plays(spark, ROOT)))
+    assert not any(f"{c}#" in plan for c in ("c_name", "l_shipdate", "player", "wall"))
+    assert "Sort [game_id#" in plan and "Sort [season#" not in plan  # a season as the first key would tell few rows apart
+
+
 def test_sides_read_plays_once(spark, tmp_path):
     spark.createDataFrame([], PLAY).write.parquet(f"{tmp_path}/p")
     plan = _plan(S.sides(spark.read.parquet(f"{tmp_path}/p")))
