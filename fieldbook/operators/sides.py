@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,12 +78,22 @@ def _of_sides(plays: DataFrame) -> dict[str, Column]:
     }
 
 
+def side_sums(plays: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of plays that agree in ``keys``, which tell the contest, the side with the ball and what the plays say of the contest."""
+    return plays.groupBy(*keys).agg(*[c.alias(k) for k, c in (_of_games(plays) | _of_sides(plays)).items()])
+
+
 def sides(plays: DataFrame) -> DataFrame:
     """Two rows for each contest, each with its own and the opponent's sums.
 
     One aggregate reads the plays; what follows works on its rows, a few for each contest.
     """
-    per = plays.groupBy("game_id", F.col("pos").alias("with_ball"), *FIRST).agg(*[c.alias(k) for k, c in (_of_games(plays) | _of_sides(plays)).items()])
+    return sides_of_sums(side_sums(plays, ["game_id", "pos", *FIRST]))
+
+
+def sides_of_sums(per: DataFrame) -> DataFrame:
+    """The same from sums of plays (``side_sums``); a side's plays may be spread over several rows."""
+    per = per.withColumnRenamed("pos", "with_ball")
     whole = Window.partitionBy("game_id")
     per = per.select("game_id", "with_ball", *[F.min_by(c, "first").over(whole).alias(c) for c in FIRST], "home_points", "away_points", "periods", "tempo", *SUMS)
     of = lambda side, c: F.coalesce(F.sum(F.when(F.col("with_ball") == F.col(side), F.col(c))), F.lit(0)).alias(f"{side}_{c}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
 from fieldbook.plans.contest_sql import PLAYS, SIDES, div, r
-from fieldbook.sources.contests import contest_plays, top_division_plays
+from fieldbook.sources.contests import contest_plays, named, numbered_plays, top_division_plays
 from fieldbook.sources.store import is_stored, stored
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -26,8 +26,17 @@ def query(name: str, sql: str | None = None):
 
 def live_plays(spark: SparkSession, d: str, by_season: bool = False) -> DataFrame:
     """Live plays of rated sides, straight from the given tables."""
-    plays = contest_plays(spark, d, by_season).withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"})
-    return S.live(top_division_plays(plays)).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
+    return S.live(_rated(contest_plays(spark, d, by_season)))
+
+
+def _rated(df: DataFrame) -> DataFrame:
+    return top_division_plays(df.withColumnsRenamed({"pos": "pos_team", "def": "def_pos_team"})).withColumnsRenamed({"pos_team": "pos", "def_pos_team": "def"})
+
+
+def live_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Sides straight from the given tables: plays are added up under the numbers of their nations, and only the sums get names."""
+    sums = S.side_sums(S.live(numbered_plays(spark, d)), ["game_id", "season", "slate", "pos_k", "def_k", "home_k", "away_k"])
+    return S.sides_of_sums(_rated(named(sums, d)))
 
 
 def plays_of(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +50,7 @@ def sides_of(spark: SparkSession, d: str) -> DataFrame:
     They come from the stored plays where these are there, else straight from the given tables: a query that needs no plays writes none and
     moves only the columns that sides are made of. A query that needs both asks for its plays first.
     """
-    return stored(spark, d, "sides", lambda: S.sides((plays_of if is_stored(spark, d, "plays") else live_plays)(spark, d)), by="season")
+    return stored(spark, d, "sides", lambda: S.sides(plays_of(spark, d)) if is_stored(spark, d, "plays") else live_sides(spark, d), by="season")
 
 
 @query("s1_plays_scan", f"WITH {PLAYS} SELECT season, period, pos_unit, count(*) AS n, sum(epa)::BIGINT AS epa, max(pm)::BIGINT AS top_margin, sum(num)::BIGINT AS order_sum FROM plays GROUP BY ALL")

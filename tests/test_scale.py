@@ -4,10 +4,10 @@ import shutil
 
 from fieldbook.operators import sides as S
 from fieldbook.operators import snaps as N
-from fieldbook.plans.contest_queries import live_plays, plays_of, sides_of
+from fieldbook.plans.contest_queries import live_plays, live_sides, plays_of, sides_of
 from fieldbook.plans.form_queries import QUERIES as FORM
 from fieldbook.plans.model_queries import QUERIES as MODEL
-from fieldbook.sources.contests import contest_plays
+from fieldbook.sources.contests import contest_plays, numbered_plays
 from fieldbook.sources.store import is_stored
 
 ROOT = "/root/testdata/sf0.001"
@@ -43,6 +43,19 @@ def test_sides_move_only_what_they_are_made_of(spark):
     assert "Sort [game_id#" in plan and "Sort [season#" not in plan  # a season as the first key would tell few rows apart
 
 
+def test_only_sums_of_plays_get_names(spark):
+    plan = _plan(live_sides(spark, ROOT))
+    above, below = plan[: (k := plan.index("Window [row_number()"))], plan[k:]
+    assert above.count("BroadcastHashJoin") == 4 and above.rindex("HashAggregate(") > above.rindex("BroadcastHashJoin")  # a row for each contest and side meets the nations
+    to_contests = below[below.index("Exchange hashpartitioning(game_id") :].split("\n", 2)[1]
+    assert all(f"{c}#" not in to_contests for c in ("season", "slate", "points", "_w0", "l_quantity"))  # derived again after the shuffle
+
+
+def test_plays_are_nearly_in_order_before_they_are_compared(spark):
+    plan = _plan(numbered_plays(spark, ROOT))
+    assert "Sort [(shiftleft(game_id#" in plan[plan.index("Sort [game_id#") :]
+
+
 def test_sides_read_plays_once(spark, tmp_path):
     spark.createDataFrame([], PLAY).write.parquet(f"{tmp_path}/p")
     plan = _plan(S.sides(spark.read.parquet(f"{tmp_path}/p")))
